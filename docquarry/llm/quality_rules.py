@@ -2,8 +2,7 @@
 
 Each rule looks at one measure of a text and votes 1 (good), -1 (bad) or 0 (abstains).  Rules err, so
 their votes aren't simply required to agree: expectation-maximisation estimates, from the votes alone,
-how often each rule is right about good and about bad texts and how common good texts are, and a text
-is kept if the posterior probability that it is good reaches ``KEEP``.  What EM needs from the corpus
+how each rule votes about good and about bad texts and how common good texts are, and a text is kept if the posterior probability that it is good reaches ``KEEP``.  What EM needs from the corpus
 is how often each combination of votes occurs: at most 3 to the number of rules rows, whatever the
 size of the corpus, so these counts come to the driver.
 
@@ -31,7 +30,8 @@ OWN = ("_w", "_h", "_x", "_l", "_p")
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes 1 where low <= measure <= high, -1 where measure < worst_low or > worst_high, else 0."""
+    """Votes 1 where low <= measure <= high, -1 where measure < worst_low or > worst_high, else 0.
+    doubt: the largest share of good texts that it may be estimated to call bad."""
 
     name: str
     measure: str
@@ -39,6 +39,7 @@ class Rule:
     high: float
     worst_low: float
     worst_high: float
+    doubt: float
 
     def vote(self, m: Column) -> Column:
         good = m.between(self.low, self.high)
@@ -47,15 +48,19 @@ class Rule:
 
 #: Shares are of words or lines, but for capitals, which are of the characters in words.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0, 0.05, -1, 0.25),
-    Rule("repeats", "n_repeat_words / n_words", 0, 0.1, -1, 0.3),
-    Rule("lines", "n_dup_lines / n_lines", 0, 0.15, -1, 0.4),
-    Rule("variety", "n_distinct_words / n_words", 0.3, 1, 0.12, 2),
-    Rule("length", "word_chars / n_words", 3, 7, 2, 11),
-    Rule("capitals", "n_capitals / word_chars", 0, 0.15, -1, 0.4),
-    Rule("stops", "n_stops / n_words", 0.02, 0.2, 0.004, 0.6),
-    Rule("shouts", "n_shouts / n_words", 0, 0.05, -1, 0.25),
+    Rule("symbols", "n_symbols / n_words", 0, 0.02, -1, 0.2, 0.001),
+    Rule("symbol runs", "n_symbol_runs / n_words", 0, 0.01, -1, 0.1, 0.001),
+    Rule("repeats", "n_repeat_words / n_words", 0, 0.1, -1, 0.45, 0.005),
+    Rule("lines", "n_dup_lines / n_lines", 0, 0.1, -1, 0.5, 0.02),
+    Rule("variety", "n_distinct_words / n_words", 0.35, 1, 0.15, 2, 0.005),
+    Rule("length", "word_chars / n_words", 3, 6.5, 2, 9, 0.02),
+    Rule("capitals", "n_capitals / word_chars", 0, 0.1, -1, 0.4, 0.001),
+    Rule("stops", "n_stops / n_words", 0.02, 0.2, 0.002, 0.6, 0.02),
+    Rule("shouts", "n_shouts / n_words", 0, 0.05, -1, 0.3, 0.001),
 )
+#: A bad text has each fault with this probability at least, and that a rule finds no fault adds at most
+#: CALM to the log odds: faults are of many kinds, and most bad texts have one or two of them.
+LEAST_RECALL, CALM = 0.05, 0.15
 
 
 def _with_repeat_places(df: DataFrame) -> DataFrame:
@@ -90,6 +95,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         count("[#*$%&|<>]").alias("n_symbols"),
+        count("[#*$%&|<>]{2,}").alias("n_symbol_runs"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         _covered().cast("long").alias("n_repeat_words"),
         F.size("_l").cast("long").alias("n_lines"),
@@ -113,49 +119,55 @@ def votes(m: str = "_m", rules: tuple[Rule, ...] = RULES) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Share of good texts; for each rule how often it is right about good and about bad ones."""
+    """Share of good texts; for each rule how often it votes (bad, nothing, good) about good and about
+    bad texts."""
 
     prior: float
-    on_good: tuple[float, ...]
-    on_bad: tuple[float, ...]
+    on_good: tuple[tuple[float, float, float], ...]
+    on_bad: tuple[tuple[float, float, float], ...]
+    doubts: tuple[float, ...]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], k: int, rounds: int = ROUNDS) -> Model:
-    """EM on (votes, how many texts have them).  Counts are smoothed, and a rule is held to be right
-    more often than not, so the two classes can't trade places."""
-    prior, good, bad = 0.7, [0.8] * k, [0.8] * k
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Model:
+    """EM on (votes, how many texts have them).  A rule that abstains says something too, as most rules
+    look for one fault.  Counts are smoothed by one text a class."""
+    start_good, start_bad = (0.01, 0.09, 0.9), (0.3, 0.2, 0.5)
+    k, doubts = len(rules), tuple(r.doubt for r in rules)
+    m = Model(0.8, (start_good,) * k, (start_bad,) * k, doubts)
     for _ in range(rounds):
         n = n1 = 0.0
-        sums = [[1.6, 2.0, 1.6, 2.0] for _ in range(k)]  # right and all on good, right and all on bad
+        good, bad = [list(start_good) for _ in range(k)], [list(start_bad) for _ in range(k)]
         for vote, count in patterns:
-            p = posterior(Model(prior, tuple(good), tuple(bad)), vote)
+            p = posterior(m, vote)
             n, n1 = n + count, n1 + p * count
-            for s, v in zip(sums, vote, strict=True):
-                if v:
-                    s[0] += p * count * (v > 0)
-                    s[1] += p * count
-                    s[2] += (1 - p) * count * (v < 0)
-                    s[3] += (1 - p) * count
-        prior = min(0.99, max(0.01, (n1 + 0.7) / (n + 1)))
-        hold = lambda x: min(0.995, max(0.55, x))
-        good, bad = [hold(s[0] / s[1]) for s in sums], [hold(s[2] / s[3]) for s in sums]
-    return Model(prior, tuple(good), tuple(bad))
+            for g, b, v in zip(good, bad, vote, strict=True):
+                g[v + 1] += p * count
+                b[v + 1] += (1 - p) * count
+        m = Model(min(0.99, max(0.5, (n1 + 0.8) / (n + 1))), tuple(tuple(x / sum(g) for x in g) for g in good), tuple(tuple(x / sum(b) for x in b) for b in bad), doubts)
+    return m
 
 
-def _evidence(m: Model) -> list[tuple[float, float]]:
-    """What a rule's good and bad vote add to the log odds."""
-    return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in zip(m.on_good, m.on_bad, strict=True)]
+def evidence(m: Model) -> list[tuple[float, float, float]]:
+    """What a rule's vote (bad, none, good) adds to the log odds.  A bad vote never speaks for a text and
+    a good one never against it, so the two classes can't trade places, and where no text is bad none
+    is taken for bad because it is merely odd."""
+    out = []
+    for g, b, doubt in zip(m.on_good, m.on_bad, m.doubts, strict=True):
+        bad = math.log(min(g[0], doubt) / max(b[0], LEAST_RECALL))
+        none, good = (min(CALM, max(0.0, math.log(x / y))) for x, y in zip(g[1:], b[1:], strict=True))
+        out.append((min(bad, 0.0), none, good))
+    return out
 
 
 def posterior(m: Model, vote: tuple[int, ...]) -> float:
-    odds = math.log(m.prior / (1 - m.prior)) + sum(up if v > 0 else down if v < 0 else 0 for v, (up, down) in zip(vote, _evidence(m), strict=True))
-    return 1 / (1 + math.exp(-odds))
+    odds = math.log(m.prior / (1 - m.prior)) + sum(e[v + 1] for v, e in zip(vote, evidence(m), strict=True))
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
 def posterior_column(m: Model, vote: Column) -> Column:
     odds = F.lit(math.log(m.prior / (1 - m.prior)))
-    for i, (up, down) in enumerate(_evidence(m)):
-        odds = odds + F.when(vote[i] > 0, up).when(vote[i] < 0, down).otherwise(0.0)
+    for i, (bad, none, good) in enumerate(evidence(m)):
+        odds = odds + F.when(vote[i] > 0, good).when(vote[i] < 0, bad).otherwise(none)
     return 1 / (1 + F.exp(-odds))
 
 
@@ -167,7 +179,7 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
         raise ValueError("columns _m, _v, _s, _again, _pairs, _w, _h, _x, _l and _p are this operator's own")
     base = written(measures(docs, text).withColumn("_v", votes("_m", rules)), "rules")
     patterns = [(tuple(r["_v"]), r["count"]) for r in base.groupBy("_v").count().collect()]  # at most 3 ** len(rules)
-    model = estimate(sorted(patterns), len(rules))
+    model = estimate(sorted(patterns), rules)
     p = posterior_column(model, F.col("_v"))
     failed = (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_m.n_words"))
     return base.withColumn(name, F.struct("_m.*", F.col("_v").alias("votes"), p.alias("posterior"), failed.alias("base_failed"), (~failed & (p >= KEEP)).alias("kept"))).drop("_m", "_v")
