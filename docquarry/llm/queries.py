@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, quality_classifier, quality_rules, simhash
-from docquarry.llm.common import table
+from docquarry.llm import bpe, media, mixture, quality_classifier, quality_rules, simhash
+from docquarry.llm.common import n_words, table, written
 
 
 def rank_file() -> tuple[bytes, str]:
@@ -18,6 +18,29 @@ def rank_file() -> tuple[bytes, str]:
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
 
+def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", media.stored(F.col("text")).alias("media"))
+    got = docs.withColumn("image", media.image(F.col("media")))
+    means = [F.round(F.col("image.mean")[i], 3).cast("string") for i in range(3)]
+    return got.select(
+        "doc_id",
+        F.col("image.n_bytes").alias("n_bytes"),
+        F.octet_length("image.payload").cast("long").alias("payload_bytes"),
+        F.sha2("image.payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("image.payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(" ", F.concat_ws("x", "image.height", "image.width", F.lit("3")), *means, F.hex(F.crc32("image.rgb"))).alias("feature"),
+    )
+
+
+def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mixture.order_key("doc_id", F.coalesce("text", F.lit(""))).alias("order_key"))
+    got = mixture.mixed(written(sized, "mixture-sizes"))
+    return got.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", F.get("mix.positions", F.lit(0)).alias("first_position"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = quality_rules.judged(docs).select("doc_id", "verdict.*")
@@ -42,7 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_rules, op4_quality_classifier, op7_byte_bpe, op10_simhash)}
+    return {f.__name__: f for f in (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op7_byte_bpe, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
