@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, media, mixture, quality_classifier, quality_rules, simhash
-from docquarry.llm.common import n_words, table, written
+from docquarry.llm import bpe, license_scan, media, mixture, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree
+from docquarry.llm.common import n_words, shared_dir, table, utf8_bytes, written
 
 
 def rank_file() -> tuple[bytes, str]:
@@ -53,20 +54,86 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = site_tree.extracted(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five batches over all documents, two of them applied twice: counts by two tokenizers; the second's
+    counts revised; the first's counts of exact copies deleted."""
+    docs = table(spark, sf_dir, "documents")
+    runs = F.coalesce(F.regexp_count("text", F.lit("[A-Za-z0-9]+")), F.lit(0)).cast("long")
+    base = written(docs.select("doc_id", "source", "lang", n_words(F.col("text")).alias("words"), runs.alias("runs"), sharding.group_key(F.col("text")).alias("key")), "rollup-counts")
+    first = base.groupBy("key").agg(F.min("doc_id").alias("first"))
+    copies = base.join(first, "key").where("doc_id <> first")
+
+    def changes(rows: DataFrame, change: str, tokenizer: str, n: str, old: str | None = None) -> DataFrame:
+        return rows.select(F.lit(change).alias("change"), "source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(n).alias("n_tokens"), (F.col(old) if old else F.lit(None).cast("long")).alias("old_tokens"))
+
+    store = rollups.Store(spark, f"{shared_dir(spark)}/docquarry/rollups-{uuid.uuid4().hex}")
+    batches = {
+        "1-words": changes(base, "insert", "words-1", "words"),
+        "2-runs": changes(base, "insert", "runs-1", "runs"),
+        "3-runs-revised": changes(base, "revise", "runs-1", "words", "runs"),
+        "4-copies": changes(copies, "delete", "words-1", "words"),
+    }
+    for name in (*batches, "1-words", "4-copies"):
+        store.apply(name, batches[name])
+    return store.totals()
+
+
+OP6_SQL = """
+WITH d AS (
+  SELECT source, lang, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id) AS nth
+  FROM documents)
+SELECT * FROM (
+  SELECT source, lang, 'words-1' AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(words) AS BIGINT) AS n_tokens
+  FROM d WHERE nth = 1 GROUP BY source, lang
+  UNION ALL
+  SELECT source, lang, 'runs-1', CAST(count(*) AS BIGINT), CAST(sum(words) AS BIGINT) FROM d GROUP BY source, lang)
+WHERE n_docs <> 0 OR n_tokens <> 0
+"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = bpe.with_ids(docs, *rank_file())
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    base = docs.select("doc_id", (utf8_bytes(F.col("text")) + 1).alias("size"), n_words(F.col("text")).alias("tokens"), crc.alias("text_crc32"), sharding.group_key(F.col("text")).alias("group"))
+    got = sharding.sharded(written(base, "sharding-base"), sizes=("size", "tokens"))
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("licences", lambda x: x["confirmed"])
+    families = F.transform(sure, lambda x: x["family"])
+    return got.select(
+        "doc_id",
+        F.size("licences").cast("long").alias("n_paragraphs"),
+        F.size(sure).cast("long").alias("n_confirmed"),
+        F.array_join(F.array_sort(F.array_distinct(families)), ",").alias("families"),
+        F.get(sure, F.lit(0))["line"].alias("first_line"),
+        F.round(F.get(sure, F.lit(0))["probability"], 6).alias("first_probability"),
+    )
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_groups(table(spark, sf_dir, "documents"))
     return got.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op7_byte_bpe, op10_simhash)}
+    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_token_rollups": OP6_SQL}
