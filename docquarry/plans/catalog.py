@@ -1 +1,3 @@
 """The modules whose queries are registered."""
+
+from docquarry.plans import benchmark, corpus, evaluation, relational, retrieval, sessions  # noqa: F401
