@@ -1,7 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
 Rows of equal text form a group, and a group stays together: it is placed in the shard where the dot
-product of its share of the totals with the shard's residual capacity is highest.  Placing is in order of
+product of its share of the totals with the shard's residual capacity is highest.  Capacity for bytes is nearly tight, so sizes end
+near equal; tokens and rows have some play, and are balanced as far as that allows.  Placing is in order of
 size, so it can't be dealt out; what is dealt out is the grouping.  Groups of over 1 / ``PARTS`` of any
 total (at most 3 * PARTS of them) are placed one by one; smaller groups are first gathered, whole, into
 ``PARTS`` parcels by a hash of their text.  So at most 4 * PARTS items are placed, on the driver, whatever
@@ -22,19 +23,27 @@ from pyspark.sql import functions as F
 from docquarry.llm.common import written
 
 SHARDS, PARTS, PIECES, SLOT_RANGES = 8, 4096, 64, 1024
+#: What a shard may hold over its equal share: of bytes, tokens and rows.
+SLACK = (0.001, 0.25, 0.25)
 
 
-def place(items: np.ndarray, shards: int) -> np.ndarray:
+def place(items: np.ndarray, shards: int, slack: tuple[float, ...] = SLACK) -> np.ndarray:
     """Shard of each item.  items: a row for each, its size in each dimension.
 
-    Capacities are equal shares of the totals, and sizes are counted in them.  Items go in descending
-    order of their largest dimension, each to the shard with the highest dot product of the item with what
-    the shard has left (which may be below nothing); ties go to the lower shard.
+    A shard's capacity is its equal share of the totals and a slack, in each dimension.  Items go in
+    descending order of their largest dimension, each to the shard with the highest dot product of the
+    item with the residual capacities, among the shards it fits into; where it fits into none, among those
+    whose first dimension holds it; else to the shard with the most room in the first dimension.  Ties go
+    to the lower shard.
     """
     share = items / np.maximum(items.sum(axis=0), 1) * shards
-    left, out = np.ones((shards, items.shape[1])), np.zeros(len(items), np.int64)
+    left, out = np.ones((shards, items.shape[1])) + np.array(slack), np.zeros(len(items), np.int64)
     for i in np.argsort(-share.max(axis=1), kind="stable"):
-        out[i] = s = int(np.argmax(np.round(left @ share[i], 12)))
+        room = np.round(left - share[i], 12) >= 0
+        able = room.all(axis=1)
+        able = able if able.any() else room[:, 0]
+        want = np.where(able, np.round(left @ share[i], 12), -np.inf) if able.any() else np.round(left[:, 0], 12)
+        out[i] = s = int(np.argmax(want))
         left[s] -= share[i]
     return out
 
