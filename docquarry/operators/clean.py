@@ -12,19 +12,20 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from docquarry.functions import text as T
 
 HEADER_SHARE, HEADER_TOKENS, MARGIN = 0.5, 24, 0.15
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Full-width forms to half-width, compatibility forms to plain ones."""
     return text.map(lambda s: unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(text: pd.Series) -> pd.Series:
     """Character references of HTML as characters."""
     return text.map(html.unescape, na_action="ignore")
