@@ -21,7 +21,7 @@ def block_budget(blocks: Column) -> Column:
 def compressed(blocks: DataFrame) -> DataFrame:
     """blocks (with question) cut to each block's share of the budget: sentences or table lines by score
     (shared pairs of characters, and four for each exact word or number), the best until the budget is
-    full, in source order.  Tables keep their head line.  Content within the budget stays as it is."""
+    full (the last one taken is cut), in source order.  Tables keep their head line.  Content within the budget stays as it is."""
     n = F.count("*").over(Window.partitionBy("qid"))
     b = blocks.withColumn("_budget", block_budget(n))
     table = F.col("content").contains(" | ")
@@ -30,15 +30,18 @@ def compressed(blocks: DataFrame) -> DataFrame:
     b = b.withColumns({"_u": units, "_table": table, "_pairs": T.bigrams(F.col("question")), "_words": words})
     scored = F.transform("_u", lambda u, i: F.struct((-(F.size(F.array_intersect(T.bigrams(u), F.col("_pairs"))) + 4 * F.size(F.filter("_words", lambda w: F.contains(F.lower(u), w))))).alias("score"), i.alias("i"), u.alias("u")))
     b = b.withColumn("_s", F.array_sort(scored))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("of"))
+    head = F.when(F.col("_table"), F.length(F.get("_u", F.lit(0)))).otherwise(0)
+    first = F.filter(F.array(F.struct(F.lit(0).alias("i"), F.least(head, F.col("_budget").cast("int")).alias("n"))), lambda x: F.col("_table"))
+    start = F.struct(head.cast("bigint").alias("used"), first.alias("of"))
 
     def step(a: Column, x: Column) -> Column:
-        full = a["used"] >= F.col("_budget")
-        return F.when(full, a).otherwise(F.struct((a["used"] + F.length(x["u"])).cast("bigint").alias("used"), F.concat(a["of"], F.array(x["i"])).alias("of")))
+        room = (F.col("_budget") - a["used"] - 1).cast("int")
+        out = (room <= 0) | (F.col("_table") & (x["i"] == 0))
+        part = F.struct(x["i"].alias("i"), F.least(F.length(x["u"]), room).alias("n"))
+        return F.when(out, a).otherwise(F.struct((a["used"] + part["n"] + 1).cast("bigint").alias("used"), F.concat(a["of"], F.array(part)).alias("of")))
 
-    taken = F.aggregate("_s", start, step, lambda a: a["of"])
-    b = b.withColumn("_t", F.array_sort(F.array_distinct(F.when(F.col("_table"), F.concat(F.array(F.lit(0)), taken)).otherwise(taken))))
-    text = F.substr(F.array_join(F.transform("_t", lambda i: F.get("_u", i)), "\n"), F.lit(1), F.col("_budget").cast("int"))
+    b = b.withColumn("_t", F.array_sort(F.aggregate("_s", start, step, lambda a: a["of"])))
+    text = F.array_join(F.transform("_t", lambda x: F.substr(F.get("_u", x["i"]), F.lit(1), x["n"])), "\n")
     return b.withColumn("content", F.when(F.length("content") <= F.col("_budget"), F.col("content")).otherwise(text)).drop("_budget", "_u", "_table", "_pairs", "_words", "_s", "_t")
 
 
