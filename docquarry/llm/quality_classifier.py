@@ -26,7 +26,7 @@ from docquarry.llm.common import free_name
 HASH_BITS, TRAIN_ROWS, EPOCHS, SCALE, THRESHOLD = 18, 6000, 4, 30.0, 0.3
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 0.02
 #: Bytes tokenised at a time within a text batch.
-BYTES = 1 << 22
+BYTES = 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -46,7 +46,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 20)
+        size = max(n, (1 << 19) + 1)
         with np.errstate(over="ignore"):
             for name, base in (("up", _STEP), ("down", _BACK)):
                 seq = np.full(size, base, np.uint64)
