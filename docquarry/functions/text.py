@@ -69,7 +69,12 @@ def token_count(text: Column) -> Column:
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Distinct runs of low to high letters and digits of the lower-cased text, anything else left out."""
     bare = F.regexp_replace(F.lower(text), "[^a-z0-9\\x{4E00}-\\x{9FFF}]", "")
-    return F.array_distinct(F.flatten(F.array(*(_grams(bare, n) for n in range(low, high + 1)))))
+    return bound(bare, lambda b: F.array_distinct(F.flatten(F.array(*(_grams(b, n) for n in range(low, high + 1))))))
+
+
+def bound(value: Column, f) -> Column:
+    """f(value), value being computed once: a lambda computes what it mentions anew for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _grams(bare: Column, n: int) -> Column:
@@ -79,7 +84,7 @@ def _grams(bare: Column, n: int) -> Column:
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of characters, white space left out."""
-    return F.array_distinct(_grams(F.regexp_replace(F.lower(text), f"{WS}+", ""), 2))
+    return bound(F.regexp_replace(F.lower(text), f"{WS}+", ""), lambda b: F.array_distinct(_grams(b, 2)))
 
 
 def dice(a: Column, b: Column) -> Column:
