@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import arrow_text
+from docquarry.llm.common import bounded_batches
 
 #: Characters above which a text is split before it is encoded.
 LONG = 1 << 16
@@ -63,6 +64,7 @@ def encode_one(enc, text: str, longest: int = LONG) -> np.ndarray:
 
 def encoder(spark: SparkSession, ranks: bytes, pattern: str, longest: int = LONG):
     """A function of a string column that gives its ids, array<int>."""
+    bounded_batches()
     shared = spark.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("array<int>")
@@ -76,6 +78,7 @@ def encoder(spark: SparkSession, ranks: bytes, pattern: str, longest: int = LONG
 def decoder(spark: SparkSession, ranks: bytes, pattern: str):
     """A function of an ids column that gives the raw bytes, which need not be UTF-8 (an id may hold
     part of a character)."""
+    bounded_batches()
     shared = spark.sparkContext.broadcast(ranks)
 
     @F.arrow_udf("binary")

@@ -21,11 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir.  Only where it is unset (a local session
     in a test) a folder of this machine stands in."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "docquarry-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (found or os.path.join(tempfile.gettempdir(), "docquarry-shared")).rstrip("/")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -38,6 +35,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of the operators are whole texts, pages or files, so Arrow batches of Spark's usual 10,000 rows would
+#: take a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def bounded_batches() -> None:
+    """Lowers the session's limits on an Arrow batch to BATCH_ROWS and BATCH_BYTES; lower limits stay."""
+    conf = SparkSession.active().conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = conf.get(key, None)
+        found = int(found) if str(found or "").isdigit() else 0
+        if not 0 < found <= most:
+            conf.set(key, str(most))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df doesn't have (Spark compares names without case)."""
     taken = {c.lower() for c in df.columns}

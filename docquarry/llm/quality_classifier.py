@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import arrow_text
-from docquarry.llm.common import free_name
+from docquarry.llm.common import bounded_batches, free_name
 
 HASH_BITS, TRAIN_ROWS, EPOCHS, SCALE, THRESHOLD = 18, 6000, 4, 30.0, 0.3
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 0.02
@@ -99,17 +99,26 @@ def features(data: np.ndarray, at: np.ndarray, bits: int = HASH_BITS) -> tuple[n
     return np.concatenate([text, text[1:][pair], text[shouted], text[2:][again]]), places.astype(np.int64)
 
 
+def _blocks(data: np.ndarray, at: np.ndarray, bits: int):
+    """((first, end), text number within, place) of whole texts, about BYTES at a time."""
+    a, n = 0, len(at) - 1
+    while a < n:
+        b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + BYTES, side="right")) - 1))
+        yield (a, b), *features(data[at[a] : at[b]], at[a : b + 1] - at[a], bits)
+        a = b
+
+
 def train(data: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = HASH_BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights; the last is the bias."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    text, place = features(data, at, bits)
-    order = np.argsort(text, kind="stable")
-    place, ends = place[order], np.searchsorted(text[order], np.arange(len(labels) + 1))
     rows = []
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        where, count = np.unique(place[a:b], return_counts=True)
-        rows.append((np.append(where, size), np.append(count * (SCALE / max(1, b - a)), 1.0)))
+    for first, text, place in _blocks(data, at, bits):
+        order = np.argsort(text, kind="stable")
+        place, ends = place[order], np.searchsorted(text[order], np.arange(first[1] - first[0] + 1))
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            where, count = np.unique(place[a:b], return_counts=True)
+            rows.append((np.append(where, size).astype(np.int32), np.append(count * (SCALE / max(1, b - a)), 1.0).astype(np.float32)))
 
     def weights(i):
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
@@ -127,16 +136,10 @@ def train(data: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = HASH
 def score(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Scores of texts that stand one after another in data."""
     out = np.empty(len(at) - 1)
-    bits = (len(weights) - 1).bit_length() - 1
-    a = 0
-    while a < len(out):  # whole texts, about BYTES at a time
-        b = max(a + 1, int(np.searchsorted(at, at[a] + BYTES, side="right")) - 1)
-        b = min(b, len(out))
-        text, place = features(data[at[a] : at[b]], at[a : b + 1] - at[a], bits)
+    for (a, b), text, place in _blocks(data, at, (len(weights) - 1).bit_length() - 1):
         total = np.bincount(text, weights=weights[place], minlength=b - a)
         many = np.bincount(text, minlength=b - a)
         out[a:b] = 1 / (1 + np.exp(-np.clip(total * (SCALE / np.maximum(many, 1)) + weights[-1], -35, 35)))
-        a = b
     return out
 
 
@@ -156,6 +159,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS,
 
 def fit(sample: DataFrame) -> np.ndarray:
     """The model of a bounded sample of (ord, text, label), trained in one task, in order of ``ord``."""
+    bounded_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -172,6 +176,7 @@ def fit(sample: DataFrame) -> np.ndarray:
 
 def with_score(df: DataFrame, weights: np.ndarray, text: str = "text", out: str = "score") -> DataFrame:
     """df with the score of each text; the model, of fixed size, is broadcast."""
+    bounded_batches()
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
     @F.arrow_udf("double")

@@ -5,8 +5,8 @@ space (fewer words: the whole sequence), each hashed by XXH64 with seed 42; a bi
 in over half of the hashes.  A null or empty text has fingerprint 0, linked like any other.
 
 Pairs.  Distinct fingerprints only.  Two that differ in at most b bits agree in at least two of b + 2
-blocks of bits, so they meet under at least one of (b + 2)(b + 1) / 2 keys made of two blocks.  Within
-a key, the pivot table (the distance of each fingerprint to fixed reference fingerprints, computed once)
+blocks of bits, so they meet under at least one of (b + 2)(b + 1) / 2 keys made of two blocks (``EQUAL``;
+three of b + 3 make longer keys, and more of them, for tens of billions of texts).  Within a key, the pivot table (the distance of each fingerprint to fixed reference fingerprints, computed once)
 discards every pair whose distances to some reference differ by more than b: by the triangle
 inequality such a pair is farther apart than b.  Survivors are verified bit by bit.  Nothing is lost.
 
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 
 from docquarry.llm import arrow_text
 from docquarry.llm.components import components
-from docquarry.llm.common import free_name, written
+from docquarry.llm.common import bounded_batches, free_name, written
 
-SEED, SHINGLE, BITS, PIVOTS, CHUNK = 42, 3, 3, 16, 1024
+SEED, SHINGLE, BITS, EQUAL, PIVOTS, CHUNK = 42, 3, 3, 2, 16, 1024
 #: Shingles hashed at a time, so that a text of any length needs bounded memory.
 BLOCK = 1 << 16
 _PLACES = np.arange(8, dtype=np.int64) * 256
@@ -55,6 +55,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     """Column of fingerprints, as signed longs."""
+    bounded_batches()
 
     @F.arrow_udf("long")
     def of(texts: pa.Array) -> pa.Array:
@@ -89,11 +90,11 @@ def pivot_table(fps: DataFrame, fp: str = "fp", pivots: int = PIVOTS) -> DataFra
     return fps
 
 
-def block_masks(bits: int = BITS) -> list[int]:
-    """Masks of two blocks each, as signed longs."""
-    edges = np.linspace(0, 64, bits + 3).astype(int)
+def block_masks(bits: int = BITS, equal: int = EQUAL) -> list[int]:
+    """Masks of ``equal`` blocks each, of bits + equal, as signed longs."""
+    edges = np.linspace(0, 64, bits + equal + 1).astype(int)
     blocks = [((1 << int(b)) - 1) ^ ((1 << int(a)) - 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in (a | b for a, b in combinations(blocks, 2))]
+    return [m - (1 << 64) if m >= 1 << 63 else m for m in (sum(c) for c in combinations(blocks, equal))]
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,12 +162,13 @@ def _linker(bits: int, tables: list[str]):
     return run
 
 
-def near_links(fps: DataFrame, bits: int = BITS, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+def near_links(fps: DataFrame, bits: int = BITS, pivots: int = PIVOTS, chunk: int = CHUNK, equal: int = EQUAL) -> DataFrame:
     """(a, b): links that join the distinct fingerprints ``fps.fp`` just as all pairs within ``bits``
     differing bits do."""
+    bounded_batches()
     table = pivot_table(fps.select("fp"), pivots=pivots)
     tables = [c for c in table.columns if c != "fp"]
-    keys = table.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(block_masks(bits))))).alias("key")).select("fp", *tables, "key.combo", "key.part")
+    keys = table.select("*", F.explode(F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(block_masks(bits, equal))))).alias("key")).select("fp", *tables, "key.combo", "key.part")
     large = written(keys.groupBy("combo", "part").count().where(F.col("count") > chunk).select("combo", "part", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "simhash-large")
     own = F.pmod(F.xxhash64(F.lit("chunk"), "fp"), F.col("chunks")).cast("int")
     dealt = (

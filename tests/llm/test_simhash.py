@@ -66,8 +66,8 @@ def test_links_and_components_against_all_pairs(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(fps)], "id long, fp long")
     least = df.groupBy("fp").agg(F.min("id").alias("least"))
     want = groups([(i, x % (1 << 64)) for i, x in enumerate(fps)])
-    for chunk in (simhash.CHUNK, 3):  # 3: nearly every key is dealt out in pairs of chunks
-        roots = {r["node"]: r["root"] for r in components(simhash.near_links(least, chunk=chunk)).collect()}
+    for chunk, equal in ((simhash.CHUNK, 2), (3, 2), (simhash.CHUNK, 3)):  # 3: nearly every key is dealt out in pairs of chunks
+        roots = {r["node"]: r["root"] for r in components(simhash.near_links(least, chunk=chunk, equal=equal)).collect()}
         of = {}
         for i, x in enumerate(fps):
             of.setdefault(roots.get(x, x), []).append(i)
@@ -85,11 +85,13 @@ def test_pivots_discard_nothing_near():
 
 
 def test_blocks_cover_every_pair():
-    masks = [m % (1 << 64) for m in simhash.block_masks()]
     rng = random.Random(4)
-    for _ in range(2000):
-        d = sum(1 << b for b in rng.sample(range(64), 3))
-        assert any(d & m == 0 for m in masks)
+    for equal, many in ((2, 10), (3, 20)):
+        masks = [m % (1 << 64) for m in simhash.block_masks(equal=equal)]
+        assert len(masks) == many
+        for _ in range(2000):
+            d = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(d & m == 0 for m in masks)
 
 
 def test_components_of_chains_and_stars(spark):
