@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.llm import arrow_text
-from docquarry.llm.common import written
+from docquarry.llm.common import bounded_batches, written
 
 LOW, MIN_PAGES, DAMPING = 0.25, 4, 0.9
 
@@ -48,6 +48,10 @@ HOLDS = frozenset("ul ol menu dl table article main section div body html td th
 HINTS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay comment comments reply replies respond disqus share sharing social subscribe subscription newsletter signup login search related recommended pagination pager toolbar skip".split()
 )
+#: Of these, what may stand on an article element that isn't the page's article.
+ASIDE_HINTS = frozenset("ad ads adv advert advertisement comment comments promo reply replies related recommended sponsored teaser widget".split())
+#: Beginnings of class names that tell what else a page has, or what it lacks.
+ABOUT_OTHERS = ("has-", "with-", "no-", "without-", "is-")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _WORD = re.compile(r"[a-z0-9]+")
 _GAP = re.compile(r"[ \t\n\x0b\x0c\r   -     　\x85]+")
@@ -119,10 +123,16 @@ class _Page(HTMLParser):
         up.shape.append(tag)
         if tag in VOID:
             return
-        words = set(_WORD.findall(own))
+        hints = {w for c in own.split() if not c.startswith(ABOUT_OTHERS) for w in _WORD.findall(c)} & HINTS
+        if tag in ("html", "body", "main"):
+            hints = set()
+        elif tag == "article":
+            hints &= ASIDE_HINTS
+        elif up.main:
+            hints -= {"header"}  # of the article: its title
         name = tag + ("." + re.sub(r"\d+", "0", own) if own else "")
         # a header within the article holds its title
-        out = up.out or tag in LEFT_OUT or bool(words & HINTS) or style.get("role") in ROLES or (tag == "header" and not up.main)
+        out = up.out or tag in LEFT_OUT or bool(hints) or style.get("role") in ROLES or (tag == "header" and not up.main)
         main = (up.main or tag in ("article", "main")) and not out
         plain = main and (tag in ("article", "main") or not own) and (up.main or tag in ("article", "main"))
         path = f"{up.path}/{name}"
@@ -216,6 +226,7 @@ def style_tree(parsed: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, blocks) of pages (page_id, url, html): a row for each row, repeated or not."""
+    bounded_batches()
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     parsed = written(given.mapInArrow(_parse_batches, PARSED), "pages-parsed")
     low = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))

@@ -28,6 +28,12 @@ def test_what_markup_declares(spark):
     assert run(spark, [("http://a.org/1", html)])[0] == "The & title é!\nOne two\nThree four five\na\nb\nc\nd\ntail"
 
 
+def test_class_names_that_speak_of_other_parts(spark):
+    html = """<body class="has-sidebar search-page"><div class="wrap with-comments no-ads"><article class="post sidebar-left"><div class="article-header"><h1>Title</h1></div><p class="lead">Text</p>
+    <div class="share-bar">Share</div></article><article class="comment"><p>Reader</p></article><div class="site-header">Head</div><div class="ad-slot">Ad</div><div class="roadmap">Plan</div></div></body>"""
+    assert run(spark, [("http://a.org/1", html)])[0] == "Title\nText\nPlan"
+
+
 def test_template_of_a_host_is_removed_by_the_tree_alone(spark):
     pages = [(f"https://Site.example.org:80/{i}?q", page(i)) for i in range(12)] + [("http://other.org/", page(99))]
     got = run(spark, pages)
