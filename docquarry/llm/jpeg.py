@@ -26,7 +26,7 @@ import numpy as np
 #: Fixed by the format: the natural-order place of each coefficient in zigzag order.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))), np.int64)
 #: Payload bytes (or file bytes) that are worked on together.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _U = np.uint64
 _SIZE = np.array([int(v).bit_length() for v in range(2048)], np.int64)
 

@@ -39,7 +39,34 @@ def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mixture.order_key("doc_id", F.coalesce("text", F.lit(""))).alias("order_key"))
     got = mixture.mixed(written(sized, "mixture-sizes"))
-    return got.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", F.get("mix.positions", F.lit(0)).alias("first_position"))
+    first = F.get("mix.positions", F.lit(0))
+    return got.select("doc_id", "size", "mix.source_size", F.round("mix.target", 6).alias("target"), "mix.taken", "mix.copies", F.round(first, 6).alias("first_position"))
+
+
+OP2_SQL = """
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS k
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss FROM d GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
+w AS (SELECT *, CAST([3, 1, 2][(rk - 1) % 3 + 1] AS DOUBLE) AS w, CAST([0.5, 1.0, 1.5][(rk - 1) % 3 + 1] AS DOUBLE) AS a, CAST(2 * ss AS DOUBLE) AS cap FROM r),
+l AS (
+  SELECT *, (CAST(1.5 AS DOUBLE) * sum(ss) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w),
+t AS (SELECT source, ss, a, least(cap, w * max(level) OVER ()) AS target FROM l),
+c AS (
+  SELECT d.*, ss, a, target,
+         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2 AS middle
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS passes FROM c),
+n AS (SELECT *, CAST(passes + CASE WHEN middle < target - passes * ss THEN 1 ELSE 0 END AS INT) AS copies,
+             least(1.0, CASE WHEN target > 0 THEN middle / target ELSE 0 END) AS used FROM p)
+SELECT doc_id, size, ss AS source_size, round(target, 6) AS target, CAST(size * copies AS BIGINT) AS taken, copies,
+       round(CASE WHEN copies > 0 THEN CASE WHEN a = 1 THEN used ELSE (sqrt(a * a + 4 * (1 - a) * used) - a) / (2 * (1 - a)) END END, 6) AS first_position
+FROM n
+"""
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +75,24 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the quality rules measure of each text, without their verdict."""
+    got = quality_rules.measures(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select("doc_id", *(F.col(f"_m.{m}").alias(m) for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct_words")))
+
+
+MEASURES_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([w[k] || ' ' || w[k + 1] || ' ' || w[k + 2] for k in range(1, len(w) - 1)]) AS g FROM w WHERE len(w) > 2),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM x) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, (SELECT unnest([0, 1, 2]) AS j) GROUP BY 1),
+lines AS (SELECT doc_id, [l for l in string_split(t, chr(10)) if regexp_matches(l, '[^\\x20\\x09-\\x0D]')] AS l FROM w)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct_words
+FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)
+"""
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
@@ -65,7 +110,8 @@ def op6_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     runs = F.coalesce(F.regexp_count("text", F.lit("[A-Za-z0-9]+")), F.lit(0)).cast("long")
     base = written(docs.select("doc_id", "source", "lang", n_words(F.col("text")).alias("words"), runs.alias("runs"), sharding.group_key(F.col("text")).alias("key")), "rollup-counts")
-    first = base.groupBy("key").agg(F.min("doc_id").alias("first"))
+    # written, so that the join below is one that Spark may split where a text has very many copies
+    first = written(base.groupBy("key").agg(F.min("doc_id").alias("first")), "rollup-first")
     copies = base.join(first, "key").where("doc_id <> first")
 
     def changes(rows: DataFrame, change: str, tokenizer: str, n: str, old: str | None = None) -> DataFrame:
@@ -132,8 +178,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in (*own, quality_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_token_rollups": OP6_SQL}
+    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "quality_measures": MEASURES_SQL}
