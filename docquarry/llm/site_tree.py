@@ -14,7 +14,10 @@ page of the host, if it has ``MIN_PAGES`` distinct pages with them.  A copied pa
 stands plainly within article or main is never taken for a template.
 
 What markup itself declares not to be the article (nav, header, footer, aside, form, script and so on,
-or a class or id that says so) is left out on any page, so hosts with one page are served too.
+or a class or id that says so) is left out on any page, so hosts with one page are served too.  A class
+or id says so if the whole name does (``share-bar``, but not ``content-sidebar-wrap``); it is overruled
+where the element holds the page's article or main or, on a page with neither, most of the text.  Ids of
+headings, and of sections within the article, are made from titles and say nothing.
 
 Blocks: text within a block element; white space in it becomes one space, and blocks are joined by a line
 feed.  Null, empty and markup-free pages are defined: the text of a page without markup is one block.
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -41,6 +45,7 @@ LOW, MIN_PAGES, DAMPING = 0.25, 4, 0.9
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LEFT_OUT = frozenset("nav footer aside form script style noscript template iframe object svg canvas audio video button select option textarea input label menu dialog head title".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What an opening tag ends, where it is still open and no element that can hold it stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol menu dl table article main section div body html td th blockquote".split())
@@ -48,7 +53,9 @@ HOLDS = frozenset("ul ol menu dl table article main section div body html td th
 HINTS = frozenset(
     "ad ads adv advert advertisement advertising adverts banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice notification alert popup modal overlay comment comments reply replies respond disqus share sharing social subscribe subscription newsletter signup login search related recommended pagination pager toolbar skip".split()
 )
-#: Of these, what may stand on an article element that isn't the page's article.
+#: Words that may stand beside these in a name without changing what it says.
+BESIDE = frozenset("site main primary secondary top bottom bar slot box block list links buttons".split())
+#: Of the hints, what may stand on an article element that isn't the page's article.
 ASIDE_HINTS = frozenset("ad ads adv advert advertisement comment comments promo reply replies related recommended sponsored teaser widget".split())
 #: Beginnings of class names that tell what else a page has, or what it lacks.
 ABOUT_OTHERS = ("has-", "with-", "no-", "without-", "is-")
@@ -62,11 +69,20 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >= 1 << 63 else h
 
 
+@lru_cache(1 << 14)
+def _hints(name: str) -> frozenset[str]:
+    """The hints of a class or id, if nothing else is said in it."""
+    words = _WORD.findall(name)
+    if name.startswith(ABOUT_OTHERS) or not all(w in HINTS or w in BESIDE or w.isdigit() for w in words):
+        return frozenset()
+    return HINTS.intersection(words)
+
+
 class _Node:
-    __slots__ = ("tag", "path", "out", "main", "above", "shape")
+    __slots__ = ("tag", "path", "out", "main", "inside", "marks", "above", "shape")
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool, above: tuple[int, ...]):
-        self.tag, self.path, self.out, self.main, self.above, self.shape = tag, path, out, main, above, []
+    def __init__(self, tag: str, path: str, out: bool, main: bool, inside: bool, marks: tuple[int, ...], above: tuple[int, ...]):
+        self.tag, self.path, self.out, self.main, self.inside, self.marks, self.above, self.shape = tag, path, out, main, inside, marks, above, []
 
 
 class _Page(HTMLParser):
@@ -74,18 +90,19 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Node("", "", False, False, ())]
-        self.blocks: list[tuple[int, bool, bool, str, tuple[int, ...]]] = []  # path, left out, main, text, ancestors
+        self.stack = [_Node("", "", False, False, False, (), ())]
+        self.blocks: list[tuple[int, bool, str, tuple[int, ...]]] = []  # path, main, text, ancestors
         self.nodes: dict[int, tuple[str, tuple[int, ...]]] = {}
-        self.text: list[str] = []
+        self.found: list[tuple[_Node, list[tuple[str, tuple[int, ...]]]]] = []  # blocks, before hints are weighed
+        self.aside: list[bool] = []  # of each hinted element: whether articles in it needn't be the page's
+        self.articles: list[tuple[str, tuple[int, ...]]] = []  # tag, hinted elements around it
+        self.text: list[tuple[str, tuple[int, ...]]] = []  # piece, hinted elements around it
         self.holder: _Node | None = None
 
     def _flush(self) -> None:
         if self.text:
-            whole = _GAP.sub(" ", "".join(self.text)).strip(" ")
-            n = self.holder
-            if whole and n is not None:
-                self.blocks.append((_hash(n.path), n.out, n.main, whole, n.above))
+            if self.holder is not None and not self.holder.out:
+                self.found.append((self.holder, self.text))
             self.text = []
         self.holder = None
 
@@ -116,27 +133,36 @@ class _Page(HTMLParser):
         if tag in ENDS:
             self._close_to(ENDS[tag], HOLDS - {"td", "th"} if tag in ("td", "th", "tr") else HOLDS)
         if tag == "br":
-            self.text.append(" ")
+            self.text.append((" ", ()))
         style = {k: v.lower() for k, v in attrs if v and k in ("class", "id", "role")}
         own = " ".join(x for x in (style.get("class"), style.get("id")) if x)
         up = self.stack[-1]
         up.shape.append(tag)
         if tag in VOID:
             return
-        hints = {w for c in own.split() if not c.startswith(ABOUT_OTHERS) for w in _WORD.findall(c)} & HINTS
+        titled = tag in HEADINGS or (tag == "section" and up.inside)
+        says = (style.get("class", "") if titled else own).split()
+        hints = frozenset().union(*map(_hints, says))
         if tag in ("html", "body", "main"):
-            hints = set()
+            hints = frozenset()
         elif tag == "article":
             hints &= ASIDE_HINTS
-        elif up.main:
+        elif up.inside:
             hints -= {"header"}  # of the article: its title
         name = tag + ("." + re.sub(r"\d+", "0", own) if own else "")
         # a header within the article holds its title
-        out = up.out or tag in LEFT_OUT or bool(hints) or style.get("role") in ROLES or (tag == "header" and not up.main)
+        out = up.out or tag in LEFT_OUT or style.get("role") in ROLES or (tag == "header" and not up.main)
+        marks = up.marks
+        if hints and not out:
+            marks = (*marks, len(self.aside))
+            self.aside.append(hints <= ASIDE_HINTS)
+        elif tag in ("article", "main") and not out and not ("teaser" in says and tag == "article"):
+            self.articles.append((tag, marks))
+        inside = (up.inside or tag in ("article", "main")) and not out
         main = (up.main or tag in ("article", "main")) and not out
         plain = main and (tag in ("article", "main") or not own) and (up.main or tag in ("article", "main"))
         path = f"{up.path}/{name}"
-        self.stack.append(_Node(tag, path, out, plain, (*up.above, _hash(path))))
+        self.stack.append(_Node(tag, path, out, plain, inside, marks, (*up.above, _hash(path))))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -161,13 +187,35 @@ class _Page(HTMLParser):
             self.holder = next(n for n in reversed(self.stack) if n.tag in BLOCK or n.tag in LEFT_OUT or not n.tag)
         if self.stack[-1].out and not self.holder.out:
             return  # what is left out may stand within a block of text
-        self.text.append(data)
+        self.text.append((data, self.stack[-1].marks))
+
+    def _overruled(self) -> set[int]:
+        """Hinted elements that hold the page's article or, where there is none, most of its text."""
+        if not self.aside:
+            return set()
+        own = [m for tag, m in self.articles if tag == "main" or not any(self.aside[i] for i in m)] or [m for _, m in self.articles]
+        if own:
+            return set().union(*own)
+        sizes, total = [0] * len(self.aside), 0
+        for _, pieces in self.found:
+            for text, marks in pieces:
+                n = sum(map(len, text.split()))
+                total += n
+                for i in marks:
+                    sizes[i] += n
+        return {i for i, n in enumerate(sizes) if 2 * n > total}
 
     def finish(self) -> None:
         self.close()
         while len(self.stack) > 1:
             self._pop()
         self._flush()
+        overruled = self._overruled()
+        for n, pieces in self.found:
+            whole = _GAP.sub(" ", "".join(t for t, marks in pieces if overruled.issuperset(marks))).strip(" ")
+            if whole:
+                self.blocks.append((_hash(n.path), n.main, whole, n.above))
+        self.found = []
 
 
 def parse(html: str) -> _Page:
@@ -190,13 +238,12 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for raw in arrow_text.each(part["html"]):
                 page = parse(raw.decode("utf-8", "replace"))
                 digests.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
-                kept = [b for b in page.blocks if not b[1]]
-                blocks.append([{"path": p, "above": list(up), "main": m, "text": t} for p, _, m, t, up in kept])
+                blocks.append([{"path": p, "above": list(up), "main": m, "text": t} for p, m, t, up in page.blocks])
                 found: dict[int, set[int]] = {}
-                for p, _, m, t, _ in kept:
+                for p, m, t, _ in page.blocks:
                     if not m:
                         found.setdefault(p, set()).add(_hash(t))
-                seen = {p for b in kept if not b[2] for p in b[4]}
+                seen = {p for b in page.blocks if not b[1] for p in b[3]}
                 nodes.append([{"path": p, "shape": _hash(shape), "above": list(up), "features": sorted(found.get(p, ()))} for p, (shape, up) in page.nodes.items() if p in seen])
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], part["host"], pa.array(digests, pa.int64()), pa.array(blocks, _BLOCKS), pa.array(nodes, _NODES)],

@@ -34,6 +34,20 @@ def test_class_names_that_speak_of_other_parts(spark):
     assert run(spark, [("http://a.org/1", html)])[0] == "Title\nText\nPlan"
 
 
+def test_hints_on_what_holds_the_article():
+    def text(html):
+        return [b[2] for b in site_tree.parse(html).blocks]
+
+    for c in ("content-sidebar-wrap", "layout sidebar-right", "wrapper header-fixed", "search", "sidebar", "menu page"):
+        for tag in ("main", "article"):
+            assert text(f'<body><div class="{c}"><{tag}><p>Own text</p></{tag}></div><div class="share">Share</div>') == ["Own text"]
+    article = '<article><section id="search-algorithms"><h2 id="related-work">Related</h2><p>One</p></section><section id="search"><h2 id="comments">Two</h2></section>{}</article>'
+    assert text(article.format('<div class="comments"><article>Reader</article></div><p>a <span class="ad">Buy</span>b</p>')) == ["Related", "One", "Two", "a b"]
+    assert text('<div class="related"><article>Only one</article></div>') == ["Only one"]
+    assert text('<div id="sidebar"><p>Most of the text of this page</p></div><div class="menu">Menu</div>') == ["Most of the text of this page"]
+    assert text('<div class="story">Most of the text of this page</div><div class="site-menu">Menu</div>') == ["Most of the text of this page"]
+
+
 def test_template_of_a_host_is_removed_by_the_tree_alone(spark):
     pages = [(f"https://Site.example.org:80/{i}?q", page(i)) for i in range(12)] + [("http://other.org/", page(99))]
     got = run(spark, pages)
