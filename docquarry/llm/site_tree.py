@@ -101,7 +101,7 @@ class _Page(HTMLParser):
 
     def _flush(self) -> None:
         if self.text:
-            if self.holder is not None and not self.holder.out:
+            if self.holder is not None:
                 self.found.append((self.holder, self.text))
             self.text = []
         self.holder = None
@@ -183,10 +183,10 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].out:
+            return  # what is left out may stand within a block of text, at its beginning too
         if self.holder is None:
-            self.holder = next(n for n in reversed(self.stack) if n.tag in BLOCK or n.tag in LEFT_OUT or not n.tag)
-        if self.stack[-1].out and not self.holder.out:
-            return  # what is left out may stand within a block of text
+            self.holder = next(n for n in reversed(self.stack) if n.tag in BLOCK or not n.tag)
         self.text.append((data, self.stack[-1].marks))
 
     def _overruled(self) -> set[int]:

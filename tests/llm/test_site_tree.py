@@ -48,6 +48,13 @@ def test_hints_on_what_holds_the_article():
     assert text('<div class="story">Most of the text of this page</div><div class="site-menu">Menu</div>') == ["Most of the text of this page"]
 
 
+def test_left_out_elements_at_the_beginning_of_a_block():
+    for tag in ("button", "script", "style", "label", "svg", "select", "noscript", "textarea", "object"):
+        for block in ("p", "div", "td", "body"):
+            html = f"<{block}><{tag}>Copy</{tag}>Own <b>text</b> <{tag}>Copy</{tag}>here</{block}>"
+            assert [b[-2] for b in site_tree.parse(html).blocks] == ["Own text here"], html
+
+
 def test_template_of_a_host_is_removed_by_the_tree_alone(spark):
     pages = [(f"https://Site.example.org:80/{i}?q", page(i)) for i in range(12)] + [("http://other.org/", page(99))]
     got = run(spark, pages)
