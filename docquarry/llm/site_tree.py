@@ -46,6 +46,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 LEFT_OUT = frozenset("nav footer aside form script style noscript template iframe object svg canvas audio video button select option textarea input label menu dialog head title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head; anything else ends one that is still open.
+METADATA = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 #: What an opening tag ends, where it is still open and no element that can hold it stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HOLDS = frozenset("ul ol menu dl table article main section div body html td th blockquote".split())
@@ -127,6 +129,8 @@ class _Page(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in METADATA:
+            self._close_to({"head"}, frozenset({"template"}) if tag == "body" else HOLDS | {"template", "noscript", "title"})
         if tag in BLOCK:
             self._flush()
             self._close_to({"p"}, HOLDS)
@@ -183,6 +187,8 @@ class _Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and data.strip():
+            self._pop()
         if self.stack[-1].out:
             return  # what is left out may stand within a block of text, at its beginning too
         if self.holder is None:

@@ -55,6 +55,16 @@ def test_left_out_elements_at_the_beginning_of_a_block():
             assert [b[-2] for b in site_tree.parse(html).blocks] == ["Own text here"], html
 
 
+def test_omitted_tags_of_the_page():
+    head = "<title>T</title><meta charset=utf-8><style>p{}</style><noscript><link href=x></noscript>"
+    for begin in ("<html><head>", "<head>", "<html>", ""):
+        for end in ("</head><body>", "<body>", "</head>", ""):
+            for tail in ("", "</body></html>"):
+                for body in ("<article><p>Own text</p></article>", "<p>Own text", "<x-part>Own text</x-part>", "Own text"):
+                    assert site_tree.parse(begin + head + end + body + tail).blocks[-1][-2] == "Own text"
+                    assert len(site_tree.parse(begin + head + end + body + tail).blocks) == 1
+
+
 def test_template_of_a_host_is_removed_by_the_tree_alone(spark):
     pages = [(f"https://Site.example.org:80/{i}?q", page(i)) for i in range(12)] + [("http://other.org/", page(99))]
     got = run(spark, pages)
