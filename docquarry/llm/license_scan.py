@@ -11,6 +11,12 @@ Every paragraph (line) of every whole text is scored.  A paragraph none of whose
 templates' has no evidence for any family: it is unknown without arithmetic.  A predicted family is
 confirmed if the paragraph holds at least ``CONFIRM`` of the words of one of its templates.
 
+Statements wrapped over lines are found in windows: a line and those after it, up to a line without
+letters and digits, that can hold a template begun in the line.  Windows are scored as paragraphs are.
+Of overlapping windows of a family the one that holds most of a template counts, the latest of equals, and
+none that holds a line confirmed for the family.  A variant that has no family of its own is known by a
+word (``OTHERS``) and is not confirmed.
+
 Null and empty texts have no paragraph, so no licence.  Equal texts get equal results.
 """
 
@@ -77,6 +83,9 @@ ORDINARY = (
     "the general public may read the files in the library without charge",
 )
 FAMILIES = tuple(TEMPLATES)
+#: Words of variants that are none of the families, by the family they are near.
+_CC = ("sa", "sharealike", "nd", "noderivs", "noderivatives")
+OTHERS = {"GPL": ("affero", "agpl"), "LGPL": ("affero", "agpl"), "CC-BY": _CC, "CC-BY-NC": _CC}
 
 
 def _tokens(text: str) -> list[str]:
@@ -177,6 +186,16 @@ def model() -> tuple[list[list[float]], list[float]]:
     return [[x / t for x in row] for row in w], [b / t for b in bias]
 
 
+@lru_cache(1)
+def anchors() -> tuple[str, ...]:
+    """Words of which every text that holds ``CONFIRM`` of a template has one: the rarer ones of each."""
+    plain, out = {w for t in ORDINARY for w in _tokens(t)}, set()
+    for t in (t for texts in TEMPLATES.values() for t in texts):
+        words = sorted(set(_tokens(t)), key=lambda w: (w not in plain, len(w), w))
+        out.update(words[math.ceil(CONFIRM * len(words) - 1e-9) - 1 :])
+    return tuple(sorted(out))
+
+
 def _array(values: list, kind: str) -> Column:
     """A literal array, from one string."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
@@ -188,8 +207,9 @@ def _words(paragraph: Column) -> Column:
 
 def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with an array ``licences``: line (from 1), family, probability, overlap, confirmed, paragraph
-    of each paragraph that isn't unknown, in order."""
-    name, p = free_name(docs, "licences"), free_name(docs, "_paragraphs")
+    of each paragraph that isn't unknown, in order; and an array ``wrapped_licences`` of the same, with the
+    last line, of confirmed statements that are wrapped over lines."""
+    name, wrapped, p, q = (free_name(docs, n) for n in ("licences", "wrapped_licences", "_paragraphs", "_windows"))
     vocab = vocabulary()
     weights, bias = model()
     # Literals of fixed size.  The table has a place for each feature and no two in one, so a lookup is
@@ -214,17 +234,54 @@ def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
     def hits(words: Column) -> Column:
         return F.filter(F.concat(grams(words, 2), grams(words, 3)), lambda i: i >= 0)
 
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("paragraph"))), lambda x: x["paragraph"].rlike("[A-Za-z0-9]"))
-    out = docs.withColumn(p, lines)
-    out = out.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), F.concat(F.array(F.lit("^")), _words(x["paragraph"]), F.array(F.lit("$"))).alias("words"))))
-    out = out.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), x["words"].alias("words"), hits(x["words"]).alias("hits"))))
-    out = out.withColumn(p, F.filter(p, lambda x: F.size(x["hits"]) > 0))
-    score = lambda x, c: F.aggregate(x["hits"], F.lit(float(bias[c])), lambda a, i: a + F.get(rows[c], i))
-    out = out.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), x["words"].alias("words"), F.array(*(score(x, c) for c in range(len(rows)))).alias("z"))))
-    out = out.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), x["words"].alias("words"), x["z"].alias("z"), F.array_max(x["z"]).alias("top"))))
-    out = out.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), x["paragraph"].alias("paragraph"), x["words"].alias("words"), (F.array_position(x["z"], x["top"]).cast("int")).alias("best"), (1 / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp(z - x["top"]))).alias("probability"))))
-    out = out.withColumn(p, F.filter(p, lambda x: (x["best"] <= len(FAMILIES)) & (x["probability"] >= MIN_PROBABILITY)))
+    all_lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    keys = ("line", "last", "paragraph", "words")
     own = F.array(*(F.array(*(F.lit(sorted(set(_tokens(t)))) for t in texts)) for texts in TEMPLATES.values()))
+    others = F.array(*(F.array(*map(F.lit, OTHERS.get(f, ("",)))) for f in FAMILIES))  # no word is empty
+    score = lambda x, c: F.aggregate(x["hits"], F.lit(float(bias[c])), lambda a, i: a + F.get(rows[c], i))
     overlap = lambda x: F.array_max(F.transform(F.get(own, x["best"] - 1), lambda t: F.size(F.array_intersect(t, x["words"])) / F.size(t)))
-    found = F.transform(p, lambda x: F.struct(x["line"].alias("line"), F.get(F.array(*map(F.lit, FAMILIES)), x["best"] - 1).alias("family"), x["probability"].alias("probability"), overlap(x).alias("overlap"), (overlap(x) >= CONFIRM).alias("confirmed"), x["paragraph"].alias("paragraph")))
-    return out.withColumn(name, found).drop(p)
+
+    def found(df: DataFrame, p: str) -> DataFrame:
+        """df with what is found in its array p of line, last, paragraph and words."""
+
+        def then(df: DataFrame, *kept: str, **new) -> DataFrame:
+            return df.withColumn(p, F.transform(p, lambda x: F.struct(*(x[k].alias(k) for k in (*keys, *kept)), *(f(x).alias(n) for n, f in new.items()))))
+
+        df = then(df, hits=lambda x: hits(x["words"]))
+        df = df.withColumn(p, F.filter(p, lambda x: F.size(x["hits"]) > 0))
+        df = then(df, z=lambda x: F.array(*(score(x, c) for c in range(len(rows)))))
+        df = then(df, "z", top=lambda x: F.array_max(x["z"]))
+        df = then(df, best=lambda x: F.array_position(x["z"], x["top"]).cast("int"), probability=lambda x: 1 / F.aggregate(x["z"], F.lit(0.0), lambda a, z: a + F.exp(z - x["top"])))
+        df = df.withColumn(p, F.filter(p, lambda x: (x["best"] <= len(FAMILIES)) & (x["probability"] >= MIN_PROBABILITY)))
+        df = then(df, "best", "probability", overlap=overlap)
+        sure = lambda x: (x["overlap"] >= CONFIRM) & ~F.arrays_overlap(F.get(others, x["best"] - 1), x["words"])
+        family = lambda x: F.get(F.array(*map(F.lit, FAMILIES)), x["best"] - 1)
+        return df.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), family(x).alias("family"), x["probability"].alias("probability"), x["overlap"].alias("overlap"), sure(x).alias("confirmed"), x["paragraph"].alias("paragraph"), x["last"].alias("last"))))
+
+    ends = lambda words: F.concat(F.array(F.lit("^")), words, F.array(F.lit("$")))
+    lines = F.filter(F.transform(all_lines, lambda x, i: F.struct((i + 1).alias("line"), (i + 1).alias("last"), x.alias("paragraph"))), lambda x: x["paragraph"].rlike("[A-Za-z0-9]"))
+    out = docs.withColumn(p, lines)
+    out = found(out.withColumn(p, F.transform(p, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), x["paragraph"].alias("paragraph"), ends(_words(x["paragraph"])).alias("words")))), p)
+
+    # Only texts with an anchor and a line feed can hold a wrapped statement.
+    more = max(len(_tokens(t)) for texts in TEMPLATES.values() for t in texts) - 1
+    anchor = rf"\b(?:{'|'.join(anchors())})\b"
+    of_line = F.transform(all_lines, lambda x: _words(x))
+    some = F.when(F.lower(F.col(text)).rlike(anchor) & F.contains(F.col(text), F.lit("\n")), of_line).otherwise(F.array().cast("array<array<string>>"))
+    state = lambda words, n, last, open_: F.struct(words.alias("words"), n.alias("n"), last.alias("last"), open_.alias("open"))
+
+    def joined(a: Column, w: Column) -> Column:
+        goes_on = state(F.concat(a["words"], w), a["n"] + F.size(w), a["last"] + 1, a["n"] + F.size(w) < more)
+        return F.when(a["open"] & (F.size(w) > 0), goes_on).otherwise(state(a["words"], a["n"], a["last"], F.lit(False)))
+
+    out = out.withColumn(q, some)
+    # a line of a block has a word at least, so ``more`` lines suffice
+    window = lambda w, i: F.aggregate(F.slice(F.col(q), i + 2, more), state(w, F.lit(0), i + 1, F.size(w) > 0), joined)
+    out = out.withColumn(q, F.transform(q, lambda w, i: F.struct((i + 1).alias("line"), window(w, i).alias("w"))))
+    out = out.withColumn(q, F.filter(q, lambda x: (x["w"]["last"] > x["line"]) & F.array_join(x["w"]["words"], " ").rlike(anchor)))
+    out = out.withColumn(q, F.transform(q, lambda x: F.struct(x["line"].alias("line"), x["w"]["last"].alias("last"), F.array_join(F.slice(all_lines, x["line"], x["w"]["last"] - x["line"] + 1), "\n").alias("paragraph"), ends(x["w"]["words"]).alias("words"))))
+    out = found(out, q)
+    meets = lambda x, y: (x["family"] == y["family"]) & y["confirmed"] & (y["line"] <= x["last"]) & (x["line"] <= y["last"])
+    better = lambda x, y: (y["overlap"] > x["overlap"]) | ((y["overlap"] == x["overlap"]) & (y["line"] > x["line"]))
+    kept = F.filter(q, lambda x: x["confirmed"] & ~F.exists(p, lambda y: meets(x, y)) & ~F.exists(q, lambda y: meets(x, y) & better(x, y)))
+    return out.withColumn(wrapped, kept).withColumn(name, F.transform(p, lambda x: x.dropFields("last"))).drop(p, q)

@@ -159,11 +159,15 @@ def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = license_scan.scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    sure = F.filter("licences", lambda x: x["confirmed"])
+    # lines of a wrapped statement count with it
+    alone = F.filter("licences", lambda x: x["confirmed"] | ~F.exists("wrapped_licences", lambda w: x["line"].between(w["line"], w["last"])))
+    every = F.array_sort(F.concat(*(F.transform(c, lambda x: F.struct(*(x[k].alias(k) for k in ("line", "family", "probability", "confirmed")))) for c in (alone, F.col("wrapped_licences")))))
+    got = got.withColumn("_every", every)
+    sure = F.filter("_every", lambda x: x["confirmed"])
     families = F.transform(sure, lambda x: x["family"])
     return got.select(
         "doc_id",
-        F.size("licences").cast("long").alias("n_paragraphs"),
+        F.size("_every").cast("long").alias("n_paragraphs"),
         F.size(sure).cast("long").alias("n_confirmed"),
         F.array_join(F.array_sort(F.array_distinct(families)), ",").alias("families"),
         F.get(sure, F.lit(0))["line"].alias("first_line"),

@@ -390,6 +390,25 @@ def test_every_template_is_found_and_ordinary_text_is_not():
     assert not any(plain_scan(t) for t in license_scan.ORDINARY)
 
 
+def test_licences_wrapped_over_lines(spark):
+    gpl = ["# This program is free software: you can redistribute it and/or modify", "# it under the terms of the GNU General Public License as published by", "# the Free Software Foundation, either version 3 of the License"]
+    bsd = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met"]
+    cases = {
+        "\n".join(["Words of the story here.", "", *gpl, "", "More of it."]): [("GPL", 3)],
+        "\n".join([*bsd, "", *gpl]): [("BSD", 1), ("GPL", 4)],
+        "\n".join([" * Redistribution and use in source and binary forms, with or without modification,", " * are permitted provided that the following", " * conditions are met"]): [("BSD", 1)],
+        "Licensed under the Mozilla\nPublic License, Version 2.0": [("MPL-2.0", 1)],
+        "Redistribution and use in source\n\nand binary forms, with or without modification": [],
+        "Released under the MIT License\nand more words\nof the story": [],  # confirmed as a line
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "text string")
+    for r in license_scan.scanned(df).collect():
+        assert [(x["family"], x["line"]) for x in r["wrapped_licences"]] == cases[r["text"]], r["text"]
+    others = ["This work is licensed under the GNU Affero General Public License, version 3", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Licensed under CC BY-SA 4.0"]
+    for r in license_scan.scanned(spark.createDataFrame([(t,) for t in others], "text string")).collect():
+        assert not any(x["confirmed"] for x in r["licences"]), r["text"]
+
+
 def test_unknown_is_calibrated_on_unseen_examples():
     w, bias = license_scan.model()
     seen = license_scan._examples(77, 6)
