@@ -144,13 +144,15 @@ def score(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "quality", allowed: Column | None = None) -> DataFrame:
-    """(ord, text, label) of at most ``most`` labelled ids, those of least hash of the id.
+    """(ord, text, label) of at most ``most`` labelled ids of docs, those of least hash of the id.
 
     A label that is null, or an id that is null, isn't used; of several labels of an id the largest is.
     """
     one = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     if allowed is not None:
         one = one.where(allowed)
+    at_hand = docs.select(F.col(id_col).alias("_at_hand"))
+    one = one.join(at_hand, F.col(id_col) == F.col("_at_hand"), "left_semi")
     ids = one.groupBy(F.col(id_col).alias("_id")).agg(F.max(label).alias("_label")).select("_id", "_label", F.xxhash64("_id").alias("_ord")).orderBy("_ord", "_id").limit(most)
     few = F.broadcast(ids)  # at most ``most`` rows of three numbers
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))

@@ -349,6 +349,12 @@ def test_sharding_on_odd_rows(spark, odd):
     assert all(sorted(s) == list(range(len(s))) for s in per.values())
 
 
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_classifier.labelled_sample(docs, labels, most=10).count() == 10
+
+
 # --- licence scan -------------------------------------------------------------------------------
 
 
