@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, mixture, quality_classifier, quality_rules, simhash
-from docquarry.llm.common import n_words, table, written
+from docquarry.llm.common import free_name, n_words, table, written
 from docquarry.llm.queries import rank_file
 
 
@@ -26,15 +26,14 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of least id.  Rows without an id stay; of rows that
-    repeat an id one stays."""
-    groups = written(simhash.near_groups(docs), "pipeline-groups")
-    kept = groups.where("id = component").select(F.col("id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    some = groups.agg(F.count("id"), F.count_distinct("id"), F.count("*")).first()
-    if some[0] != some[1]:
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL")) if some[2] != some[0] else out
+    """Of each group of near-duplicates one row: of least id, then of least hash of the text.  Rows without
+    an id come last."""
+    key, kept = free_name(docs, "_row"), free_name(docs, "_kept")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+    rows = written(docs.withColumn(key, order), "pipeline-rows")  # written, so that keys stay
+    groups = simhash.near_groups(rows, key)
+    first = written(groups.where("id = component").select(F.col("id").alias(kept)), "pipeline-groups")
+    return rows.join(first, F.col(key) == F.col(kept), "left_semi").select(*docs.columns)
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,6 +49,14 @@ def test_odd_and_empty(spark, odd):
     assert ids.count(9) == 1 and ids.count(None) == 1 and 5 not in ids
 
 
+def test_dedup_keeps_a_row_of_each_group(spark):
+    texts = ["Ships came to the harbour before the storm began and stayed there", "A recipe asks for flour, eggs, sugar and two spoons of butter", "Numbers of the census were given by county, town and village"]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (2, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, docs, D).collect()
+    assert sorted((r["text"], r["doc_id"] or 0) for r in got) == sorted([(texts[0], 1), (texts[1], 1), (texts[2], 0)])
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
