@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir.  Only where it is unset (a local session
-    in a test) a folder of this machine stands in."""
+    """The folder all executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine
+    stands in for a local session (a test), and on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or os.path.join(tempfile.gettempdir(), "docquarry-shared")).rstrip("/")
 
 

@@ -1,14 +1,24 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Each rule looks at one measure of a text and votes 1 (good), -1 (bad) or 0 (abstains).  Rules err, so
-their votes aren't simply required to agree: expectation-maximisation estimates, from the votes alone,
-how each rule votes about good and about bad texts and how common good texts are, and a text is kept if the posterior probability that it is good reaches ``KEEP``.  What EM needs from the corpus
-is how often each combination of votes occurs: at most 3 to the number of rules rows, whatever the
-size of the corpus, so these counts come to the driver.
+their votes aren't required to agree.  Expectation-maximisation estimates, from the votes alone, three
+things: how common good texts are, and for each rule how often it calls a good text bad (its false
+alarms) and a bad one bad (its recall).  A text is kept if the posterior probability that it is good
+reaches ``KEEP``: a rule that often errs is outvoted, one that hardly ever does decides alone.  That a
+rule abstains says nothing about a text, as is usual for labelling functions.
+
+The only thing given beforehand is a Beta prior worth ``PRIOR_TEXTS`` texts, the same for every rule: rules
+call ``ALARM`` of the good and ``RECALL`` of the bad texts bad, and ``GOOD`` of the texts are good.  A rule that
+is estimated to call good texts bad more often than bad ones is worse than chance; both its rates are
+pooled, so that it says nothing and the two classes can't trade places.
+
+What EM needs from the corpus is how often each combination of votes occurs: at most 3 to the number of
+rules rows, whatever the size of the corpus, so these counts come to the driver.
 
 Words are runs of anything but ASCII white space.  Null and empty texts have no words and fail the
 base rule (fewer than ``MIN_WORDS`` words).  Repeated rows get equal results.  An empty table gives
-an empty result.
+an empty result.  Columns of docs keep their names and values, whatever these are; the verdict takes the
+first free name.
 """
 
 from __future__ import annotations
@@ -21,17 +31,15 @@ from pyspark.sql import functions as F
 
 from docquarry.llm.common import SPACE, free_name, words, written
 
-MIN_WORDS, MAX_REPEAT_PERCENT, KEEP, ROUNDS = 50, 50, 0.5, 30
+MIN_WORDS, MAX_REPEAT_PERCENT, KEEP, ROUNDS = 50, 50, 0.5, 50
+PRIOR_TEXTS, ALARM, RECALL, GOOD = 100.0, 0.05, 0.4, 0.8
 #: Up to so many different repeated windows they are looked up one by one, above that by sorting.
 FEW = 16
-#: Columns that exist only while a text is measured.
-OWN = ("_w", "_h", "_x", "_l", "_p")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes 1 where low <= measure <= high, -1 where measure < worst_low or > worst_high, else 0.
-    doubt: the largest share of good texts that it may be estimated to call bad."""
+    """Votes 1 where low <= measure <= high, -1 where measure < worst_low or > worst_high, else 0."""
 
     name: str
     measure: str
@@ -39,28 +47,27 @@ class Rule:
     high: float
     worst_low: float
     worst_high: float
-    doubt: float
 
     def vote(self, m: Column) -> Column:
         good = m.between(self.low, self.high)
         return F.coalesce(F.when(good, 1).when((m < self.worst_low) | (m > self.worst_high), -1), F.lit(0)).cast("int")
 
 
-#: Shares are of words or lines, but for capitals, which are of the characters in words.
+#: Shares are of words or lines, but for capitals, which are of the characters in words.  Rules overlap: most
+#: faults of a text are seen by two or more of them.
 RULES = (
-    Rule("symbols", "n_symbols / n_words", 0, 0.02, -1, 0.2, 0.001),
-    Rule("symbol runs", "n_symbol_runs / n_words", 0, 0.01, -1, 0.1, 0.001),
-    Rule("repeats", "n_repeat_words / n_words", 0, 0.1, -1, 0.45, 0.005),
-    Rule("lines", "n_dup_lines / n_lines", 0, 0.1, -1, 0.5, 0.02),
-    Rule("variety", "n_distinct_words / n_words", 0.35, 1, 0.15, 2, 0.005),
-    Rule("length", "word_chars / n_words", 3, 6.5, 2, 9, 0.02),
-    Rule("capitals", "n_capitals / word_chars", 0, 0.1, -1, 0.4, 0.001),
-    Rule("stops", "n_stops / n_words", 0.02, 0.2, 0.002, 0.6, 0.02),
-    Rule("shouts", "n_shouts / n_words", 0, 0.05, -1, 0.3, 0.001),
+    Rule("symbols", "n_symbols / n_words", 0, 0.02, -1, 0.1),
+    Rule("symbol runs", "n_symbol_runs / n_words", 0, 0.01, -1, 0.1),
+    Rule("bare words", "n_bare_words / n_words", 0, 0.1, -1, 0.3),
+    Rule("odd endings", "n_odd_endings / n_words", 0, 0.05, -1, 0.2),
+    Rule("repeats", "n_repeat_words / n_words", 0, 0.1, -1, 0.4),
+    Rule("lines", "n_dup_lines / n_lines", 0, 0.1, -1, 0.3),
+    Rule("variety", "n_distinct_words / n_words", 0.35, 1, 0.2, 2),
+    Rule("length", "word_chars / n_words", 3, 6.5, 2.5, 7.5),
+    Rule("capitals", "n_capitals / word_chars", 0, 0.1, -1, 0.3),
+    Rule("stops", "n_stops / n_words", 0.02, 0.2, 0.005, 0.5),
+    Rule("shouts", "n_shouts / n_words", 0, 0.05, -1, 0.2),
 )
-#: A bad text has each fault with this probability at least, and that a rule finds no fault adds at most
-#: CALM to the log odds: faults are of many kinds, and most bad texts have one or two of them.
-LEAST_RECALL, CALM = 0.05, 0.15
 
 
 def _with_repeat_places(df: DataFrame) -> DataFrame:
@@ -74,7 +81,7 @@ def _with_repeat_places(df: DataFrame) -> DataFrame:
     by_sort = F.sort_array(F.transform(F.filter("_pairs", lambda p, k: same(p, k - 1) | same(p, k + 1)), lambda p: p["i"]))
     by_lookup = F.filter(F.transform("_x", lambda x, i: F.when(F.array_contains("_again", x), i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")
-    return df.withColumn("_p", F.when(F.size("_again") == 0, none).when(F.size("_again") > FEW, by_sort).otherwise(by_lookup)).drop("_s", "_again", "_pairs")
+    return df.withColumn("_p", F.when(F.size("_again") == 0, none).when(F.size("_again") > FEW, by_sort).otherwise(by_lookup))
 
 
 def _covered() -> Column:
@@ -82,11 +89,16 @@ def _covered() -> Column:
     return F.aggregate(F.transform("_p", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("_p", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
 
 
-def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """df and a struct column ``_m`` with what the rules and the contract measure of each whole text."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def measures(df: DataFrame, text: str = "text", keep: list[str] | None = None, name: str = "_m") -> DataFrame:
+    """The columns ``keep`` of df (all by default) and a struct column ``name`` with what the rules and the
+    contract measure of each whole text.  While a text is measured, df's own columns are in a struct, so
+    none of their names can clash with a helper's."""
+    kept = df.columns if keep is None else keep
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)) if kept else F.lit(0)
+    t = F.coalesce(F.col("_text"), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    out = df.withColumn("_w", words(F.col(text))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
+    out = df.select(row.alias("_row"), F.col(f"`{text}`").alias("_text"))
+    out = out.withColumn("_w", words(F.col("_text"))).withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
     h = F.col("_h")
     out = out.withColumn("_x", F.transform(F.slice(h, 1, F.greatest(F.size(h) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))
     out = _with_repeat_places(out).withColumn("_l", lines)
@@ -103,8 +115,10 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         count("\\p{Lu}").alias("n_capitals"),
         count("[.?!](?![^\\s])").alias("n_stops"),
         count("!").alias("n_shouts"),
+        count(f"(?<![^{SPACE}])[^\\p{{L}}{SPACE}]++(?![^{SPACE}])").alias("n_bare_words"),  # without a letter
+        count(f"[^\\p{{L}}\\p{{M}}\\p{{N}}{SPACE}.,;:!?)\"'](?![^{SPACE}])").alias("n_odd_endings"),  # in a character no sentence has there
     )
-    return out.withColumn("_m", m).drop(*OWN)
+    return out.select(*([F.col("_row.*")] if kept else []), m.alias(name))
 
 
 def votes(m: str = "_m", rules: tuple[Rule, ...] = RULES) -> Column:
@@ -119,67 +133,72 @@ def votes(m: str = "_m", rules: tuple[Rule, ...] = RULES) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Share of good texts; for each rule how often it votes (bad, nothing, good) about good and about
-    bad texts."""
+    """Share of good texts; for each rule, how often it calls good and bad texts bad, when it votes."""
 
-    prior: float
-    on_good: tuple[tuple[float, float, float], ...]
-    on_bad: tuple[tuple[float, float, float], ...]
-    doubts: tuple[float, ...]
+    good: float
+    alarm: tuple[float, ...]
+    recall: tuple[float, ...]
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> Model:
-    """EM on (votes, how many texts have them).  A rule that abstains says something too, as most rules
-    look for one fault.  Counts are smoothed by one text a class."""
-    start_good, start_bad = (0.01, 0.09, 0.9), (0.3, 0.2, 0.5)
-    k, doubts = len(rules), tuple(r.doubt for r in rules)
-    m = Model(0.8, (start_good,) * k, (start_bad,) * k, doubts)
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int = len(RULES), rounds: int = ROUNDS) -> Model:
+    """EM on (votes, how many texts have them)."""
+    s = PRIOR_TEXTS
+    m = Model(GOOD, (ALARM,) * rules, (RECALL,) * rules)
     for _ in range(rounds):
-        n = n1 = 0.0
-        good, bad = [list(start_good) for _ in range(k)], [list(start_bad) for _ in range(k)]
+        n = n_good = 0.0
+        bad_votes, all_votes = ([[0.0, 0.0] for _ in range(rules)] for _ in range(2))  # about bad, about good texts
         for vote, count in patterns:
             p = posterior(m, vote)
-            n, n1 = n + count, n1 + p * count
-            for g, b, v in zip(good, bad, vote, strict=True):
-                g[v + 1] += p * count
-                b[v + 1] += (1 - p) * count
-        m = Model(min(0.99, max(0.5, (n1 + 0.8) / (n + 1))), tuple(tuple(x / sum(g) for x in g) for g in good), tuple(tuple(x / sum(b) for x in b) for b in bad), doubts)
+            n, n_good = n + count, n_good + p * count
+            for j, v in enumerate(vote):
+                if v:
+                    for y, share in enumerate((1 - p, p)):
+                        all_votes[j][y] += share * count
+                        bad_votes[j][y] += share * count * (v < 0)
+        alarm, recall = [], []
+        for b, a in zip(bad_votes, all_votes, strict=True):
+            f, r = (b[1] + s * ALARM) / (a[1] + s), (b[0] + s * RECALL) / (a[0] + s)
+            if f > r:
+                f = r = (sum(b) + s * (ALARM + RECALL)) / (sum(a) + 2 * s)
+            alarm.append(f)
+            recall.append(r)
+        m = Model((n_good + s * GOOD) / (n + s), tuple(alarm), tuple(recall))
     return m
 
 
-def evidence(m: Model) -> list[tuple[float, float, float]]:
-    """What a rule's vote (bad, none, good) adds to the log odds.  A bad vote never speaks for a text and
-    a good one never against it, so the two classes can't trade places, and where no text is bad none
-    is taken for bad because it is merely odd."""
-    out = []
-    for g, b, doubt in zip(m.on_good, m.on_bad, m.doubts, strict=True):
-        bad = math.log(min(g[0], doubt) / max(b[0], LEAST_RECALL))
-        none, good = (min(CALM, max(0.0, math.log(x / y))) for x, y in zip(g[1:], b[1:], strict=True))
-        out.append((min(bad, 0.0), none, good))
-    return out
+def evidence(m: Model) -> list[tuple[float, float]]:
+    """What a rule's vote (bad, good) adds to the log odds."""
+    return [(math.log(f / r), math.log((1 - f) / (1 - r))) for f, r in zip(m.alarm, m.recall, strict=True)]
 
 
 def posterior(m: Model, vote: tuple[int, ...]) -> float:
-    odds = math.log(m.prior / (1 - m.prior)) + sum(e[v + 1] for v, e in zip(vote, evidence(m), strict=True))
+    odds = math.log(m.good / (1 - m.good)) + sum(e[v > 0] for v, e in zip(vote, evidence(m), strict=True) if v)
     return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
 def posterior_column(m: Model, vote: Column) -> Column:
-    odds = F.lit(math.log(m.prior / (1 - m.prior)))
-    for i, (bad, none, good) in enumerate(evidence(m)):
-        odds = odds + F.when(vote[i] > 0, good).when(vote[i] < 0, bad).otherwise(none)
+    odds = F.lit(math.log(m.good / (1 - m.good)))
+    for i, (bad, good) in enumerate(evidence(m)):
+        odds = odds + F.when(vote[i] > 0, good).when(vote[i] < 0, bad).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns of docs and a struct of measures, votes, posterior, base_failed and kept, under the
-    first free name from ``verdict`` on.  The measured rows are written once and read for both passes."""
+def estimated(voted: DataFrame, vote: str, rules: int = len(RULES)) -> Model:
+    """The model of a table with an array column of votes."""
+    rows = voted.groupBy(vote).count().collect()  # at most 3 ** rules
+    return estimate(sorted((tuple(r[0]), r[1]) for r in rows), rules)
+
+
+def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all by default) and a struct of measures, votes, posterior, base_failed
+    and kept, under the first free name from ``verdict`` on.  What is kept and measured is written once
+    and read for both passes; the text is only written if it is among ``keep``."""
+    kept = docs.columns if keep is None else keep
     name = free_name(docs, "verdict")
-    if {c.lower() for c in docs.columns} & {"_m", "_v", "_s", "_again", "_pairs", *OWN}:
-        raise ValueError("columns _m, _v, _s, _again, _pairs, _w, _h, _x, _l and _p are this operator's own")
-    base = written(measures(docs, text).withColumn("_v", votes("_m", rules)), "rules")
-    patterns = [(tuple(r["_v"]), r["count"]) for r in base.groupBy("_v").count().collect()]  # at most 3 ** len(rules)
-    model = estimate(sorted(patterns), rules)
-    p = posterior_column(model, F.col("_v"))
-    failed = (F.col("_m.n_words") < MIN_WORDS) | (100 * F.col("_m.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_m.n_words"))
-    return base.withColumn(name, F.struct("_m.*", F.col("_v").alias("votes"), p.alias("posterior"), failed.alias("base_failed"), (~failed & (p >= KEEP)).alias("kept"))).drop("_m", "_v")
+    m, v = free_name(docs, "_m"), free_name(docs, "_v")
+    measured = measures(docs, text, kept, m)
+    base = written(measured.withColumn(v, votes(m, rules)), "rules")
+    p = posterior_column(estimated(base, v, len(rules)), F.col(v))
+    failed = (F.col(f"{m}.n_words") < MIN_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > MAX_REPEAT_PERCENT * F.col(f"{m}.n_words"))
+    verdict = F.struct(f"{m}.*", F.col(v).alias("votes"), p.alias("posterior"), failed.alias("base_failed"), (~failed & (p >= KEEP)).alias("kept"))
+    return base.withColumn(name, verdict).drop(m, v)

@@ -71,7 +71,7 @@ FROM n
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    got = quality_rules.judged(docs).select("doc_id", "verdict.*")
+    got = quality_rules.judged(docs, keep=["doc_id"]).select("doc_id", "verdict.*")
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
