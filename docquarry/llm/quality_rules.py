@@ -118,7 +118,7 @@ def measures(df: DataFrame, text: str = "text", keep: list[str] | None = None, n
         count(f"(?<![^{SPACE}])[^\\p{{L}}{SPACE}]++(?![^{SPACE}])").alias("n_bare_words"),  # without a letter
         count(f"[^\\p{{L}}\\p{{M}}\\p{{N}}{SPACE}.,;:!?)\"'](?![^{SPACE}])").alias("n_odd_endings"),  # in a character no sentence has there
     )
-    return out.select(*([F.col("_row.*")] if kept else []), m.alias(name))
+    return out.select("_row", m.alias("_m")).select(*([F.col("_row.*")] if kept else []), F.col("_m").alias(name))
 
 
 def votes(m: str = "_m", rules: tuple[Rule, ...] = RULES) -> Column:
