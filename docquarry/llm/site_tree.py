@@ -9,24 +9,31 @@ their class and id.  Two things are measured for each node over the host's disti
 * presentation importance: the entropy of the ways its children are laid out, to the base m.
 
 A node's composite importance is (1 - g) * presentation + g * content, g = ``DAMPING`` to the number of
-its layouts, its content being that of all blocks below it.  Branches below ``LOW`` are removed from each
-page of the host, if it has ``MIN_PAGES`` distinct pages with them.  A copied page counts once, and what
-stands plainly within article or main is never taken for a template.
+its layouts, its content being that of all blocks below it.  A node on fewer than ``MIN_PAGES`` distinct
+pages says nothing about its host; its composite is ``UNMEASURED``.  A copied page counts once.
 
-What markup itself declares not to be the article (nav, header, footer, aside, form, script and so on,
-or a class or id that says so) is left out on any page, so hosts with one page are served too.  A class
-or id says so if the whole name does (``share-bar``, but not ``content-sidebar-wrap``); it is overruled
-where the element holds the page's article or main or, on a page with neither, most of the text.  Ids of
-headings, and of sections within the article, are made from titles and say nothing.
+What markup says of a node is a prior, added to the log odds of the composite: ``PRIOR`` for the article
+(within article or main, where no class says otherwise) and against what a class or id calls an advert, a
+menu, comments and so on.  So a template goes without any hint; an advert with a text of its own on each
+page goes by its hint; and a hinted node with as rich a structure as an article's stays.  Every block, of
+articles too, is kept or removed by this importance: branches below ``LOW`` are removed from each page.
+
+Before that, what HTML elements and ARIA roles declare to be no article is left out: nav, header outside
+the article, footer, aside, script and so on.  A form is, unless it holds the page's article or most of its
+text.  Hints and forms that do hold it are overruled.  A class or id hints if the whole name does
+(``share-bar``, but not ``content-sidebar-wrap``); ids of headings, and of sections within the article, are
+made from titles and say nothing.
 
 Blocks: text within a block element; white space in it becomes one space, and blocks are joined by a line
 feed.  Null, empty and markup-free pages are defined: the text of a page without markup is one block.
-Pages of any length are parsed whole.
+Pages of any length are parsed whole, in memory linear in their length: the tree has ``DEPTH`` levels, and
+what is nested deeper counts to its ancestor on the last one.  Extra columns of pages are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
@@ -39,12 +46,16 @@ from pyspark.sql import functions as F
 from docquarry.llm import arrow_text
 from docquarry.llm.common import bounded_batches, written
 
-LOW, MIN_PAGES, DAMPING = 0.25, 4, 0.9
+LOW, MIN_PAGES, DAMPING, UNMEASURED, DEPTH = 0.25, 4, 0.9, 0.9, 64
+#: Added to the log odds of importance: of the article, of what a class or id calls something else.
+PRIOR = {"main": 4.0, "hinted": -4.0, "plain": 0.0}
+#: Composite importance is kept this far from 0 and 1 before a prior is added.
+EDGE = 0.01
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-LEFT_OUT = frozenset("nav footer aside form script style noscript template iframe object svg canvas audio video button select option textarea input label menu dialog head title".split())
+LEFT_OUT = frozenset("nav footer aside script style noscript template iframe object svg canvas audio video button select option textarea input label menu dialog head title".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What may stand in a head; anything else ends one that is still open.
 METADATA = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
@@ -61,9 +72,11 @@ BESIDE = frozenset("site main primary secondary top bottom bar slot box block li
 ASIDE_HINTS = frozenset("ad ads adv advert advertisement comment comments promo reply replies related recommended sponsored teaser widget".split())
 #: Beginnings of class names that tell what else a page has, or what it lacks.
 ABOUT_OTHERS = ("has-", "with-", "no-", "without-", "is-")
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 _WORD = re.compile(r"[a-z0-9]+")
-_GAP = re.compile(r"[ \t\n\x0b\x0c\r   -     　\x85]+")
+#: White space of any kind, for Python and Java alike.
+GAP = r"[ \t\n\x0B\f\r\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+_GAP = re.compile(GAP)
 
 
 def _hash(text: str) -> int:
@@ -81,10 +94,31 @@ def _hints(name: str) -> frozenset[str]:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "out", "main", "inside", "marks", "above", "shape")
+    """An open or closed element.  mark: the hinted element or form it is or lies in (the innermost); holder: the
+    innermost block element."""
+
+    __slots__ = ("tag", "name", "parent", "depth", "out", "main", "inside", "mark", "holder", "shape", "path", "style", "used")
+
+    def __init__(self, tag: str, name: str, parent: "_Node | None", out: bool, main: bool, inside: bool, mark: "_Mark | None"):
+        self.tag, self.name, self.parent, self.out, self.main, self.inside, self.mark = tag, name, parent, out, main, inside, mark
+        self.depth = parent.depth + 1 if parent else 0
+        self.holder = self if tag in BLOCK or parent is None else parent.holder
+        self.shape, self.used = [], False
+
+
+class _Mark:
+    """A hinted element or a form.  aside: whether articles in it needn't be the page's."""
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool, inside: bool, marks: tuple[int, ...], above: tuple[int, ...]):
-        self.tag, self.path, self.out, self.main, self.inside, self.marks, self.above, self.shape = tag, path, out, main, inside, marks, above, []
+    __slots__ = ("up", "aside", "form", "size", "overruled")
+
+    def __init__(self, up: "_Mark | None", aside: bool, form: bool):
+        self.up, self.aside, self.form, self.size, self.overruled = up, aside, form, 0, False
+
+    def around(self):
+        m = self
+        while m:
+            yield m
+            m = m.up
 
 
 class _Page(HTMLParser):
@@ -92,34 +126,27 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Node("", "", False, False, False, (), ())]
-        self.blocks: list[tuple[int, bool, str, tuple[int, ...]]] = []  # path, main, text, ancestors
-        self.nodes: dict[int, tuple[str, tuple[int, ...]]] = {}
-        self.found: list[tuple[_Node, list[tuple[str, tuple[int, ...]]]]] = []  # blocks, before hints are weighed
-        self.aside: list[bool] = []  # of each hinted element: whether articles in it needn't be the page's
-        self.articles: list[tuple[str, tuple[int, ...]]] = []  # tag, hinted elements around it
-        self.text: list[tuple[str, tuple[int, ...]]] = []  # piece, hinted elements around it
-        self.holder: _Node | None = None
+        self.top = _Node("", "", None, False, False, False, None)
+        self.stack, self.open, self.all = [self.top], Counter(), [self.top]
+        self.found: list[list[tuple[_Node, str]]] = []  # blocks: pieces and the elements they stand in
+        self.marks: list[_Mark] = []
+        self.articles: list[tuple[str, _Mark | None]] = []
+        self.text: list[tuple[_Node, str]] = []
 
     def _flush(self) -> None:
         if self.text:
-            if self.holder is not None:
-                self.found.append((self.holder, self.text))
+            self.found.append(self.text)
             self.text = []
-        self.holder = None
 
     def _pop(self) -> None:
         n = self.stack.pop()
+        self.open[n.tag] -= 1
         if n.tag in BLOCK:
             self._flush()
-        shape = []
-        for x in n.shape:
-            if not shape or shape[-1] != x:
-                shape.append(x)
-        key = _hash(n.path)
-        self.nodes.setdefault(key, (">".join(shape), n.above))
 
     def _close_to(self, tags: set[str], walls: frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag in tags:
                 while len(self.stack) > k:
@@ -136,12 +163,13 @@ class _Page(HTMLParser):
             self._close_to({"p"}, HOLDS)
         if tag in ENDS:
             self._close_to(ENDS[tag], HOLDS - {"td", "th"} if tag in ("td", "th", "tr") else HOLDS)
-        if tag == "br":
-            self.text.append((" ", ()))
+        up = self.stack[-1]
+        if tag == "br" and not up.out:
+            self.text.append((up, " "))
         style = {k: v.lower() for k, v in attrs if v and k in ("class", "id", "role")}
         own = " ".join(x for x in (style.get("class"), style.get("id")) if x)
-        up = self.stack[-1]
-        up.shape.append(tag)
+        if not up.shape or up.shape[-1] != tag:  # a layout: kinds of children, in order
+            up.shape.append(tag)
         if tag in VOID:
             return
         titled = tag in HEADINGS or (tag == "section" and up.inside)
@@ -153,20 +181,20 @@ class _Page(HTMLParser):
             hints &= ASIDE_HINTS
         elif up.inside:
             hints -= {"header"}  # of the article: its title
-        name = tag + ("." + re.sub(r"\d+", "0", own) if own else "")
         # a header within the article holds its title
         out = up.out or tag in LEFT_OUT or style.get("role") in ROLES or (tag == "header" and not up.main)
-        marks = up.marks
-        if hints and not out:
-            marks = (*marks, len(self.aside))
-            self.aside.append(hints <= ASIDE_HINTS)
+        mark, form = up.mark, tag == "form" or style.get("role") == "form"
+        if (hints or form) and not out:
+            mark = _Mark(up.mark, not form and hints <= ASIDE_HINTS, form)
+            self.marks.append(mark)
         elif tag in ("article", "main") and not out and not ("teaser" in says and tag == "article"):
-            self.articles.append((tag, marks))
+            self.articles.append((tag, mark))
         inside = (up.inside or tag in ("article", "main")) and not out
-        main = (up.main or tag in ("article", "main")) and not out
-        plain = main and (tag in ("article", "main") or not own) and (up.main or tag in ("article", "main"))
-        path = f"{up.path}/{name}"
-        self.stack.append(_Node(tag, path, out, plain, inside, marks, (*up.above, _hash(path))))
+        plain = inside and (tag in ("article", "main") or (up.main and not own))
+        node = _Node(tag, tag + ("." + re.sub(r"\d+", "0", own) if own else ""), up, out, plain, inside, mark)
+        self.stack.append(node)
+        self.open[tag] += 1
+        self.all.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -176,6 +204,8 @@ class _Page(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self._flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k].tag == tag:
                 while len(self.stack) > k:
@@ -189,68 +219,106 @@ class _Page(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack[-1].tag == "head" and data.strip():
             self._pop()
-        if self.stack[-1].out:
-            return  # what is left out may stand within a block of text, at its beginning too
-        if self.holder is None:
-            self.holder = next(n for n in reversed(self.stack) if n.tag in BLOCK or not n.tag)
-        self.text.append((data, self.stack[-1].marks))
-
-    def _overruled(self) -> set[int]:
-        """Hinted elements that hold the page's article or, where there is none, most of its text."""
-        if not self.aside:
-            return set()
-        own = [m for tag, m in self.articles if tag == "main" or not any(self.aside[i] for i in m)] or [m for _, m in self.articles]
+        if not self.stack[-1].out:  # what is left out may stand within a block of text, at its beginning too
+            self.text.append((self.stack[-1], data))
+
+    def _overrule(self) -> None:
+        """Hints on elements that hold the page's article or, where there is none, most of its text."""
+        own = [m for tag, m in self.articles if tag == "main" or not m or not any(x.aside for x in m.around())] or [m for _, m in self.articles]
         if own:
-            return set().union(*own)
-        sizes, total = [0] * len(self.aside), 0
-        for _, pieces in self.found:
-            for text, marks in pieces:
+            for m in own:
+                for x in m.around() if m else ():
+                    x.overruled = True
+            return
+        total = 0
+        for pieces in self.found:
+            for node, text in pieces:
                 n = sum(map(len, text.split()))
                 total += n
-                for i in marks:
-                    sizes[i] += n
-        return {i for i, n in enumerate(sizes) if 2 * n > total}
-
-    def finish(self) -> None:
+                if node.mark:
+                    node.mark.size += n
+        for m in reversed(self.marks):  # the inner ones come after those around them
+            m.overruled = 2 * m.size > total
+            if m.up:
+                m.up.size += m.size
+
+    def finish(self) -> tuple[list[list[tuple[int, str]]], dict[int, tuple[int, tuple[int, ...], str, int]]]:
+        """Blocks, as lists of (path, piece of text), and path -> (parent's path, all paths above and itself, kind,
+        layout) of the nodes with text."""
         self.close()
-        while len(self.stack) > 1:
-            self._pop()
         self._flush()
-        overruled = self._overruled()
-        for n, pieces in self.found:
-            whole = _GAP.sub(" ", "".join(t for t, marks in pieces if overruled.issuperset(marks))).strip(" ")
-            if whole:
-                self.blocks.append((_hash(n.path), n.main, whole, n.above))
-        self.found = []
-
-
-def parse(html: str) -> _Page:
+        if self.marks:
+            self._overrule()
+        root: tuple[int, ...] = ()
+        for n in self.all:  # parents come first
+            if n.parent is None:
+                n.path, n.style = 0, root
+                continue
+            mine = n.mark if n.mark is not n.parent.mark else None
+            hinted = mine is not None and not mine.overruled
+            if hinted and mine.form:
+                n.out = True
+            n.out = n.out or n.parent.out
+            if n.depth > DEPTH:
+                n.path, n.style = n.parent.path, n.parent.style
+                continue
+            kind = "hinted" if hinted else "main" if n.main else "plain"
+            n.path = _hash(f"{n.parent.path}/{n.name}/{kind}")
+            n.style = (*n.parent.style, n.path)
+            n.name = kind
+        blocks, nodes = [], {}
+        for pieces in self.found:
+            block: list[tuple[int, str]] = []
+            for node, text in pieces:
+                if node.out:
+                    continue
+                at = node
+                while at is not at.holder and not (at.mark and at.mark is not at.parent.mark):
+                    at = at.parent  # inline elements without a hint are part of their block
+                if block and block[-1][0] == at.path:
+                    block[-1] = (at.path, block[-1][1] + text)
+                else:
+                    block.append((at.path, text))
+                while at is not None and not at.used and at.path:
+                    at.used = True
+                    if at.depth <= DEPTH:
+                        nodes.setdefault(at.path, (at.parent.path, at.style, at.name, _hash(">".join(at.shape))))
+                    at = at.parent
+            if any(t.strip() for _, t in block):
+                blocks.append(block)
+        self.all = self.found = []
+        return blocks, nodes
+
+
+def parse(html: str):
     page = _Page()
     page.feed(html)
-    page.finish()
-    return page
+    return page.finish()
+
+
+def _squeeze(text: str) -> str:
+    return _GAP.sub(" ", text).strip(" ")
 
 
-PARSED = "page_id long, url string, host string, digest long, blocks array<struct<path: long, above: array<long>, main: boolean, text: string>>, nodes array<struct<path: long, shape: long, above: array<long>, features: array<long>>>"
-_BLOCKS = pa.list_(pa.struct([("path", pa.int64()), ("above", pa.list_(pa.int64())), ("main", pa.bool_()), ("text", pa.string())]))
-_NODES = pa.list_(pa.struct([("path", pa.int64()), ("shape", pa.int64()), ("above", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))]))
+PARSED = "page_id long, url string, host string, digest long, blocks array<array<struct<above: array<long>, text: string>>>, nodes array<struct<path: long, kind: string, shape: long, above: array<long>, features: array<long>>>"
+_BLOCKS = pa.list_(pa.list_(pa.struct([("above", pa.list_(pa.int64())), ("text", pa.string())])))
+_NODES = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.string()), ("shape", pa.int64()), ("above", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))]))
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
+        for a in range(0, batch.num_rows, 64):
+            part = batch.slice(a, 64)
             blocks, nodes, digests = [], [], []
             for raw in arrow_text.each(part["html"]):
-                page = parse(raw.decode("utf-8", "replace"))
+                found, tree = parse(raw.decode("utf-8", "replace"))
                 digests.append(xxhash.xxh64_intdigest(raw) - (1 << 63))
-                blocks.append([{"path": p, "above": list(up), "main": m, "text": t} for p, m, t, up in page.blocks])
-                found: dict[int, set[int]] = {}
-                for p, m, t, _ in page.blocks:
-                    if not m:
-                        found.setdefault(p, set()).add(_hash(t))
-                seen = {p for b in page.blocks if not b[1] for p in b[3]}
-                nodes.append([{"path": p, "shape": _hash(shape), "above": list(up), "features": sorted(found.get(p, ()))} for p, (shape, up) in page.nodes.items() if p in seen])
+                features: dict[int, set[int]] = {}
+                for block in found:
+                    for path, text in block:
+                        features.setdefault(path, set()).add(_hash(_squeeze(text)))
+                blocks.append([[{"above": tree[p][1] if p else (), "text": t if len(b) > 1 else _squeeze(t)} for p, t in b] for b in found])
+                nodes.append([{"path": p, "kind": kind, "shape": shape, "above": up, "features": sorted(features.get(p, ()))} for p, (_, up, kind, shape) in tree.items()])
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], part["host"], pa.array(digests, pa.int64()), pa.array(blocks, _BLOCKS), pa.array(nodes, _NODES)],
                 ["page_id", "url", "host", "digest", "blocks", "nodes"],
@@ -262,28 +330,40 @@ def host_of(url: Column) -> Column:
 
 
 def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the nodes of each host's tree, over its distinct pages."""
-    distinct = parsed.select("host", "digest", F.explode("nodes").alias("n")).select("host", "digest", "n.path", "n.shape", "n.above", "n.features")
-    nodes = distinct.select("host", "digest", "path", "shape").distinct()
-    shapes = nodes.groupBy("host", "path", "shape").agg(F.count("*").alias("c"))
+    """(host, path, kind, pages, composite, importance) of the nodes of each host's tree, over its distinct
+    pages."""
+    every = parsed.select("host", "digest", F.explode("nodes").alias("n")).select("host", "digest", "n.*")
     base = lambda m: F.log(F.greatest(m, F.lit(2)).cast("double"))
-    look = shapes.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.count("*").alias("layouts"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
+    # counts by host alone would meet in one task for a large host; these don't
+    shapes = every.select("host", "digest", "path", "kind", "shape").distinct().groupBy("host", "path", "kind", "shape").agg(F.count("*").alias("c"))
+    look = shapes.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.count("*").alias("layouts"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
     look = look.withColumn("presentation", F.when(F.col("pages") > 1, (F.log("pages") - F.col("clogc") / F.col("pages")) / base(F.col("pages"))).otherwise(1.0))
-    texts = distinct.select("host", "digest", "path", "above", F.explode("features").alias("feature")).distinct()
+    texts = every.select("host", "digest", "path", "above", F.explode("features").alias("feature")).distinct()
     spread = texts.groupBy("host", "path", "above", "feature").agg(F.count("*").alias("c"))
-    own = spread.join(look.select("host", "path", "pages"), ["host", "path"]).groupBy("host", "path", "above").agg(F.sum(1 - F.log("c") / base(F.col("pages"))).alias("sum"), F.count("*").alias("n"))
+    own = spread.groupBy("host", "path", "above").agg(F.sum(F.log("c")).alias("logs"), F.count("*").alias("n"))
+    own = own.join(look.select("host", "path", "pages"), ["host", "path"]).withColumn("sum", F.col("n") - F.col("logs") / base(F.col("pages")))
     below = own.select("host", F.explode("above").alias("path"), "sum", "n").groupBy("host", "path").agg((F.sum("sum") / F.sum("n")).alias("content"))
     g = F.pow(F.lit(DAMPING), F.col("layouts"))
-    return look.join(below, ["host", "path"]).select("host", "path", "pages", ((1 - g) * F.col("presentation") + g * F.col("content")).alias("importance"))
+    composite = F.when(F.col("pages") < MIN_PAGES, UNMEASURED).otherwise((1 - g) * F.col("presentation") + g * F.col("content"))
+    out = look.join(below, ["host", "path"]).withColumn("composite", composite)
+    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("composite")))
+    prior = F.element_at(F.create_map(*(F.lit(x) for kv in PRIOR.items() for x in kv)), F.col("kind"))
+    return out.select("host", "path", "kind", "pages", "composite", (1 / (1 + F.exp(-(F.log(p / (1 - p)) + prior)))).alias("importance"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, blocks) of pages (page_id, url, html): a row for each row, repeated or not."""
+    """(page_id, url, text, blocks, n_removed) of pages (page_id, url, html): a row for each row, repeated or
+    not.  n_removed: how many blocks the tree took out, whole or in part."""
     bounded_batches()
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     parsed = written(given.mapInArrow(_parse_batches, PARSED), "pages-parsed")
-    low = style_tree(parsed).where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < LOW))
+    low = style_tree(parsed).where(F.col("importance") < LOW)
     low = written(low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "_host"), "pages-low")
     joined = parsed.select("page_id", "url", "host", "blocks").join(low, F.col("host") == F.col("_host"), "left")
-    keep = F.filter("blocks", lambda b: F.col("low").isNull() | b["main"] | ~F.arrays_overlap(b["above"], F.col("low")))
-    return joined.withColumn("blocks", F.transform(keep, lambda b: b["text"])).select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "blocks")
+    stays = lambda x: F.col("low").isNull() | ~F.arrays_overlap(x["above"], F.col("low"))
+    whole = lambda b: F.array_join(F.transform(F.filter(b, stays), lambda x: x["text"]), "")
+    # a block of one piece is squeezed already
+    texts = F.transform("blocks", lambda b: F.when(F.size(b) == 1, whole(b)).otherwise(F.btrim(F.regexp_replace(whole(b), GAP, " "))))
+    removed = F.size(F.filter("blocks", lambda b: ~F.forall(b, stays))).cast("long")
+    out = joined.select("page_id", "url", removed.alias("n_removed"), F.filter(texts, lambda t: t != "").alias("blocks"))
+    return out.select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "blocks", "n_removed")

@@ -18,6 +18,14 @@ def run(spark, pages):
     return {r["page_id"]: r["text"] for r in site_tree.extracted(df).collect()}
 
 
+def alone(html):
+    """The blocks of a page that is alone on its host: what a hint or a declared role is on goes."""
+    blocks, nodes = site_tree.parse(html)
+    hinted = {p for p, n in nodes.items() if n[2] == "hinted"}
+    kept = ["".join(t for p, t in b if not p or not hinted & set(nodes[p][1])) for b in blocks]
+    return [" ".join(t.split()) for t in kept if t.strip()]
+
+
 def test_what_markup_declares(spark):
     html = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";x(1)</script></head><body>
     <header>Site head</header><nav><ul><li><a href=/x>Menu</a></li></ul></nav><!-- note --><div class="ad top">Buy</div>
@@ -35,9 +43,7 @@ def test_class_names_that_speak_of_other_parts(spark):
 
 
 def test_hints_on_what_holds_the_article():
-    def text(html):
-        return [b[2] for b in site_tree.parse(html).blocks]
-
+    text = alone
     for c in ("content-sidebar-wrap", "layout sidebar-right", "wrapper header-fixed", "search", "sidebar", "menu page"):
         for tag in ("main", "article"):
             assert text(f'<body><div class="{c}"><{tag}><p>Own text</p></{tag}></div><div class="share">Share</div>') == ["Own text"]
@@ -52,7 +58,7 @@ def test_left_out_elements_at_the_beginning_of_a_block():
     for tag in ("button", "script", "style", "label", "svg", "select", "noscript", "textarea", "object"):
         for block in ("p", "div", "td", "body"):
             html = f"<{block}><{tag}>Copy</{tag}>Own <b>text</b> <{tag}>Copy</{tag}>here</{block}>"
-            assert [b[-2] for b in site_tree.parse(html).blocks] == ["Own text here"], html
+            assert alone(html) == ["Own text here"], html
 
 
 def test_omitted_tags_of_the_page():
@@ -61,8 +67,7 @@ def test_omitted_tags_of_the_page():
         for end in ("</head><body>", "<body>", "</head>", ""):
             for tail in ("", "</body></html>"):
                 for body in ("<article><p>Own text</p></article>", "<p>Own text", "<x-part>Own text</x-part>", "Own text"):
-                    assert site_tree.parse(begin + head + end + body + tail).blocks[-1][-2] == "Own text"
-                    assert len(site_tree.parse(begin + head + end + body + tail).blocks) == 1
+                    assert alone(begin + head + end + body + tail) == ["Own text"]
 
 
 def test_template_of_a_host_is_removed_by_the_tree_alone(spark):
@@ -80,25 +85,61 @@ def test_copies_of_a_page_are_no_template(spark):
     assert run(spark, inside)[3] == "Same line.\nOwn 3."
 
 
+def test_pages_whose_names_only_look_like_hints():
+    form = '<body><form id="aspnetForm" method="post"><input type=hidden><div class="content"><p>Own text</p><p>More of it</p></div><select><option>x</select></form></body>'
+    assert alone(form) == ["Own text", "More of it"]
+    assert alone('<body><p>Own text of the page</p><form>Send us mail</form></body>') == ["Own text of the page"]
+    assert alone('<body><form><article><p>Own text</p><form>Send</form></article></form></body>') == ["Own text"]
+    for name in ('class="search-result article-body"', 'id="notice-of-appeal"', 'class="social-sciences"'):
+        assert alone(f"<body><div {name}><p>Own text</p></div></body>") == ["Own text"]
+    assert alone('<article><section class="related-work"><h2>Related work</h2><p>Text</p></section></article>') == ["Related work", "Text"]
+
+
+def test_hints_are_a_prior(spark):
+    """A hinted part with text of its own goes; one that is laid out in many ways, as articles are, stays."""
+    tags = ("p", "h2", "ul", "table", "blockquote", "pre", "dl", "h3")
+    rich = lambda i: "<hr>".join(f"<{tags[i // 8**k % 8]}>Part {i} {k}</{tags[i // 8**k % 8]}>" for k in range(3))
+    ads = [("http://r.org/", f"<p>Own text of page {i}</p><div class=ad><p>Buy {i * 7}</p></div>") for i in range(200)]
+    got = run(spark, ads + [("http://q.org/", f"<p>{'Own text ' * 12}{i}</p><div class=notice>{rich(i)}</div>") for i in range(200)])
+    assert all(got[i] == f"Own text of page {i}" for i in range(200))
+    assert all(f"{i}\nPart {i} 0" in got[200 + i] for i in range(200))
+
+
+def test_depth_and_size_stay_linear():
+    import time
+
+    began = time.time()
+    for tag in ("div", "b", "span", "p", "li"):
+        blocks, nodes = site_tree.parse(f"<{tag} class=x>" * 40000 + "deep" + f"</{tag}>" * 40000)
+        assert ["".join(t for _, t in b).strip() for b in blocks] == ["deep"]
+        assert all(len(n[1]) <= site_tree.DEPTH for n in nodes.values())
+    assert time.time() - began < 20
+
+
 def test_importance_against_the_formula(spark):
-    pages = [("http://s.org/", page(i, "<p>More.</p>" * (i % 2))) for i in range(9)]
+    pages = [("http://s.org/", page(i, "<p>More.</p>" * (i % 2), f"<div class=ad>Ad {i}</div><article><p>Same.</p></article>")) for i in range(9)]
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     given = df.select("page_id", "url", "html", site_tree.host_of(F.col("url")).alias("host"))
     parsed = given.mapInArrow(site_tree._parse_batches, site_tree.PARSED)
-    got = {r["path"]: (r["pages"], r["importance"]) for r in site_tree.style_tree(parsed).collect()}
-    nodes, feats, above = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), {}
+    got = {r["path"]: r for r in site_tree.style_tree(parsed).collect()}
+    nodes, feats, above, kinds = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), {}, {}
     for r in parsed.collect():
         for n in r["nodes"]:
             nodes[n["path"]][n["shape"]].add(r["digest"])
-            above[n["path"]] = n["above"]
+            above[n["path"]], kinds[n["path"]] = n["above"], n["kind"]
             for f in n["features"]:
                 feats[n["path"]][f].add(r["digest"])
+    assert set(kinds.values()) == {"plain", "hinted", "main"} and set(got) == set(nodes)
     for path, shapes in nodes.items():
         m = len(set().union(*shapes.values()))
         look = -sum(len(d) / m * math.log(len(d) / m, m) for d in shapes.values()) if m > 1 else 1.0
         content = [1 - math.log(len(d), max(2, len(set().union(*nodes[p].values())))) for p in feats if path in above[p] for d in feats[p].values()]
         g = site_tree.DAMPING ** len(shapes)
-        assert got[path] == (m, pytest.approx((1 - g) * look + g * sum(content) / len(content)))
+        want = (1 - g) * look + g * sum(content) / len(content) if m >= site_tree.MIN_PAGES else site_tree.UNMEASURED
+        odds = min(0.99, max(0.01, want))
+        odds = math.log(odds / (1 - odds)) + {"plain": 0, "hinted": -4, "main": 4}[kinds[path]]
+        assert got[path]["pages"] == m and got[path]["composite"] == pytest.approx(want)
+        assert got[path]["importance"] == pytest.approx(1 / (1 + math.exp(-odds)))
 
 
 def test_odd_pages(spark):
