@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import arrow_text
-from docquarry.llm.common import bounded_batches
+from docquarry.llm.common import bounded_batches, free_name
 
 #: Characters above which a text is split before it is encoded.
 LONG = 1 << 16
@@ -39,17 +40,32 @@ def encoding(ranks: bytes, pattern: str):
     return _ENCODINGS[key]
 
 
+def _kind(c: str) -> str:
+    """L, N or S (symbol) as the pattern tells them apart; else a blank."""
+    k = unicodedata.category(c)[0]
+    return k if k in "LN" else "S" if k in "PSM" else " "
+
+
+def _safe(before: str, after: str) -> bool:
+    """Whether a match always ends between the two: the pattern has runs of letters, of numbers or of symbols, with a
+    space before them, so none goes on from one of these into another or into white space.  Only an apostrophe
+    may go with the letters after it.  What a match looks ahead at is white space alone."""
+    a, b = _kind(before), _kind(after)
+    if a == " " or a == b or (before == "'" and b == "L"):
+        return False
+    return b != " " or after in " \n\r\t"
+
+
 def safe_pieces(text: str, longest: int = LONG):
-    """Pieces of a long text that together match as the whole does.
+    """Pieces of a long text that together match as the whole does: each ends where ``_safe``.
 
-    A piece ends between a letter or digit and a space or line feed.  No match of the pattern goes on
-    from a letter or digit into white space, and what a match looks ahead at is white space only, so
-    the matches of the pieces are those of the text.  Where no such place is near, a piece is longer.
+    A run of one kind (letters, say) is one match of the pattern however long it is, so it is never cut, and a piece
+    is longer then; tiktoken takes time in proportion to it.
     """
     at, n = 0, len(text)
     while n - at > longest:
         end = at + longest
-        while end < n and not (text[end] in " \n" and text[end - 1].isalnum()):
+        while end < n and not _safe(text[end - 1], text[end]):
             end += 1
         yield text[at:end]
         at = end
@@ -92,11 +108,12 @@ def decoder(spark: SparkSession, ranks: bytes, pattern: str):
     return raw
 
 
-def with_ids(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """df with its ids and with the bytes these give back."""
-    spark = df.sparkSession
+def with_ids(df: DataFrame, ranks: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """df with its ids and with the bytes these give back, under the first free names from ``ids`` and ``decoded``
+    on."""
+    spark, ids = df.sparkSession, free_name(df, "ids")
     out = df.withColumn(ids, encoder(spark, ranks, pattern)(F.coalesce(F.col(text), F.lit(""))))
-    return out.withColumn(decoded, decoder(spark, ranks, pattern)(F.col(ids)))
+    return out.withColumn(free_name(df, "decoded"), decoder(spark, ranks, pattern)(F.col(ids)))
 
 
 def digest(ids: Column) -> Column:

@@ -8,7 +8,9 @@ features times ``SCALE``.  A null or empty text has no feature, so its score is
 
 Training takes at most ``TRAIN_ROWS`` labelled rows, those of least hash (a documented bound: the model
 has a fixed size), in one task; without a labelled row every score is 0.5.  Scoring is a sparse dot
-product per text, over whole texts, and a text's score depends on nothing but the text.
+product per text, over whole texts, and a text's score depends on nothing but the text.  Texts of any length
+are read in blocks of ``BYTES``, so a task's memory doesn't grow with them.  Columns of docs keep their names and
+values, whatever these are; ``score`` and ``predicted`` take the first free names from these on.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from docquarry.llm.common import bounded_batches, free_name
 
 HASH_BITS, TRAIN_ROWS, EPOCHS, SCALE, THRESHOLD = 18, 6000, 4, 30.0, 0.3
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 0.02, 0.02
-#: Bytes tokenised at a time within a text batch.
+#: Bytes tokenised at a time; a longer text is read in blocks, and a longer run of one class is several words.
 BYTES = 1 << 19
 
 _STEP = 0x9E3779B97F4A7C15
@@ -46,7 +48,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, (1 << 19) + 1)
+        size = max(n, 3 * BYTES + 1)
         with np.errstate(over="ignore"):
             for name, base in (("up", _STEP), ("down", _BACK)):
                 seq = np.full(size, base, np.uint64)
@@ -62,8 +64,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def features(data: np.ndarray, at: np.ndarray, bits: int = HASH_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, place) of every feature of texts that stand one after another in data."""
+def features(data: np.ndarray, at: np.ndarray, bits: int = HASH_BITS, cuts: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, place) of every feature of texts that stand one after another in data.  A word ends at
+    cuts, too."""
     none = np.zeros(0, np.int64)
     if not len(data):
         return none, none
@@ -73,6 +76,7 @@ def features(data: np.ndarray, at: np.ndarray, bits: int = HASH_BITS) -> tuple[n
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
     inner = at[(at > 0) & (at < len(data))]
     begins[inner] = True  # a word ends with its text
+    begins[list(cuts)] = True
     starts = np.flatnonzero(begins)
     ends = np.append(starts[1:], len(data))
     keep = kind[starts] != _SPACE
@@ -99,26 +103,70 @@ def features(data: np.ndarray, at: np.ndarray, bits: int = HASH_BITS) -> tuple[n
     return np.concatenate([text, text[1:][pair], text[shouted], text[2:][again]]), places.astype(np.int64)
 
 
-def _blocks(data: np.ndarray, at: np.ndarray, bits: int):
-    """((first, end), text number within, place) of whole texts, about BYTES at a time."""
+def _long_blocks(data: np.ndarray, bits: int, size: int):
+    """(sign, places) of one long text, about ``size`` bytes at a time: the features of each block and of the two
+    words before it, less those of these two words alone."""
+    none, start, n = np.zeros(1, np.int64), 0, len(data)
+    words: list[int] = []  # where the last two words begin
+    cuts: list[int] = []
+    while start < n:
+        end = min(n, start + size)
+        kind = _CLASS[data[start:end]]
+        changes = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+        if end < n and len(changes):
+            end = start + int(changes[-1])  # between two words
+        context = words[0] if words else start
+        inner = tuple(c - context for c in cuts if context < c < end)
+        for sign, stop in ((1, end), (-1, start)):
+            if stop > context:
+                yield sign, features(data[context:stop], np.append(none, stop - context), bits, tuple(c for c in inner if c < stop - context))[1]
+        kind = kind[: end - start]
+        begins = np.append(0, np.flatnonzero(kind[1:] != kind[:-1]) + 1)
+        words = (words + (begins[kind[begins] != _SPACE][-2:] + start).tolist())[-2:]
+        cuts = [c for c in (*cuts, end) if c > words[0]] if words else [end]
+        start = end
+
+
+def _blocks(data: np.ndarray, at: np.ndarray, bits: int, size: int = BYTES):
+    """((first, end), sign, text number within, place) of texts, about ``size`` bytes at a time.  A feature with sign
+    -1 takes one away."""
     a, n = 0, len(at) - 1
     while a < n:
-        b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + BYTES, side="right")) - 1))
-        yield (a, b), *features(data[at[a] : at[b]], at[a : b + 1] - at[a], bits)
+        if at[a + 1] - at[a] > size:
+            for sign, places in _long_blocks(data[at[a] : at[a + 1]], bits, size):
+                yield (a, a + 1), sign, np.zeros(len(places), np.int64), places
+            a += 1
+            continue
+        b = min(n, max(a + 1, int(np.searchsorted(at, at[a] + size, side="right")) - 1))
+        yield (a, b), 1, *features(data[at[a] : at[b]], at[a : b + 1] - at[a], bits)
         a = b
 
 
+def _rows(data: np.ndarray, at: np.ndarray, bits: int, size: int = BYTES):
+    """(places, how often) of one text after another."""
+    whole, last = None, -1
+    for (a, b), sign, text, place in _blocks(data, at, bits, size):
+        if whole is not None and a != last:
+            yield np.flatnonzero(whole), whole[whole != 0]
+            whole = None
+        if b - a == 1 and at[b] - at[a] > size:
+            whole = np.zeros(1 << bits, np.int64) if whole is None else whole
+            whole += sign * np.bincount(place, minlength=1 << bits)
+            last = a
+            continue
+        order = np.argsort(text, kind="stable")
+        place, ends = place[order], np.searchsorted(text[order], np.arange(b - a + 1))
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            yield np.unique(place[i:j], return_counts=True)
+    if whole is not None:
+        yield np.flatnonzero(whole), whole[whole != 0]
+
+
 def train(data: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = HASH_BITS, epochs: int = EPOCHS) -> np.ndarray:
     """Weights; the last is the bias."""
     size = 1 << bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = []
-    for first, text, place in _blocks(data, at, bits):
-        order = np.argsort(text, kind="stable")
-        place, ends = place[order], np.searchsorted(text[order], np.arange(first[1] - first[0] + 1))
-        for a, b in zip(ends[:-1], ends[1:], strict=True):
-            where, count = np.unique(place[a:b], return_counts=True)
-            rows.append((np.append(where, size).astype(np.int32), np.append(count * (SCALE / max(1, b - a)), 1.0).astype(np.float32)))
+    rows = [(np.append(where, size).astype(np.int32), np.append(count * (SCALE / max(1, count.sum())), 1.0).astype(np.float32)) for where, count in _rows(data, at, bits)]
 
     def weights(i):
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
@@ -133,14 +181,13 @@ def train(data: np.ndarray, at: np.ndarray, labels: np.ndarray, bits: int = HASH
     return weights(np.arange(size + 1)).astype(np.float32)
 
 
-def score(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def score(data: np.ndarray, at: np.ndarray, weights: np.ndarray, size: int = BYTES) -> np.ndarray:
     """Scores of texts that stand one after another in data."""
-    out = np.empty(len(at) - 1)
-    for (a, b), text, place in _blocks(data, at, (len(weights) - 1).bit_length() - 1):
-        total = np.bincount(text, weights=weights[place], minlength=b - a)
-        many = np.bincount(text, minlength=b - a)
-        out[a:b] = 1 / (1 + np.exp(-np.clip(total * (SCALE / np.maximum(many, 1)) + weights[-1], -35, 35)))
-    return out
+    total, many = np.zeros(len(at) - 1), np.zeros(len(at) - 1)
+    for (a, b), sign, text, place in _blocks(data, at, (len(weights) - 1).bit_length() - 1, size):
+        total[a:b] += sign * np.bincount(text, weights=weights[place], minlength=b - a)
+        many[a:b] += sign * np.bincount(text, minlength=b - a)
+    return 1 / (1 + np.exp(-np.clip(total * (SCALE / np.maximum(many, 1)) + weights[-1], -35, 35)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS, id_col: str = "doc_id", text: str = "text", label: str = "quality", allowed: Column | None = None) -> DataFrame:

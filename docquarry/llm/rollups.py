@@ -9,18 +9,27 @@ A store is a folder with a folder for each committed batch.  A batch is a table
 
 Every change adds signed numbers to one total: insert (+1 document, +n), delete (-1, -n), revise
 (0, n - old).  Sums don't depend on order, so batches may come in any order.  A batch is added up and
-written under its id before the folder is marked complete by Spark's committer (_SUCCESS); a batch that is
-there and complete is not written again, so a batch applied twice, or retried after a failure, counts
-once.  Null counts count as 0.  An empty batch is committed and adds nothing.
+written under a name of the attempt's own, and committed by renaming that folder to its id, which fails if the id is
+there: of two writers of one id, one commits.  So a batch applied twice, or retried after a failure, counts
+once.  An id names its batch: what comes later under it, whatever it holds, is not read.  Ids may hold any
+characters.  Null counts count as 0.  An empty batch is committed and adds nothing.
+
+``compact`` adds up what is committed into one snapshot that names the batches in it; totals are then the newest
+snapshot and the batches it doesn't name, so reading doesn't slow down with the number of batches ever applied.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote, unquote
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 _SCHEMA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
+_SNAPSHOT = f"{_SCHEMA}, batch string"
 
 
 def signed(changes: DataFrame) -> DataFrame:
@@ -49,29 +58,70 @@ class Store:
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop
 
     def _folder(self, batch: str) -> str:
-        return f"{self.path}/batch={batch}"
+        return f"{self.path}/batch={quote(batch, safe='')}"
+
+    def _exists(self, path: str) -> bool:
+        fs, hadoop = self._fs(path)
+        return fs.exists(hadoop)
+
+    def _names(self, prefix: str) -> list[str]:
+        """What follows the prefix in names of complete folders."""
+        fs, path = self._fs(self.path)
+        names = (s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else ()
+        return sorted(n[len(prefix) :] for n in names if n.startswith(prefix) and self._exists(f"{self.path}/{n}/_SUCCESS"))
+
+    def _commit(self, df: DataFrame, folder: str) -> bool:
+        """Writes df and makes it the folder; False if another has done so."""
+        attempt = f"{self.path}/attempt-{uuid.uuid4().hex}"
+        df.write.parquet(attempt)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        fs, source = self._fs(attempt)
+        _, target = self._fs(folder)
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        plain = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(fs.makeQualified(source), fs.makeQualified(target), plain)
+        except Py4JJavaError:
+            fs.delete(source, True)
+            if not self._exists(f"{folder}/_SUCCESS"):
+                raise
+            return False
+        return True
+
+    def _snapshot(self) -> tuple[str | None, set[str]]:
+        """The newest snapshot and the batches in it."""
+        found = self._names("snapshot=")
+        if not found:
+            return None, set()
+        folder = f"{self.path}/snapshot={found[-1]}"
+        return folder, {r[0] for r in self.spark.read.schema(_SNAPSHOT).parquet(folder).where("batch IS NOT NULL").select("batch").collect()}
 
     def committed(self, batch: str) -> bool:
-        fs, path = self._fs(f"{self._folder(batch)}/_SUCCESS")
-        return fs.exists(path)
+        return self._exists(f"{self._folder(batch)}/_SUCCESS")
 
     def batches(self) -> list[str]:
         """Ids of the committed batches."""
-        fs, path = self._fs(self.path)
-        if not fs.exists(path):
-            return []
-        names = (s.getPath().getName() for s in fs.listStatus(path))
-        return sorted(n[6:] for n in names if n.startswith("batch=") and self.committed(n[6:]))
+        return sorted(map(unquote, self._names("batch=")))
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Adds a batch; False if it was there already.  What a failed attempt left is written over."""
-        if self.committed(batch):
-            return False
-        added(signed(changes)).write.mode("overwrite").parquet(self._folder(batch))
-        return True
+        """Adds a batch; False if it was there already."""
+        return not self.committed(batch) and self._commit(added(signed(changes)), self._folder(batch))
+
+    def compact(self) -> None:
+        """Adds up all committed batches into a new snapshot.  Batches keep their folders, by which they are known."""
+        own = self.batches()
+        rows = self.totals().withColumn("batch", F.lit(None).cast("string"))
+        names = self.spark.createDataFrame([(None, None, None, None, None, b) for b in own], _SNAPSHOT)
+        if not self._commit(rows.unionByName(names).select(*names.columns), f"{self.path}/snapshot={len(own):012d}"):
+            return  # there is one of as many batches
 
     def totals(self) -> DataFrame:
         """Totals over the committed batches."""
-        own = [self._folder(b) for b in self.batches()]
+        snapshot, within = self._snapshot()
+        own = [self._folder(b) for b in self.batches() if b not in within]
         parts = self.spark.read.schema(_SCHEMA).parquet(*own) if own else self.spark.createDataFrame([], _SCHEMA)
-        return added(parts.select(*_SCHEMA.replace(" string", "").replace(" long", "").split(", ")))
+        columns = _SCHEMA.replace(" string", "").replace(" long", "").split(", ")
+        parts = parts.select(*columns)
+        if snapshot:
+            parts = parts.unionByName(self.spark.read.schema(_SNAPSHOT).parquet(snapshot).where("batch IS NULL").select(*columns))
+        return added(parts)

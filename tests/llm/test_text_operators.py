@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -45,6 +46,8 @@ def test_bpe_on_odd_rows(odd, empty, enc):
     for r in rows:
         assert r["ids"] == enc.encode_ordinary(r["text"] or "") and bytes(r["decoded"]) == (r["text"] or "").encode()
     assert bpe.with_ids(empty, *rank_file()).count() == 0
+    clash = bpe.with_ids(odd.withColumns({"ids": F.lit(1), "DECODED": F.lit(2)}), *rank_file())
+    assert clash.columns[-2:] == ["ids_", "decoded_"] and clash.where("ids = 1 AND decoded = 2").count() == odd.count()
 
 
 def test_bpe_decodes_ids_that_are_no_text(spark, enc):
@@ -80,6 +83,20 @@ def test_scores_do_not_depend_on_the_batch():
         assert alone[0] == pytest.approx(whole[i], abs=1e-12)
 
 
+def test_long_texts_are_read_in_blocks():
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["of", "The", "xx,", "12", "***", "OF", "OF", "a" * 70, "!" * 55]) for _ in range(rng.randrange(400))) for _ in range(60)] + ["", " " * 300, "x"]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    w = np.random.default_rng(0).normal(size=(1 << 10) + 1).astype(np.float32)
+    for size in (90, 200, 1000):
+        assert quality_classifier.score(data, at, w, size) == pytest.approx(quality_classifier.score(data, at, w), abs=1e-9)
+        for (a, n), (b, m) in zip(quality_classifier._rows(data, at, 10, size), quality_classifier._rows(data, at, 10), strict=True):
+            assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+    run = np.frombuffer(b"y" * 1000, np.uint8)  # a run longer than a block is several words
+    assert sum(s * len(p) for s, p in quality_classifier._long_blocks(run, 10, 100)) == 10 + 9 + 8
+
+
 def test_features_against_plain_words():
     text = b"the cat THE CAT cat cat. cat"
     data = np.frombuffer(text, np.uint8)
@@ -112,8 +129,6 @@ def test_classifier_on_odd_rows(spark, odd, empty):
 
 
 def test_held_out_ids_never_train(spark):
-    import zlib
-
     ids = list(range(200))
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
     docs = spark.createDataFrame([(i, f"id{i}") for i in ids], "doc_id long, text string")
@@ -297,6 +312,11 @@ def test_mixture_on_odd_rows(odd, empty):
     got = mixture.mixed(sized(odd))
     assert got.count() == odd.count() and got.where("mix.taken > 2 * size").count() == 0
     assert mixture.mixed(sized(empty)).count() == 0
+    own = ["mix", "_name", "_none", "_bucket", "_row", "_id", "_n", "_key", "_size", "position"]
+    clash = mixture.mixed(sized(odd).withColumns({c: F.lit(c) for c in own}))
+    assert clash.columns[-1] == "mix_" and all(r[c] == c for r in clash.collect() for c in own)
+    ordered = mixture.in_training_order(clash, "mix_")
+    assert ordered.columns[-1] == "position_" and ordered.count() == got.selectExpr("sum(mix.copies)").first()[0]
 
 
 # --- token rollups ------------------------------------------------------------------------------
@@ -315,12 +335,23 @@ def test_rollups_count_each_batch_once(spark, tmp_path):
     assert not store.apply("one", one) and not store.apply("two", two)
     want = {("a", "en", "t1", 1, 9), ("a", "en", "t2", 1, 4), (None, None, "t1", 1, 0)}
     assert {tuple(r) for r in store.totals().collect()} == want
-    (tmp_path / "store" / "batch=three").mkdir()  # a batch that failed half way counts nothing
-    (tmp_path / "store" / "batch=three" / "part-0.parquet").write_bytes(b"junk")
+    (tmp_path / "store" / "attempt-of-three").mkdir()  # a batch that failed half way counts nothing
+    (tmp_path / "store" / "attempt-of-three" / "part-0.parquet").write_bytes(b"junk")
     assert {tuple(r) for r in store.totals().collect()} == want and store.batches() == ["one", "two"]
     assert store.apply("three", changes(spark, [("delete", "a", "en", "t2", 4, None)]))
     assert {tuple(r) for r in store.totals().collect()} == {w for w in want if w[2] == "t1"}
     assert store.apply("none", one.limit(0))
+    odd_id = "2024/01/01 ü=%"
+    assert store.apply(odd_id, two) and not store.apply(odd_id, one) and odd_id in store.batches()
+    before = sorted(map(tuple, store.totals().collect()), key=str)
+    assert not store._commit(rollups.added(rollups.signed(one)), store._folder("one"))  # a second writer of one id
+    store.compact()
+    store.compact()
+    assert sorted(map(tuple, store.totals().collect()), key=str) == before
+    assert store.apply("four", one) and not store.apply("one", one)
+    assert store.totals().where("source = 'a' AND tokenizer = 't1'").first()["n_docs"] == dict((r[:3], r[3]) for r in before).get(("a", "en", "t1"), 0) + 2
+    store.compact()
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("attempt-") and p.name != "attempt-of-three"]
     with pytest.raises(Exception, match="unknown change"):
         store.apply("bad", changes(spark, [("oops", "a", "en", "t1", 1, None)]))
 
@@ -331,7 +362,8 @@ def test_rollups_count_each_batch_once(spark, tmp_path):
 def test_place_is_greedy_by_dot_product():
     rng = np.random.default_rng(1)
     items = rng.integers(1, 50, (60, 3)).astype(float)
-    got, share = sharding.place(items, 4), items / items.sum(axis=0) * 4
+    share = items / items.sum(axis=0) * 4
+    got = sharding.place(share, 4)[0]
     left = np.ones((4, 3)) + np.array(sharding.SLACK)
     for i in sorted(range(60), key=lambda i: (-share[i].max(), i)):
         fits = [s for s in range(4) if all(round(left[s][d] - share[i][d], 12) >= 0 for d in range(3))]
@@ -347,6 +379,51 @@ def shard_rows(spark, rows):
     return sharding.sharded(base).collect()
 
 
+def test_sharding_query_against_plain_packing(spark):
+    """Every group where the dot product is highest, large ones first, written out for one lot."""
+    from docquarry.llm.queries import op8_vector_sharding
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    groups = defaultdict(lambda: np.zeros(3))
+    for r in docs:
+        t = r["text"] or ""
+        groups[hashlib.md5(t.encode()).digest()] += (len(t.encode()) + 1, len(split_words(t)), 1)
+    total = sum(groups.values())
+    share = {g: x / total * 8 for g, x in groups.items()}
+    large = sorted((g for g in groups if (groups[g] / total).max() > 1 / sharding.PARTS))
+    small = sorted(set(groups) - set(large))
+    where, left = {}, np.ones((8, 3)) + np.array(sharding.SLACK)
+    for lot in (large, small):
+        if lot is small:
+            room = left - np.array(sharding.SLACK)
+            own = sum(share[g] for g in small) if small else np.zeros(3)
+            left = np.maximum(room, 0) / np.maximum(room, 0).sum(axis=0) * own + np.array(sharding.SLACK) * own / 8
+        for g in sorted(lot, key=lambda g: -share[g].max()):
+            fits = [s for s in range(8) if (np.round(left[s] - share[g], 12) >= 0).all()] or [s for s in range(8) if round(left[s][0] - share[g][0], 12) >= 0]
+            score = {s: round(float(left[s] @ share[g]), 12) for s in fits} or {s: round(left[s][0], 12) for s in range(8)}
+            where[g] = min(s for s in score if score[s] == max(score.values()))
+            left[where[g]] -= share[g]
+    got = {r["doc_id"]: r for r in op8_vector_sharding(spark, SMALL).collect()}
+    slots = defaultdict(list)
+    assert len(got) == len(docs)
+    for r in docs:
+        t, x = (r["text"] or "").encode(), got[r["doc_id"]]
+        assert (x["size"], x["text_crc32"], x["law"], x["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "bytes", None)
+        assert x["shard"] == where[hashlib.md5(t).digest()]
+        slots[x["shard"]].append(x["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_lots_are_packed_apart(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "LOT", 500)
+    rng = random.Random(3)
+    got = shard_rows(spark, [(i, " ".join(["w"] * rng.randrange(1, 80)) + str(i)) for i in range(6000)])
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["bytes"]
+    assert len(got) == 6000 and len(load) == 8 and max(load.values()) <= 1.02 * min(load.values())
+
+
 def test_groups_stay_together_and_sizes_are_near(spark):
     rng = random.Random(9)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 80)) + str(i)) for i in range(4000)] + [(5000 + i, "copy of one text") for i in range(300)]
@@ -371,6 +448,9 @@ def test_sharding_on_odd_rows(spark, odd):
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = shard_rows(spark, rows)
     assert len(got) == len(rows) and shard_rows(spark, []) == []
+    own = ["shard", "slot", "rows", "_row", "_group", "_to", "_range", "_d0"]
+    clash = spark.createDataFrame([(1, 2, 3, "g", *own)], "doc_id long, bytes long, tokens long, `group` string, " + ", ".join(f"{c} string" for c in own))
+    assert sharding.sharded(clash).select(*own).first() == tuple(own) and sharding.sharded(clash).columns[-2:] == ["shard_", "slot_"]
     per = defaultdict(list)
     for r in got:
         per[r["shard"]].append(r["slot"])
