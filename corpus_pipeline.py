@@ -38,8 +38,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order."""
-    sized = docs.withColumn("size", n_words(F.col("text"))).withColumn("order_key", mixture.order_key("doc_id", F.coalesce("text", F.lit(""))))
-    return mixture.in_training_order(mixture.mixed(sized)).select(*docs.columns)
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name of docs clashes
+    sized = docs.select(doc, "doc_id", "source", n_words(F.col("text")).alias("size"), mixture.order_key("doc_id", F.coalesce("text", F.lit(""))).alias("order_key"))
+    return mixture.in_training_order(mixture.mixed(sized)).select("doc.*")
 
 
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
