@@ -83,7 +83,7 @@ def with_aliases(question: Column, most: int = 2) -> Column:
     """The question with up to two other names of its metric."""
     metric, low, out = finance.matched_metric(question), F.lower(question), question
     for key, aliases in finance.ALIASES.items():
-        missing = F.slice(F.filter(F.array(*map(F.lit, aliases.split("|"))), lambda a: ~F.contains(low, F.lower(a))), 1, most)
+        missing = F.slice(F.filter(F.array(*map(F.lit, aliases)), lambda a: ~F.contains(low, F.lower(a))), 1, most)
         out = F.when(metric == key, F.concat_ws(" ", question, F.array_join(missing, " "))).otherwise(out)
     return F.trim(out)
 
@@ -91,7 +91,7 @@ def with_aliases(question: Column, most: int = 2) -> Column:
 def metric_keys(question: Column) -> Column:
     """All metrics of a question, without those whose name stands only within a longer name: longer names
     are taken out of the text before shorter ones are looked for."""
-    order = sorted(((a, k) for k, v in finance.ALIASES.items() for a in v.split("|")), key=lambda x: (-len(x[0]), x[0]))
+    order = sorted(((a, k) for k, v in finance.ALIASES.items() for a in v), key=lambda x: (-len(x[0]), x[0]))
     names = F.array(*(F.struct(F.lit(a).alias("alias"), F.lit(k).alias("key")) for a, k in order))
     start = F.struct(F.lower(question).alias("rest"), F.array().cast("array<string>").alias("keys"))
     step = lambda s, n: F.when(F.contains(s["rest"], n["alias"]), F.struct(F.replace(s["rest"], n["alias"], F.lit("\x00")).alias("rest"), F.array_union(s["keys"], F.array(n["key"])).alias("keys"))).otherwise(s)

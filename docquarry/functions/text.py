@@ -82,6 +82,16 @@ def _grams(bare: Column, n: int) -> Column:
     return F.when(F.length(bare) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - (n - 1), F.lit(1))), lambda i: F.substr(bare, i, F.lit(n))))
 
 
+def tokens(text: Column) -> Column:
+    """Words between white space; none in an empty text or null."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{WS}+"), lambda w: w != "")
+
+
+def char_grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters as they stand."""
+    return bound(text, lambda b: F.array_distinct(_grams(b, n)))
+
+
 def bigrams(text: Column) -> Column:
     """Distinct pairs of characters, white space left out."""
     return bound(F.regexp_replace(F.lower(text), f"{WS}+", ""), lambda b: F.array_distinct(_grams(b, 2)))

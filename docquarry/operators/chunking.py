@@ -34,16 +34,35 @@ def section_tree(lines: DataFrame) -> DataFrame:
 
 def packed(lines: Column, target: int = TARGET, overlap: int = OVERLAP_CHARS) -> Column:
     """Chunks of an array of lines: lines are gathered until another would exceed the target; the next
-    chunk begins with the end of the last one.  Lines over ``MOST`` tokens stand alone, cut by sentences."""
-    start = F.struct(F.lit("").alias("buffer"), F.array().cast("array<string>").alias("out"))
+    chunk begins with the end of the last one.
 
-    def step(a: Column, line: Column) -> Column:
-        joined = F.when(a["buffer"] == "", line).otherwise(F.concat(a["buffer"], F.lit("\n"), line))
-        full = (a["buffer"] != "") & (T.token_count(joined) > target)
-        again = F.concat(F.right(a["buffer"], F.lit(overlap)), F.lit("\n"), line)
-        return F.struct(F.when(full, again).otherwise(joined).alias("buffer"), F.when(full, F.concat(a["out"], F.array(a["buffer"]))).otherwise(a["out"]).alias("out"))
+    A fold carries the size of what is gathered and its end, and notes where chunks begin, so the work is linear in
+    the lines; the chunks are then cut from the array."""
+    mark = lambda at, head: F.struct(at.alias("at"), head.alias("head"))
+    start = F.struct(F.lit(0).alias("han"), F.lit(0).alias("chars"), F.lit("").alias("tail"), F.lit(0).alias("n"), F.array().cast("array<struct<at:int,head:string>>").alias("out"))
+    han = lambda t: F.regexp_count(t, F.lit(T.CJK))
+    tokens = lambda h, c: h + F.greatest(F.lit(1), F.floor((c - h) / 4).cast("int"))
 
-    return F.aggregate(lines, start, step, lambda a: F.when(a["buffer"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(a["buffer"]))))
+    def step(a: Column, line: Column) -> Column:
+        h, c = a["han"] + han(line), a["chars"] + 1 + F.length(line)
+        full = (a["chars"] > 0) & (tokens(h, c) > target)
+        again = F.concat(a["tail"], F.lit("\n"), line)
+        joined = F.when(a["chars"] == 0, line).otherwise(again)
+        begun = F.when(a["chars"] == 0, F.concat(a["out"], F.array(mark(a["n"], F.lit(None).cast("string"))))).when(full, F.concat(a["out"], F.array(mark(a["n"], a["tail"])))).otherwise(a["out"])
+        return F.struct(
+            F.when(a["chars"] == 0, han(line)).when(full, han(again)).otherwise(h).alias("han"),
+            F.when(a["chars"] == 0, F.length(line)).when(full, F.length(again)).otherwise(c).alias("chars"),
+            F.right(joined, F.lit(overlap)).alias("tail"),
+            (a["n"] + 1).alias("n"),
+            begun.alias("out"),
+        )
+
+    def cut(own: Column) -> Column:
+        marks = F.aggregate(own, start, step, lambda a: a["out"])
+        body = lambda ms, m, i: F.array_join(F.slice(own, m["at"] + 1, F.coalesce(F.get(ms, i + 1)["at"], F.size(own)) - m["at"]), "\n")
+        return T.bound(marks, lambda ms: F.transform(ms, lambda m, i: F.concat(F.coalesce(F.concat(m["head"], F.lit("\n")), F.lit("")), body(ms, m, i))))
+
+    return T.bound(lines, cut)
 
 
 def content_lines(text: Column) -> Column:
@@ -118,3 +137,24 @@ def refined(sentences: DataFrame, similar: float = 0.5, least_tokens: int = 128)
     each = rows.select("chunk_id", F.explode(F.arrays_zip(F.col("_r").alias("r"), F.aggregate("_r", start, step, lambda a: a["of"]).alias("part"))).alias("z"))
     out = each.groupBy("chunk_id", F.col("z.part").alias("part")).agg(F.array_sort(F.collect_list(F.struct(F.col("z.r.n").alias("n"), F.col("z.r.sentence").alias("s")))).alias("_l"))
     return out.select("chunk_id", "part", F.array_join(F.transform("_l", lambda x: x["s"]), "").alias("content"))
+
+
+def composed(parent_rows: DataFrame, leaf_rows: DataFrame) -> DataFrame:
+    """Parents, then leaves, with their place among the document's chunks.  Both: doc_id, chunk_id, parent_id, seq,
+    content."""
+    both = parent_rows.withColumn("kind", F.lit("section")).unionByName(leaf_rows.withColumn("kind", F.lit("leaf")))
+    w = Window.partitionBy("doc_id").orderBy(F.col("kind") == "leaf", "seq", "chunk_id")
+    return both.withColumn("place", F.row_number().over(w))
+
+
+def with_summaries(chunks: DataFrame, summaries: DataFrame, overviews: DataFrame) -> DataFrame:
+    """chunks (doc_id, chunk_id, parent_id, page, path, kind, content) with those of summaries: of a section (doc_id,
+    parent_id, text) under that section, of which it has page and path, none without a section; of a document (doc_id,
+    text) without a parent.  Empty texts give none."""
+    above = chunks.where("kind = 'section'").select("doc_id", F.col("chunk_id").alias("parent_id"), "page", "path")
+    own = summaries.where("text <> ''").join(above, ["doc_id", "parent_id"])
+    whole = overviews.where("text <> ''").select("doc_id", F.lit(None).cast(chunks.schema["parent_id"].dataType).alias("parent_id"), "text", F.lit(1).alias("page"), F.lit("文档综述").alias("path"))
+    name = F.concat_ws(":", F.lit("summary"), F.col("doc_id").cast("string"), F.coalesce(F.col("parent_id").cast("string"), F.lit("all")))
+    new = own.select("doc_id", "parent_id", "text", "page", "path").unionByName(whole)
+    new = new.select("doc_id", name.alias("chunk_id"), "parent_id", "page", "path", F.lit("summary").alias("kind"), F.col("text").alias("content"))
+    return chunks.select(*new.columns).unionByName(new)

@@ -32,7 +32,9 @@ def aliases(companies: DataFrame) -> DataFrame:
 def mentioned(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(qid, company): companies any of whose aliases stands in the question."""
     q = questions.select("qid", F.lower(T.simplified(F.col("question"))).alias("_q"))
-    return q.join(F.broadcast(aliases(companies)), F.contains("_q", "alias")).select("qid", "company").distinct()  # a few aliases for each company
+    # a question that holds an alias has its first two characters next to each other
+    pairs = q.select("qid", "_q", F.explode(T.char_grams(F.col("_q"), 2)).alias("_key"))
+    return pairs.join(aliases(companies).withColumn("_key", F.substring("alias", 1, 2)), "_key").where(F.contains("_q", "alias")).select("qid", "company").distinct()
 
 
 def subject_text(question: Column) -> Column:
@@ -41,7 +43,7 @@ def subject_text(question: Column) -> Column:
 
     s = F.regexp_replace(question, "(?i)(19|20)[0-9]{2}\\s*年度?|fiscal\\s+year\\s+(19|20)[0-9]{2}|fy(19|20)[0-9]{2}|(19|20)[0-9]{2}", " ")
     low = F.lower(s)
-    longest = F.coalesce(*(F.when(low.contains(a), F.lit(a)) for a in sorted({a for v in finance.ALIASES.values() for a in v.split("|")}, key=len, reverse=True)), F.lit("\x00"))
+    longest = F.coalesce(*(F.when(low.contains(a), F.lit(a)) for a in sorted({a for v in finance.ALIASES.values() for a in v}, key=len, reverse=True)), F.lit("\x00"))
     s = F.replace(low, longest, F.lit(""))
     s = F.regexp_replace(F.replace(F.replace(s, F.lit("'s"), F.lit(" ")), F.lit("'"), F.lit(" ")), f"\\b({ENGLISH_FILLERS})\\b", " ")
     for f in FILLERS:
@@ -62,7 +64,11 @@ def subject(questions: DataFrame, companies: DataFrame) -> DataFrame:
     c = companies.select("company", F.lower(T.simplified(F.col("company"))).alias("_c")).distinct()
     hit = (F.length("_s") >= 2) & (in_order(F.col("_s"), F.col("_c")) | in_order(F.col("_c"), F.col("_s")))
     one = lambda df: df.groupBy("qid").agg(F.count("*").alias("n"), F.min("company").alias("company")).where("n = 1").select("qid", "company")
-    first = one(q.join(F.broadcast(c), hit).select("qid", "company").distinct())  # companies are a dimension
+    # where one stands in the other in order, the other has its first character
+    letters = lambda of: F.explode(F.array_distinct(F.split(of, ""))).alias("_key")
+    held = q.withColumn("_key", F.substring("_s", 1, 1)).join(c.select("*", letters("_c")), "_key")
+    holds = q.select("*", letters("_s")).join(c.withColumn("_key", F.substring("_c", 1, 1)), "_key")
+    first = one(held.unionByName(holds).where(hit).select("qid", "company").distinct())
     second = one(mentioned(questions, companies)).withColumnRenamed("company", "_m")
     return questions.select("qid").join(first, "qid", "left").join(second, "qid", "left").select("qid", F.coalesce("company", "_m").alias("company"))
 

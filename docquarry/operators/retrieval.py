@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions import text as T
 from docquarry.functions import vectors
 
 RRF_K = 60
@@ -46,20 +47,39 @@ def payload_filter(df: DataFrame, years: list[int] | None = None, year: int | No
 # --- routes -------------------------------------------------------------------------------------
 
 
-def dense_route(questions: DataFrame, chunks: DataFrame, k: int, threshold_rows: int = 10_000) -> DataFrame:
-    """Exact cosine top-k of a stated set of questions (qid, vector) against all chunks (chunk_id, vector).
+def scored(questions: DataFrame, chunks: DataFrame, on: Column | None = None) -> DataFrame:
+    """questions x chunks with ``score``, their vectors' cosine (and without the vectors).
 
-    The questions are broadcast only up to ``threshold_rows``; a larger set is dealt out in blocks, each
-    block against all chunks.
-    """
-    n = questions.count()
-    parts = [questions] if n <= threshold_rows else [questions.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // threshold_rows))) == i) for i in range(-(-n // threshold_rows))]
-    out = None
-    for part in parts:
-        pairs = chunks.select("chunk_id", F.col("vector").alias("_v")).join(F.broadcast(part.select("qid", F.col("vector").alias("_q"))), F.lit(True))
-        scored = pairs.select("qid", "chunk_id", F.round(vectors.cosine(F.col("_q"), F.col("_v")), 9).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
-    return top(out, k)
+    The questions are a stated set.  Spark broadcasts them if they are under its threshold; otherwise it deals both
+    sides out in blocks (a task for each pair of partitions), so neither has to fit anywhere whole."""
+    q = questions.withColumnRenamed("vector", "_q")
+    pairs = chunks.withColumnRenamed("vector", "_v").join(q, F.lit(True) if on is None else on)
+    return pairs.withColumn("score", F.round(vectors.cosine(F.col("_q"), F.col("_v")), 9)).drop("_q", "_v")
+
+
+def dense_route(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """Exact cosine top-k of a stated set of questions (qid, vector) against all chunks (chunk_id, vector)."""
+    return top(scored(questions.select("qid", "vector"), chunks.select("chunk_id", "vector")).select("qid", "chunk_id", "score"), k)
+
+
+def holding(phrases: DataFrame, texts: DataFrame, phrase: str, text: str, gram: int = 5) -> DataFrame:
+    """phrases x texts, where the text holds the phrase, character for character.
+
+    A phrase of gram + 2 words or more has gram whole words after its first; a text that holds it has them too, so
+    these are the join's key, and what meets is verified.  Shorter phrases have fewer such words (those of three words one), and those of
+    one or two words none: they are compared with every text, as no key of theirs need be in it."""
+    p = phrases.withColumn("_w", T.tokens(F.col(phrase))).withColumn("_n", F.least(F.lit(gram), F.size("_w") - 2))
+    keyed = p.where("_n >= 1").withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", 2, F.col("_n")), " "))).drop("_w")
+    words = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("_text"), T.tokens(F.col(text)).alias("_w"))
+    key = lambda i, n: F.xxhash64(F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
+    lengths = [r[0] for r in keyed.select("_n").distinct().collect()]  # at most gram numbers
+    out = p.where("_n < 1").drop("_w", "_n").join(texts, F.contains(F.col(text), F.col(phrase)))
+    for n in sorted(lengths):
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: key(i, n)))
+        there = words.where(F.size("_w") >= n).select("_text", F.explode(grams).alias("_key"))
+        met = keyed.where(F.col("_n") == n).drop("_n").join(there, "_key").where(F.contains(F.col(f"_text.{text}"), F.col(phrase)))
+        out = out.unionByName(met.drop("_key").select(*phrases.columns, "_text.*"))
+    return out
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
@@ -72,17 +92,19 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def idf_table(terms: DataFrame) -> DataFrame:
-    n = terms.select("doc_id").distinct().count()
-    return document_frequency(terms).withColumn("idf", idf(F.col("df"), F.lit(n)))
+    n = terms.agg(F.count_distinct("doc_id").alias("_n"))  # one row
+    return document_frequency(terms).crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("_n")).alias("idf"))
 
 
 def sparse_route(query_terms: DataFrame, doc_terms: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
     """Dot product of (qid, term, tf) and (doc_id, term, tf), each query weight times the term's idf if
-    given.  Terms without a positive weight say nothing."""
+    given.  Terms without a positive weight say nothing.  Only postings of terms that are asked for are joined."""
     q = query_terms.select("qid", "term", F.col("tf").cast("double").alias("w"))
     if weights is not None:
-        q = q.join(weights.select("term", "idf"), "term").select("qid", "term", (F.col("w") * F.col("idf")).alias("w")).where("w > 0")
-    scored = q.join(doc_terms.select("term", F.col("doc_id").alias("chunk_id"), "tf"), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 9).alias("score"))
+        asked = q.select("term").distinct()
+        q = q.join(weights.join(asked, "term", "left_semi").select("term", "idf"), "term").select("qid", "term", (F.col("w") * F.col("idf")).alias("w")).where("w > 0")
+    postings = doc_terms.join(q.select("term").distinct(), "term", "left_semi")
+    scored = q.join(postings.select("term", F.col("doc_id").alias("chunk_id"), "tf"), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 9).alias("score"))
     return top(scored, k)
 
 
@@ -249,3 +271,49 @@ def asof_section(pages: DataFrame, sections: DataFrame, key: str = "doc_id", at:
     w = Window.partitionBy(key).orderBy(at, "_kind", "_tie")
     found = F.coalesce(F.last("_value", ignorenulls=True).over(w), F.first("_value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     return both.withColumn(value, found).where("_kind = 1").drop("_kind", "_value", "_tie")
+
+
+def followed(rows: DataFrame, key: str, order: str, value: str, width: int = 4096) -> DataFrame:
+    """rows (key, order: a whole number, value) with ``next``: the value of the key's next row.  Numbered in ranges
+    of ``width``, so that no task holds a key; the last row of a range gets the first of the key's next range from a
+    small table."""
+    r = rows.withColumn("_range", F.floor(F.col(order) / width))
+    own = r.withColumn("_next", F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key, "_range").orderBy(order)))
+    first = r.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
+    later = first.select("_key", F.lag("_r").over(Window.partitionBy("_key").orderBy("_r")).alias("_r"), "_first").where("_r IS NOT NULL")
+    joined = own.join(later, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_range") == F.col("_r")), "left")
+    return joined.withColumn("next", F.coalesce("_next", "_first")["v"]).drop("_range", "_next", "_key", "_r", "_first")
+
+
+def children(parents: DataFrame, chunks: DataFrame, most: int) -> DataFrame:
+    """(qid, chunk_id, rank): the chunks of each question's parents (qid, doc_id, parent_id, rank), by the parent's
+    rank, then by place."""
+    found = chunks.join(parents.select("qid", "doc_id", "parent_id", F.col("rank").alias("_rank")), ["doc_id", "parent_id"])
+    w = Window.partitionBy("qid").orderBy("_rank", "seq", "chunk_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "chunk_id", "rank")
+
+
+def section_fetch(chunks: DataFrame, docs: DataFrame, most: int = 5000) -> DataFrame:
+    """Sections of the documents (qid, doc_id) asked for, in order of document, page, path and id: at most so many for
+    each question."""
+    found = chunks.where("chunk_type = 'section'").join(docs, "doc_id")
+    w = Window.partitionBy("qid").orderBy("doc_id", "page", "path", "chunk_id")
+    return found.withColumn("position", F.row_number().over(w)).where(F.col("position") <= most)
+
+
+def hybrid(routes: list[DataFrame], injections: list[DataFrame], chunks: DataFrame, users: DataFrame, k: int = 8, candidates: int = 8) -> DataFrame:
+    """(qid, chunk_id, rank, tier) of a batch of questions as one plan: the routes are fused, the best candidates of
+    that are kept, hits of the injections (exact phrases, relayed facts) go before them, and what the asking user
+    (users: qid, org, levels) may not read is left out before the first k are taken.  chunks: chunk_id, org, visibility."""
+    fused = fuse(routes).where(F.col("rank") <= candidates).select("qid", "chunk_id", F.col("fused_score").alias("score"), "rank")
+    every = injected([*injections, fused]).select("qid", "chunk_id", "tier", "position")
+    allowed = every.join(chunks.select("chunk_id", "org", "visibility"), "chunk_id").join(users.select("qid", F.col("org").alias("_org"), "levels"), "qid")
+    allowed = allowed.where((F.col("org") == F.col("_org")) & F.array_contains("levels", F.col("visibility")))
+    return allowed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("position"))).where(F.col("rank") <= k).select("qid", "chunk_id", "tier", "rank")
+
+
+def reranked_list(scores: Column, documents: Column, most: int | None = None) -> Column:
+    """Array of {index, score, document}: by score, then as they came."""
+    each = F.transform(scores, lambda s, i: F.struct((-s).alias("order"), i.alias("index"), s.alias("score"), F.get(documents, i).alias("document")))
+    out = F.transform(F.array_sort(each), lambda x: F.struct(x["index"].alias("index"), x["score"].alias("score"), x["document"].alias("document")))
+    return out if most is None else F.slice(out, 1, most)

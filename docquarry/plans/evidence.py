@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import questions as Q
 from docquarry.operators import chunking, context, evaluation, graph, registry, sections
+from docquarry.operators import retrieval as R
 from docquarry.plans.registry import register
 from docquarry.plans.retrieval import _SPARSE, text_terms
 from docquarry.plans.tables import FACTS_SQL, facts, table
@@ -39,24 +40,28 @@ def graph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "section_scores",
-    """WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS doc_id, regexp_replace(lower(text[:60]), '[^a-z0-9]', '', 'g') AS s FROM benchmark),
-    d AS (SELECT source AS doc_id, doc_id AS section_id, regexp_replace(lower(text[:40]), '[^a-z0-9]', '', 'g') AS p, regexp_replace(lower(text[:600]), '[^a-z0-9]', '', 'g') AS c FROM documents WHERE lang = 'en'),
+    """WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM benchmark),
+    d AS (SELECT source AS doc_id, doc_id AS section_id, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS p, regexp_replace(lower(text[:600]), '[^a-z0-9]', '', 'g') AS c FROM documents),
     qg AS (SELECT qid, doc_id, list_distinct([substr(s, i, n) for i in range(1, length(s) - n + 2) for n in [2]] || [substr(s, i, 3) for i in range(1, length(s) - 1)] || [substr(s, i, 4) for i in range(1, length(s) - 2)] || [substr(s, i, 5) for i in range(1, length(s) - 3)]) AS g FROM (SELECT *, 2 AS n FROM q)),
     dg AS (SELECT doc_id, section_id, list_distinct([substr(p, i, 2) for i in range(1, length(p))] || [substr(p, i, 3) for i in range(1, length(p) - 1)] || [substr(p, i, 4) for i in range(1, length(p) - 2)] || [substr(p, i, 5) for i in range(1, length(p) - 3)]) AS pg,
       list_distinct([substr(c, i, 2) for i in range(1, length(c))] || [substr(c, i, 3) for i in range(1, length(c) - 1)] || [substr(c, i, 4) for i in range(1, length(c) - 2)] || [substr(c, i, 5) for i in range(1, length(c) - 3)]) AS cg FROM d)
-    SELECT qid, section_id, CAST(3 * coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, pg)]), 0) + coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, cg)]), 0) AS INT) AS score FROM qg JOIN dg USING (doc_id)""".replace("[substr(s, i, n) for i in range(1, length(s) - n + 2) for n in [2]]", "[substr(s, i, 2) for i in range(1, length(s))]"),
+    SELECT qid, section_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS n FROM (SELECT qid, section_id, CAST(3 * coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, pg)]), 0) + coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, cg)]), 0) AS INT) AS score FROM qg JOIN dg USING (doc_id))) WHERE n <= 30""".replace("[substr(s, i, n) for i in range(1, length(s) - n + 2) for n in [2]]", "[substr(s, i, 2) for i in range(1, length(s))]"),
 )
 def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as questions to the English documents of one source each, these as its sections."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"), F.substring("text", 1, 60).alias("question"))
-    s = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("section_id"), F.lit(1).alias("page"), F.substring("text", 1, 40).alias("path"), F.col("text").alias("content"))
-    return sections.scored(q, s).select("qid", "section_id", F.col("score").cast("int").alias("score"))
+    """Benchmark items as questions to the documents of one source each, these as its sections (whole first
+    lines as paths; of the content the first 600 characters, which is the score's definition): the best 30."""
+    return R.top(_section_scores(spark, sf_dir), 30, tie="section_id").select("qid", "section_id", F.col("score").cast("int").alias("score"))
+
+
+def _section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"), F.col("text").alias("question"))
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("section_id"), F.lit(1).alias("page"), F.get(F.split("text", "\n"), F.lit(0)).alias("path"), F.col("text").alias("content"))
+    return sections.scored(q, s)
 
 
 @register("section_coverage")
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = section_scores(spark, sf_dir).withColumns({"doc_id": F.col("qid") % 20, "page": F.col("section_id")})
-    return sections.covered(scored, limit=30)
+    return sections.covered(_section_scores(spark, sf_dir).withColumn("page", F.col("section_id")), limit=30)
 
 
 @register(
@@ -77,8 +82,6 @@ def question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the sparse route first, then what BM25 adds."""
-    from docquarry.operators import retrieval as R
-
     q, d = text_terms(spark, sf_dir)
     as_page = lambda df: df.select("qid", F.lit(0).alias("doc_id"), F.col("chunk_id").alias("page"), "rank")
     prior, more = as_page(R.sparse_route(q, d, 20, R.idf_table(d)).where("rank <= 5")), as_page(R.bm25_route(q, d, 20))
@@ -131,13 +134,10 @@ def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, label, round(list_dot_product(e, f) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(f, f))), 6) AS similarity FROM p WHERE f IS NOT NULL""",
 )
 def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     from docquarry.functions import vectors
 
-    w = Window.partitionBy("label").orderBy("vec_id")
-    v = table(spark, sf_dir, "embeddings").withColumn("_next", F.lead("embedding").over(w)).where("_next IS NOT NULL")
-    return v.select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("_next")), 6).alias("similarity"))
+    v = R.followed(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").where("next IS NOT NULL")
+    return v.select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
 
 
 @register("packed_context")

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.functions import vectors
 from docquarry.operators import retrieval as ops
 from docquarry.plans.registry import register
 from docquarry.plans.tables import TERMS_SQL, table, terms
+from docquarry.sources.shared import written
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Vectors 0 to 49 as questions, and all vectors."""
+    """Every vector whose id is divisible by 20 as a question, and all vectors."""
     v = table(spark, sf_dir, "embeddings")
-    questions = v.where("vec_id < 50").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
+    questions = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"), F.col("label").alias("wanted"))
     return questions, v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
 
@@ -25,13 +25,14 @@ def dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
 
 
 def text_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return terms(table(spark, sf_dir, "benchmark"), "item_id", name="qid"), terms(table(spark, sf_dir, "documents"), "doc_id")
+    """Terms of all benchmark items and, written once as several routes read them, of all documents."""
+    return terms(table(spark, sf_dir, "benchmark"), "item_id", name="qid"), written(terms(table(spark, sf_dir, "documents"), "doc_id"), "terms")
 
 
 _V = """
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 scored AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, q.label AS wanted, c.label AS label,
-  round(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 9) AS score FROM v q CROSS JOIN v c WHERE q.vec_id < 50)"""
+  round(list_dot_product(q.e, c.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(c.e, c.e))), 9) AS score FROM v q CROSS JOIN v c WHERE q.vec_id % 20 = 0)"""
 
 
 def _top_sql(source: str, k: int) -> str:
@@ -46,17 +47,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("dense_topk_filtered", f"WITH {_V}, f AS (SELECT * FROM scored WHERE label = wanted AND chunk_id <> qid) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({_top_sql('f', 5)})")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
-    pairs = c.select("chunk_id", "label", F.col("vector").alias("_v")).join(F.broadcast(q), (F.col("label") == F.col("wanted")) & (F.col("chunk_id") != F.col("qid")))  # 50 questions
-    scored = pairs.select("qid", "chunk_id", F.round(vectors.cosine(F.col("vector"), F.col("_v")), 9).alias("score"))
-    return ops.top(scored, 5).withColumn("score", F.round("score", 6))
+    return ops.top(ops.scored(q, c, (F.col("label") == F.col("wanted")) & (F.col("chunk_id") != F.col("qid"))), 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @register("topk_per_label", f"WITH {_V} SELECT qid, label, chunk_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, chunk_id) AS INT) AS rank FROM scored) WHERE rank <= 2")
 def topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
-    scored = c.select("chunk_id", "label", F.col("vector").alias("_v")).join(F.broadcast(q), F.lit(True)).select("qid", "label", "chunk_id", F.round(vectors.cosine(F.col("vector"), F.col("_v")), 9).alias("score"))
     w = Window.partitionBy("qid", "label").orderBy(F.desc("score"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 2").drop("score")
+    return ops.scored(q, c).select("qid", "label", "chunk_id", "score").withColumn("rank", F.row_number().over(w)).where("rank <= 2").drop("score")
 
 
 @register("document_frequency", f"WITH {TERMS_SQL} SELECT term, count(*) AS df FROM doc_terms GROUP BY term")
@@ -177,7 +175,7 @@ def rebalance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fallback_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
-    s = c.select("chunk_id", "label", F.col("vector").alias("_v")).join(F.broadcast(q), F.lit(True)).select("qid", "chunk_id", "label", "wanted", F.round(vectors.cosine(F.col("vector"), F.col("_v")), 9).alias("score"))
+    s = ops.scored(q, c)
     level = F.explode(F.array(F.when((F.col("label") == F.col("wanted")) & (F.col("score") > 0.3), 0), F.when((F.col("label") == F.col("wanted")) & (F.col("score") > 0.1), 1), F.when(F.col("score") > 0.2, 2))).alias("level")
     levels = s.select("qid", "chunk_id", "score", level).where("level IS NOT NULL").select("qid", "level", "chunk_id", (F.col("score") > 0.25).alias("is_real"), F.lit(False).alias("is_relay"))
     return ops.first_healthy(levels).select("qid", "level", "chunk_id")
@@ -185,16 +183,19 @@ def fallback_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "char_ngram_overlap",
-    """WITH a AS (SELECT item_id, regexp_replace(lower(text[:80]), '[^a-z0-9]', '', 'g') AS s FROM benchmark),
-    g AS (SELECT item_id, list_distinct([substr(s, CAST(i AS BIGINT), 2) for i in range(1, length(s))]) AS g FROM a)
-    SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN len(x.g) + len(y.g) > 0 THEN 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) ELSE 0.0 END, 6) AS overlap
-    FROM g x JOIN g y ON x.item_id < y.item_id""",
+    """WITH a AS (SELECT item_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM benchmark),
+    g AS (SELECT item_id, list_distinct([substr(s, CAST(i AS BIGINT), 2) for i in range(1, length(s))]) AS g FROM a),
+    p AS (SELECT x.item_id AS a, y.item_id AS b, round(CASE WHEN len(x.g) + len(y.g) > 0 THEN 2.0 * len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g)) ELSE 0.0 END, 6) AS overlap
+      FROM g x JOIN g y ON x.item_id % 20 = 0 AND x.item_id <> y.item_id)
+    SELECT a, b, overlap FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY overlap DESC, b) AS n FROM p) WHERE n <= 10""",
 )
 def char_ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dice overlap of the beginnings of all benchmark items: a stated question set against itself."""
-    g = table(spark, sf_dir, "benchmark").select("item_id", T.char_ngrams(F.regexp_replace(F.lower(F.substring("text", 1, 80)), "[^a-z0-9]", ""), 2, 2).alias("g"))
-    pairs = g.select(F.col("item_id").alias("a"), F.col("g").alias("x")).join(F.broadcast(g.select(F.col("item_id").alias("b"), F.col("g").alias("y"))), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(T.dice(F.col("x"), F.col("y")), 6).alias("overlap"))
+    """The ten items nearest by Dice overlap to each item whose id is divisible by 20, over whole texts: a
+    stated question set against all rows, in blocks."""
+    g = table(spark, sf_dir, "benchmark").select("item_id", T.char_ngrams(F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""), 2, 2).alias("g"))
+    asked, all_items = g.where("item_id % 20 = 0").select(F.col("item_id").alias("a"), F.col("g").alias("x")), g.select(F.col("item_id").alias("b"), F.col("g").alias("y"))
+    pairs = all_items.join(asked, F.col("a") != F.col("b")).select("a", "b", F.round(T.dice(F.col("x"), F.col("y")), 6).alias("overlap"))
+    return ops.top(pairs, 10, "a", "overlap", "b").drop("rank")
 
 
 @register(
@@ -202,6 +203,6 @@ def char_ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
 )
 def question_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item word for word (theta join with a stated question set)."""
+    """Documents that hold a benchmark item word for word."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked"))
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(asked), F.contains("text", "asked")).select("item_id", "doc_id")
+    return ops.holding(asked, table(spark, sf_dir, "documents").select("doc_id", "text"), "asked", "text").select("item_id", "doc_id")
