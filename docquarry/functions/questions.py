@@ -109,3 +109,21 @@ def templated(company: Column, year: Column, label: Column) -> Column:
     """A question for a fact, in the language of the company's name."""
     english = company.rlike("^[\\x21-\\x7E]")
     return F.when(english, F.format_string("What was %s's %s in %d?", company, label, year)).otherwise(F.format_string("%s%d年%s是多少？", company, year, label))
+
+
+# Kinds of questions, the first that has a word of its own.
+SUBTYPES = (
+    ("趋势", ("趋势", "走势", "逐年", "变化", "变动", "演进", "增长情况", "同期")),
+    ("多跳", ("为什么", "原因", "导致", "影响", "如何", "怎样", "综合", "梳理", "说明")),
+    ("综述", ("总结", "综述", "概述", "归纳", "概括", "整体", "总体")),
+    ("比较", ("对比", "比较", "相比", "差异", "分别", "差距")),
+    ("对抗", ("是否", "核实", "正确", "真的", "属实", "吗", "还是")),
+)
+
+
+def subtype(question: Column) -> Column:
+    """The first kind one of whose words the question has, else 其他."""
+    out = F.lit("其他")
+    for name, words in reversed(SUBTYPES):
+        out = F.when(has_any(question, words), name).otherwise(out)
+    return out

@@ -69,7 +69,7 @@ def token_count(text: Column) -> Column:
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Distinct runs of low to high letters and digits of the lower-cased text, anything else left out."""
     bare = F.regexp_replace(F.lower(text), "[^a-z0-9\\x{4E00}-\\x{9FFF}]", "")
-    return bound(bare, lambda b: F.array_distinct(F.flatten(F.array(*(_grams(b, n) for n in range(low, high + 1))))))
+    return F.array_distinct(_grams(bare, *range(low, high + 1)))
 
 
 def bound(value: Column, f) -> Column:
@@ -77,9 +77,15 @@ def bound(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _grams(bare: Column, n: int) -> Column:
-    none = F.array().cast("array<string>")
-    return F.when(F.length(bare) < n, none).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(bare) - (n - 1), F.lit(1))), lambda i: F.substr(bare, i, F.lit(n))))
+def _grams(text: Column, *lengths: int) -> Column:
+    """Runs of so many characters: cut from an array of characters, as a place in a string is found by counting."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def cut(own: Column, n: int) -> Column:
+        starts = F.slice(own, 1, F.greatest(F.size(own) - (n - 1), F.lit(0)))
+        return starts if n == 1 else F.transform(starts, lambda c, i: F.concat(c, *(F.get(own, i + k) for k in range(1, n))))
+
+    return bound(letters, lambda own: F.flatten(F.array(*(cut(own, n) for n in lengths))))
 
 
 def tokens(text: Column) -> Column:
@@ -89,12 +95,12 @@ def tokens(text: Column) -> Column:
 
 def char_grams(text: Column, n: int) -> Column:
     """Distinct runs of n characters as they stand."""
-    return bound(text, lambda b: F.array_distinct(_grams(b, n)))
+    return F.array_distinct(_grams(text, n))
 
 
 def bigrams(text: Column) -> Column:
     """Distinct pairs of characters, white space left out."""
-    return bound(F.regexp_replace(F.lower(text), f"{WS}+", ""), lambda b: F.array_distinct(_grams(b, 2)))
+    return F.array_distinct(_grams(F.regexp_replace(F.lower(text), f"{WS}+", ""), 2))
 
 
 def dice(a: Column, b: Column) -> Column:

@@ -147,3 +147,67 @@ def cells_from_words(words: DataFrame, bands: DataFrame) -> DataFrame:
     inside = (F.col("_x") >= F.col("left")) & (F.col("_x") < F.col("right")) & (F.col("_y") >= F.col("top")) & (F.col("_y") < F.col("bottom"))
     found = w.join(bands, ["doc_id", "page"]).where(inside).groupBy("doc_id", "page", "row", "col").agg(F.array_sort(F.collect_list(F.struct("_y", "_x", "text"))).alias("_w"))
     return found.select("doc_id", "page", "row", "col", F.array_join(F.transform("_w", lambda v: v["text"]), " ").alias("text"))
+
+
+def elements(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """(doc_id, page, order, kind, text): a page's text, if there is any, then its tables (doc_id, page, table_no, cells)."""
+    t = pages.where(F.coalesce("text", F.lit("")) != "").select("doc_id", "page", F.lit(0).alias("_k"), F.lit(0).alias("_n"), F.lit("text").alias("kind"), "text")
+    c = tables.select("doc_id", "page", F.lit(1).alias("_k"), F.col("table_no").alias("_n"), F.lit("table").alias("kind"), table_text(F.col("cells")).alias("text"))
+    w = Window.partitionBy("doc_id", "page").orderBy("_k", "_n")
+    return t.unionByName(c).withColumn("order", F.row_number().over(w) - 1).drop("_k", "_n")
+
+
+def synced(given: DataFrame, pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """Elements (doc_id, page, order, kind, text) in line with cleaned pages and tables: a page's only text element has the page's
+    text, one of several is normalised by itself; the nth table element has the nth table's text."""
+    w = Window.partitionBy("doc_id", "page", F.col("kind") == "table")
+    e = given.withColumns({"_many": F.count("*").over(w), "_n": F.row_number().over(w.orderBy("order"))})
+    e = e.join(pages.select("doc_id", "page", F.col("text").alias("_page")), ["doc_id", "page"], "left")
+    t = tables.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("table_no"))).select("doc_id", "page", "_n", table_text(F.col("cells")).alias("_table"))
+    e = e.join(t, ["doc_id", "page", "_n"], "left")
+    text = F.when(F.col("kind") == "table", F.coalesce("_table", "text")).when(F.col("_many") == 1, F.col("_page")).otherwise(T.collapse(F.col("text")))
+    return e.select("doc_id", "page", "order", "kind", text.alias("text"))
+
+
+def page_text(body: Column, tables: Column) -> Column:
+    """A page's body and, after it, its rendered tables: each once, without those that are a block of the body."""
+    blocks = F.split(F.coalesce(body, F.lit("")), "\n[\\t\\x0B\\f\\r ]*\n")
+    more = F.array_except(F.array_distinct(F.filter(tables, lambda t: t != "")), blocks)
+    return F.array_join(F.concat(F.filter(F.array(body), lambda b: F.coalesce(b, F.lit("")) != ""), more), "\n\n")
+
+
+def recovered(pages: DataFrame, recognised: DataFrame) -> DataFrame:
+    """pages (doc_id, page, text, scanned) with ``text`` and ``recovered``: damaged and scanned pages have what was recognised
+    (doc_id, page, text), provided that it is there and whole for all such pages of the document; else no page is changed."""
+    r = recognised.select("doc_id", "page", F.col("text").alias("_new"))
+    p = pages.withColumn("_ask", F.coalesce("scanned", F.lit(False)) | F.coalesce(T.damaged(F.col("text")), F.lit(False))).join(r, ["doc_id", "page"], "left")
+    good = F.coalesce((T.strip(F.col("_new")) != "") & ~T.damaged(F.col("_new")), F.lit(False))
+    able = p.groupBy("doc_id").agg(F.bool_and(~F.col("_ask") | good).alias("_able"))
+    done = F.col("_ask") & F.col("_able")
+    return p.join(able, "doc_id").select("doc_id", "page", F.when(done, F.col("_new")).otherwise(F.col("text")).alias("text"), done.alias("recovered"))
+
+
+def repaired_splits(rows: DataFrame) -> DataFrame:
+    """rows (cells array of {text, x1}, top, bottom, words array of {text, x0, x1, top, bottom}) with ``texts``: the two halves
+    of a number that a column line cuts are one again, where exactly one word of the row lies across the line and reads
+    as both; the second cell is then empty.  A word of another row (under 30% of its height within this one) doesn't count."""
+    bare = lambda t: F.replace(t, F.lit(","), F.lit(""))
+
+    def across(left: Column, right: Column) -> Column:
+        """Words that the line between two cells cuts and that read as both."""
+        shown, more = F.regexp_replace(F.trim(left["text"]), "^[$]", ""), F.trim(right["text"])
+        able = shown.rlike("^[0-9]{1,3}(,[0-9]{1,3})*$") & more.rlike("^[0-9]+$")
+        overlap = lambda w: F.least(w["bottom"], F.col("bottom")) - F.greatest(w["top"], F.col("top"))
+        cut = lambda w: (bare(w["text"]) == bare(F.concat(shown, more))) & (w["x0"] < left["x1"] - 0.5) & (w["x1"] > left["x1"] + 0.5)
+        same_row = lambda w: (overlap(w) > 0) & (overlap(w) >= 0.3 * (w["bottom"] - w["top"]))
+        none = F.slice(F.col("words"), 1, 0)
+        return F.when(able, F.filter("words", lambda w: cut(w) & same_row(w))).otherwise(none)
+
+    found = F.transform("cells", lambda c, i: F.when(i < F.size("cells") - 1, across(c, F.get("cells", i + 1))))
+    r = rows.withColumn("_w", F.transform(found, lambda ws: F.when(F.size(ws) == 1, F.get(ws, F.lit(0))["text"])))
+    # of three cells in a row the first two go together
+    start = F.struct(F.lit(False).alias("last"), F.array().cast("array<boolean>").alias("of"))
+    takes = F.aggregate("_w", start, lambda a, w: F.struct((w.isNotNull() & ~a["last"]).alias("last"), F.concat(a["of"], F.array(w.isNotNull() & ~a["last"])).alias("of")), lambda a: a["of"])
+    r = r.withColumn("_t", takes)
+    text = lambda c, i: F.when(F.get("_t", i), F.get("_w", i)).when(F.coalesce(F.get("_t", i - 1), F.lit(False)), "").otherwise(c["text"])
+    return r.withColumn("texts", F.transform("cells", text)).drop("_w", "_t")

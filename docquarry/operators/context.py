@@ -67,3 +67,64 @@ def anchored(parent: Column, child: Column, before: int = 160) -> Column:
         head = F.substring(child, 1, n)
         out = F.when((F.length(child) >= n) & F.contains(parent, head), F.replace(parent, head, F.concat(F.lit("<hit>"), head, F.lit("</hit>")))).otherwise(out)
     return F.coalesce(out, parent)
+
+
+def deduplicated(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40, citation: int = 24) -> DataFrame:
+    """(qid, chunk_id, position, contained array<{chunk_id, start, length}>) of blocks (qid, chunk_id, doc_id, parent_id, kind,
+    rank, content): packed in rank order; then a child whose section is there too and holds it exactly once becomes
+    a citation of the section, and blocks that were left out come in where there is room.  Where the citations
+    themselves would not fit, the packed blocks stay as they were."""
+    b = packed(blocks, budget, overhead).select("qid", "chunk_id").withColumn("_in", F.lit(True))
+    own = F.struct("rank", "chunk_id", "doc_id", "parent_id", "kind", "content", F.coalesce("_in", F.lit(False)).alias("in"))
+    lists = blocks.join(b, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.array_sort(F.collect_list(own)).alias("_b"))
+    lists = lists.withColumn("_in", F.filter("_b", lambda x: x["in"]))
+    times = lambda whole, part: (F.length(whole) - F.length(F.replace(whole, part, F.lit("")))) / F.length(part)
+    holds = lambda p, c: (p["kind"] == "section") & (c["kind"] != "section") & (p["chunk_id"] == c["parent_id"]) & (p["doc_id"] == c["doc_id"]) & (F.length(c["content"]) > 0) & (times(p["content"], c["content"]) == 1)
+    cites = lambda p: F.transform(F.filter("_in", lambda c: F.coalesce(holds(p, c), F.lit(False))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), (F.instr(p["content"], c["content"]) - 1).alias("start"), F.length(c["content"]).alias("length")))
+    lists = lists.withColumn("_c", F.transform("_in", lambda p: F.struct(p["chunk_id"].alias("chunk_id"), F.length(p["content"]).alias("chars"), F.exists("_in", lambda q: F.coalesce(holds(q, p), F.lit(False))).alias("gone"), cites(p).alias("contained"))))
+    lists = lists.withColumn("_kept", F.filter("_c", lambda x: ~x["gone"]))
+    used = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x["chars"] + overhead + F.size(x["contained"]) * citation)
+    plain = F.transform("_c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["chars"].alias("chars"), F.lit(False).alias("gone"), F.slice(x["contained"], 1, 0).alias("contained")))
+    lists = lists.withColumn("_kept", F.when(used("_kept") <= budget, F.col("_kept")).otherwise(plain))
+    refill = lambda a, x: F.when(~x["in"] & (F.length(x["content"]) > 0) & (a["used"] + F.length(x["content"]) + overhead <= budget), F.struct((a["used"] + F.length(x["content"]) + overhead).alias("used"), F.concat(a["of"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), F.length(x["content"]).alias("chars"), F.lit(False).alias("gone"), F.slice(F.get("_c", F.lit(0))["contained"], 1, 0).alias("contained")))).alias("of"))).otherwise(a)
+    lists = lists.withColumn("_all", F.when(F.size("_kept") > 0, F.aggregate("_b", F.struct(used("_kept").alias("used"), F.col("_kept").alias("of")), refill, lambda a: a["of"])).otherwise(F.col("_kept")))
+    return lists.select("qid", F.posexplode("_all").alias("position", "x")).select("qid", "x.chunk_id", (F.col("position") + 1).alias("position"), "x.contained")
+
+
+def narrative(pieces: DataFrame, budget: int) -> DataFrame:
+    """pieces (qid, chunk_id, question, leaf, parent) with ``content`` and ``spans`` {origin, start, end}: whole sentences of leaf and
+    parent by score (shared pairs of characters, and four for each exact word), as many as the budget takes, each
+    once, in the order of their sources.  A sentence over the budget is left out, never cut."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9.%]{2,}"), F.lit(0)))
+    p = pieces.withColumns({"_pairs": T.bigrams(F.col("question")), "_words": words})
+
+    def sentences(text: Column, origin: str) -> Column:
+        raw = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s).+?(?:[.!?。！？](?=[\\t\\n\\x0B\\f\\r ]|$)|\\z)"), F.lit(0))
+        at = lambda rs, i: F.aggregate(F.slice(rs, 1, i), F.lit(0), lambda a, r: a + F.length(r))
+        lead = lambda r: F.length(r) - F.length(F.regexp_replace(r, f"^{T.WS}+", ""))
+        return T.bound(raw, lambda rs: F.transform(rs, lambda r, i: F.struct(F.lit(origin).alias("origin"), (at(rs, i) + lead(r)).alias("start"), T.strip(r).alias("text"))))
+
+    p = p.withColumn("_s", F.filter(F.concat(sentences(F.col("leaf"), "content"), sentences(F.col("parent"), "parent_content")), lambda s: (F.length(s["text"]) > 0) & (F.length(s["text"]) <= budget)))
+    key = lambda s: F.regexp_replace(s["text"], f"{T.WS}+", "")
+    first = F.filter("_s", lambda s, i: ~F.exists(F.slice("_s", 1, i), lambda o: key(o) == key(s)))
+    p = p.withColumn("_s", first)
+    score = lambda s: F.size(F.array_intersect(T.bigrams(s["text"]), F.col("_pairs"))) + 4 * F.size(F.filter("_words", lambda w: F.contains(F.lower(s["text"]), w)))
+    p = p.withColumn("_s", F.array_sort(F.transform("_s", lambda s: F.struct((-score(s)).alias("order"), s["origin"].alias("origin"), s["start"].alias("start"), s["text"].alias("text")))))
+    start = F.struct(F.lit(0).alias("used"), F.slice("_s", 1, 0).alias("of"))
+    cost = lambda a, s: F.length(s["text"]) + (F.size(a["of"]) > 0).cast("int")
+    take = lambda a, s: F.when(a["used"] + cost(a, s) <= budget, F.struct((a["used"] + cost(a, s)).alias("used"), F.concat(a["of"], F.array(s)).alias("of"))).otherwise(a)
+    chosen = F.aggregate("_s", start, take, lambda a: F.array_sort(F.transform(a["of"], lambda s: F.struct(s["origin"].alias("origin"), s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text")))))
+    p = p.withColumn("_k", chosen)
+    return p.withColumn("content", F.array_join(F.transform("_k", lambda s: s["text"]), "\n")).withColumn("spans", F.transform("_k", lambda s: s.dropFields("text"))).drop("_pairs", "_words", "_s", "_k")
+
+
+def source_safe(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40) -> DataFrame:
+    """(qid, chunk_id, position, path): blocks under a neutral path, as a page's inferred title proves nothing of its parts, packed
+    and deduplicated; of the others those come in that neither hold nor are held by one that is there."""
+    kept = deduplicated(blocks, budget, overhead)
+    text = kept.join(blocks.select("qid", "chunk_id", F.col("content").alias("_kept"), F.col("rank").alias("_r")), ["qid", "chunk_id"])
+    clash = blocks.select("qid", "chunk_id", "content").join(text.select("qid", F.col("chunk_id").alias("_o"), "_kept"), "qid").where((F.col("chunk_id") != F.col("_o")) & (F.contains("content", "_kept") | F.contains("_kept", "content")))
+    first = packed(blocks, budget, overhead).select("qid", "chunk_id", F.lit(True).alias("_first"))
+    out = kept.join(first, ["qid", "chunk_id"], "left").join(clash.select("qid", "chunk_id", F.lit(True).alias("_clash")).distinct(), ["qid", "chunk_id"], "left")
+    out = out.where("_first OR _clash IS NULL")
+    return out.select("qid", "chunk_id", F.row_number().over(Window.partitionBy("qid").orderBy("position")).alias("position"), F.lit("原文").alias("path"))

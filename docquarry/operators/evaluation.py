@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.functions import finance
+from docquarry.functions import questions as Q
+
 
 def ir_metrics(hits: DataFrame, relevant: DataFrame, k: int, idcg: str = "k") -> DataFrame:
     """A row for each question of relevant (qid, chunk_id): precision, recall, mrr, ndcg, all_hit and
@@ -62,3 +65,48 @@ def stratified(rows: DataFrame, stratum: str, key: str, share: float, seed: int
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     n = F.greatest(F.lit(1), F.round(F.count("*").over(w) * share))
     return rows.withColumn("_n", n).withColumn("_i", F.row_number().over(w.orderBy(order, key))).where("_i <= _n").drop("_i", "_n")
+
+
+def extraction_accuracy(golden: DataFrame, found: DataFrame) -> DataFrame:
+    """(qid, subject_ok, year_ok, value_ok) of golden (qid, metric, year, value) against what was read from the questions
+    and looked up (qid, metric, year, value).  A question without a year has it right."""
+    f = found.select("qid", F.col("metric").alias("_m"), F.col("year").alias("_y"), F.col("value").alias("_v"))
+    subject = F.coalesce(F.col("_m") == F.col("metric"), F.lit(False))
+    value = F.col("_m").isNotNull() & finance.equal_value(F.col("_v"), F.col("value"))
+    return golden.join(f, "qid", "left").select("qid", subject.alias("subject_ok"), (F.col("year").isNull() | F.coalesce(F.col("_y") == F.col("year"), F.lit(False))).alias("year_ok"), value.alias("value_ok"))
+
+
+def ablation(runs: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
+    """A row for each config of runs (config, qid, chunk_id, rank): questions and mean metrics, in one pass over all
+    configurations.  A question for which a configuration found nothing counts 0."""
+    pair = F.struct("config", "qid")
+    want = relevant.select("qid", "chunk_id").distinct().crossJoin(runs.select("config").distinct()).select(pair.alias("qid"), "chunk_id")  # a few configurations
+    each = ir_metrics(runs.select(pair.alias("qid"), "chunk_id", "rank"), want, k)
+    names = ("precision", "recall", "mrr", "ndcg", "context_precision")
+    return each.groupBy(F.col("qid.config").alias("config")).agg(F.count("*").alias("questions"), *(F.round(F.avg(n), 6).alias(n) for n in names), F.round(F.avg(F.col("all_hit").cast("double")), 6).alias("all_hit"))
+
+
+def holdout(facts: DataFrame, used: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """n facts (company, metric, year, value, unit, chunk_id) with a source that no question (company, metric, year) has used,
+    in order of a hash of the fact and the seed, with a question and the value as a question set states it."""
+    left = facts.where("coalesce(chunk_id, '') <> ''").join(used.select("company", "metric", "year").distinct(), ["company", "metric", "year"], "left_anti")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), "company", "metric", F.col("year").cast("string"), "chunk_id").cast("binary"))
+    chosen = left.withColumn("_o", order).orderBy("_o").limit(n)
+    return chosen.select("company", "metric", "year", "unit", "chunk_id", Q.templated(F.col("company"), F.col("year"), F.col("metric")).alias("question"), finance.thousands(F.col("value")).alias("snippet"))
+
+
+def judged_ratios(statements: DataFrame) -> DataFrame:
+    """(qid, kind, n, ratio): share of statements (qid, kind, ok) that a judge found supported or found."""
+    return statements.groupBy("qid", "kind").agg(F.count("*").alias("n"), F.round(F.avg(F.coalesce("ok", F.lit(False)).cast("int")), 4).alias("ratio"))
+
+
+def overview(runs: DataFrame, org: str, columns: list[str], limit: int = 12) -> DataFrame:
+    """The newest runs of an organisation, with the columns that may be shown."""
+    return runs.where(F.col("org") == org).orderBy(F.desc("created_at"), F.desc("run_id")).limit(limit).select(*columns)
+
+
+def hit_rates(events: DataFrame, by: list[str]) -> DataFrame:
+    """Hits, misses, other outcomes and the rate of hits among lookups (0 without any) of events (outcome)."""
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    lookups = n("hit") + n("miss")
+    return events.groupBy(*by).agg(n("hit").alias("hits"), n("miss").alias("misses"), F.count_if(~F.col("outcome").isin("hit", "miss")).alias("others"), F.when(lookups > 0, F.round(n("hit") / lookups, 4)).otherwise(0.0).alias("hit_rate"))

@@ -34,25 +34,30 @@ def year_columns(headers: Column) -> Column:
     return F.filter(F.transform(headers, lambda h, i: F.struct(i.alias("col"), finance.year_of_cell(h).alias("year"))), lambda x: x["year"].isNotNull())
 
 
-def row_values(cells: Column, headers: Column, years: Column, metric: Column) -> Column:
+def row_values(cells: Column, numbers: Column, growth: Column, years: Column, metric: Column) -> Column:
     """Array of {year, value, unit, raw}: for each year column, in order, the first number from the column
     itself (if the row has as many cells as there are heads) or from the six to its right, that isn't the
-    label, used already, under a head of growth, a percentage of an amount, or implausible."""
+    label, used already, under a head of growth, a percentage of an amount, or implausible.
+
+    numbers: the cells as numbers; growth: of each head, whether it is one of growth.  Both are columns, so that they
+    are computed once a row."""
     start = F.struct(F.array().cast("array<int>").alias("used"), F.expr("CAST(array() AS array<struct<year:int,value:double,unit:string,raw:string>>)").alias("out"))
 
     def able(i: Column, used: Column) -> Column:
-        n = finance.number(F.get(cells, i))
-        head = F.coalesce(F.get(headers, i), F.lit(""))
+        n = F.get(numbers, i)
         percent = (n["unit"] == "%") & metric.isin(*finance.MONETARY)
-        return (i > 0) & ~F.array_contains(used, i) & ~F.lower(head).rlike(GROWTH) & n["value"].isNotNull() & ~F.coalesce(percent, F.lit(False)) & F.coalesce(finance.plausible(metric, n["value"]), F.lit(False))
+        return (i > 0) & ~F.array_contains(used, i) & ~F.coalesce(F.get(growth, i), F.lit(False)) & n["value"].isNotNull() & ~F.coalesce(percent, F.lit(False)) & F.coalesce(finance.plausible(metric, n["value"]), F.lit(False))
 
     def step(a: Column, y: Column) -> Column:
-        first = F.when(F.size(cells) == F.size(headers), y["col"]).otherwise(y["col"] + 1)
+        first = F.when(F.size(cells) == F.size(growth), y["col"]).otherwise(y["col"] + 1)
         tries = F.filter(F.sequence(first, y["col"] + LOOK_RIGHT), lambda i: (i < F.size(cells)) & able(i, a["used"]))
-        at = F.get(tries, F.lit(0))
-        n = finance.number(F.get(cells, at))
-        found = F.struct(y["year"].alias("year"), n["value"].alias("value"), n["unit"].alias("unit"), F.get(cells, at).alias("raw"))
-        return F.when(at.isNull(), a).otherwise(F.struct(F.concat(a["used"], F.array(at)).alias("used"), F.concat(a["out"], F.array(found)).alias("out")))
+
+        def take(at: Column) -> Column:
+            n = F.get(numbers, at)
+            found = F.struct(y["year"].alias("year"), n["value"].alias("value"), n["unit"].alias("unit"), F.get(cells, at).alias("raw"))
+            return F.when(at.isNull(), a).otherwise(F.struct(F.concat(a["used"], F.array(at)).alias("used"), F.concat(a["out"], F.array(found)).alias("out")))
+
+        return T.bound(F.get(tries, F.lit(0)), take)
 
     return F.aggregate(years, start, step, lambda a: a["out"])
 
@@ -60,9 +65,11 @@ def row_values(cells: Column, headers: Column, years: Column, metric: Column) ->
 def from_tables(tables: DataFrame) -> DataFrame:
     """(doc_id, page, metric, year, value, unit, raw, source, seq): metrics in rows with years in the head,
     or years in rows with metrics in the head."""
-    t = tables.withColumns({"_years": year_columns(F.col("headers")), "_unit": finance.table_unit(F.col("headers"))})
-    by_row = t.select("doc_id", "page", "table_no", "headers", "_years", "_unit", F.posexplode("rows").alias("row_no", "cells")).withColumn("metric", finance.matched_metric(F.get("cells", F.lit(0))))
-    a = by_row.where("metric IS NOT NULL AND size(_years) > 0").select("doc_id", "page", "table_no", "row_no", "metric", "_unit", F.explode(row_values(F.col("cells"), F.col("headers"), F.col("_years"), F.col("metric"))).alias("v"))
+    growth = F.transform("headers", lambda h: F.coalesce(F.lower(h).rlike(GROWTH), F.lit(False)))
+    t = tables.withColumns({"_years": year_columns(F.col("headers")), "_unit": finance.table_unit(F.col("headers")), "_growth": growth})
+    by_row = t.select("doc_id", "page", "table_no", "headers", "_growth", "_years", "_unit", F.posexplode("rows").alias("row_no", "cells")).withColumn("metric", finance.matched_metric(F.get("cells", F.lit(0))))
+    known = by_row.where("metric IS NOT NULL AND size(_years) > 0").withColumn("_numbers", F.transform("cells", finance.number))
+    a = known.select("doc_id", "page", "table_no", "row_no", "metric", "_unit", F.explode(row_values(F.col("cells"), F.col("_numbers"), F.col("_growth"), F.col("_years"), F.col("metric"))).alias("v"))
     flipped = by_row.where("size(_years) = 0").withColumn("_year", finance.year_of_cell(F.get("cells", F.lit(0)))).where("_year IS NOT NULL")
     cell = flipped.select("doc_id", "page", "table_no", "row_no", "headers", "_unit", "_year", F.posexplode("cells").alias("col", "raw")).where("col > 0").withColumn("metric", finance.matched_metric(F.get("headers", F.col("col")))).where("metric IS NOT NULL")
     n = finance.number(F.col("raw"))

@@ -15,6 +15,23 @@ _WS = "[\\t\\n\\x0B\\f\\r ]"
 _STRIP = f"regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g')"
 _LINES = f"""l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
 s AS (SELECT *, {_STRIP} AS s FROM l)"""
+_LINES_F = _LINES.replace("FROM documents", "FROM f")
+
+
+#: What stands at the end of a report's page, put after each document.
+_FOOT = "chr(10) || '— ' || CAST(doc_id % 90 AS VARCHAR) || ' —' || chr(10) || 'Page ' || CAST(doc_id % 9 AS VARCHAR) || ' of 9' || chr(10) || '投资' || CAST(doc_id % 30 AS VARCHAR) || '.5 亿元'"
+_FOOTED = f"f AS (SELECT * REPLACE (text || {_FOOT} AS text) FROM documents)"
+
+
+def footed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a page number, a noise line and a number with its unit at the end."""
+    n = lambda m: (F.col("doc_id") % m).cast("string")
+    foot = F.concat(F.lit("\n— "), n(90), F.lit(" —\nPage "), n(9), F.lit(" of 9\n投资"), n(30), F.lit(".5 亿元"))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat("text", foot))
+
+
+def footed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return footed(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +58,11 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "noise_lines",
-    f"""WITH {_LINES} SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE s = '' OR lower(s) IN ('contents', 'table of contents', 'toc', 'page', '(this page intentionally left blank)')
+    f"""WITH {_FOOTED}, {_LINES_F} SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE s = '' OR lower(s) IN ('contents', 'table of contents', 'toc', 'page', '(this page intentionally left blank)')
       OR regexp_full_match(s, '[0-9.,\\-—–/\\\\%:：()（）\\t\\n\\x0B\\f\\r ]+') OR regexp_full_match(lower(s), 'page[ \\t]*[0-9]+[ \\t]*(of[ \\t]*[0-9]+)?') OR regexp_full_match(s, '[-—–_=*·~.\\t ]{{2,}}')""",
 )
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines(spark, sf_dir).where(T.is_noise_line(F.col("line"))).select("doc_id", "n")
+    return footed_lines(spark, sf_dir).where(T.is_noise_line(F.col("line"))).select("doc_id", "n")
 
 
 @register(
@@ -60,9 +77,9 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.repeated_lines(own, share=0.02)
 
 
-@register("page_number_lines", f"WITH {_LINES} SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE regexp_full_match(lower(s), '[-—–]?[ \\t]*([0-9]{{1,4}}|(page|p\\.?)[ \\t]*[0-9]{{1,4}})[ \\t]*[-—–]?')")
+@register("page_number_lines", f"WITH {_FOOTED}, {_LINES_F} SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE regexp_full_match(lower(s), '[-—–]?[ \\t]*([0-9]{{1,4}}|(page|p\\.?)[ \\t]*[0-9]{{1,4}})[ \\t]*[-—–]?')")
 def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_lines(spark, sf_dir).where(T.is_page_number(F.col("line"))).select("doc_id", "n")
+    return footed_lines(spark, sf_dir).where(T.is_page_number(F.col("line"))).select("doc_id", "n")
 
 
 @register(
@@ -106,11 +123,11 @@ def html_to_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "number_phrases",
-    """WITH p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(' ' || text, '[^0-9,.]([0-9]{1,3}(?:,[0-9]{3})+(?:[.][0-9]+)?|[0-9]{1,3}(?:[.][0-9]+)?)[\\t\\n ]*(?:个百分点|百万元|千万元|亿元|千元|万元|万亿|百万|倍|%|万户|万人|家|台|个|户|笔|人|名|次|条|项|处|件)', 0))) AS p FROM documents)
+    f"""WITH {_FOOTED}, p AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(' ' || text, '[^0-9,.]([0-9]{{1,3}}(?:,[0-9]{{3}})+(?:[.][0-9]+)?|[0-9]{{1,3}}(?:[.][0-9]+)?)[\\t\\n ]*(?:个百分点|百万元|千万元|亿元|千元|万元|万亿|百万|倍|%|万户|万人|家|台|个|户|笔|人|名|次|条|项|处|件)', 0))) AS p FROM f)
     SELECT DISTINCT doc_id, replace(replace(replace(p[2:], ',', ''), ' ', ''), chr(10), '') AS phrase FROM p""",
 )
 def number_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.number_phrases(F.col("text"))).alias("p"))
+    found = footed(spark, sf_dir).select("doc_id", F.explode(T.number_phrases(F.col("text"))).alias("p"))
     return found.select("doc_id", T.without_separators(F.col("p")).alias("phrase")).distinct()
 
 

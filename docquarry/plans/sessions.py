@@ -15,12 +15,13 @@ _WS = "[\\t\\n\\x0B\\f\\r ]"
 
 @register(
     "loop_detection",
-    f"""WITH k AS (SELECT conv_id, turn, regexp_replace(lower(regexp_replace(text, '{_WS}+', '', 'g')), '^[？?。.]+|[？?。.]+$', '', 'g') AS key FROM conversations WHERE role = 'user')
+    f"""WITH k AS (SELECT conv_id, turn, regexp_replace(lower(regexp_replace(string_split(text, ' ')[1], '{_WS}+', '', 'g')), '^[？?。.]+|[？?。.]+$', '', 'g') AS key FROM conversations WHERE role = 'user')
     SELECT * FROM (SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id, key ORDER BY turn ROWS UNBOUNDED PRECEDING) AS times FROM k WHERE key <> '') WHERE times >= 2""",
 )
 def loop_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions asked for the second time or more."""
-    return sessions.loops(table(spark, sf_dir, "conversations"), 2).select("conv_id", "turn", "times")
+    """Questions asked for the second time or more; a turn's first word stands for what it asks."""
+    turns = table(spark, sf_dir, "conversations").withColumn("text", F.get(F.split("text", " "), F.lit(0)))
+    return sessions.loops(turns, 2).select("conv_id", "turn", "times")
 
 
 @register("last_turns", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 4")

@@ -131,3 +131,17 @@ def zip_ratio(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "entries", "unpacked", "ratio"]).astype({"entries": "Int64", "unpacked": "Int64"})
 
     return files.select("path", "content").mapInPandas(run, "path string, entries long, unpacked long, ratio double")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files with a JSON object in each line; a line that is none is an error."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def report_html(matrix: DataFrame, order: list[str], columns: list[str]) -> DataFrame:
+    """(metric, html): a table of each metric's rows, as a report shows it; text is escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("—")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), safe(c), F.lit("</td>")) for c in columns), F.lit("</tr>"))
+    head = "<tr>" + "".join(f"<th>{c}</th>" for c in columns) + "</tr>"
+    rows = matrix.groupBy("metric").agg(F.array_sort(F.collect_list(F.struct(*order, row.alias("_row")))).alias("_r"))
+    return rows.select("metric", F.concat(F.lit("<section><h2>"), safe("metric"), F.lit(f"</h2><table>{head}"), F.array_join(F.transform("_r", lambda r: r["_row"]), ""), F.lit("</table></section>")).alias("html"))
