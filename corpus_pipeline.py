@@ -27,13 +27,16 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row: of least id, then of least hash of the text.  Rows without
-    an id come last."""
-    key, kept = free_name(docs, "_row"), free_name(docs, "_kept")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = written(docs.withColumn(key, order), "pipeline-rows")  # written, so that keys stay
+    an id come last.  Of rows that share both, the one of least hash of all its columns stays; they are reduced to it
+    before rows are shuffled, so copies of one row don't meet in a task.  No text is written again."""
+    key, kept, row = (free_name(docs, n) for n in ("_key", "_kept", "_row"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("text"))
+    rows = docs.withColumn(key, order)
     groups = simhash.near_groups(rows, key)
-    first = written(groups.where("id = component").select(F.col("id").alias(kept)), "pipeline-groups")
-    return rows.join(first, F.col(key) == F.col(kept), "left_semi").select(*docs.columns)
+    first = written(groups.where("id = component").select(F.col("id").alias(kept)).distinct(), "pipeline-groups")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(row))
+    return one.join(first, F.col(key) == F.col(kept), "left_semi").select(f"{row}.*")
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
