@@ -16,6 +16,20 @@ _STRIP = f"regexp_replace(line, '^{_WS}+|{_WS}+$', '', 'g')"
 _LINES = f"""l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents),
 s AS (SELECT *, {_STRIP} AS s FROM l)"""
 _LINES_F = _LINES.replace("FROM documents", "FROM f")
+_NOISE = """s = '' OR lower(s) IN ('contents', 'table of contents', 'toc', 'page', '(this page intentionally left blank)')
+      OR regexp_full_match(s, '[0-9.,\\-—–/\\\\%:：()（）\\t\\n\\x0B\\f\\r ]+') OR regexp_full_match(lower(s), 'page[ \\t]*[0-9]+[ \\t]*(of[ \\t]*[0-9]+)?') OR regexp_full_match(s, '[-—–_=*·~.\\t ]{2,}')"""
+_HEADS = """h AS (SELECT doc_id, n, s, CASE WHEN length(s) <= 40 AND upper(s) = s AND lower(s) <> s THEN 1
+      WHEN regexp_full_match(s, '[0-9]{1,2}([.][0-9]{1,2}){0,3}[\\t ]+.{1,60}') THEN length(regexp_extract(s, '^([0-9]{1,2}([.][0-9]{1,2}){0,3})', 1)) - length(replace(regexp_extract(s, '^([0-9]{1,2}([.][0-9]{1,2}){0,3})', 1), '.', '')) + 1
+      WHEN regexp_full_match(s, '[(][0-9]+[)][\\t ]*.{1,60}') THEN 2 END AS level FROM s WHERE s <> '' AND length(s) <= 80)"""
+#: Leaves of each document (the driver's have no Han characters): a step for each piece, with what has been gathered.
+LEAVES_SQL = f"""{_LINES}, own AS (SELECT doc_id, flatten(list(CASE WHEN length(s) // 4 > {chunking.MOST} THEN
+      [x for x in [regexp_replace(y, '^{_WS}+|{_WS}+$', '', 'g') for y in regexp_extract_all(s, '[^。；;!?！？]*[。；;!?！？]|[^。；;!?！？]+$')] if x <> ''] ELSE [s] END ORDER BY n)) AS a FROM s WHERE NOT ({_NOISE}) GROUP BY 1),
+cut AS (SELECT doc_id, flatten([CASE WHEN length(x) // 4 > {chunking.MOST} THEN [substr(x, CAST(i * {chunking.MOST * 4} + 1 AS BIGINT), {chunking.MOST * 4}) for i in range((length(x) - 1) // {chunking.MOST * 4} + 1)] ELSE [x] END for x in a]) AS a FROM own),
+piece AS MATERIALIZED (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS m FROM cut),
+fold AS (SELECT doc_id, m, 0 AS seq, line AS content FROM piece WHERE m = 0
+  UNION ALL SELECT p.doc_id, p.m, f.seq + CAST((length(content) + 1 + length(line)) // 4 > {chunking.TARGET} AS INT),
+    CASE WHEN (length(content) + 1 + length(line)) // 4 > {chunking.TARGET} THEN right(content, {chunking.OVERLAP_CHARS}) ELSE content END || chr(10) || line FROM fold f JOIN piece p ON p.doc_id = f.doc_id AND p.m = f.m + 1),
+leaf AS MATERIALIZED (SELECT doc_id, seq, arg_max(content, m) AS content, CAST(greatest(1, length(arg_max(content, m)) // 4) AS INT) AS tokens FROM fold GROUP BY 1, 2)"""
 
 
 #: What stands at the end of a report's page, put after each document.
@@ -58,8 +72,7 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "noise_lines",
-    f"""WITH {_FOOTED}, {_LINES_F} SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE s = '' OR lower(s) IN ('contents', 'table of contents', 'toc', 'page', '(this page intentionally left blank)')
-      OR regexp_full_match(s, '[0-9.,\\-—–/\\\\%:：()（）\\t\\n\\x0B\\f\\r ]+') OR regexp_full_match(lower(s), 'page[ \\t]*[0-9]+[ \\t]*(of[ \\t]*[0-9]+)?') OR regexp_full_match(s, '[-—–_=*·~.\\t ]{{2,}}')""",
+    f"""WITH {_FOOTED}, {_LINES_F} SELECT doc_id, CAST(n AS INT) AS n FROM s WHERE {_NOISE}""",
 )
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return footed_lines(spark, sf_dir).where(T.is_noise_line(F.col("line"))).select("doc_id", "n")
@@ -84,10 +97,7 @@ def page_number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "heading_lines",
-    f"""WITH {_LINES}, h AS (SELECT doc_id, CAST(n AS INT) AS n, CASE WHEN length(s) <= 40 AND upper(s) = s AND lower(s) <> s THEN 1
-      WHEN regexp_full_match(s, '[0-9]{{1,2}}([.][0-9]{{1,2}}){{0,3}}[\\t ]+.{{1,60}}') THEN length(regexp_extract(s, '^([0-9]{{1,2}}([.][0-9]{{1,2}}){{0,3}})', 1)) - length(replace(regexp_extract(s, '^([0-9]{{1,2}}([.][0-9]{{1,2}}){{0,3}})', 1), '.', '')) + 1
-      WHEN regexp_full_match(s, '[(][0-9]+[)][\\t ]*.{{1,60}}') THEN 2 END AS level FROM s WHERE s <> '' AND length(s) <= 80)
-    SELECT doc_id, n, CAST(level AS INT) AS level FROM h WHERE level IS NOT NULL""",
+    f"WITH {_LINES}, {_HEADS} SELECT doc_id, CAST(n AS INT) AS n, CAST(level AS INT) AS level FROM h WHERE level IS NOT NULL",
 )
 def heading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_lines(spark, sf_dir).withColumn("level", T.heading_level(F.col("line"))).where("level IS NOT NULL").select("doc_id", "n", "level")
@@ -131,18 +141,30 @@ def number_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", T.without_separators(F.col("p")).alias("phrase")).distinct()
 
 
-@register("leaf_chunks")
+@register("leaf_chunks", f"WITH RECURSIVE {LEAVES_SQL} SELECT doc_id, seq, 1 AS page, content, tokens FROM leaf")
 def leaf_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.leaves(table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text"))
 
 
-@register("parent_chunks")
+@register(
+    "parent_chunks",
+    f"""WITH RECURSIVE {LEAVES_SQL}, up AS (SELECT doc_id, seq, 0 AS parent, tokens AS used FROM leaf WHERE seq = 0
+      UNION ALL SELECT l.doc_id, l.seq, parent + CAST(used + l.tokens > {chunking.PARENT} AS INT), CASE WHEN used + l.tokens > {chunking.PARENT} THEN 0 ELSE used END + l.tokens FROM up u JOIN leaf l ON l.doc_id = u.doc_id AND l.seq = u.seq + 1)
+    SELECT doc_id, parent, CAST(count(*) AS INT) AS leaves, CAST(sum(length(content)) + 2 * (count(*) - 1) AS INT) AS chars FROM up JOIN leaf USING (doc_id, seq) GROUP BY 1, 2""",
+)
 def parent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaf = leaf_chunks(spark, sf_dir).withColumn("path", F.lit("文档正文"))
     return chunking.parents(leaf).select("doc_id", "parent", F.size("seqs").alias("leaves"), F.length("content").alias("chars"))
 
 
-@register("section_tree")
+@register(
+    "section_tree",
+    f"""WITH {_LINES}, {_HEADS}, t AS (SELECT * FROM h WHERE level IS NOT NULL),
+    p AS (SELECT x.doc_id, x.n, x.level, string_agg(a.s, ' > ' ORDER BY a.n) AS path FROM t x JOIN t a ON a.doc_id = x.doc_id AND (a.n = x.n OR a.n < x.n AND a.level < x.level
+      AND NOT EXISTS (SELECT 1 FROM t k WHERE k.doc_id = x.doc_id AND k.n > a.n AND k.n < x.n AND k.level <= a.level)) GROUP BY 1, 2, 3)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INT) AS seq, CAST(level AS INT) AS level, path FROM p
+    UNION ALL SELECT DISTINCT doc_id, 0, 1, '文档正文' FROM l WHERE doc_id NOT IN (SELECT doc_id FROM t)""",
+)
 def section_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_tree(document_lines(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), "n", "line")).select("doc_id", "seq", "level", "path")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions import questions as Q
 from docquarry.operators import chunking, context, evaluation, graph, registry, sections
 from docquarry.operators import retrieval as R
+from docquarry.plans.corpus import LEAVES_SQL
 from docquarry.plans.registry import register
 from docquarry.plans.retrieval import _SPARSE, text_terms
 from docquarry.plans.tables import FACTS_SQL, facts, table
@@ -38,14 +39,18 @@ def graph_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.edges_of_facts(f).groupBy("kind").agg(F.count("*").alias("edges"))
 
 
-@register(
-    "section_scores",
-    """WITH q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM benchmark),
+_SECTIONS = """q AS (SELECT item_id AS qid, 'src' || (item_id % 20) AS doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM benchmark),
     d AS (SELECT source AS doc_id, doc_id AS section_id, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]', '', 'g') AS p, regexp_replace(lower(text[:600]), '[^a-z0-9]', '', 'g') AS c FROM documents),
-    qg AS (SELECT qid, doc_id, list_distinct([substr(s, i, n) for i in range(1, length(s) - n + 2) for n in [2]] || [substr(s, i, 3) for i in range(1, length(s) - 1)] || [substr(s, i, 4) for i in range(1, length(s) - 2)] || [substr(s, i, 5) for i in range(1, length(s) - 3)]) AS g FROM (SELECT *, 2 AS n FROM q)),
+    qg AS (SELECT qid, doc_id, list_distinct([substr(s, i, 2) for i in range(1, length(s))] || [substr(s, i, 3) for i in range(1, length(s) - 1)] || [substr(s, i, 4) for i in range(1, length(s) - 2)] || [substr(s, i, 5) for i in range(1, length(s) - 3)]) AS g FROM q),
     dg AS (SELECT doc_id, section_id, list_distinct([substr(p, i, 2) for i in range(1, length(p))] || [substr(p, i, 3) for i in range(1, length(p) - 1)] || [substr(p, i, 4) for i in range(1, length(p) - 2)] || [substr(p, i, 5) for i in range(1, length(p) - 3)]) AS pg,
-      list_distinct([substr(c, i, 2) for i in range(1, length(c))] || [substr(c, i, 3) for i in range(1, length(c) - 1)] || [substr(c, i, 4) for i in range(1, length(c) - 2)] || [substr(c, i, 5) for i in range(1, length(c) - 3)]) AS cg FROM d)
-    SELECT qid, section_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS n FROM (SELECT qid, section_id, CAST(3 * coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, pg)]), 0) + coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, cg)]), 0) AS INT) AS score FROM qg JOIN dg USING (doc_id))) WHERE n <= 30""".replace("[substr(s, i, n) for i in range(1, length(s) - n + 2) for n in [2]]", "[substr(s, i, 2) for i in range(1, length(s))]"),
+      list_distinct([substr(c, i, 2) for i in range(1, length(c))] || [substr(c, i, 3) for i in range(1, length(c) - 1)] || [substr(c, i, 4) for i in range(1, length(c) - 2)] || [substr(c, i, 5) for i in range(1, length(c) - 3)]) AS cg FROM d),
+    scored AS (SELECT qid, doc_id, section_id, CAST(3 * coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, pg)]), 0) + coalesce(list_sum([length(x) * length(x) for x in list_intersect(g, cg)]), 0) AS INT) AS score FROM qg JOIN dg USING (doc_id))"""
+
+
+@register(
+    "section_scores",
+    f"""WITH {_SECTIONS}
+    SELECT qid, section_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS n FROM scored) WHERE n <= 30""",
 )
 def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items as questions to the documents of one source each, these as its sections (whole first
@@ -59,7 +64,18 @@ def _section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.scored(q, s)
 
 
-@register("section_coverage")
+@register(
+    "section_coverage",
+    f"""WITH {_SECTIONS},
+    b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS best FROM scored),
+    f AS (SELECT *, best <= 10 AND score > 0 AS first FROM b),
+    c AS (SELECT *, 30 - count(*) FILTER (first) OVER (PARTITION BY qid) AS quota, row_number() OVER (PARTITION BY qid, doc_id, first ORDER BY section_id) - 1 AS i, count(*) OVER (PARTITION BY qid, doc_id, first) AS n FROM f),
+    s AS (SELECT *, least(n, greatest(1, quota // (SELECT count(DISTINCT doc_id) FROM c o WHERE o.qid = c.qid))) AS share FROM c),
+    e AS (SELECT *, least(share, round(share * 0.8)) AS heads FROM s),
+    t AS (SELECT *, CASE WHEN first THEN 0 WHEN i < heads OR floor((i - heads + 1) * (share - heads) / greatest(n - heads, 1)) - floor((i - heads) * (share - heads) / greatest(n - heads, 1)) >= 1 THEN 1 ELSE 2 END AS tier FROM e),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY tier, CASE WHEN tier = 0 THEN best ELSE i END, doc_id, section_id) AS INT) AS position FROM t)
+    SELECT qid, doc_id, section_id, position FROM o WHERE position <= 30""",
+)
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.covered(_section_scores(spark, sf_dir).withColumn("page", F.col("section_id")), limit=30)
 
@@ -140,9 +156,14 @@ def adjacent_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("vec_id", "label", F.round(vectors.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
 
 
-@register("packed_context")
+@register(
+    "packed_context",
+    f"""WITH RECURSIVE {LEAVES_SQL}, pack AS (SELECT doc_id, seq, length(content) + 40 <= {context.TOTAL} AS kept, CASE WHEN length(content) + 40 <= {context.TOTAL} THEN length(content) + 40 ELSE 0 END AS used FROM leaf WHERE seq = 0
+      UNION ALL SELECT l.doc_id, l.seq, used + length(l.content) + 40 <= {context.TOTAL}, used + CASE WHEN used + length(l.content) + 40 <= {context.TOTAL} THEN length(l.content) + 40 ELSE 0 END FROM pack p JOIN leaf l ON l.doc_id = p.doc_id AND l.seq = p.seq + 1)
+    SELECT doc_id AS qid, seq AS chunk_id, CAST(length(content) AS INT) AS chars FROM pack JOIN leaf USING (doc_id, seq) WHERE kept""",
+)
 def packed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves of each source's first documents as blocks in rank order, whole ones under the budget."""
+    """Leaves of each document as blocks in rank order, whole ones under the budget."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page"), "text")
     leaf = chunking.leaves(d).select(F.col("doc_id").alias("qid"), F.col("seq").alias("chunk_id"), F.col("seq").alias("rank"), "content")
     return context.packed(leaf).select("qid", "chunk_id", F.length("content").alias("chars"))
