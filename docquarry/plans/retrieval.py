@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.operators import retrieval as ops
+from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
 from docquarry.plans.tables import TERMS_SQL, table, terms
 from docquarry.sources.shared import written
@@ -44,6 +45,31 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(spark, sf_dir, 10).withColumn("score", F.round("score", 6))
 
 
+_COS = "round(list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b}))), 9)"
+_ANN = f"""{_V}, centre AS (SELECT vec_id AS list, e FROM v ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT {ivf.LISTS}),
+near AS (SELECT v.vec_id, v.e, c.list, row_number() OVER (PARTITION BY v.vec_id ORDER BY {_COS.format(a="v.e", b="c.e")} DESC, c.list) AS n FROM v CROSS JOIN centre c),
+met AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, {_COS.format(a="q.e", b="c.e")} AS score FROM near q JOIN near c ON q.list = c.list AND q.n <= {ivf.PROBES} AND c.n = 1 AND q.vec_id % 20 = 0),
+ann AS ({_top_sql("met", 10)})"""
+
+
+def _indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q, c = vector_questions(spark, sf_dir)
+    middle = written(ivf.centres(c), "centres")
+    return ivf.search(q, written(ivf.index(c, middle), "vector-index"), middle, 10)
+
+
+@register("ann_topk", f"WITH {_ANN} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ann")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each question by the index of all vectors."""
+    return _indexed_topk(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@register("ann_recall", f"WITH {_ANN}, exact AS ({_top_sql('scored', 10)}) SELECT count(DISTINCT x.qid) AS questions, round(count(a.qid) / count(*), 6) AS recall FROM exact x LEFT JOIN ann a ON a.qid = x.qid AND a.chunk_id = x.chunk_id")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against brute force."""
+    return ivf.recall(_indexed_topk(spark, sf_dir), dense(spark, sf_dir, 10))
+
+
 @register("dense_topk_filtered", f"WITH {_V}, f AS (SELECT * FROM scored WHERE label = wanted AND chunk_id <> qid) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({_top_sql('f', 5)})")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)

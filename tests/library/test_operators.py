@@ -1,8 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from docquarry.functions import text as T
-from docquarry.operators import benchmark, chunking, clean, context, evaluation, facts, graph, grounding, registry, retrieval, sessions
+from docquarry.operators import benchmark, chunking, clean, context, evaluation, facts, graph, grounding, registry, retrieval, sessions, vector_index
 
 
 def rows(df, *order):
@@ -227,3 +228,29 @@ def test_refine_and_runs(spark):
     got = chunking.refined(spark.createDataFrame(s, "chunk_id string, n int, sentence string, vector array<double>")).collect()
     assert sorted(len(r["content"]) for r in got) == [213, 213]
     assert T.token_count is not None
+
+
+def test_vector_index(spark):
+    import random
+
+    rng = random.Random(4)
+    base = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(i, [x + rng.gauss(0, 0.2) for x in base[i % 6]]) for i in range(300)] + [(300, None)]
+    c = spark.createDataFrame(rows, "chunk_id bigint, vector array<double>")
+    q = c.where("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "qid")
+    middle = vector_index.centres(c, 16)
+    own = vector_index.index(c, middle)
+    assert middle.count() == 16 and own.count() == 300 and own.select("chunk_id").distinct().count() == 300
+    exact = retrieval.dense_route(q.where("vector IS NOT NULL"), c.where("vector IS NOT NULL"), 5)
+    # clustered vectors need few lists; all lists give what brute force gives
+    assert vector_index.recall(vector_index.search(q, own, middle, 5, 4), exact).first()["recall"] >= 0.9
+    key = lambda df: sorted((r["qid"], r["chunk_id"], r["score"], r["rank"]) for r in df.collect())
+    assert key(vector_index.search(q, own, middle, 5, 16)) == key(exact)
+    none = c.where("false")
+    assert vector_index.index(none, vector_index.centres(none)).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_recall_of_the_index(spark, sf):
+    got = entry.queries()["ann_recall"](spark, f"/root/testdata/{sf}").first()
+    assert got["questions"] == 25 and got["recall"] >= 0.9
