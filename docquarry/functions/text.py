@@ -60,9 +60,14 @@ def reference(text: Column, length: int = 12) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, length)
 
 
+def han_count(text: Column) -> Column:
+    """Han characters; a text of single-byte characters has none and isn't searched."""
+    return F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit(CJK)))
+
+
 def token_count(text: Column) -> Column:
     """Tokens as estimated: one for a Han character, one for four others, one for the others at least."""
-    cjk = F.regexp_count(text, F.lit(CJK))
+    cjk = han_count(text)
     return (cjk + F.greatest(F.lit(1), F.floor((F.length(text) - cjk) / 4).cast("int"))).cast("int")
 
 
@@ -110,7 +115,11 @@ def dice(a: Column, b: Column) -> Column:
 
 def is_noise_line(line: Column) -> Column:
     """Page numbers, contents lines, single characters, rules: lines that say nothing."""
-    s = strip(line)
+    return bound(strip(line), says_nothing)
+
+
+def says_nothing(s: Column) -> Column:
+    """is_noise_line of a line without white space at its ends."""
     return (
         (s == "")
         | F.lower(s).isin(*NOISE_LINES)

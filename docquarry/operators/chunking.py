@@ -40,25 +40,25 @@ def packed(lines: Column, target: int = TARGET, overlap: int = OVERLAP_CHARS) ->
     the lines; the chunks are then cut from the array."""
     mark = lambda at, head: F.struct(at.alias("at"), head.alias("head"))
     start = F.struct(F.lit(0).alias("han"), F.lit(0).alias("chars"), F.lit("").alias("tail"), F.lit(0).alias("n"), F.array().cast("array<struct<at:int,head:string>>").alias("out"))
-    han = lambda t: F.regexp_count(t, F.lit(T.CJK))
     tokens = lambda h, c: h + F.greatest(F.lit(1), F.floor((c - h) / 4).cast("int"))
 
-    def step(a: Column, line: Column) -> Column:
-        h, c = a["han"] + han(line), a["chars"] + 1 + F.length(line)
-        full = (a["chars"] > 0) & (tokens(h, c) > target)
-        again = F.concat(a["tail"], F.lit("\n"), line)
-        joined = F.when(a["chars"] == 0, line).otherwise(again)
-        begun = F.when(a["chars"] == 0, F.concat(a["out"], F.array(mark(a["n"], F.lit(None).cast("string"))))).when(full, F.concat(a["out"], F.array(mark(a["n"], a["tail"])))).otherwise(a["out"])
+    def step(a: Column, x: Column) -> Column:
+        h, c = a["han"] + x["han"], a["chars"] + 1 + x["chars"]
+        first, full = a["chars"] == 0, (a["chars"] > 0) & (tokens(h, c) > target)
+        joined = F.when(first, x["line"]).otherwise(F.concat(a["tail"], F.lit("\n"), x["line"]))
+        begun = F.when(first, F.concat(a["out"], F.array(mark(a["n"], F.lit(None).cast("string"))))).when(full, F.concat(a["out"], F.array(mark(a["n"], a["tail"])))).otherwise(a["out"])
         return F.struct(
-            F.when(a["chars"] == 0, han(line)).when(full, han(again)).otherwise(h).alias("han"),
-            F.when(a["chars"] == 0, F.length(line)).when(full, F.length(again)).otherwise(c).alias("chars"),
+            F.when(first, x["han"]).when(full, T.han_count(a["tail"]) + x["han"]).otherwise(h).alias("han"),
+            F.when(first, x["chars"]).when(full, F.length(a["tail"]) + 1 + x["chars"]).otherwise(c).alias("chars"),
             F.right(joined, F.lit(overlap)).alias("tail"),
             (a["n"] + 1).alias("n"),
             begun.alias("out"),
         )
 
+    counted = lambda own: F.transform(own, lambda line: F.struct(line.alias("line"), T.han_count(line).alias("han"), F.length(line).alias("chars")))
+
     def cut(own: Column) -> Column:
-        marks = F.aggregate(own, start, step, lambda a: a["out"])
+        marks = F.aggregate(counted(own), start, step, lambda a: a["out"])
         body = lambda ms, m, i: F.array_join(F.slice(own, m["at"] + 1, F.coalesce(F.get(ms, i + 1)["at"], F.size(own)) - m["at"]), "\n")
         return T.bound(marks, lambda ms: F.transform(ms, lambda m, i: F.concat(F.coalesce(F.concat(m["head"], F.lit("\n")), F.lit("")), body(ms, m, i))))
 
@@ -67,7 +67,7 @@ def packed(lines: Column, target: int = TARGET, overlap: int = OVERLAP_CHARS) ->
 
 def content_lines(text: Column) -> Column:
     """The lines of a text that say something; long ones cut into sentences, longer sentences hard."""
-    kept = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: ~T.is_noise_line(s))
+    kept = F.filter(F.transform(F.split(text, "\n"), T.strip), lambda s: ~T.says_nothing(s))
     cut = F.flatten(F.transform(kept, lambda s: F.when(T.token_count(s) > MOST, T.sentences(s)).otherwise(F.array(s))))
     return F.flatten(F.transform(cut, lambda s: F.when(T.token_count(s) > MOST, T.hard_pieces(s, MOST * 4)).otherwise(F.array(s))))
 
