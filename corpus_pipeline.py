@@ -6,7 +6,7 @@ columns of documents.  They work on all rows of docs, whatever these are.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.llm import bpe, mixture, quality_classifier, quality_rules, simhash
@@ -14,15 +14,26 @@ from docquarry.llm.common import free_name, n_words, table, written
 from docquarry.llm.queries import rank_file
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    """The columns of docs, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of a whole row; columns with maps, which Spark doesn't hash, go in as JSON."""
+    return F.xxhash64(*(F.to_json(F.struct(c)) if "map<" in kind else c for c, (_, kind) in zip(_own(docs), docs.dtypes, strict=True)))
+
+
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of those at hand, doesn't reject."""
     got = quality_classifier.classify(docs, table(spark, sf_dir, "labels"))
-    return got.where(F.col(got.columns[-1]) == 1).select(*docs.columns)
+    return got.where(F.col(got.columns[-1]) == 1).select(*_own(docs))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality_rules.judged(docs).where("verdict.kept").select(*docs.columns)
+    kept = F.col(free_name(docs, "verdict"))["kept"]
+    return quality_rules.judged(docs).where(kept).select(*_own(docs))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +45,13 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     rows = docs.withColumn(key, order)
     groups = simhash.near_groups(rows, key)
     first = written(groups.where("id = component").select(F.col("id").alias(kept)).distinct(), "pipeline-groups")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    one = rows.groupBy(key).agg(F.min_by(F.struct(*own), F.xxhash64(*own)).alias(row))
+    one = rows.groupBy(key).agg(F.min_by(F.struct(*_own(docs)), _row_hash(docs)).alias(row))
     return one.join(first, F.col(key) == F.col(kept), "left_semi").select(f"{row}.*")
 
 
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, in training order."""
-    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")  # so that no name of docs clashes
+    doc = F.struct(*_own(docs)).alias("doc")  # so that no name of docs clashes
     sized = docs.select(doc, "doc_id", "source", n_words(F.col("text")).alias("size"), mixture.order_key("doc_id", F.coalesce("text", F.lit(""))).alias("order_key"))
     return mixture.in_training_order(mixture.mixed(sized)).select("doc.*")
 
