@@ -15,7 +15,9 @@ once.  An id names its batch: what comes later under it, whatever it holds, is n
 characters.  Null counts count as 0.  An empty batch is committed and adds nothing.
 
 ``compact`` adds up what is committed into one snapshot that names the batches in it; totals are then the newest
-snapshot and the batches it doesn't name, so reading doesn't slow down with the number of batches ever applied.
+snapshot and the batches it doesn't name, so no more rows are read as batches add up.  The folder of every batch is
+still listed.  Commits need a store whose rename fails where the target is there (HDFS, local files); on an object
+store put a committer or a table format in its place.
 """
 
 from __future__ import annotations
@@ -107,21 +109,28 @@ class Store:
         """Adds a batch; False if it was there already."""
         return not self.committed(batch) and self._commit(added(signed(changes)), self._folder(batch))
 
-    def compact(self) -> None:
-        """Adds up all committed batches into a new snapshot.  Batches keep their folders, by which they are known."""
-        own = self.batches()
-        rows = self.totals().withColumn("batch", F.lit(None).cast("string"))
-        names = self.spark.createDataFrame([(None, None, None, None, None, b) for b in own], _SNAPSHOT)
-        if not self._commit(rows.unionByName(names).select(*names.columns), f"{self.path}/snapshot={len(own):012d}"):
-            return  # there is one of as many batches
-
-    def totals(self) -> DataFrame:
-        """Totals over the committed batches."""
-        snapshot, within = self._snapshot()
-        own = [self._folder(b) for b in self.batches() if b not in within]
-        parts = self.spark.read.schema(_SCHEMA).parquet(*own) if own else self.spark.createDataFrame([], _SCHEMA)
+    def _added(self, snapshot: str | None, batches: list[str]) -> DataFrame:
+        """Totals of a snapshot and of batches that it doesn't name."""
+        parts = self.spark.read.schema(_SCHEMA).parquet(*map(self._folder, batches)) if batches else self.spark.createDataFrame([], _SCHEMA)
         columns = _SCHEMA.replace(" string", "").replace(" long", "").split(", ")
         parts = parts.select(*columns)
         if snapshot:
             parts = parts.unionByName(self.spark.read.schema(_SNAPSHOT).parquet(snapshot).where("batch IS NULL").select(*columns))
         return added(parts)
+
+    def _listing(self) -> tuple[str | None, set[str], list[str]]:
+        """The newest snapshot, the batches in it, and all committed batches, listed after the snapshot."""
+        return (*self._snapshot(), self.batches())
+
+    def compact(self) -> None:
+        """Adds up all committed batches into a new snapshot.  Batches keep their folders, by which they are known.
+        The snapshot's names and its totals come from one listing, so a batch committed meanwhile is in neither."""
+        snapshot, within, own = self._listing()
+        rows = self._added(snapshot, [b for b in own if b not in within]).withColumn("batch", F.lit(None).cast("string"))
+        names = self.spark.createDataFrame([(None, None, None, None, None, b) for b in own], _SNAPSHOT)
+        self._commit(rows.unionByName(names).select(*names.columns), f"{self.path}/snapshot={len(own):012d}")  # or there is one of as many batches
+
+    def totals(self) -> DataFrame:
+        """Totals over the committed batches."""
+        snapshot, within, own = self._listing()
+        return self._added(snapshot, [b for b in own if b not in within])

@@ -40,7 +40,17 @@ def test_run(spark):
 
 
 def test_odd_and_empty(spark, odd):
-    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    from pyspark.sql import functions as F
+
+    more = {"a.b": F.lit(1), "marks": F.create_map(F.lit("k"), F.lit("v"))}
+    for docs in (odd.withColumns(more), odd.withColumns(more | {"verdict": F.struct(F.lit(True).alias("kept")), "score": F.lit(0)})):
+        assert docs.count() == 12
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            got = stage(spark, docs, D)
+            assert got.columns == docs.columns and got.dtypes == docs.dtypes, name
+            assert got.count() <= 2 * docs.count(), name
+        # no text of the fixture passes the rules: all are under 50 words, or one word repeated
+        assert dict(corpus_pipeline.STAGES)["quality rules"](spark, docs, D).count() == 0
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, D).count() <= 2 * docs.count(), name
         assert stage(spark, docs.limit(0), D).count() == 0, name

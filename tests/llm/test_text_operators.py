@@ -356,6 +356,29 @@ def test_rollups_count_each_batch_once(spark, tmp_path):
         store.apply("bad", changes(spark, [("oops", "a", "en", "t1", 1, None)]))
 
 
+def test_a_batch_committed_during_compaction_counts_once(spark, tmp_path):
+    path = str(tmp_path / "racing")
+
+    class Racing(rollups.Store):
+        late = False
+
+        def batches(self):
+            own = super().batches()
+            if not Racing.late:
+                Racing.late = True
+                rollups.Store(spark, path).apply("late", changes(spark, [("insert", "a", "en", "t", 5, None)]))
+            return own
+
+    store = Racing(spark, path)
+    rollups.Store(spark, path).apply("early", changes(spark, [("insert", "a", "en", "t", 10, None)]))
+    store.compact()
+    assert Racing.late
+    for _ in range(2):
+        got = rollups.Store(spark, path).totals().first()
+        assert (got["n_docs"], got["n_tokens"]) == (2, 15)
+        store.compact()
+
+
 # --- sharding -----------------------------------------------------------------------------------
 
 
