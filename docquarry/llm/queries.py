@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, license_scan, media, mixture, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree
+from docquarry.llm import bpe, filter_audit, license_scan, media, mixture, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree
 from docquarry.llm.common import n_words, shared_dir, table, utf8_bytes, written
 
 
@@ -180,10 +180,42 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("id").alias("doc_id"), simhash.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (
+  SELECT doc_id, part,
+         CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS x(c, b)),
+o AS (
+  SELECT v.c || w.c || x.c || y.c || z.c AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM b v, b w, b x, b y, b z WHERE v.b + w.b + x.b + y.b + z.b = 31 AND (v.b | w.b | x.b | y.b | z.b) = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INTEGER AS applied FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+         CAST(sum(CASE WHEN mask & (applied | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN mask & applied <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN mask & applied = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash)
+    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash, op11_filter_audit)
     return {f.__name__: f for f in (*own, quality_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "quality_measures": MEASURES_SQL}
+    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "op11_filter_audit": OP11_SQL, "quality_measures": MEASURES_SQL}
