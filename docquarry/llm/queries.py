@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, filter_audit, license_scan, media, mixture, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree
-from docquarry.llm.common import n_words, shared_dir, table, utf8_bytes, written
+from docquarry.llm import bpe, filter_audit, license_scan, media, mixture, periodic_runs, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree
+from docquarry.llm.common import n_words, shared_dir, table, utf8_bytes, words, written
 
 
 def rank_file() -> tuple[bytes, str]:
@@ -212,10 +212,60 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 """
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of docs, a tenth of them (by crc32 of the id) with their words from a place on replaced by repeats
+    of the first few of these.  Texts without an id stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    rows = docs.select("doc_id", "text", h.alias("h"), g.cast("long").alias("g")).withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text"))))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    again = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(x))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = planted_periods(table(spark, sf_dir, "documents"))
+    got = periodic_runs.with_runs(docs).select("doc_id", "runs.*").withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return got.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+         xor(list_reduce(list_concat([4294967295], flatten([[CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])),
+                         lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) AS h
+  FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+x AS (SELECT rid, n, unnest(range(n)) AS i, unnest([CASE WHEN a IS NOT NULL AND k > a THEN w[a + (k - 1 - a) % p + 1] ELSE w[k] END FOR k IN range(1, n + 1)]) AS word FROM p),
+m AS (SELECT u.rid, u.i, v.i - u.i AS q FROM x u JOIN x v ON u.rid = v.rid AND u.word = v.word AND v.i > u.i AND 4 * (v.i - u.i) <= u.n),
+s AS (
+  SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM m)
+  GROUP BY rid, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT rid, start, length, min(q) AS period FROM s GROUP BY 1, 2, 3),
+best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+dropped AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY i) AS t FROM x ANTI JOIN dropped USING (rid, i) GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash, op11_filter_audit)
+    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash, op11_filter_audit, op12_periodic_runs)
     return {f.__name__: f for f in (*own, quality_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "op11_filter_audit": OP11_SQL, "quality_measures": MEASURES_SQL}
+    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_periodic_runs": OP12_SQL, "quality_measures": MEASURES_SQL}
