@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import bpe, filter_audit, license_scan, media, mixture, periodic_runs, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree
+from docquarry.llm import bpe, filter_audit, license_scan, media, mixture, periodic_runs, quality_classifier, quality_rules, rollups, sharding, simhash, site_tree, vector_links
 from docquarry.llm.common import n_words, shared_dir, table, utf8_bytes, words, written
 
 
@@ -262,10 +262,31 @@ FROM d LEFT JOIN listed USING (rid) LEFT JOIN best USING (rid) LEFT JOIN kept US
 """
 
 
+def op13_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vector_links.linked(table(spark, sf_dir, "embeddings"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+OP13_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (
+  SELECT rid, vec_id, label, [x / m FOR x IN e] AS e FROM (SELECT *, list_max([abs(x) FOR x IN e]) AS m FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0) WHERE m > 0),
+l AS (
+  SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.label = b.label AND a.rid <> b.rid AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.93),
+reach AS (SELECT rid AS a, rid AS b FROM v UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS rid, min(v.vec_id) AS component_id FROM reach JOIN v ON v.rid = reach.b GROUP BY 1),
+n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash, op11_filter_audit, op12_periodic_runs)
+    own = (op1_progressive_jpeg, op2_source_mixture, op3_quality_rules, op4_quality_classifier, op5_site_style_tree, op6_token_rollups, op7_byte_bpe, op8_vector_sharding, op9_license_scan, op10_simhash, op11_filter_audit, op12_periodic_runs, op13_vector_links)
     return {f.__name__: f for f in (*own, quality_measures)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_periodic_runs": OP12_SQL, "quality_measures": MEASURES_SQL}
+    return {"op2_source_mixture": OP2_SQL, "op6_token_rollups": OP6_SQL, "op11_filter_audit": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_vector_links": OP13_SQL, "quality_measures": MEASURES_SQL}
