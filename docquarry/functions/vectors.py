@@ -21,6 +21,11 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+def unit(a: Column) -> Column:
+    """The vector over its length."""
+    return F.transform(F.arrays_zip(a.alias("x"), F.array_repeat(norm(a), F.size(a)).alias("n")), lambda z: z["x"].cast("double") / z["n"])
+
+
 def blend(a: Column, b: Column, weight: float = 0.3) -> Column:
     """(1 - weight) a + weight b."""
     return F.zip_with(a, b, lambda x, y: x * (1 - weight) + y * weight)

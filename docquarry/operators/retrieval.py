@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.functions import vectors
+from docquarry.operators import vector_blocks
 
 RRF_K = 60
 
@@ -52,14 +53,15 @@ def scored(questions: DataFrame, chunks: DataFrame, on: Column | None = None) ->
 
     The questions are a stated set.  Spark broadcasts them if they are under its threshold; otherwise it deals both
     sides out in blocks (a task for each pair of partitions), so neither has to fit anywhere whole."""
-    q = questions.withColumnRenamed("vector", "_q")
-    pairs = chunks.withColumnRenamed("vector", "_v").join(q, F.lit(True) if on is None else on)
-    return pairs.withColumn("score", F.round(vectors.cosine(F.col("_q"), F.col("_v")), 9)).drop("_q", "_v")
+    q = questions.withColumn("vector", vectors.unit(F.col("vector"))).withColumnRenamed("vector", "_q")  # once a row, not once a pair
+    pairs = chunks.withColumn("vector", vectors.unit(F.col("vector"))).withColumnRenamed("vector", "_v").join(q, F.lit(True) if on is None else on)
+    return pairs.withColumn("score", F.round(vectors.dot(F.col("_q"), F.col("_v")), 9)).drop("_q", "_v")
 
 
 def dense_route(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k of a stated set of questions (qid, vector) against all chunks (chunk_id, vector)."""
-    return top(scored(questions.select("qid", "vector"), chunks.select("chunk_id", "vector")).select("qid", "chunk_id", "score"), k)
+    """Exact cosine top-k of a stated set of questions (qid, vector) against all chunks (chunk_id, vector), by matrix
+    products of blocks.  Vectors that are null or hold a null are not compared, nor are those of unequal length."""
+    return top(vector_blocks.nearest(questions.select("qid", "vector"), chunks.select("chunk_id", "vector"), k), k)
 
 
 def holding(phrases: DataFrame, texts: DataFrame, phrase: str, text: str, gram: int = 5) -> DataFrame:

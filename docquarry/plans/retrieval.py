@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators import pq_index
 from docquarry.operators import retrieval as ops
 from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
@@ -70,6 +71,29 @@ def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ivf.recall(_indexed_topk(spark, sf_dir), dense(spark, sf_dir, 10))
 
 
+def _pq(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, pq_index.Model]:
+    q, c = vector_questions(spark, sf_dir)
+    model = pq_index.train(c)
+    return q, c, written(pq_index.index(c, model), "pq-index"), model
+
+
+@register("ann_pq_topk")
+def ann_pq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each question by trained lists and codes, scored exactly.  Trained centres have no SQL form:
+    ann_pq_recall and tests hold it against brute force."""
+    q, c, indexed, model = _pq(spark, sf_dir)
+    return pq_index.search(q, indexed, c, model, 10).withColumn("score", F.round("score", 6))
+
+
+@register("ann_pq_recall", "SELECT count(*) AS questions, CAST(10 * count(*) AS BIGINT) AS exact_hits, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def ann_pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether at least 0.9 of the exact ten nearest are found by the index."""
+    q, c, indexed, model = _pq(spark, sf_dir)
+    exact = written(dense(spark, sf_dir, 10), "exact-hits")
+    got = ivf.recall(pq_index.search(q, indexed, c, model, 10), exact)
+    return got.crossJoin(exact.agg(F.count("*").alias("exact_hits"))).select("questions", "exact_hits", (F.col("recall") >= 0.9).alias("enough"))
+
+
 @register("dense_topk_filtered", f"WITH {_V}, f AS (SELECT * FROM scored WHERE label = wanted AND chunk_id <> qid) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({_top_sql('f', 5)})")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
@@ -201,7 +225,7 @@ def rebalance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fallback_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
-    s = ops.scored(q, c)
+    s = written(ops.scored(q, c).where("score > 0.1"), "scored")  # read for three levels; none takes lower scores
     level = F.explode(F.array(F.when((F.col("label") == F.col("wanted")) & (F.col("score") > 0.3), 0), F.when((F.col("label") == F.col("wanted")) & (F.col("score") > 0.1), 1), F.when(F.col("score") > 0.2, 2))).alias("level")
     levels = s.select("qid", "chunk_id", "score", level).where("level IS NOT NULL").select("qid", "level", "chunk_id", (F.col("score") > 0.25).alias("is_real"), F.lit(False).alias("is_relay"))
     return ops.first_healthy(levels).select("qid", "level", "chunk_id")

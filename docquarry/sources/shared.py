@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -19,3 +19,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/docquarry/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Most rows and bytes of an Arrow batch where rows are whole texts or packed blocks of vectors.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+
+def bounded_batches() -> None:
+    """Lowers the session's limits on an Arrow batch to BATCH_ROWS and BATCH_BYTES; lower limits stay."""
+    conf = SparkSession.active().conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        found = str(conf.get(key, None) or "")
+        if not found.isdigit() or not 0 < int(found) <= most:
+            conf.set(key, str(most))
