@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators.positions import containing
 
 
 def number_index(chunks: DataFrame) -> DataFrame:
@@ -24,12 +25,10 @@ def number_hits(questions: DataFrame, index: DataFrame, most: int = 5) -> DataFr
 
 
 def quoted_hits(questions: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
-    """(qid, chunk_id, rank): chunks that hold a phrase the question quotes, word for word.  A quoted phrase has three
-    characters at least; a chunk that holds it has these next to one another, which is the join's key."""
+    """(qid, chunk_id, rank): chunks that hold a phrase the question quotes, word for word."""
     asked = questions.select("qid", F.explode(T.quoted_phrases(F.col("question"))).alias("_p")).distinct()
-    asked = asked.withColumn("_key", F.substring("_p", 1, 3))
-    own = chunks.select("chunk_id", "content", F.explode(T.char_grams(F.col("content"), 3)).alias("_key")).join(asked.select("_key").distinct(), "_key", "left_semi")
-    hits = own.join(asked, "_key").where(F.contains("content", "_p")).groupBy("qid", "chunk_id").agg(F.sum(F.length("_p")).alias("matched"))
+    held = containing(asked.withColumnRenamed("_p", "_quoted"), chunks.select("chunk_id", "content"), "_quoted", "content")
+    hits = held.groupBy("qid", "chunk_id").agg(F.sum(F.length("_quoted")).alias("matched"))
     w = Window.partitionBy("qid").orderBy(F.desc("matched"), "chunk_id")
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 

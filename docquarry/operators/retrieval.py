@@ -64,26 +64,6 @@ def dense_route(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top(vector_blocks.nearest(questions.select("qid", "vector"), chunks.select("chunk_id", "vector"), k), k)
 
 
-def holding(phrases: DataFrame, texts: DataFrame, phrase: str, text: str, gram: int = 5) -> DataFrame:
-    """phrases x texts, where the text holds the phrase, character for character.
-
-    A phrase of gram + 2 words or more has gram whole words after its first; a text that holds it has them too, so
-    these are the join's key, and what meets is verified.  Shorter phrases have fewer such words (those of three words one), and those of
-    one or two words none: they are compared with every text, as no key of theirs need be in it."""
-    p = phrases.withColumn("_w", T.tokens(F.col(phrase))).withColumn("_n", F.least(F.lit(gram), F.size("_w") - 2))
-    keyed = p.where("_n >= 1").withColumn("_key", F.xxhash64(F.array_join(F.slice("_w", 2, F.col("_n")), " "))).drop("_w")
-    words = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("_text"), T.tokens(F.col(text)).alias("_w"))
-    key = lambda i, n: F.xxhash64(F.array_join(F.slice("_w", i + 1, F.lit(n)), " "))
-    lengths = [r[0] for r in keyed.select("_n").distinct().collect()]  # at most gram numbers
-    out = p.where("_n < 1").drop("_w", "_n").join(texts, F.contains(F.col(text), F.col(phrase)))
-    for n in sorted(lengths):
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: key(i, n)))
-        there = words.where(F.size("_w") >= n).select("_text", F.explode(grams).alias("_key"))
-        met = keyed.where(F.col("_n") == n).drop("_n").join(there, "_key").where(F.contains(F.col(f"_text.{text}"), F.col(phrase)))
-        out = out.unionByName(met.drop("_key").select(*phrases.columns, "_text.*"))
-    return out
-
-
 def document_frequency(terms: DataFrame) -> DataFrame:
     """(term, df) of (doc_id, term, tf)."""
     return terms.groupBy("term").agg(F.count("*").alias("df"))

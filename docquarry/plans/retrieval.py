@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import pq_index
+from docquarry.operators import positions, pq_index
 from docquarry.operators import retrieval as ops
 from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
@@ -255,4 +255,4 @@ def char_ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def question_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item word for word."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked"))
-    return ops.holding(asked, table(spark, sf_dir, "documents").select("doc_id", "text"), "asked", "text").select("item_id", "doc_id")
+    return positions.containing(asked, table(spark, sf_dir, "documents").select("doc_id", "text"), "asked", "text").select("item_id", "doc_id")
