@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.functions import vectors
+from docquarry.operators import vector_blocks
+from docquarry.sources.shared import written
 
 
 def loops(turns: DataFrame, repeats: int = 3) -> DataFrame:
@@ -22,10 +26,40 @@ def last_turns(turns: DataFrame, window: int) -> DataFrame:
     return turns.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 2 * window).drop("_n")
 
 
-def cached_answers(questions: DataFrame, cache: DataFrame, similar: float = 0.95, overlap: float = 0.5) -> DataFrame:
-    """(qid, entry_id, similarity): the nearest cached question of each, if near in meaning and in words.
-    A cache is bounded by nature (entries expire), so it is the side that may be broadcast."""
-    pairs = questions.select("qid", "q_norm", "q_vec").join(cache.select("entry_id", F.col("q_norm").alias("c_norm"), F.col("q_vec").alias("c_vec")), F.lit(True))
+#: Bits of a band, and bands: two vectors of cosine 0.95 share none with a chance of 3e-5.
+BITS, BANDS = 12, 32
+
+
+def hyperplane_bands(vector: Column, bits: int = BITS, bands: int = BANDS) -> Column:
+    """Array of {band, key}: on which sides of ``bits`` fixed hyperplanes a vector lies, for each of ``bands`` sets of
+    them.  Vectors of a small angle share a band with a chance of 1 - (1 - p^bits)^bands, p = 1 - angle / pi.
+    Null for a vector that is null, empty or holds a null."""
+
+    @F.arrow_udf("array<long>")
+    def keys(vectors: pa.Array) -> pa.Array:
+        out: list[np.ndarray | None] = [None] * len(vectors)
+        for rows, x in vector_blocks.matrices(vectors):
+            planes = np.random.default_rng(x.shape[1]).standard_normal((x.shape[1], bits * bands))
+            sides = (x @ planes > 0).reshape(len(x), bands, bits)
+            own = sides @ (1 << np.arange(bits)) + (np.arange(bands) << bits)
+            for i, k in zip(rows.tolist(), own, strict=True):
+                out[i] = k
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return keys(vector)
+
+
+def cached_answers(questions: DataFrame, cache: DataFrame, similar: float = 0.95, overlap: float = 0.5, bits: int = BITS, bands: int = BANDS) -> DataFrame:
+    """(qid, entry_id, similarity): the nearest cached question of each, if near in meaning and in words; ties go to the
+    lower entry.  Questions meet the entries that lie on the same sides of some set of hyperplanes; each equal question,
+    and each equal entry, goes there once."""
+    entry = cache.groupBy("q_norm", "q_vec").agg(F.min("entry_id").alias("entry_id"))
+    entry = written(entry.withColumn("_id", F.monotonically_increasing_id()).withColumn("_key", hyperplane_bands(F.col("q_vec"), bits, bands)), "cache-entries")
+    asked = written(questions.groupBy("q_norm", "q_vec").agg(F.count("*").alias("_n")).withColumn("_q", F.monotonically_increasing_id()).withColumn("_key", hyperplane_bands(F.col("q_vec"), bits, bands)), "cache-asked")
+    met = asked.select("_q", F.explode("_key").alias("_key")).join(entry.select("_id", F.explode("_key").alias("_key")), "_key").select("_q", "_id").distinct()
+    pairs = met.join(asked.select("_q", "q_norm", "q_vec"), "_q").join(entry.select("_id", "entry_id", F.col("q_norm").alias("c_norm"), F.col("q_vec").alias("c_vec")), "_id")
     near = pairs.withColumn("similarity", vectors.cosine(F.col("q_vec"), F.col("c_vec"))).where((F.col("similarity") >= similar) & (T.dice(T.bigrams(F.col("q_norm")), T.bigrams(F.col("c_norm"))) >= overlap))
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), "entry_id")
-    return near.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("qid", "entry_id", "similarity")
+    best = near.groupBy("_q").agg(F.min_by(F.struct("entry_id", "similarity"), F.struct((-F.round("similarity", 9)).alias("far"), "entry_id")).alias("_best"))
+    found = best.join(asked.select("_q", F.col("q_norm").alias("_norm"), F.col("q_vec").alias("_vec")), "_q")
+    mine = F.col("q_norm").eqNullSafe(F.col("_norm")) & (F.col("q_vec") == F.col("_vec"))
+    return questions.join(found, mine).select("qid", "_best.entry_id", "_best.similarity")

@@ -1,3 +1,3 @@
 """The modules whose queries are registered."""
 
-from docquarry.plans import benchmark, corpus, evaluation, evidence, fields, relational, retrieval, sessions  # noqa: F401
+from docquarry.plans import benchmark, corpus, evaluation, evidence, fields, relational, retrieval, sessions, state  # noqa: F401

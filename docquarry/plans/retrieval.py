@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import positions, pq_index
+from docquarry.operators import positions, pq_index, pruned
 from docquarry.operators import retrieval as ops
 from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
@@ -139,6 +139,13 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.bm25_route(*text_terms(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
 
 
+@register("bm25_pruned_topk", f"WITH {_SPARSE} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM b10")
+def bm25_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_topk, by postings with bounds: those that can't bring a document into the best 20 aren't read."""
+    q, d = text_terms(spark, sf_dir)
+    return pruned.bm25(q, written(pruned.postings(d), "postings"), 20)[0].withColumn("score", F.round("score", 6))
+
+
 def two_routes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     q, d = text_terms(spark, sf_dir)
     return [ops.sparse_route(q, d, 20, ops.idf_table(d)), ops.bm25_route(q, d, 20)]

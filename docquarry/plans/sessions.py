@@ -45,3 +45,25 @@ def injection_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_distinct("role").alias("roles"), F.max("turn").alias("last_turn"), F.sum(F.length("text")).alias("chars"))
+
+
+@register(
+    "answers_from_cache",
+    """WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    q AS (SELECT a.vec_id AS qid, 'question ' || CAST(a.vec_id AS VARCHAR) || ' about topic ' || CAST(a.label AS VARCHAR) AS n, [(1 - (a.vec_id % 7 + 1) / 20) * a.e[i] + (a.vec_id % 7 + 1) / 20 * b.e[i] FOR i IN range(1, len(a.e) + 1)] AS e FROM v a JOIN v b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 20 = 0),
+    c AS (SELECT vec_id AS entry_id, CASE WHEN vec_id % 3 = 0 THEN 'something else, ' || CAST(vec_id AS VARCHAR) ELSE 'question ' || CAST(vec_id AS VARCHAR) || ' on topic ' || CAST(label AS VARCHAR) END AS n, e FROM v),
+    g AS (SELECT qid, entry_id, list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) AS s, replace(lower(q.n), ' ', '') AS a, replace(lower(c.n), ' ', '') AS b FROM q CROSS JOIN c),
+    d AS (SELECT *, list_distinct([a[i:i + 1] FOR i IN range(1, length(a))]) AS x, list_distinct([b[i:i + 1] FOR i IN range(1, length(b))]) AS y FROM g WHERE s >= 0.95)
+    SELECT qid, entry_id, round(s, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, entry_id) AS n FROM d WHERE 2.0 * len(list_intersect(x, y)) / (len(x) + len(y)) >= 0.5) WHERE n = 1""",
+)
+def answers_from_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions made of a vector and a share of the next one, against a cache of all vectors, a third of them under other words."""
+    v = table(spark, sf_dir, "embeddings")
+    words = F.concat(F.lit("question "), F.col("vec_id").cast("string"), F.lit(" {} topic "), F.col("label").cast("string"))
+    other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    share = (F.col("vec_id") % 7 + 1) / 20
+    blend = F.zip_with("embedding", "next", lambda x, y: (1 - share) * x.cast("double") + share * y.cast("double"))
+    q = v.where("vec_id % 20 = 0").join(other, "vec_id").select(F.col("vec_id").alias("qid"), F.replace(words, F.lit("{}"), F.lit("about")).alias("q_norm"), blend.alias("q_vec"))
+    norm = F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("something else, "), F.col("vec_id").cast("string"))).otherwise(F.replace(words, F.lit("{}"), F.lit("on")))
+    c = v.select(F.col("vec_id").alias("entry_id"), norm.alias("q_norm"), F.col("embedding").cast("array<double>").alias("q_vec"))
+    return sessions.cached_answers(q, c).select("qid", "entry_id", F.round("similarity", 6).alias("similarity"))

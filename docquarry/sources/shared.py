@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir, read back: computed once, whatever reads it, and safe from lost
-    executors; its size is known to the optimizer.  Where that setting is unset, a folder of this machine stands in
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir.  Where it is unset, a folder of this machine stands in
     for a local session (a test), and on a cluster it is an error."""
-    spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(shared or tempfile.gettempdir()).rstrip('/')}/docquarry/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return (shared or tempfile.gettempdir()).rstrip("/")
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: computed once, whatever reads it, and safe from lost
+    executors; its size is known to the optimizer."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docquarry/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
