@@ -9,7 +9,8 @@ vector is a byte for each part.
 A question looks into the lists whose centres score within ``margin`` of its best centre.  The margin is measured on the
 sample: it covers the lists of the ``COVER`` share of the true neighbours of sampled questions.  So clustered vectors
 are found in few lists, and vectors without clusters in many.  Rows of these lists are scored by tables of products
-of the question's parts and the code words; the best ``RESCORE`` times k of these are scored exactly.
+of the question's parts and the code words; the best ``RESCORE`` times k of these are scored exactly.  Rows that score
+below a floor, which the question's scores against ``FLOOR`` sampled vectors set, don't leave their task.
 
 Every vector is in one list, whatever the sample.  Long lists are split into pieces of about ``PIECE`` rows, and the
 questions of a list into groups of about ``ASKED``; a task holds one piece and one group.  Vectors that are null,
@@ -31,8 +32,10 @@ from docquarry.operators.retrieval import top
 from docquarry.sources.shared import written
 
 SAMPLE, MOST_LISTS, ROUNDS, PARTS, CODES = 1 << 16, 1 << 14, 6, 16, 256
-COVER, CALIBRATION, RESCORE = 0.97, 256, 20
+COVER, CALIBRATION, RESCORE, FLOOR = 0.97, 256, 20, 8192
 PIECE, ASKED = 1 << 16, 4096
+#: Scores that a task has at hand at once.
+GO = 1 << 20
 #: Coarse centres whose fine centres are compared when a vector is put into its list.
 NEAR_CELLS = 4
 
@@ -46,6 +49,8 @@ class Model:
     cell: np.ndarray
     words: np.ndarray
     margin: float = 0.0
+    near: np.ndarray | None = None
+    rows: int = 0
 
     @property
     def dim(self) -> int:
@@ -175,7 +180,7 @@ def train(chunks: DataFrame, k: int = 10, sample: int = SAMPLE, parts: int = PAR
     parts = max(p for p in range(1, min(parts, dim) + 1) if dim % p == 0)
     model = Model(centres, fine, cell, np.zeros((0, 0, 0)))
     model = Model(centres, fine, cell, _words(few, model, parts))
-    return Model(centres, fine, cell, model.words, _margin(x, model, k))
+    return Model(centres, fine, cell, model.words, _margin(x, model, k), x[:FLOOR].astype(np.float32), n)
 
 
 def coded(x: np.ndarray, lists: np.ndarray, model: Model) -> np.ndarray:
@@ -204,8 +209,15 @@ def index(chunks: DataFrame, model: Model) -> DataFrame:
     return codes.join(F.broadcast(pieces), "list").select("list", F.pmod(F.xxhash64(F.lit("piece"), "chunk_id"), "_n").cast("int").alias("piece"), "chunk_id", "code")
 
 
-def probes(questions: DataFrame, model: Model) -> DataFrame:
-    """(list, qid, vector): each question (qid, vector) once for every list it looks into."""
+def floors(x: np.ndarray, model: Model, most: int) -> np.ndarray:
+    """For each question a score that about twice ``most`` of all vectors reach, by the sampled ones."""
+    place = min(len(model.near), int(np.ceil(2 * most * len(model.near) / max(model.rows, 1))) + 8)
+    scores = x.astype(np.float32) @ model.near.T
+    return np.partition(scores, len(model.near) - place, axis=1)[:, -place].astype(np.float64) if len(x) else np.zeros(0)
+
+
+def probes(questions: DataFrame, model: Model, most: int = RESCORE * 10) -> DataFrame:
+    """(list, qid, vector, floor): each question (qid, vector) once for every list it looks into."""
     kinds, shared = dict(questions.dtypes), questions.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,36 +226,40 @@ def probes(questions: DataFrame, model: Model) -> DataFrame:
             scores = x @ shared.value.fine.T
             q, lists = np.nonzero(scores >= scores.max(axis=1, keepdims=True) - shared.value.margin)
             took = pa.array(rows[q])
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch["qid"].take(took), batch["vector"].take(took)], ["list", "qid", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch["qid"].take(took), batch["vector"].take(took), pa.array(floors(x, shared.value, most)[q])], ["list", "qid", "vector", "floor"])
 
-    return questions.select("qid", "vector").mapInArrow(run, f"list int, qid {kinds['qid']}, vector {kinds['vector']}")
+    return questions.select("qid", "vector").mapInArrow(run, f"list int, qid {kinds['qid']}, vector {kinds['vector']}, floor double")
 
 
 def candidates(questions: DataFrame, indexed: DataFrame, model: Model, most: int) -> DataFrame:
     """(qid, chunk_id, score): of each piece of a list and question the ``most`` best by code."""
     kinds, shared = (dict(questions.dtypes)["qid"], dict(indexed.dtypes)["chunk_id"]), questions.sparkSession.sparkContext.broadcast(model)
-    asked = probes(questions, model)
+    asked = probes(questions, model, most)
     groups = asked.groupBy("list").agg(F.ceil(F.count("*") / ASKED).cast("int").alias("groups"))
     pieces = indexed.groupBy("list").agg((F.max("piece") + 1).alias("pieces"))
     shape = F.broadcast(groups.join(pieces, "list"))  # at most MOST_LISTS rows
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = asked.join(shape, "list").withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "qid"), "groups").cast("int")).withColumn("piece", each("pieces")).select("list", "piece", "group", "qid", "vector")
+    left = asked.join(shape, "list").withColumn("group", F.pmod(F.xxhash64(F.lit("group"), "qid"), "groups").cast("int")).withColumn("piece", each("pieces")).select("list", "piece", "group", "qid", "vector", "floor")
     right = indexed.join(shape, "list").withColumn("group", each("groups")).select("list", "piece", "group", "chunk_id", "code")
 
     def score(q: pa.Table, c: pa.Table) -> pa.Table:
         m = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at, to, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if q.num_rows and c.num_rows:
             codes = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(c.num_rows, -1)
             rows, x = _vectors(q, m.dim)
-            start = x @ m.fine[q["list"][0].as_py()]
             width = m.words.shape[2]
             tables = np.einsum("qpw,pcw->qpc", x.reshape(len(x), -1, width), m.words)
-            for i, table in enumerate(tables):
-                scores = start[i] + sum(table[p][codes[:, p]] for p in range(len(table)))
-                own = np.argpartition(-scores, most - 1)[:most] if len(scores) > most else np.arange(len(scores))
-                kept.append((np.full(len(own), rows[i]), own, scores[own]))
-        at, to, scores = (np.concatenate(v) for v in zip(*kept, strict=True)) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            floor, start, found = q["floor"].to_numpy()[rows], x @ m.fine[q["list"][0].as_py()], []
+            step = max(1, GO // c.num_rows)
+            for s in range(0, len(x), step):
+                part = start[s : s + step, None] + sum(tables[s : s + step, p][:, codes[:, p]] for p in range(tables.shape[1]))
+                least = floor[s : s + step]
+                if c.num_rows > most:
+                    least = np.maximum(least, np.partition(part, c.num_rows - most, axis=1)[:, -most])
+                i, j = np.nonzero(part >= least[:, None])
+                found.append((rows[s + i], j, part[i, j]))
+            at, to, scores = (np.concatenate(v) for v in zip(*found, strict=True)) if found else (at, to, scores)
         return pa.table({"qid": q["qid"].take(pa.array(at)), "chunk_id": c["chunk_id"].take(pa.array(to)), "score": pa.array(scores)})
 
     keys = ("list", "piece", "group")

@@ -3,11 +3,12 @@
 What a term adds to a document's score doesn't depend on the question, so it is kept with the posting.  Documents
 are dealt into blocks of about ``BLOCK``, and of each term and block the greatest such part is a bound.
 
-1. A first threshold for each question: the k-th best of what its few terms of greatest bounds add alone, which is no more
-   than the k-th best score.
+1. A threshold for each question: documents that its few terms of greatest bounds bring in are scored in full, and the
+   k-th best of these scores is no more than the k-th best of all.
 2. Blocks whose bounds together stay under the threshold hold none of the k best.
 3. In a block that is left, the terms of least bounds that together stay under the threshold bring no document in by
-   themselves.  Only postings of the others are read; those of the common terms are looked up for the documents found.
+   themselves.  Only postings of the others are read; those of the common terms are looked up for the documents that with
+   the bounds of these can still reach the threshold.
 
 The k best are the same as without bounds, ties included; which postings are read is all that changes.
 """
@@ -21,8 +22,8 @@ from docquarry.operators.retrieval import top
 from docquarry.sources.shared import written
 
 BLOCK = 64
-#: A first threshold comes from terms with so many times k postings.
-FIRST = 8
+#: Terms with so many times k postings bring in documents, and so many times k of these are scored for a threshold.
+FIRST, TRIED = 32, 8
 #: Sums of parts in another order may differ by this.
 SLACK = 1e-6
 
@@ -49,18 +50,20 @@ def thresholds(asked: DataFrame, indexed: DataFrame, by_block: DataFrame, k: int
     w = Window.partitionBy("qid").orderBy(F.desc("most"), "term")
     first = asked.join(by_term, "term").withColumn("_before", F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("_before") < FIRST * k)
     sums = first.select("qid", "term").join(indexed, "term").groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
-    kth = top(sums, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
+    some = written(top(sums, TRIED * k).select("qid", "chunk_id"), "pruned-tried")
+    whole = asked.join(some, "qid").join(indexed, ["term", "chunk_id"]).groupBy("qid", "chunk_id").agg(F.sum("part").alias("score"))
+    kth = top(whole, k).where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     return asked.select("qid").distinct().join(kth, "qid", "left").select("qid", F.coalesce("least", F.lit(0.0)).alias("least"))
 
 
 def plan(asked: DataFrame, by_block: DataFrame, least: DataFrame) -> DataFrame:
-    """(qid, term, block, n, read): terms of the blocks that may hold one of the k best, and whether a term's postings
-    there are read or only looked up."""
+    """(qid, term, block, most, least, read): terms of the blocks that may hold one of the k best, the question's threshold,
+    and whether a term's postings there are read or only looked up."""
     each = asked.join(by_block, "term").join(least, "qid")
     block = Window.partitionBy("qid", "block")
     each = each.withColumn("_all", F.sum("most").over(block)).where(F.col("_all") >= F.col("least") - SLACK)
     upward = block.orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("_up_to", F.sum("most").over(upward)).select("qid", "term", "block", "n", (F.col("_up_to") >= F.col("least") - SLACK).alias("read"))
+    return each.withColumn("_up_to", F.sum("most").over(upward)).select("qid", "term", "block", "most", "least", (F.col("_up_to") >= F.col("least") - SLACK).alias("read"))
 
 
 def bm25(query_terms: DataFrame, indexed: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +76,8 @@ def bm25(query_terms: DataFrame, indexed: DataFrame, k: int) -> tuple[DataFrame,
     steps = written(plan(asked, by_block, least), "pruned-plan")
     there = mine.select("term", "block", "chunk_id", "part")
     met = written(steps.where("read").select("qid", "term", "block").join(there, ["term", "block"]).select("qid", "term", "block", "chunk_id", "part"), "pruned-read")
-    found = met.select("qid", "block", "chunk_id").distinct()
+    rest = steps.groupBy("qid", "block").agg(F.sum(F.when(F.col("read"), 0.0).otherwise(F.col("most"))).alias("rest"), F.first("least").alias("least"))
+    found = met.groupBy("qid", "block", "chunk_id").agg(F.sum("part").alias("_own")).join(rest, ["qid", "block"]).where(F.col("_own") + F.col("rest") >= F.col("least") - SLACK).select("qid", "block", "chunk_id")
     looked = steps.where("NOT read").select("qid", "term", "block").join(found, ["qid", "block"]).join(there, ["term", "block", "chunk_id"])
     looked = written(looked.select("qid", "chunk_id", "part"), "pruned-looked-up")
     sums = met.select("qid", "chunk_id", "part").unionByName(looked).groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")).where("score > 0")
