@@ -1,14 +1,15 @@
 """Phrases in texts by postings with positions.
 
-A text's postings are (text key, feature, position).  Features are its words; for phrases of one or two words, which
-need not hold a whole word of the text, they are its runs of three characters, without positions.  Of each phrase only the
-``RAREST`` rarest features are looked up (by how often they occur in all texts), and their places must fit one
-another: place minus offset in the phrase is the same.  What is left are few pairs of a phrase and a text, and these
-are verified character for character.
+A text's postings are (text key, word, position).  A phrase of three words or more has whole words but for its first and
+last.  Its ``RAREST`` rarest ones (by how often they occur in all texts) are looked up, and their places must fit one
+another: place minus offset in the phrase is the same.  A phrase of one or two words need not hold a whole word of the
+text, but its longest piece lies within one; the words that hold it are found among the distinct words of all texts,
+which are far fewer than texts have, by a run of characters.  What is left are few pairs of a phrase and a text,
+and these are verified character for character.
 
-Postings carry 64-bit keys, no text, and only those of rare features are joined, so frequent words make no hot keys
+Postings carry 64-bit keys, no text, and only those of rare words are joined, so frequent words make no hot keys
 unless a phrase has no others.  A text travels once, to be joined to the pairs that it is in.  Equal keys of
-different texts or features only add pairs to verify.
+different texts or words only add pairs to verify.
 """
 
 from __future__ import annotations
@@ -22,13 +23,23 @@ RAREST, GRAM = 3, 3
 
 
 def _words(text: Column) -> Column:
-    """(feature, place) of a text's words."""
+    """(word, place) of a text's words."""
     return F.transform(T.tokens(text), lambda w, i: F.struct(F.xxhash64(w).alias("f"), i.alias("at")))
 
 
-def _grams(text: Column) -> Column:
-    """(feature, 0) of a text's runs of GRAM characters."""
-    return F.transform(T.char_grams(text, GRAM), lambda g: F.struct(F.xxhash64(g).alias("f"), F.lit(0).alias("at")))
+def _in_words(short: DataFrame, texts: DataFrame, key: Column, text: Column) -> DataFrame:
+    """(_p, _t): texts with a word that holds the longest piece of a phrase (_p, _w) of one or two words."""
+    piece = F.element_at(F.array_sort(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    pieces = short.select("_p", piece.alias("_piece"))
+    words = texts.select(F.explode(T.tokens(text)).alias("_word")).distinct()
+    runs = words.select("_word", F.explode(T.char_grams(F.col("_word"), GRAM)).alias("_run"))
+    asked = pieces.select("_p", "_piece", F.explode(T.char_grams(F.col("_piece"), GRAM)).alias("_run"))
+    n = runs.join(asked.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n"))
+    rarest = asked.join(n, "_run").groupBy("_p", "_piece").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
+    held = rarest.join(runs, "_run").where(F.contains("_word", "_piece")).select("_p", "_word")
+    few = pieces.where(F.length("_piece") < GRAM).join(words, F.contains("_word", "_piece")).select("_p", "_word")
+    own = texts.select(key, F.explode(F.array_distinct(T.tokens(text))).alias("_word"))
+    return held.unionByName(few).join(own, "_word").select("_p", "_t").distinct()
 
 
 def _met(asked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -48,22 +59,22 @@ def _met(asked: DataFrame, texts: DataFrame) -> DataFrame:
 def containing(phrases: DataFrame, texts: DataFrame, phrase: str, text: str) -> DataFrame:
     """phrases x texts, where the text holds the phrase, character for character.  Their names may not clash.
 
-    A phrase of three words or more has whole words but for its first and last; a text that holds it has these one
-    after another.  A shorter one of three characters or more is looked up by runs of characters.  Phrases of one or two
-    characters, a stated set, are compared with every text.  Null phrases and texts are in nothing; an empty phrase is in
-    every text."""
+    Phrases of white space alone, a stated set, are compared with every text.  Null phrases and texts are in nothing; an
+    empty phrase is in every text."""
     p, t = F.col(f"`{phrase}`"), F.col(f"`{text}`")
     own = phrases.where(p.isNotNull()).select(p.alias("_phrase"), F.xxhash64(p).alias("_p")).distinct().withColumn("_w", T.tokens(F.col("_phrase")))
-    long, short = own.where(F.size("_w") > 2), own.where((F.size("_w") <= 2) & (F.length("_phrase") >= GRAM))
     inner = F.transform(F.slice("_w", 2, F.size("_w") - 2), lambda w, i: F.struct(F.xxhash64(w).alias("f"), (i + 1).alias("at")))
     key = F.xxhash64(t).alias("_t")
-    found = _met(long.select("_p", F.inline(inner)), texts.select(key, F.inline(_words(t))))
-    shorts, tiny = short.limit(1).count(), phrases.where(F.length(p) < GRAM).limit(1).count()
-    if shorts:
-        found = found.unionByName(_met(short.select("_p", F.inline(_grams(F.col("_phrase")))), texts.select(key, F.inline(_grams(t)))))
+    found = _met(own.where(F.size("_w") > 2).select("_p", F.inline(inner)), texts.select(key, F.inline(_words(t))))
+    short = own.where(F.size("_w").between(1, 2)).select("_p", "_w")
+    if short.limit(1).count():
+        found = found.unionByName(_in_words(short, texts, key, t))
     left = phrases.select(F.struct(*(F.col(f"`{c}`") for c in phrases.columns)).alias("_phrase"), F.xxhash64(p).alias("_p"), p.alias("_asked"))
     right = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("_text"), key, t.alias("_own"))
-    pairs = right.join(found, "_t").join(left, "_p").where(F.contains("_own", "_asked"))
-    if tiny:
-        pairs = pairs.select("_phrase", "_text").unionByName(right.join(left.where(F.length("_asked") < GRAM), F.contains("_own", "_asked")).select("_phrase", "_text"))
+    pairs = right.join(found.join(left, "_p"), "_t").where(  # texts last, so that they are shuffled once
+        F.contains("_own", "_asked")
+    ).select("_phrase", "_text")
+    blank = left.where(F.size(T.tokens(F.col("_asked"))) == 0)
+    if blank.limit(1).count():
+        pairs = pairs.unionByName(right.join(blank.where("_asked IS NOT NULL"), F.contains("_own", "_asked")).select("_phrase", "_text"))
     return pairs.select("_phrase.*", "_text.*")
