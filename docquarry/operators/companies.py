@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import questions as Q
 from docquarry.functions import text as T
+from docquarry.sources.shared import written
 
 # Legal and regional parts of names, and abbreviations in use.
 SUFFIXES = ("集团股份有限公司", "集团有限公司", "股份有限公司", "有限公司", "股份", "集团")
@@ -57,22 +58,58 @@ def in_order(short: Column, long: Column) -> Column:
     return rest.isNotNull()
 
 
+def skip_pairs(text: Column) -> Column:
+    """Distinct pairs of characters that stand in a text in this order, next to one another or not."""
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    after = lambda own: F.flatten(F.transform(own, lambda x, i: F.transform(F.slice(own, i + 2, F.size(own)), lambda y: F.concat(x, y))))
+    return F.array_distinct(T.bound(letters, after))
+
+
+def _within(short: DataFrame, long: DataFrame) -> DataFrame:
+    """(_a, _b): names _a (of two characters or more) that stand in names _b in order of characters.  A name has all
+    skip pairs of what stands in it so; the pair of _a that is rarest among all _b is the key."""
+    there = long.select("_b", F.explode(skip_pairs(F.col("_b"))).alias("_key"))
+    asked = short.select("_a", F.explode(skip_pairs(F.col("_a"))).alias("_key"))
+    n = there.join(asked.select("_key").distinct(), "_key", "left_semi").groupBy("_key").agg(F.count("*").alias("_n"))
+    known = asked.join(n, "_key", "left")
+    key = known.groupBy("_a").agg(F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_key")).alias("_key"))
+    return key.join(there, "_key").where(in_order(F.col("_a"), F.col("_b"))).select("_a", "_b")
+
+
 def subject(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(qid, company): the one company a question is about: whose name holds its subject, or is held by
     it, in order of characters; else the one company it mentions; else null."""
-    q = questions.select("qid", T.simplified(subject_text(F.col("question"))).alias("_s"))
+    # written: a long expression, read four times
+    q = written(questions.select("qid", T.simplified(subject_text(F.col("question"))).alias("_s")), "subjects").where(F.length("_s") >= 2)
     c = companies.select("company", F.lower(T.simplified(F.col("company"))).alias("_c")).distinct()
-    hit = (F.length("_s") >= 2) & (in_order(F.col("_s"), F.col("_c")) | in_order(F.col("_c"), F.col("_s")))
     one = lambda df: df.groupBy("qid").agg(F.count("*").alias("n"), F.min("company").alias("company")).where("n = 1").select("qid", "company")
-    # where one stands in the other in order, the other has its first character
-    letters = lambda of: F.explode(F.array_distinct(F.split(of, ""))).alias("_key")
-    held = q.withColumn("_key", F.substring("_s", 1, 1)).join(c.select("*", letters("_c")), "_key")
-    holds = q.select("*", letters("_s")).join(c.withColumn("_key", F.substring("_c", 1, 1)), "_key")
-    first = one(held.unionByName(holds).where(hit).select("qid", "company").distinct())
+    subjects, names = q.select("_s").distinct(), c.select("_c").distinct()
+    held = _within(subjects.withColumnRenamed("_s", "_a"), names.withColumnRenamed("_c", "_b")).select(F.col("_a").alias("_s"), F.col("_b").alias("_c"))
+    holds = _within(names.where(F.length("_c") >= 2).withColumnRenamed("_c", "_a"), subjects.withColumnRenamed("_s", "_b")).select(F.col("_b").alias("_s"), F.col("_a").alias("_c"))
+    letter = names.where(F.length("_c") == 1).join(subjects.select("_s", F.explode(F.array_distinct(F.split("_s", ""))).alias("_c")), "_c").select("_s", "_c")
+    pairs = held.unionByName(holds).unionByName(letter).distinct()
+    first = one(q.join(pairs, "_s").join(c, "_c").select("qid", "company").distinct())
     second = one(mentioned(questions, companies)).withColumnRenamed("company", "_m")
     return questions.select("qid").join(first, "qid", "left").join(second, "qid", "left").select("qid", F.coalesce("company", "_m").alias("company"))
 
 
+def documents_of(questions: DataFrame, facts: DataFrame, org: str, levels: list[str]) -> DataFrame:
+    """(qid, doc_ids): the documents with facts of the company a question is about, or, where it is about no single one,
+    of the companies it mentions, among facts (company, doc_id, org, visibility) that its user may read.  Questions without
+    any have no row."""
+    own = facts.where((F.col("org") == org) & F.col("visibility").isin(*levels) & (F.col("company") != ""))
+    known = distinct_companies(own)
+    about = subject(questions, known).where("company IS NOT NULL")
+    rest = mentioned(questions, known).join(about.select("qid"), "qid", "left_anti")
+    of = about.select("qid", "company").unionByName(rest.select("qid", "company")).distinct()
+    return of.join(own.select("company", "doc_id").distinct(), "company").groupBy("qid").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+
+
+def distinct_companies(facts: DataFrame) -> DataFrame:
+    """(company): names of facts, once each, without null and empty ones."""
+    return facts.where("company <> ''").select("company").distinct()
+
+
 def compared(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(qid, companies) of questions that compare two or more."""
     named = mentioned(questions, companies).groupBy("qid").agg(F.array_sort(F.collect_set("company")).alias("companies")).where(F.size("companies") >= 2)

@@ -59,14 +59,58 @@ def packed(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40) -> DataFr
     return blocks.join(kept, ["qid", "chunk_id"], "left_semi")
 
 
-def anchored(parent: Column, child: Column, before: int = 160) -> Column:
-    """A parent's text with the place of its child marked: the longest beginning of the child (64 to 8
-    characters) that it holds."""
-    out = F.lit(None).cast("string")
-    for n in (8, 12, 16, 24, 40, 64):
-        head = F.substring(child, 1, n)
-        out = F.when((F.length(child) >= n) & F.contains(parent, head), F.replace(parent, head, F.concat(F.lit("<hit>"), head, F.lit("</hit>")))).otherwise(out)
-    return F.coalesce(out, parent)
+#: Any white space, of any script.
+_BLANK = "(?U)\\s"
+#: Lengths of a child's beginning, in characters without white space, that are looked for one after another.
+ANCHOR_LENGTHS = (64, 40, 24, 16, 12, 8)
+
+
+def anchor(parent: Column, child: Column) -> Column:
+    """Struct {marked, start, end}: the first place in a parent's text of the longest beginning of its child (of 64 to 8
+    characters, or all of a shorter child), white space aside on both sides, and the parent with that place between
+    <hit> tags.  start and end are 0, and the text is unmarked, where there is none or where either has no text."""
+    bare, head = F.regexp_replace(parent, _BLANK, ""), F.regexp_replace(child, _BLANK, "")
+    n = F.length(head)
+    lengths = F.array(F.least(F.lit(ANCHOR_LENGTHS[0]), n), *(F.when(n > k, F.lit(k)) for k in ANCHOR_LENGTHS[1:]))
+    both = F.struct(bare.alias("bare"), head.alias("head"), F.filter(lengths, lambda k: k > 0).alias("lengths"))
+
+    def place(x: Column) -> Column:
+        held = F.filter(x["lengths"], lambda k: F.contains(x["bare"], F.substr(x["head"], F.lit(1), k)))
+        longest = F.get(held, F.lit(0))
+        return F.when(longest.isNotNull(), F.struct(F.instr(x["bare"], F.substr(x["head"], F.lit(1), longest)).alias("at"), longest.alias("n")))
+
+    # the places of characters that aren't white space, in the parent as it stands
+    letters = F.filter(F.split(parent, ""), lambda c: c != "")
+    offsets = T.bound(letters, lambda own: F.filter(F.transform(own, lambda c, i: F.when(~c.rlike(_BLANK), i)), lambda i: i.isNotNull()))
+
+    def marked(x: Column) -> Column:
+        span = x["span"]
+        start, end = F.get(x["offsets"], span["at"] - 1), F.get(x["offsets"], span["at"] + span["n"] - 2) + 1
+        cut = lambda a, b: F.substr(parent, a + 1, b - a)
+        text = F.concat(cut(F.lit(0), start), F.lit("<hit>"), cut(start, end), F.lit("</hit>"), cut(end, F.length(parent)))
+        return F.struct(text.alias("marked"), start.alias("start"), end.alias("end"))
+
+    span = T.bound(both, place)
+    none = F.struct(F.coalesce(parent, F.lit("")).alias("marked"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+    found = T.bound(F.struct(span.alias("span"), F.when(span.isNotNull(), offsets).alias("offsets")), marked)
+    return F.when(span.isNotNull(), found).otherwise(none)
+
+
+def anchored(parent: Column, child: Column) -> Column:
+    """The parent's text with the place of its child marked."""
+    return anchor(parent, child)["marked"]
+
+
+def around_anchor(text: Column, start: Column, end: Column, most: int) -> Column:
+    """A text of more than ``most`` tokens cut to its beginning (at most 160 characters, up to the anchor), a quarter of
+    ``most`` characters before the anchor and half of it after; what is still too long loses its end, at most half."""
+    head = F.substr(text, F.lit(1), F.least(start, F.lit(160)))
+    before, after = F.least(start, F.lit(most // 4)), F.least(F.length(text) - end, F.lit(most // 2))
+    window = F.concat(head, F.lit("…"), F.substr(text, start - before + 1, end + after - start + before))
+    tokens = T.token_count(window)
+    share = F.greatest(F.lit(0.5), F.least(F.lit(1.0), F.lit(float(most)) / tokens))
+    cut = F.substr(window, F.lit(1), F.floor(F.length(window) * share).cast("int"))
+    return F.when(T.token_count(text) <= most, text).when(tokens <= most, window).otherwise(cut)
 
 
 def deduplicated(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40, citation: int = 24) -> DataFrame:

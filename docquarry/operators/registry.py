@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.shared import written
+
 
 def latest(rows: DataFrame, key: list[str], at: str, tie: str) -> DataFrame:
     """The newest row of each key."""
@@ -40,6 +42,27 @@ def listing(rows: DataFrame, pattern: str, offset: int, limit: int) -> DataFrame
     return page.crossJoin(F.broadcast(total))
 
 
+def page_after(rows: DataFrame, bookmark: tuple | None, size: int, by: str = "created_at", key: str = "doc_id") -> DataFrame:
+    """The ``size`` rows after a bookmark (values of ``by`` and ``key`` of the last row that was seen; None for the first
+    page), newest first, then by key; rows without a time come last.  The bookmark is a filter that reaches the scan, and
+    each task keeps so many rows: no page costs more than the first, and rows that come or go elsewhere shift nothing."""
+    if bookmark is not None:
+        at, last = F.lit(bookmark[0]), F.lit(bookmark[1])
+        older = F.col(by).isNull() if bookmark[0] is None else (F.col(by) < at) | F.col(by).isNull() | (F.col(by) == at) & (F.col(key) > last)
+        rows = rows.where(older & (F.col(key) > last) if bookmark[0] is None else older)
+    return rows.orderBy(F.desc_nulls_last(by), key).limit(size)
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with ``position`` from 0 in an order, which should have no ties.  Rows are dealt out by ranges of the order;
+    each range is numbered by itself, and a small table has where it begins, so no task holds all rows."""
+    parts = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = parts.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each range
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return parts.withColumn("_part", part).join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn("position", F.col("_start") + within).drop("_part", "_at", "_start")
+
+
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """rows of documents that aren't to go."""
     return rows.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")

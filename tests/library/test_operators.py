@@ -208,7 +208,7 @@ def test_context(spark):
     p = spark.createDataFrame([("q", "a", 1, "x" * 50), ("q", "b", 2, "x" * 500), ("q", "c", 3, "x" * 40)], "qid string, chunk_id string, rank int, content string")
     assert sorted(r["chunk_id"] for r in context.packed(p, 200).collect()) == ["a", "c"]
     one = spark.createDataFrame([("start of parent with the child text inside it", "with the child")], "p string, c string")
-    assert one.select(context.anchored(F.col("p"), F.col("c"))).first()[0] == "start of parent <hit>with the chi</hit>ld text inside it"
+    assert one.select(context.anchored(F.col("p"), F.col("c"))).first()[0] == "start of parent <hit>with the child</hit> text inside it"
 
 
 def test_metrics(spark):
