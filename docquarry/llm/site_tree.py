@@ -12,16 +12,22 @@ A node's composite importance is (1 - g) * presentation + g * content, g = ``DAM
 its layouts, its content being that of all blocks below it.  A node on fewer than ``MIN_PAGES`` distinct
 pages says nothing about its host; its composite is ``UNMEASURED``.  A copied page counts once.
 
+A block's text is a content node of its own, below the node it stands in: its importance is one minus the entropy
+of its spread over the pages that have this node, if these are ``LEAF_PAGES`` or more.  So an unmarked line that all
+pages of a host repeat goes, though it shares its path with their paragraphs; but not where article or main, without a
+class between, vouch for it: such lines are taken for the article's own.
+
 What markup says of a node is a prior, added to the log odds of the composite: ``PRIOR`` for the article
 (within article or main, where no class says otherwise) and against what a class or id calls an advert, a
-menu, comments and so on.  So a template goes without any hint; an advert with a text of its own on each
-page goes by its hint; and a hinted node with as rich a structure as an article's stays.  Every block, of
-articles too, is kept or removed by this importance: branches below ``LOW`` are removed from each page.
+menu and so on, and reader comments above all.  So a template goes without any hint; an
+advert with a text of its own on each page goes by its hint; and a hinted node with as rich a structure as
+an article's stays, unless it is called comments.  Branches and blocks below ``LOW`` are removed from each page.
 
 Before that, what HTML elements and ARIA roles declare to be no article is left out: nav, header outside
 the article, footer, aside, script and so on.  A form is, unless it holds the page's article or most of its
 text.  Hints and forms that do hold it are overruled.  A class or id hints if the whole name does
-(``share-bar``, but not ``content-sidebar-wrap``); ids of headings, and of sections within the article, are
+(``share-bar``, but not ``content-sidebar-wrap``), and comments wherever a short name speaks of them
+(``comments-area``, but not ``comments-open``); ids of headings, and of sections within the article, are
 made from titles and say nothing.
 
 Blocks: text within a block element; white space in it becomes one space, and blocks are joined by a line
@@ -46,9 +52,11 @@ from pyspark.sql import functions as F
 from docquarry.llm import arrow_text
 from docquarry.llm.common import bounded_batches, written
 
-LOW, MIN_PAGES, DAMPING, UNMEASURED, DEPTH = 0.25, 4, 0.9, 0.9, 64
+LOW, MIN_PAGES, LEAF_PAGES, DAMPING, UNMEASURED, DEPTH = 0.25, 4, 8, 0.9, 0.9, 64
 #: Added to the log odds of importance: of the article, of what a class or id calls something else.
-PRIOR = {"main": 4.0, "hinted": -4.0, "plain": 0.0}
+PRIOR = {"main": 4.0, "hinted": -4.0, "comments": -8.0, "plain": 0.0}
+#: Added to that of a block's text, outside what the article's markup vouches for: nearly all pages must have it.
+LEAF_PRIOR = 3.0
 #: Composite importance is kept this far from 0 and 1 before a prior is added.
 EDGE = 0.01
 
@@ -70,6 +78,9 @@ HINTS = frozenset(
 BESIDE = frozenset("site main primary secondary top bottom bar slot box block list links buttons".split())
 #: Of the hints, what may stand on an article element that isn't the page's article.
 ASIDE_HINTS = frozenset("ad ads adv advert advertisement comment comments promo reply replies related recommended sponsored teaser widget".split())
+COMMENTS = frozenset(["comment", "comments"])
+#: Words beside these that tell of comments elsewhere, or of none; and how long a name of comments is at most.
+OF_COMMENTS, MOST_WORDS = frozenset("open closed on off enabled disabled allowed status count number".split()), 3
 #: Beginnings of class names that tell what else a page has, or what it lacks.
 ABOUT_OTHERS = ("has-", "with-", "no-", "without-", "is-")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
@@ -88,6 +99,8 @@ def _hash(text: str) -> int:
 def _hints(name: str) -> frozenset[str]:
     """The hints of a class or id, if nothing else is said in it."""
     words = _WORD.findall(name)
+    if len(words) <= MOST_WORDS and not name.startswith(ABOUT_OTHERS) and not OF_COMMENTS.intersection(words) and (found := COMMENTS.intersection(words)):
+        return found
     if name.startswith(ABOUT_OTHERS) or not all(w in HINTS or w in BESIDE or w.isdigit() for w in words):
         return frozenset()
     return HINTS.intersection(words)
@@ -109,10 +122,10 @@ class _Node:
 class _Mark:
     """A hinted element or a form.  aside: whether articles in it needn't be the page's."""
 
-    __slots__ = ("up", "aside", "form", "size", "overruled")
+    __slots__ = ("up", "aside", "form", "comments", "size", "overruled")
 
-    def __init__(self, up: "_Mark | None", aside: bool, form: bool):
-        self.up, self.aside, self.form, self.size, self.overruled = up, aside, form, 0, False
+    def __init__(self, up: "_Mark | None", aside: bool, form: bool, comments: bool):
+        self.up, self.aside, self.form, self.comments, self.size, self.overruled = up, aside, form, comments, 0, False
 
     def around(self):
         m = self
@@ -185,7 +198,7 @@ class _Page(HTMLParser):
         out = up.out or tag in LEFT_OUT or style.get("role") in ROLES or (tag == "header" and not up.main)
         mark, form = up.mark, tag == "form" or style.get("role") == "form"
         if (hints or form) and not out:
-            mark = _Mark(up.mark, not form and hints <= ASIDE_HINTS, form)
+            mark = _Mark(up.mark, not form and hints <= ASIDE_HINTS, form, bool(hints & COMMENTS))
             self.marks.append(mark)
         elif tag in ("article", "main") and not out and not ("teaser" in says and tag == "article"):
             self.articles.append((tag, mark))
@@ -262,7 +275,7 @@ class _Page(HTMLParser):
             if n.depth > DEPTH:
                 n.path, n.style = n.parent.path, n.parent.style
                 continue
-            kind = "hinted" if hinted else "main" if n.main else "plain"
+            kind = ("comments" if mine.comments else "hinted") if hinted else "main" if n.main else "plain"
             n.path = _hash(f"{n.parent.path}/{n.name}/{kind}")
             n.style = (*n.parent.style, n.path)
             n.name = kind
@@ -300,8 +313,13 @@ def _squeeze(text: str) -> str:
     return _GAP.sub(" ", text).strip(" ")
 
 
-PARSED = "page_id long, url string, host string, digest long, blocks array<array<struct<above: array<long>, text: string>>>, nodes array<struct<path: long, kind: string, shape: long, above: array<long>, features: array<long>>>"
-_BLOCKS = pa.list_(pa.list_(pa.struct([("above", pa.list_(pa.int64())), ("text", pa.string())])))
+def _leaf(path: int, text: str) -> int:
+    """The content node of a text below a path."""
+    return _hash(f"{path} {_squeeze(text)}")
+
+
+PARSED = "page_id long, url string, host string, digest long, blocks array<array<struct<path: long, leaf: long, text: string>>>, nodes array<struct<path: long, kind: string, shape: long, above: array<long>, features: array<long>>>"
+_BLOCKS = pa.list_(pa.list_(pa.struct([("path", pa.int64()), ("leaf", pa.int64()), ("text", pa.string())])))
 _NODES = pa.list_(pa.struct([("path", pa.int64()), ("kind", pa.string()), ("shape", pa.int64()), ("above", pa.list_(pa.int64())), ("features", pa.list_(pa.int64()))]))
 
 
@@ -316,8 +334,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 features: dict[int, set[int]] = {}
                 for block in found:
                     for path, text in block:
-                        features.setdefault(path, set()).add(_hash(_squeeze(text)))
-                blocks.append([[{"above": tree[p][1] if p else (), "text": t if len(b) > 1 else _squeeze(t)} for p, t in b] for b in found])
+                        features.setdefault(path, set()).add(_leaf(path, text))
+                blocks.append([[{"path": p, "leaf": _leaf(p, t), "text": t if len(b) > 1 else _squeeze(t)} for p, t in b] for b in found])
                 nodes.append([{"path": p, "kind": kind, "shape": shape, "above": up, "features": sorted(features.get(p, ()))} for p, (_, up, kind, shape) in tree.items()])
             yield pa.RecordBatch.from_arrays(
                 [part["page_id"], part["url"], part["host"], pa.array(digests, pa.int64()), pa.array(blocks, _BLOCKS), pa.array(nodes, _NODES)],
@@ -329,26 +347,50 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def style_tree(parsed: DataFrame) -> DataFrame:
-    """(host, path, kind, pages, composite, importance) of the nodes of each host's tree, over its distinct
-    pages."""
+def _importance(composite: Column, prior: Column) -> Column:
+    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), composite))
+    return 1 / (1 + F.exp(-(F.log(p / (1 - p)) + prior)))
+
+
+def _spread(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, path, kind, pages, layouts, presentation) of nodes, and (host, path, above, feature, c) of content nodes: on
+    how many distinct pages each is."""
     every = parsed.select("host", "digest", F.explode("nodes").alias("n")).select("host", "digest", "n.*")
-    base = lambda m: F.log(F.greatest(m, F.lit(2)).cast("double"))
     # counts by host alone would meet in one task for a large host; these don't
     shapes = every.select("host", "digest", "path", "kind", "shape").distinct().groupBy("host", "path", "kind", "shape").agg(F.count("*").alias("c"))
     look = shapes.groupBy("host", "path", "kind").agg(F.sum("c").alias("pages"), F.count("*").alias("layouts"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    look = look.withColumn("presentation", F.when(F.col("pages") > 1, (F.log("pages") - F.col("clogc") / F.col("pages")) / base(F.col("pages"))).otherwise(1.0))
+    look = look.withColumn("presentation", F.when(F.col("pages") > 1, (F.log("pages") - F.col("clogc") / F.col("pages")) / _base(F.col("pages"))).otherwise(1.0))
     texts = every.select("host", "digest", "path", "above", F.explode("features").alias("feature")).distinct()
-    spread = texts.groupBy("host", "path", "above", "feature").agg(F.count("*").alias("c"))
+    return look, texts.groupBy("host", "path", "above", "feature").agg(F.count("*").alias("c"))
+
+
+def _base(m: Column) -> Column:
+    return F.log(F.greatest(m, F.lit(2)).cast("double"))
+
+
+def style_tree(look: DataFrame, spread: DataFrame) -> DataFrame:
+    """(host, path, kind, pages, composite, importance) of the nodes of each host's tree, over its distinct
+    pages."""
     own = spread.groupBy("host", "path", "above").agg(F.sum(F.log("c")).alias("logs"), F.count("*").alias("n"))
-    own = own.join(look.select("host", "path", "pages"), ["host", "path"]).withColumn("sum", F.col("n") - F.col("logs") / base(F.col("pages")))
+    own = own.join(look.select("host", "path", "pages"), ["host", "path"]).withColumn("sum", F.col("n") - F.col("logs") / _base(F.col("pages")))
     below = own.select("host", F.explode("above").alias("path"), "sum", "n").groupBy("host", "path").agg((F.sum("sum") / F.sum("n")).alias("content"))
     g = F.pow(F.lit(DAMPING), F.col("layouts"))
     composite = F.when(F.col("pages") < MIN_PAGES, UNMEASURED).otherwise((1 - g) * F.col("presentation") + g * F.col("content"))
     out = look.join(below, ["host", "path"]).withColumn("composite", composite)
-    p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), F.col("composite")))
     prior = F.element_at(F.create_map(*(F.lit(x) for kv in PRIOR.items() for x in kv)), F.col("kind"))
-    return out.select("host", "path", "kind", "pages", "composite", (1 / (1 + F.exp(-(F.log(p / (1 - p)) + prior)))).alias("importance"))
+    return out.select("host", "path", "kind", "pages", "composite", _importance(F.col("composite"), prior).alias("importance"))
+
+
+def removed(parsed: DataFrame) -> DataFrame:
+    """(_host, gone): what is removed from each host's pages: paths that lie in a branch of low importance, and content
+    nodes of low importance.  These are on nearly all pages that have their node, so a host has few."""
+    look, spread = _spread(parsed)
+    look, spread = written(look, "pages-look"), written(spread, "pages-spread")
+    low = style_tree(look, spread).where(F.col("importance") < LOW).groupBy(F.col("host").alias("_host")).agg(F.collect_set("path").alias("low"))
+    paths = spread.select("host", "path", "above").distinct().join(low, F.col("host") == F.col("_host")).where(F.arrays_overlap("above", "low")).select("host", F.col("path").alias("id"))
+    common = spread.where(F.col("c") >= MIN_PAGES).join(look.where((F.col("kind") == "plain") & (F.col("pages") >= LEAF_PAGES)), ["host", "path"])
+    leaves = common.where(_importance(1 - F.log("c") / _base(F.col("pages")), F.lit(LEAF_PRIOR)) < LOW).select("host", F.col("feature").alias("id"))
+    return paths.unionByName(leaves).groupBy(F.col("host").alias("_host")).agg(F.collect_set("id").alias("gone"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
@@ -357,13 +399,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     bounded_batches()
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
     parsed = written(given.mapInArrow(_parse_batches, PARSED), "pages-parsed")
-    low = style_tree(parsed).where(F.col("importance") < LOW)
-    low = written(low.groupBy("host").agg(F.collect_set("path").alias("low")).withColumnRenamed("host", "_host"), "pages-low")
-    joined = parsed.select("page_id", "url", "host", "blocks").join(low, F.col("host") == F.col("_host"), "left")
-    stays = lambda x: F.col("low").isNull() | ~F.arrays_overlap(x["above"], F.col("low"))
+    gone = written(removed(parsed), "pages-low")
+    joined = parsed.select("page_id", "url", "host", "blocks").join(gone, F.col("host") == F.col("_host"), "left")
+    stays = lambda x: F.col("gone").isNull() | ~(F.array_contains("gone", x["path"]) | F.array_contains("gone", x["leaf"]))
     whole = lambda b: F.array_join(F.transform(F.filter(b, stays), lambda x: x["text"]), "")
     # a block of one piece is squeezed already
     texts = F.transform("blocks", lambda b: F.when(F.size(b) == 1, whole(b)).otherwise(F.btrim(F.regexp_replace(whole(b), GAP, " "))))
-    removed = F.size(F.filter("blocks", lambda b: ~F.forall(b, stays))).cast("long")
-    out = joined.select("page_id", "url", removed.alias("n_removed"), F.filter(texts, lambda t: t != "").alias("blocks"))
+    n_removed = F.size(F.filter("blocks", lambda b: ~F.forall(b, stays))).cast("long")
+    out = joined.select("page_id", "url", n_removed.alias("n_removed"), F.filter(texts, lambda t: t != "").alias("blocks"))
     return out.select("page_id", "url", F.array_join("blocks", "\n").alias("text"), "blocks", "n_removed")

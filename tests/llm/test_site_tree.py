@@ -21,7 +21,7 @@ def run(spark, pages):
 def alone(html):
     """The blocks of a page that is alone on its host: what a hint or a declared role is on goes."""
     blocks, nodes = site_tree.parse(html)
-    hinted = {p for p, n in nodes.items() if n[2] == "hinted"}
+    hinted = {p for p, n in nodes.items() if n[2] in ("hinted", "comments")}
     kept = ["".join(t for p, t in b if not p or not hinted & set(nodes[p][1])) for b in blocks]
     return [" ".join(t.split()) for t in kept if t.strip()]
 
@@ -121,7 +121,7 @@ def test_importance_against_the_formula(spark):
     df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
     given = df.select("page_id", "url", "html", site_tree.host_of(F.col("url")).alias("host"))
     parsed = given.mapInArrow(site_tree._parse_batches, site_tree.PARSED)
-    got = {r["path"]: r for r in site_tree.style_tree(parsed).collect()}
+    got = {r["path"]: r for r in site_tree.style_tree(*site_tree._spread(parsed)).collect()}
     nodes, feats, above, kinds = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), {}, {}
     for r in parsed.collect():
         for n in r["nodes"]:
@@ -142,6 +142,33 @@ def test_importance_against_the_formula(spark):
         assert got[path]["importance"] == pytest.approx(1 / (1 + math.exp(-odds)))
 
 
+def test_an_unmarked_line_that_all_pages_repeat_goes(spark):
+    body = lambda i, line: f"<html><body><div id=story><h1>Title {i}</h1><p>Paragraph {i} of its own.</p><p>{line}</p><p>Ending {i} here.</p></div></body></html>"
+    rows = [("http://a.org/", body(i, "Subscribe to our newsletter today")) for i in range(8)]
+    rows += [("http://b.org/", body(i, "Subscribe to our newsletter today" if i else "A line of the first page")) for i in range(9)]  # on all pages but one
+    rows += [("http://c.org/", body(i, "Too few pages tell nothing")) for i in range(7)]
+    found = run(spark, rows)
+    got = [found[i] for i in range(len(rows))]
+    assert got[:8] == [f"Title {i}\nParagraph {i} of its own.\nEnding {i} here." for i in range(8)]
+    rows = [(u, h.replace("div id=story", "article").replace("</div>", "</article>")) for u, h in rows]
+    again = run(spark, rows)
+    assert all("newsletter" in again[i] for i in range(8))  # the article's markup vouches for it
+    assert all("newsletter" in t for t in got[9:17]) and "first page" in got[8] and all("Too few" in t for t in got[17:])
+
+
+@pytest.mark.parametrize("name", ["id=comments-area", "class=comment-body", "class=post-comments", "class=user-comments-wrapper", "class=comments", "id=comment-list-12"])
+def test_reader_comments_go(spark, name):
+    rows = []
+    for i in range(9):  # as rich in structure as an article
+        comments = "".join(f"<div class=entry><b>User {i}{k}</b><p>I think {k} of {i}.</p>{'<ul><li>a<li>b</ul>' * (k % 2)}</div>" for k in range(i))
+        rows.append(("http://a.org/", f"<body><article class='post comments-open'><h1>T {i}</h1><p>Text {i}.</p></article><div {name}>{comments}</div></body>"))
+    assert run(spark, rows) == {i: f"T {i}\nText {i}." for i in range(9)}
+
+
+def test_a_page_within_a_container_named_after_comments_stays(spark):
+    assert run(spark, [("http://a.org/", "<div class='page-with-comments'><article><p>Text.</p></article></div>"), ("http://a.org/", "<body class=comments><p>On its own.</p></body>")]) == {0: "Text.", 1: "On its own."}
+
+
 def test_odd_pages(spark):
     rows = [(None, None), ("", ""), ("x", "just text & no markup"), ("http://u.org", "<p>cut &am"), ("http://u.org", "<p>a</b></i></div>b<td>c"), ("http://u.org", "<" * 50), ("http://v.org/", "<p>" + "long " * 50000), ("http://v.org/", "<script>never closed"), ("no url", "<article><p>x")]
     got = run(spark, rows)
