@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docquarry.sources.shared import written
+
 
 def edges_of_facts(facts: DataFrame) -> DataFrame:
     """(src, dst, kind): company - fact - metric and year, fact - chunk, and each year of a company and
@@ -46,3 +48,39 @@ def evidence(edges: DataFrame, anchor_sets: DataFrame, hops: int = 2) -> DataFra
     n = by_set.groupBy("query", "node").agg(F.count("*").alias("n")).join(sets, "query").withColumn("all", F.col("n") == F.col("sets"))
     some = F.max("all").over(Window.partitionBy("query"))
     return n.withColumn("_some", some).where("all OR NOT _some").select("query", "node")
+
+
+#: Nodes of more neighbours are no way from one node to another: nearly all nodes meet in them.
+HUB = 100
+
+
+def paths_between(edges: DataFrame, pairs: DataFrame, hops: int = 4, hub: int = HUB) -> DataFrame:
+    """(query, path): the shortest paths of at most ``hops`` edges, in either direction, between the nodes a and b of pairs
+    (query, a, b); a path is an array of nodes.  No path leads through a node of over ``hub`` neighbours, though it may begin
+    or end in one.  Both ends are followed for half of the way and meet there, so the steps taken grow with the root of the
+    number of all paths of that length, and hubs, by their degree, aren't spread through.  Pairs with a null say nothing."""
+    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
+    small = both.groupBy("src").agg(F.count("*").alias("_degree")).where(F.col("_degree") <= hub).select(F.col("src").alias("_small"))
+    asked = written(pairs.where("a IS NOT NULL AND b IS NOT NULL").select("query", "a", "b").distinct(), "path-pairs")
+    through = both.join(small, F.col("src") == F.col("_small")).select("src", "dst")  # steps on from nodes that aren't hubs
+
+    def followed(end: str, steps: int) -> list[DataFrame]:
+        at = asked.select("query", F.col(end).alias("node"), F.array(end).alias("path")).distinct()
+        out = [at]
+        for d in range(steps):
+            way = both if d == 0 else through  # the ends themselves may be hubs
+            at = at.join(way, F.col("node") == F.col("src")).where(~F.array_contains("path", F.col("dst"))).select("query", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+            at = written(at, f"paths-{end}")
+            out.append(at)
+        return out
+
+    there, back = followed("a", (hops + 1) // 2), followed("b", hops // 2)
+    found = None
+    for n in range(hops + 1):
+        left, right = there[(n + 1) // 2], back[n // 2].select("query", "node", F.col("path").alias("_back"))
+        if n > 1:  # where they meet is on the way, so it is no hub
+            left = left.join(small, F.col("node") == F.col("_small"), "left_semi")
+        met = left.join(right, ["query", "node"]).select("query", F.concat("path", F.slice(F.reverse("_back"), 2, n + 1)).alias("path")).where(F.size(F.array_distinct("path")) == n + 1)
+        found = met if found is None else found.unionByName(met)
+    shortest = found.withColumn("_least", F.min(F.size("path")).over(Window.partitionBy("query")))
+    return shortest.where(F.size("path") == F.col("_least")).select("query", "path").distinct()

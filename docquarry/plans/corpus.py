@@ -277,3 +277,28 @@ def graph_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = table(spark, sf_dir, "customer").select(key("c", "c_custkey").alias("src"), key("n", "c_nationkey").alias("dst"))
     anchors = table(spark, sf_dir, "region").select(key("r", "r_regionkey").alias("node"))
     return graph.reachable(nation.unionByName(customer), anchors, 2)
+
+
+_EDGES = """g AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS src, 'n' || CAST(c_nationkey AS VARCHAR) AS dst FROM customer UNION SELECT 's' || CAST(s_suppkey AS VARCHAR), 'n' || CAST(s_nationkey AS VARCHAR) FROM supplier
+      UNION SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation),
+    b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g), deg AS (SELECT src, count(*) AS n FROM b GROUP BY 1)"""
+
+
+@register(
+    "graph_paths",
+    f"""WITH RECURSIVE {_EDGES},
+    q AS (SELECT c_custkey AS query, 'c' || CAST(c_custkey AS VARCHAR) AS a, 's' || CAST(s_suppkey AS VARCHAR) AS b FROM customer JOIN supplier ON s_suppkey = c_custkey % 97 WHERE c_custkey % 20 = 0),
+    p AS (SELECT query, b AS goal, a AS node, [a] AS path FROM q UNION ALL
+      SELECT p.query, p.goal, e.dst, list_append(p.path, e.dst) FROM p JOIN b e ON e.src = p.node JOIN deg ON deg.src = p.node
+      WHERE p.node <> p.goal AND len(p.path) <= 4 AND NOT list_contains(p.path, e.dst) AND (len(p.path) = 1 OR deg.n <= 100) AND (e.dst = p.goal OR e.dst NOT LIKE 'c%')),
+    f AS (SELECT query, path, len(path) AS l, min(len(path)) OVER (PARTITION BY query) AS least FROM p WHERE node = goal)
+    SELECT query, array_to_string(path, '>') AS path FROM f WHERE l = least""",
+)
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest ways from customers to suppliers through nations and regions that aren't too large."""
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    customer, supplier, nation = (table(spark, sf_dir, t) for t in ("customer", "supplier", "nation"))
+    edges = customer.select(name("c", "c_custkey").alias("src"), name("n", "c_nationkey").alias("dst"))
+    edges = edges.unionByName(supplier.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))).unionByName(nation.select(name("n", "n_nationkey").alias("src"), name("r", "n_regionkey").alias("dst")))
+    pairs = customer.where("c_custkey % 20 = 0").join(supplier, F.col("s_suppkey") == F.col("c_custkey") % 97).select(F.col("c_custkey").alias("query"), name("c", "c_custkey").alias("a"), name("s", "s_suppkey").alias("b"))
+    return graph.paths_between(edges, pairs).select("query", F.array_join("path", ">").alias("path"))

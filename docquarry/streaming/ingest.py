@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from docquarry.sources.versioned import VersionedTable
+
 
 def arrivals(spark: SparkSession, folder: str, schema: str, fmt: str = "json", files_a_batch: int = 100) -> DataFrame:
     """Rows of the files that land in a folder."""
@@ -36,6 +38,21 @@ def current(spark: SparkSession, target: str, key: list[str]) -> DataFrame:
     return rows.join(newest, [*key, "batch"]).drop("batch")
 
 
+def versioned_sink(rows: DataFrame, table: VersionedTable, checkpoint: str, name: str, key: list[str] | None = None, step: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
+    """Each batch as a version of a table: its rows take the place of those of equal key, or, without keys, are added.  The
+    stream's name and the batch's number go with the commit, so a batch that is run again changes nothing; readers read one
+    version, however many batches there were."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = step(batch)
+        if key:
+            table.replace(own.dropDuplicates(key), key, (name, number))
+        else:
+            table.append(own, (name, number))
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed(events: DataFrame, length: str, late: str, slide: str | None = None) -> DataFrame:
     """Counts and sums of events (ts, event_type, value) by window; late rows are taken up to the
     watermark."""

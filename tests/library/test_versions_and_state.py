@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators import pruned, retrieval, sessions
 from docquarry.sources.versioned import VersionedTable
-from docquarry.streaming import machines
+from docquarry.streaming import ingest, machines
 
 SCHEMA = "id long, v string"
 
@@ -83,6 +83,20 @@ def test_a_batch_that_runs_again_counts_once(spark, tmp_path):
     assert len(rows(t.read())) == 3
 
 
+def test_a_stream_into_versions(spark, tmp_path):
+    land, check = tmp_path / "in", str(tmp_path / "check")
+    land.mkdir()
+    t = VersionedTable(spark, str(tmp_path / "t"))
+    run = lambda c=check: ingest.versioned_sink(ingest.arrivals(spark, str(land), SCHEMA, files_a_batch=1), t, c, "feed", ["id"]).awaitTermination(120)
+    (land / "1.json").write_text("\n".join(json.dumps({"id": i, "v": "a"}) for i in (1, 2)))
+    run()
+    (land / "2.json").write_text(json.dumps({"id": 2, "v": "b"}))
+    run()
+    assert rows(t.read()) == [(1, "a"), (2, "b")] and rows(t.read(1)) == [(1, "a"), (2, "a")] and t.versions() == [1, 2]
+    run(str(tmp_path / "lost"))  # its checkpoint is lost: the batches come again under their numbers
+    assert t.versions() == [1, 2] and rows(t.read()) == [(1, "a"), (2, "b")]
+
+
 # --- state ----------------------------------------------------------------------------------------
 
 
