@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.sources.shared import written
 
 
 def scored(questions: DataFrame, sections: DataFrame, content_chars: int = 600) -> DataFrame:
@@ -17,7 +18,7 @@ def scored(questions: DataFrame, sections: DataFrame, content_chars: int = 600)
     return q.join(s, "doc_id").select("qid", "doc_id", "section_id", "page", (3 * weight(F.col("_p")) + weight(F.col("_c"))).alias("score"))
 
 
-def covered(ranked: DataFrame, limit: int = 90, matched: int = 10, head: float = 0.8) -> DataFrame:
+def covered(ranked: DataFrame, limit: int | Column = 90, matched: int = 10, head: float = 0.8) -> DataFrame:
     """(qid, doc_id, section_id, position): the best sections by score, then an equal share of each
     document: the first four fifths of it from the beginning, the rest evenly from what follows.  What a
     short document leaves of its share goes to the next best in page order."""
@@ -70,3 +71,30 @@ def parents_of(relevant: DataFrame, corpus: DataFrame) -> DataFrame:
     """Relevant chunks (qid, chunk_id) and the parents of those, once each."""
     up = relevant.join(corpus.select("chunk_id", "parent_id"), "chunk_id").where("parent_id IS NOT NULL").select("qid", F.col("parent_id").alias("chunk_id"))
     return relevant.select("qid", "chunk_id").unionByName(up).distinct()
+
+
+def expanded(candidates: DataFrame, semantic: DataFrame, ranked: DataFrame, chunks: DataFrame, limit: int = 90, dense: int = 30, matched: int = 10, head: float = 0.8, most_children: int = 120, preserve: int = 20, cap: int = 160) -> DataFrame:
+    """(qid, chunk_id, kind, position): candidates (qid, chunk_id, rank) of summarising questions widened by whole sections.
+
+    Sections are the ``dense`` nearest (semantic: qid, doc_id, section_id, rank) and, for what is left of ``limit``, a
+    coverage of the others (ranked: as ``scored`` gives it).  The order is: the first ``preserve`` candidates (head), the
+    chunks of the sections (child; chunks: doc_id, chunk_id, parent_id, seq), the sections themselves (coverage), the
+    other candidates (tail).  A child that is in the head or is a section stays away, and so does a candidate of the tail
+    that came before; a section that is in the head comes again.  The first ``cap`` of a question are kept.  Questions without
+    sections keep their candidates."""
+    near = semantic.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("rank", "section_id"))).where(F.col("_n") <= min(dense, limit))
+    near = near.select("qid", "doc_id", "section_id", F.col("_n").alias("rank"))
+    taken = near.groupBy("qid").agg(F.count("*").alias("_near"))
+    others = ranked.join(near.select("qid", "section_id"), ["qid", "section_id"], "left_anti").join(taken, "qid", "left").withColumn("_limit", F.lit(limit) - F.coalesce("_near", F.lit(0)))
+    rest = covered(others.where("_limit > 0"), F.col("_limit"), matched, head)
+    selected = written(near.unionByName(rest.select("qid", "doc_id", "section_id", (F.col("position") + limit).alias("rank"))), "sections-selected")
+    first = candidates.where(F.col("rank") <= preserve)
+    under = chunks.join(selected.select("qid", "doc_id", F.col("section_id").alias("parent_id"), F.col("rank").alias("_rank")), ["doc_id", "parent_id"])
+    under = under.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("_rank", "seq", "chunk_id"))).where(F.col("_n") <= most_children)
+    sections = selected.select("qid", F.col("section_id").alias("chunk_id"))
+    child = under.select("qid", "chunk_id", F.col("_n").alias("_o")).join(first.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").join(sections, ["qid", "chunk_id"], "left_anti")
+    tail = candidates.where(F.col("rank") > preserve).join(sections.unionByName(child.select("qid", "chunk_id")), ["qid", "chunk_id"], "left_anti")
+    part = lambda df, tier, kind, order: df.select("qid", "chunk_id", F.lit(kind).alias("kind"), F.lit(tier).alias("_t"), F.col(order).cast("long").alias("_o"))
+    every = part(first, 0, "head", "rank").unionByName(part(child, 1, "child", "_o")).unionByName(part(selected.withColumnRenamed("section_id", "chunk_id"), 2, "coverage", "rank")).unionByName(part(tail, 3, "tail", "rank"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy("_t", "_o"))
+    return every.withColumn("position", place).where(F.col("position") <= cap).select("qid", "chunk_id", "kind", "position")
