@@ -263,3 +263,35 @@ def question_in_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item word for word."""
     asked = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("asked"))
     return positions.containing(asked, table(spark, sf_dir, "documents").select("doc_id", "text"), "asked", "text").select("item_id", "doc_id")
+
+
+@register(
+    "hybrid_text_search",
+    f"""WITH {_FUSED}, f AS (SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(total, 12) DESC, chunk_id) AS INT) AS rank FROM g),
+    held AS (SELECT b.item_id AS qid, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    x AS (SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY chunk_id) AS rank FROM held),
+    t AS (SELECT qid, chunk_id, 0 AS tier, rank FROM x UNION ALL SELECT qid, chunk_id, 1, rank FROM f WHERE rank <= 16),
+    o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, chunk_id ORDER BY tier, rank) AS n FROM t) WHERE n = 1),
+    p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY tier, rank, chunk_id) AS position FROM o),
+    a AS (SELECT p.qid, p.chunk_id, p.tier, d.source, CAST(row_number() OVER (PARTITION BY p.qid ORDER BY position) AS INT) AS rank FROM p JOIN documents d ON d.doc_id = p.chunk_id
+      WHERE d.doc_id % 5 <> p.qid % 5 AND (d.doc_id % 3 <> 0 OR p.qid % 2 = 1))
+    SELECT qid, chunk_id, tier, rank, row_number() OVER (PARTITION BY qid, source ORDER BY rank) = 1 AND source IS NOT NULL AS opens_parent FROM a WHERE rank <= 8""",
+)
+def hybrid_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items asked of all documents as one plan: two routes over terms are fused; documents that hold an item word for
+    word go first; organisation and level of the asking user decide what may be read; the first hit of a source opens it."""
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    exact = positions.containing(benchmark.select(F.col("item_id").alias("qid"), F.col("text").alias("asked")), documents.select(F.col("doc_id").alias("chunk_id"), "text"), "asked", "text")
+    w = Window.partitionBy("qid").orderBy("chunk_id")
+    exact = exact.select("qid", "chunk_id", F.lit(1.0).alias("score"), F.row_number().over(w).alias("rank"))
+    k = F.col("chunk_id")
+    user = benchmark.select(F.col("item_id").alias("qid"))
+    chunks = documents.select(F.col("doc_id").alias("chunk_id"), "source").select("chunk_id", "source", (k % 5).cast("string").alias("org"), F.when(k % 3 == 0, "internal").otherwise("public").alias("visibility"))
+    # a user belongs to all organisations but one, and reads internal papers if the number is odd
+    orgs = F.filter(F.array(*map(F.lit, "01234")), lambda o: o != (F.col("qid") % 5).cast("string"))
+    levels = F.when(F.col("qid") % 2 == 1, F.array(F.lit("public"), F.lit("internal"))).otherwise(F.array(F.lit("public")))
+    users = user.select("qid", F.explode(orgs).alias("org"), levels.alias("levels"))
+    found = ops.hybrid(two_routes(spark, sf_dir), [exact], chunks, users, 8, 16)
+    hits = found.join(chunks.select("chunk_id", F.col("source").alias("parent_id"), F.lit(0).alias("doc_id")), "chunk_id")
+    parents = chunks.where("source IS NOT NULL").select(F.lit(0).alias("doc_id"), F.col("source").alias("parent_id")).distinct().withColumn("content", F.col("parent_id"))
+    return ops.parent_context(hits, parents).select("qid", "chunk_id", "tier", "rank", F.col("parent_content").isNotNull().alias("opens_parent"))
