@@ -708,8 +708,8 @@ def chinese_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = F.concat(F.get(names, (1 + k % 9).cast("int")), F.lit("千"), F.get(names, (1 + F.floor(k / 9) % 9).cast("int")), F.lit("百"), tens)
     words = F.when(k % 5 == 4, F.concat(tens, F.lit("亿元"))).otherwise(F.concat(four, _pick(["万元", "亿元", " 万元", "元", ""], k)))
     question = F.concat(F.lit("净利润"), _pick(["高于", "不超过", "达到"], k), words, F.lit("的公司有哪些"))
-    c = F.get(finance.constraints(question), F.lit(0))
-    return orders(spark, sf_dir).select("o_orderkey", c["op"].alias("op"), c["family"].alias("family"), c["value"].alias("limit"))
+    found = orders(spark, sf_dir).select("o_orderkey", question.alias("question")).withColumn("c", finance.constraints(F.col("question")))
+    return found.select("o_orderkey", F.inline("c").alias("op", "family", "limit"))
 
 
 @register(
