@@ -131,8 +131,9 @@ def question_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     question = F.concat(F.lit("净资产收益率"), _pick(["高于", "不超过", "达到"], k), (k % 40).cast("string"), F.lit("%的公司"))
     there = F.concat(F.lit("净资产收益率为"), (F.col("o_custkey") % 50).cast("string"), F.lit("%，共3家"))
-    c = finance.constraints(question)
-    return orders(spark, sf_dir).select("o_orderkey", F.get(c, F.lit(0))["op"].alias("op"), F.get(c, F.lit(0))["value"].alias("limit"), finance.constraint_match(c, finance.values_in(there)).cast("double").alias("met"))
+    found = orders(spark, sf_dir).select("o_orderkey", question.alias("question"), there.alias("there")).withColumn("c", finance.constraints(F.col("question")))
+    c = F.col("c")
+    return found.select("o_orderkey", F.get(c, F.lit(0))["op"].alias("op"), F.get(c, F.lit(0))["value"].alias("limit"), finance.constraint_match(c, finance.values_in(F.col("there"))).cast("double").alias("met"))
 
 
 # --- facts of tables and lines ------------------------------------------------------------------
