@@ -113,14 +113,20 @@ def around_anchor(text: Column, start: Column, end: Column, most: int) -> Column
     return F.when(T.token_count(text) <= most, text).when(tokens <= most, window).otherwise(cut)
 
 
-def deduplicated(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40, citation: int = 24) -> DataFrame:
-    """(qid, chunk_id, position, contained array<{chunk_id, start, length}>) of blocks (qid, chunk_id, doc_id, parent_id, kind,
-    rank, content): packed in rank order; then a child whose section is there too and holds it exactly once becomes
-    a citation of the section, and blocks that were left out come in where there is room.  Where the citations
-    themselves would not fit, the packed blocks stay as they were."""
-    b = packed(blocks, budget, overhead).select("qid", "chunk_id").withColumn("_in", F.lit(True))
-    own = F.struct("rank", "chunk_id", "doc_id", "parent_id", "kind", "content", F.coalesce("_in", F.lit(False)).alias("in"))
-    lists = blocks.join(b, ["qid", "chunk_id"], "left").groupBy("qid").agg(F.array_sort(F.collect_list(own)).alias("_b"))
+def _folded(blocks: DataFrame, budget: int, overhead: int, citation: int) -> DataFrame:
+    """(qid, _b, _all): each question's blocks in rank order, ``in`` where ``packed`` takes them, and what is there after
+    citations, as arrays.  The blocks travel once: joins of texts would be broadcast by what they take when compressed."""
+    own = F.struct("rank", "chunk_id", "doc_id", "parent_id", "kind", "content")
+    lists = blocks.groupBy("qid").agg(F.array_sort(F.collect_list(own)).alias("_b"))
+    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.transform(F.slice("_b", 1, 0), lambda x: x["chunk_id"]).alias("ids"))
+
+    def step(a: Column, x: Column) -> Column:
+        need = a["used"] + F.length(x["content"]) + overhead
+        return F.when(need <= budget, F.struct(need.cast("bigint").alias("used"), F.concat(a["ids"], F.array(x["chunk_id"])).alias("ids"))).otherwise(a)
+
+    there = lambda x, ids: F.coalesce(F.array_contains(ids, x["chunk_id"]) & F.col("qid").isNotNull(), F.lit(False))
+    marked = lambda ids: F.transform("_b", lambda x: x.withField("in", there(x, ids)))
+    lists = lists.withColumn("_b", T.bound(F.aggregate("_b", start, step, lambda a: a["ids"]), marked))
     lists = lists.withColumn("_in", F.filter("_b", lambda x: x["in"]))
     times = lambda whole, part: (F.length(whole) - F.length(F.replace(whole, part, F.lit("")))) / F.length(part)
     holds = lambda p, c: (p["kind"] == "section") & (c["kind"] != "section") & (p["chunk_id"] == c["parent_id"]) & (p["doc_id"] == c["doc_id"]) & (F.length(c["content"]) > 0) & (times(p["content"], c["content"]) == 1)
@@ -132,6 +138,15 @@ def deduplicated(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40, cit
     lists = lists.withColumn("_kept", F.when(used("_kept") <= budget, F.col("_kept")).otherwise(plain))
     refill = lambda a, x: F.when(~x["in"] & (F.length(x["content"]) > 0) & (a["used"] + F.length(x["content"]) + overhead <= budget), F.struct((a["used"] + F.length(x["content"]) + overhead).alias("used"), F.concat(a["of"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), F.length(x["content"]).alias("chars"), F.lit(False).alias("gone"), F.slice(F.get("_c", F.lit(0))["contained"], 1, 0).alias("contained")))).alias("of"))).otherwise(a)
     lists = lists.withColumn("_all", F.when(F.size("_kept") > 0, F.aggregate("_b", F.struct(used("_kept").alias("used"), F.col("_kept").alias("of")), refill, lambda a: a["of"])).otherwise(F.col("_kept")))
+    return lists.select("qid", "_b", "_all")
+
+
+def deduplicated(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40, citation: int = 24) -> DataFrame:
+    """(qid, chunk_id, position, contained array<{chunk_id, start, length}>) of blocks (qid, chunk_id, doc_id, parent_id, kind,
+    rank, content): packed in rank order; then a child whose section is there too and holds it exactly once becomes
+    a citation of the section, and blocks that were left out come in where there is room.  Where the citations
+    themselves would not fit, the packed blocks stay as they were."""
+    lists = _folded(blocks, budget, overhead, citation)
     return lists.select("qid", F.posexplode("_all").alias("position", "x")).select("qid", "x.chunk_id", (F.col("position") + 1).alias("position"), "x.contained")
 
 
@@ -165,10 +180,9 @@ def narrative(pieces: DataFrame, budget: int) -> DataFrame:
 def source_safe(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40) -> DataFrame:
     """(qid, chunk_id, position, path): blocks under a neutral path, as a page's inferred title proves nothing of its parts, packed
     and deduplicated; of the others those come in that neither hold nor are held by one that is there."""
-    kept = deduplicated(blocks, budget, overhead)
-    text = kept.join(blocks.select("qid", "chunk_id", F.col("content").alias("_kept"), F.col("rank").alias("_r")), ["qid", "chunk_id"])
-    clash = blocks.select("qid", "chunk_id", "content").join(text.select("qid", F.col("chunk_id").alias("_o"), "_kept"), "qid").where((F.col("chunk_id") != F.col("_o")) & (F.contains("content", "_kept") | F.contains("_kept", "content")))
-    first = packed(blocks, budget, overhead).select("qid", "chunk_id", F.lit(True).alias("_first"))
-    out = kept.join(first, ["qid", "chunk_id"], "left").join(clash.select("qid", "chunk_id", F.lit(True).alias("_clash")).distinct(), ["qid", "chunk_id"], "left")
-    out = out.where("_first OR _clash IS NULL")
-    return out.select("qid", "chunk_id", F.row_number().over(Window.partitionBy("qid").orderBy("position")).alias("position"), F.lit("原文").alias("path"))
+    lists = _folded(blocks, budget, overhead, 24)
+    kept = F.filter("_b", lambda y: F.exists("_all", lambda a: a["chunk_id"] == y["chunk_id"]))
+    clash = lambda k, y: F.exists(k, lambda z: F.coalesce((z["chunk_id"] != y["chunk_id"]) & (F.contains(y["content"], z["content"]) | F.contains(z["content"], y["content"])), F.lit(False)))
+    ids = T.bound(kept, lambda k: F.transform(F.filter(k, lambda y: y["in"] | ~clash(k, y)), lambda y: y["chunk_id"]))
+    out = T.bound(ids, lambda own: F.filter(F.transform("_all", lambda a: a["chunk_id"]), lambda c: F.array_contains(own, c)))
+    return lists.select("qid", F.posexplode(out).alias("position", "chunk_id")).select("qid", "chunk_id", (F.col("position") + 1).alias("position"), F.lit("原文").alias("path"))
