@@ -1,8 +1,9 @@
 """Phrases in texts by postings with positions.
 
 A text's postings are (text key, word, position).  A phrase of three words or more has whole words but for its first and
-last.  Its ``RAREST`` rarest ones (by how often they occur in all texts) are looked up, and their places must fit one
-another: place minus offset in the phrase is the same.  A phrase of one or two words need not hold a whole word of the
+last.  Of three words the one whole word may be frequent, so that is looked up with the ``EDGE`` characters on either side
+of it.  Of more words the ``RAREST`` rarest whole ones (by how often they occur in all texts) are looked up, and their
+places must fit one another: place minus offset in the phrase is the same.  A phrase of one or two words need not hold a whole word of the
 text, but its longest piece lies within one; the words that hold it are found among the distinct words of all texts,
 which are far fewer than texts have, by a run of characters.  What is left are few pairs of a phrase and a text,
 and these are verified character for character.
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.sources.shared import written
 
-RAREST, GRAM = 3, 3
+RAREST, GRAM, EDGE = 3, 3, 3
 
 
 def _words(text: Column) -> Column:
@@ -42,6 +44,20 @@ def _in_words(short: DataFrame, texts: DataFrame, key: Column, text: Column) ->
     return held.unionByName(few).join(own, "_word").select("_p", "_t").distinct()
 
 
+def _edged(three: DataFrame, texts: DataFrame, key: Column, text: Column) -> DataFrame:
+    """(_p, _t): texts with the middle word of a phrase (_p, _w) of three words between words that end and begin as the
+    phrase's first and last do.  A shorter first or last word is known by one character."""
+    known = lambda w: F.when(F.length(w) < EDGE, 1).otherwise(EDGE)
+    feature = lambda a, before, own, b, after: F.xxhash64(a, F.right(before, a), own, b, F.left(after, b))
+    w = lambda i: F.get("_w", F.lit(i))
+    asked = three.select("_p", feature(known(w(0)), w(0), w(1), known(w(2)), w(2)).alias("f"))
+    asked = written(asked, "edges")
+    around = lambda own: F.transform(own, lambda x, i: F.struct(F.get(own, i - 1).alias("_b"), x.alias("_o"), F.get(own, i + 1).alias("_a")))
+    places = texts.select(key, F.inline(T.bound(T.tokens(text), around))).where("_b IS NOT NULL AND _a IS NOT NULL")
+    each = F.explode(F.array(*(feature(F.lit(a), F.col("_b"), F.col("_o"), F.lit(b), F.col("_a")) for a in (1, EDGE) for b in (1, EDGE))))
+    return places.select("_t", each.alias("f")).join(asked, "f").select("_p", "_t").distinct()
+
+
 def _met(asked: DataFrame, texts: DataFrame) -> DataFrame:
     """(_p, _t): phrases (_p, f, at) and texts (_t, f, at) whose RAREST rarest features fit."""
     asked = asked.distinct()
@@ -65,7 +81,13 @@ def containing(phrases: DataFrame, texts: DataFrame, phrase: str, text: str) ->
     own = phrases.where(p.isNotNull()).select(p.alias("_phrase"), F.xxhash64(p).alias("_p")).distinct().withColumn("_w", T.tokens(F.col("_phrase")))
     inner = F.transform(F.slice("_w", 2, F.size("_w") - 2), lambda w, i: F.struct(F.xxhash64(w).alias("f"), (i + 1).alias("at")))
     key = F.xxhash64(t).alias("_t")
-    found = _met(own.where(F.size("_w") > 2).select("_p", F.inline(inner)), texts.select(key, F.inline(_words(t))))
+    own = written(own, "phrases")  # of a known size: where phrases are few, postings of texts aren't shuffled to be looked up
+    longer, three = own.where(F.size("_w") > 3), own.where(F.size("_w") == 3).select("_p", "_w")
+    found = own.select("_p", F.lit(0).cast("long").alias("_t")).limit(0)
+    if longer.limit(1).count():
+        found = found.unionByName(_met(longer.select("_p", F.inline(inner)), texts.select(key, F.inline(_words(t)))))
+    if three.limit(1).count():
+        found = found.unionByName(_edged(three, texts, key, t))
     short = own.where(F.size("_w").between(1, 2)).select("_p", "_w")
     if short.limit(1).count():
         found = found.unionByName(_in_words(short, texts, key, t))
