@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.operators.positions import containing
+from docquarry.sources.shared import written
 
 
 def number_index(chunks: DataFrame) -> DataFrame:
@@ -16,21 +17,40 @@ def number_index(chunks: DataFrame) -> DataFrame:
     return found.select(T.without_separators(F.col("p")).alias("phrase"), "doc_id", "chunk_id").where("phrase <> ''").distinct()
 
 
+def _best_of_classes(asked: DataFrame, held: DataFrame, weight: Column, most: int) -> DataFrame:
+    """(qid, chunk_id, rank): the best chunks of each question (qid, phrase) among those that hold its phrases (phrase, chunk_id,
+    once each), by the sum of ``weight``, then by id.
+
+    Questions with the same phrases have the same answer, and of chunks with the same ones only the ``most`` of least id can
+    be in it.  So what meets are sets of phrases, and copies on either side cost no pairs."""
+    sets = lambda df, by: df.groupBy(by).agg(F.array_sort(F.collect_set("phrase")).alias("_set"))
+    questions, chunks = sets(asked, "qid"), sets(held.join(asked.select("phrase").distinct(), "phrase", "left_semi"), "chunk_id")
+    few = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("_set").orderBy("chunk_id"))).where(F.col("_n") <= most).drop("_n")
+    few = written(few, "chunk-sets")
+    single = lambda df, name: df.select(F.col("_set").alias(name)).distinct().select(name, F.explode(name).alias("phrase"))
+    met = single(questions, "_q").join(single(few, "_c"), "phrase").groupBy("_q", "_c").agg(F.sum(weight).alias("matched"))
+    # of all chunks of a class the first ``most`` are kept, so the best sets are enough: each has a chunk at least
+    first = F.struct("chunk_id")
+    lead = few.groupBy("_set").agg(F.min(first)["chunk_id"].alias("_first")).withColumnRenamed("_set", "_c")
+    best = met.join(lead, "_c").withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("matched"), "_first"))).where(F.col("_n") <= most)
+    w = Window.partitionBy("_q").orderBy(F.desc("matched"), "chunk_id")
+    hits = best.join(few.withColumnRenamed("_set", "_c"), "_c").select("_q", "chunk_id", "matched", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
+    return questions.withColumnRenamed("_set", "_q").join(hits, "_q").select("qid", "chunk_id", "matched", "rank")
+
+
 def number_hits(questions: DataFrame, index: DataFrame, most: int = 5) -> DataFrame:
     """(qid, chunk_id, rank): chunks that hold a number of the question, those with more of them first."""
     asked = questions.select("qid", F.explode(T.number_phrases(F.col("question"))).alias("p")).select("qid", T.without_separators(F.col("p")).alias("phrase")).distinct()
-    hits = asked.join(index, "phrase").groupBy("qid", "chunk_id").agg(F.count("*").alias("matched"))
-    w = Window.partitionBy("qid").orderBy(F.desc("matched"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    return _best_of_classes(asked, index.select("phrase", "chunk_id"), F.lit(1), most)
 
 
 def quoted_hits(questions: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
     """(qid, chunk_id, rank): chunks that hold a phrase the question quotes, word for word."""
     asked = questions.select("qid", F.explode(T.quoted_phrases(F.col("question"))).alias("_p")).distinct()
-    held = containing(asked.withColumnRenamed("_p", "_quoted"), chunks.select("chunk_id", "content"), "_quoted", "content")
-    hits = held.groupBy("qid", "chunk_id").agg(F.sum(F.length("_quoted")).alias("matched"))
-    w = Window.partitionBy("qid").orderBy(F.desc("matched"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    # questions that quote the same share its places; each phrase is looked up once
+    held = containing(asked.select(F.col("_p").alias("_quoted")).distinct(), chunks.select("chunk_id", "content"), "_quoted", "content")
+    held = written(held.select(F.col("_quoted").alias("phrase"), "chunk_id"), "quoted")
+    return _best_of_classes(asked.withColumnRenamed("_p", "phrase"), held, F.length("phrase"), most)
 
 
 def union_best(routes: list[DataFrame]) -> DataFrame:
