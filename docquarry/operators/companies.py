@@ -17,6 +17,8 @@ SUFFIXES = ("集团股份有限公司", "集团有限公司", "股份有限公
 PREFIXES = ("中国", "上海", "深圳市", "深圳", "宜宾", "杭州", "贵州", "北京市", "北京")
 ABBREVIATIONS = {"ge": "General Electric", "工行": "中国工商银行", "建行": "中国建设银行", "农行": "中国农业银行", "中行": "中国银行", "招行": "招商银行", "浦发": "上海浦东发展银行", "茅台": "贵州茅台", "中芯": "中芯国际", "宁德": "宁德时代新能源科技", "海康": "杭州海康威视数字技术", "汇川": "深圳市汇川技术"}
 FILLERS = ("请问", "是多少", "为多少", "有多少", "多少", "分别为", "分别", "其", "公司", "的", "年末", "期末", "年底", "末")
+#: Answers that are broadcast.
+FEW = 20000
 ENGLISH_FILLERS = "what|were|was|are|is|in|of|for|at|the|and|how|did|do|does|has|have|had|by|to|from|on|as|its|their|it|they|that|this|these|those"
 
 
@@ -78,7 +80,17 @@ def _within(short: DataFrame, long: DataFrame) -> DataFrame:
 
 def subject(questions: DataFrame, companies: DataFrame) -> DataFrame:
     """(qid, company): the one company a question is about: whose name holds its subject, or is held by
-    it, in order of characters; else the one company it mentions; else null."""
+    it, in order of characters; else the one company it mentions; else null.
+
+    Equal questions are answered once.  What joins many rows is merged, as Spark would broadcast by what rows take when
+    compressed; FEW answers are broadcast, so that a frequent question makes no hot key."""
+    texts = questions.select("question").distinct().select(F.col("question").alias("qid"), "question")
+    answers = written(_subject_of(texts, companies).where("company IS NOT NULL").select(F.col("qid").alias("question"), "company"), "answers")
+    answers = F.broadcast(answers) if answers.count() <= FEW else answers.hint("merge")
+    return questions.select("qid", "question").join(answers, "question", "left").select("qid", "company")
+
+
+def _subject_of(questions: DataFrame, companies: DataFrame) -> DataFrame:
     # written: a long expression, read four times
     q = written(questions.select("qid", T.simplified(subject_text(F.col("question"))).alias("_s")), "subjects").where(F.length("_s") >= 2)
     c = companies.select("company", F.lower(T.simplified(F.col("company"))).alias("_c")).distinct()
@@ -90,7 +102,7 @@ def subject(questions: DataFrame, companies: DataFrame) -> DataFrame:
     pairs = held.unionByName(holds).unionByName(letter).distinct()
     first = one(q.join(pairs, "_s").join(c, "_c").select("qid", "company").distinct())
     second = one(mentioned(questions, companies)).withColumnRenamed("company", "_m")
-    return questions.select("qid").join(first, "qid", "left").join(second, "qid", "left").select("qid", F.coalesce("company", "_m").alias("company"))
+    return questions.select("qid").join(first.hint("merge"), "qid", "left").join(second.hint("merge"), "qid", "left").select("qid", F.coalesce("company", "_m").alias("company"))
 
 
 def documents_of(questions: DataFrame, facts: DataFrame, org: str, levels: list[str]) -> DataFrame:
