@@ -1,8 +1,9 @@
 """Exact nearest neighbours by matrix products of blocks.
 
 Vectors are packed: a row holds the ids of many vectors and their unit vectors one after another.  A stated set of
-questions meets all vectors as pairs of packed rows, a matrix product each; of a pair only the k best of each
-question (and ties of the last) go on.  Packing needs no shuffle, and no task holds more than a few packed rows.
+questions meets all vectors as pairs of packed rows, a matrix product each.  Packed vectors are dealt into a fixed number
+of buckets and the packed questions go to each, so no task has all of them; what a task keeps is the k best of a question so far
+(``_Best``), no more than ``HELD`` rows of all questions.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from docquarry.sources.shared import bounded_batches
 
 #: Vectors of a packed row.
 PACK = 1024
+#: Buckets of all vectors; buckets of each list where both sides have lists; rows and bytes that a task holds.
+BUCKETS, LIST_BUCKETS, HELD, HELD_BYTES = 32, 4, 4_000_000, 32 << 20
 
 
 def matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -65,19 +70,136 @@ def best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(np.ones(scores.shape, bool))
 
 
-def nearest(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """(qid, chunk_id, score) of questions (qid, vector) and chunks (chunk_id, vector): a superset of the k chunks of
-    greatest cosine of each question, those of every pair of packed rows."""
-    kinds = dict(questions.dtypes)["qid"], dict(chunks.dtypes)["chunk_id"]
-    pairs = packed(chunks, "chunk_id", "vector", "c").join(packed(questions, "qid", "vector", "q"), F.col("c_dim") == F.col("q_dim"))
+def packs(df: DataFrame, id_col: str, prefix: str, group: str | None = None, also: str | None = None) -> DataFrame:
+    """(prefix_no, prefix_group, prefix_ids, prefix_also, prefix_dim, prefix_matrix) of df (id_col, vector): as ``packed``, by id, each row
+    with vectors of one value of ``group`` (null is one), their values of ``also``, and a number of its own."""
+    bounded_batches()
+    kinds, pack = dict(df.dtypes), PACK
+    own = [df[id_col].alias("id"), df["vector"].alias("vector"), (F.col(group) if group else F.lit(0)).alias("g"), (F.col(also) if also else F.lit(0)).alias("a")]
+    names = [f"{prefix}_{n}" for n in ("no", "group", "ids", "also", "dim", "matrix")]
+    g_kind, a_kind = kinds.get(group, "int"), kinds.get(also, "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, values = TaskContext.get().partitionId() << 32, {}, {}
+
+        def rows(key: tuple) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            dim, ids, also_, x = key[0], *(f([p[i] for p in held[key]]) for i, f in enumerate((pa.concat_arrays, pa.concat_arrays, np.concatenate)))
+            del held[key]
+            order = pc.sort_indices(ids)
+            ids, also_, x = ids.take(order), also_.take(order), x[order.to_numpy()]
+            for at in range(0, len(ids), pack):
+                one = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (ids[at : at + pack], also_[at : at + pack])]
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), values[key[1]], *one, pa.array([dim], pa.int32()), pa.array([x[at : at + pack].tobytes()], pa.binary())], names)
+                number += 1
+
         for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch["q_dim"][i].as_py()
-                q, c = (np.frombuffer(batch[f"{x}_matrix"][i].as_buffer(), np.float64).reshape(-1, dim) for x in "qc")
-                scores = np.round(q @ c.T, 9)
-                a, b = best(scores, k)
-                yield pa.RecordBatch.from_arrays([batch["q_ids"][i].values.take(pa.array(a)), batch["c_ids"][i].values.take(pa.array(b)), pa.array(scores[a, b])], ["qid", "chunk_id", "score"])
-
-    return pairs.select("q_ids", "q_dim", "q_matrix", "c_ids", "c_matrix").mapInArrow(run, f"qid {kinds[0]}, chunk_id {kinds[1]}, score double")
+            code = pc.dictionary_encode(batch["g"], null_encoding="encode")
+            codes = code.indices.to_numpy(zero_copy_only=False)
+            for found, x in matrices(batch["vector"]):
+                for c in np.unique(codes[found]).tolist():
+                    mine = codes[found] == c
+                    value = code.dictionary.slice(c, 1)
+                    key = (x.shape[1], value[0].as_py())
+                    values[key[1]] = value
+                    at = pa.array(found[mine])
+                    held.setdefault(key, []).append((batch["id"].take(at), batch["a"].take(at), unit(x[mine])))
+                    if sum(len(p[0]) for p in held[key]) >= pack:
+                        yield from rows(key)
+            if sum(p[2].nbytes for parts in held.values() for p in parts) > HELD_BYTES:
+                for key in list(held):
+                    yield from rows(key)
+        for key in list(held):
+            yield from rows(key)
+
+    return df.select(*own).mapInArrow(run, f"{names[0]} long, {names[1]} {g_kind}, {names[2]} array<{kinds[id_col]}>, {names[3]} array<{a_kind}>, {names[4]} int, {names[5]} binary")
+
+
+def met(questions: DataFrame, chunks: DataFrame, lists: bool = False) -> DataFrame:
+    """Pairs of packs (of prefixes q and c) whose vectors have one length and, with ``lists``, one group."""
+    n = LIST_BUCKETS if lists else BUCKETS
+    q = questions.withColumn("q_bucket", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).hint("merge")
+    on = (F.col("q_dim") == F.col("c_dim")) & (F.col("q_bucket") == F.pmod(F.xxhash64("c_no"), F.lit(n)).cast("int"))
+    return q.join(chunks, on & (F.col("q_group") == F.col("c_group")) if lists else on)
+
+
+def products(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
+    """(batch, row, cosines to nine decimals) of pairs of packs."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            q, c = (np.frombuffer(batch[f"{x}_matrix"][i].as_buffer(), np.float64).reshape(-1, batch["q_dim"][i].as_py()) for x in "qc")
+            yield batch, i, np.round(q @ c.T, 9)
+
+
+class _Best:
+    """The k best (score, then id) of each question of a pack so far, and what may still be among them."""
+
+    def __init__(self, q_ids: pa.Array, k: int):
+        self.q_ids, self.k, self.least, self.parts, self.n = q_ids, k, np.full(len(q_ids), -np.inf), [], 0
+
+    def add(self, scores: np.ndarray, ids: pa.Array) -> None:
+        bar, k = self.least, self.k
+        scores = np.where(np.isnan(scores), -np.inf, scores) if np.isnan(scores).any() else scores
+        if scores.shape[1] > k and np.isinf(bar).any():
+            bar = np.maximum(bar, np.partition(scores, scores.shape[1] - k, axis=1)[:, -k])
+        mask = (scores >= bar[:, None]) & (scores > -np.inf)
+        if np.count_nonzero(mask) > 4 * k * len(bar):  # many ties: columns are in order of ids
+            tie = mask & (scores == bar[:, None])
+            mask &= ~tie | (np.cumsum(tie, axis=1) <= k)
+        a, b = np.nonzero(mask)
+        if len(a):
+            self.parts.append((a, scores[a, b], ids.take(pa.array(b))))
+            self.n += len(a)
+            if np.isinf(self.least).any() or self.n > 3 * k * len(bar):
+                self.compact()
+
+    def compact(self) -> None:
+        a, s = (np.concatenate([p[i] for p in self.parts]) for i in range(2))
+        ids = pa.concat_arrays([p[2] for p in self.parts])
+        order = pc.sort_indices(pa.table({"a": a, "s": -s, "id": ids}), sort_keys=[("a", "ascending"), ("s", "ascending"), ("id", "ascending")]).to_numpy()
+        a = a[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        last = place == self.k - 1
+        self.least[a[last]] = s[order][last]
+        kept = order[place < self.k]
+        self.parts, self.n = [(a[place < self.k], s[kept], ids.take(pa.array(kept)))], len(kept)
+
+    def rows(self) -> tuple[pa.Array, pa.Array, pa.Array]:
+        self.compact()
+        a, s, ids = self.parts[0]
+        return self.q_ids.take(pa.array(a)), ids, pa.array(s)
+
+
+def nearest(questions: DataFrame, chunks: DataFrame, k: int, by: str | None = None, lists: bool = False) -> DataFrame:
+    """(qid, chunk_id, score) of questions (qid, vector) and chunks (chunk_id, vector): a superset of the k chunks of
+    greatest cosine of each question, those of every bucket; ties go by id.  With ``by``, a column of chunks, those of
+    each of its values, which is a column of the result too; with ``lists`` only rows of equal ``list`` meet."""
+    kinds = dict(questions.dtypes) | dict(chunks.dtypes)
+    group = "list" if lists else None
+    pairs = met(packs(questions, "qid", "q", group), packs(chunks, "chunk_id", "c", group or by), lists)
+    out = ["qid", "chunk_id", "score"] + ([by] if by else [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, _Best] = {}
+        kind = None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for key, best_ in found.items():
+                if best_.parts:
+                    own = best_.rows()
+                    more = [pa.repeat(pa.scalar(key[1], kind), len(own[0]))] if by else []
+                    yield pa.RecordBatch.from_arrays([*own, *more], out)
+            found.clear()
+
+        for batch, i, scores in products(batches):
+            kind = batch["c_group"].type
+            key = batch["q_no"][i].as_py(), batch["c_group"][i].as_py()
+            if key not in found:
+                if sum(max(b.n, len(b.q_ids)) for b in found.values()) > HELD:
+                    yield from rows()
+                found[key] = _Best(batch["q_ids"][i].values, k)
+            found[key].add(scores, batch["c_ids"][i].values)
+        yield from rows()
+
+    more = f", {by} {kinds[by]}" if by else ""
+    return pairs.select("q_no", "q_ids", "q_dim", "q_matrix", "c_group", "c_ids", "c_matrix").mapInArrow(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double{more}")

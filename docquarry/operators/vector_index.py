@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.functions import vectors
+from docquarry.operators import vector_blocks
 from docquarry.operators.retrieval import top
 
 LISTS, PROBES = 64, 44
@@ -41,10 +42,9 @@ def index(chunks: DataFrame, centre_rows: DataFrame) -> DataFrame:
 
 def search(questions: DataFrame, indexed: DataFrame, centre_rows: DataFrame, k: int, probes: int = PROBES) -> DataFrame:
     """(qid, chunk_id, score, rank): the k best of the lists each question (qid, vector) looks into.  What meets is
-    joined by list; no chunk is left out of its list, however long that is."""
-    q = with_lists(questions.select("qid", "vector"), centre_rows, probes).withColumnRenamed("vector", "_q")
-    met = q.join(indexed, "list").select("qid", "chunk_id", F.round(vectors.cosine(F.col("_q"), F.col("vector")), 9).alias("score"))
-    return top(met, k)
+    joined by list, as matrix products of blocks; no chunk is left out of its list, however long that is."""
+    q = with_lists(questions.select("qid", "vector"), centre_rows, probes)
+    return top(vector_blocks.nearest(q, indexed, k, lists=True), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import positions, pq_index, pruned
+from docquarry.operators import positions, pq_index, pruned, vector_blocks
 from docquarry.operators import retrieval as ops
 from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
@@ -104,7 +104,8 @@ def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def topk_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
     w = Window.partitionBy("qid", "label").orderBy(F.desc("score"), "chunk_id")
-    return ops.scored(q, c).select("qid", "label", "chunk_id", "score").withColumn("rank", F.row_number().over(w)).where("rank <= 2").drop("score")
+    found = vector_blocks.nearest(q.select("qid", "vector"), c, 2, by="label")
+    return found.select("qid", "label", "chunk_id", "score").withColumn("rank", F.row_number().over(w)).where("rank <= 2").drop("score")
 
 
 @register("document_frequency", f"WITH {TERMS_SQL} SELECT term, count(*) AS df FROM doc_terms GROUP BY term")
