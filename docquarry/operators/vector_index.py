@@ -6,11 +6,13 @@ centre.  A question looks into the lists of its ``probes`` nearest centres and s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docquarry.functions import text as T
-from docquarry.functions import vectors
 from docquarry.operators import vector_blocks
 from docquarry.operators.retrieval import top
 
@@ -24,15 +26,26 @@ def centres(chunks: DataFrame, lists: int = LISTS) -> DataFrame:
 
 
 def with_lists(rows: DataFrame, centre_rows: DataFrame, n: int) -> DataFrame:
-    """rows (with vector) once for each of the lists of their n nearest centres.  The centres travel as one row of a
-    size that the number of lists fixes; rows aren't shuffled.  Rows without a vector are in no list."""
-    one = centre_rows.agg(F.array_sort(F.collect_list(F.struct("list", "centre"))).alias("_c"))
-
-    def nearest(own: Column) -> Column:
-        return F.slice(F.array_sort(F.transform("_c", lambda c: F.struct((-F.round(vectors.cosine(own, c["centre"]), 9)).alias("far"), c["list"].alias("list")))), 1, n)
-
-    placed = rows.where("vector IS NOT NULL").crossJoin(F.broadcast(one)).withColumn("_l", F.explode(T.bound(F.col("vector"), nearest)))
-    return placed.withColumn("list", F.col("_l")["list"]).drop("_c", "_l")
+    """rows (with vector) once for each of the lists of their n nearest centres, by matrix products.  The centres travel with
+    the code, a matrix of a size that the number of lists fixes; rows aren't shuffled.  Rows without a vector, or with one that
+    holds a null or is of another length than all centres, are in no list."""
+    table = centre_rows.select("list", "centre").orderBy("list").toArrow()
+    centres_of = {}
+    for at, x in vector_blocks.matrices(table["centre"]):
+        centres_of[x.shape[1]] = table["list"].combine_chunks().take(pa.array(at)), vector_blocks.unit(x)
+    vector_blocks.bounded_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, x in vector_blocks.matrices(batch["vector"]):
+                if x.shape[1] in centres_of:
+                    lists, c = centres_of[x.shape[1]]
+                    near = np.argsort(-np.round(vector_blocks.unit(x) @ c.T, 9), axis=1, kind="stable")[:, :n]
+                    own = batch.take(pa.array(np.repeat(at, near.shape[1])))
+                    yield pa.RecordBatch.from_arrays([*own.columns, lists.take(pa.array(near.ravel()))], [*batch.schema.names, "list"])
+
+    kind = dict(centre_rows.dtypes)["list"]
+    return rows.where("vector IS NOT NULL").mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + f", list {kind}")
 
 
 def index(chunks: DataFrame, centre_rows: DataFrame) -> DataFrame:

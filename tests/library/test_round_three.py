@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import companies, context, phrases, positions, retrieval, vector_blocks
+from docquarry.operators import companies, context, phrases, positions, retrieval, vector_blocks, vector_index
 
 
 def _plan(df):
@@ -92,3 +92,16 @@ def test_no_task_has_all_questions_and_vectors(spark):
     v = spark.createDataFrame(_vectors(spark, 50), "chunk_id long, vector array<double>, label int")
     pairs = vector_blocks.met(vector_blocks.packs(v.withColumnRenamed("chunk_id", "qid"), "qid", "q"), vector_blocks.packs(v.repartition(40), "chunk_id", "c"))
     assert "q_bucket" in _plan(pairs) and pairs.select("q_bucket").distinct().count() > 1
+
+
+def test_lists_are_placed_by_products(spark):
+    """Lists are found in one pass over packed rows, not centre by centre in an expression; odd vectors are in none."""
+    rows = _vectors(spark, 60)
+    c = spark.createDataFrame([*rows, (900, None, 1), (901, [1.0], 1), (902, [None] * 8, 2)], "chunk_id long, vector array<double>, label int")
+    middle = vector_index.centres(c.where("chunk_id < 60"), 6)
+    centre = {r["list"]: np.array(r["centre"]) for r in middle.collect()}
+    placed = vector_index.with_lists(c, middle, 2)
+    assert placed.columns == ["chunk_id", "vector", "label", "list"] and "MapInArrow" in _plan(placed)
+    cos = lambda v, x: round(float(v @ x / np.linalg.norm(v) / np.linalg.norm(x)), 9)
+    want = sorted((i, n) for i, v, _ in rows for _, n in sorted((-cos(np.array(v), x), n) for n, x in centre.items())[:2])
+    assert _rows(placed.select("chunk_id", "list")) == want
