@@ -18,7 +18,14 @@ def ir_metrics(hits: DataFrame, relevant: DataFrame, k: int, idcg: str = "k") ->
     """
     want = relevant.select("qid", "chunk_id").distinct()
     size = want.groupBy("qid").agg(F.count("*").alias("relevant"))
-    top = hits.where(F.col("rank") <= k).join(want.withColumn("_r", F.lit(1)), ["qid", "chunk_id"], "left").withColumn("_r", F.coalesce("_r", F.lit(0)))
+    judged = hits.join(want.withColumn("is_relevant", F.lit(True)), ["qid", "chunk_id"], "left").withColumn("is_relevant", F.coalesce("is_relevant", F.lit(False)))
+    return judged_metrics(judged, size, k, idcg)
+
+
+def judged_metrics(judged: DataFrame, size: DataFrame, k: int, idcg: str = "k") -> DataFrame:
+    """``ir_metrics`` of hits that say whether they are relevant (qid, chunk_id, rank, is_relevant) and the number of relevant
+    chunks of each question (qid, relevant): for relevance that follows from a class, whose pairs need not be written out."""
+    top = judged.where(F.col("rank") <= k).withColumn("_r", F.col("is_relevant").cast("int"))
     so_far = F.sum("_r").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     top = top.withColumn("_p", F.col("_r") * so_far / F.col("rank"))
     gain = F.sum(F.col("_r") / F.log2(F.col("rank") + 1.0))
