@@ -8,7 +8,7 @@ of buckets and the packed questions go to each, so no task has all of them; what
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -203,3 +203,52 @@ def nearest(questions: DataFrame, chunks: DataFrame, k: int, by: str | None = No
 
     more = f", {by} {kinds[by]}" if by else ""
     return pairs.select("q_no", "q_ids", "q_dim", "q_matrix", "c_group", "c_ids", "c_matrix").mapInArrow(run, f"qid {kinds['qid']}, chunk_id {kinds['chunk_id']}, score double{more}")
+
+
+def _level_masks(batch: pa.RecordBatch, i: int, scores: np.ndarray, levels: Sequence[tuple[float, bool]]) -> Iterator[np.ndarray]:
+    """Pairs of packs i that are in each level (least score, whether groups must be equal)."""
+    group = batch["c_group"][i]
+    wanted = batch["q_also"][i].values
+    same = np.zeros(len(wanted), bool) if not group.is_valid else pc.fill_null(pc.equal(wanted, group), False).to_numpy(zero_copy_only=False)
+    for least, own in levels:
+        yield (scores > least) & same[:, None] if own else scores > least
+
+
+def first_level(questions: DataFrame, chunks: DataFrame, levels: Sequence[tuple[float, bool]], by: str, wanted: str, enough: int = 6, real: int = 2, real_above: float = 0.25) -> DataFrame:
+    """(qid, level, chunk_id): as ``retrieval.first_healthy`` of levels that take scores above a bound, of chunks of any ``by`` or only
+    of the question's ``wanted`` one; hits above ``real_above`` are real.  Levels are counted first, a row for each question and level of
+    a bucket, and only rows of the level chosen leave the products: no pair is kept that isn't in the result."""
+    kinds, levels = dict(questions.dtypes) | dict(chunks.dtypes), list(levels)
+    c = packs(chunks, "chunk_id", "c", by)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[pa.Array, np.ndarray]] = {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for ids, n in found.values():
+                a, level = np.nonzero(n[:, :, 0])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a)), pa.array(level.astype(np.int32)), *(pa.array(n[a, level, j]) for j in range(2))], ["qid", "level", "n", "real"])
+            found.clear()
+
+        for batch, i, scores in products(batches):
+            ids = batch["q_ids"][i].values
+            if len(found) * PACK > HELD:
+                yield from rows()
+            n = found.setdefault(batch["q_no"][i].as_py(), (ids, np.zeros((len(ids), len(levels), 2), np.int64)))[1]
+            for level, mask in enumerate(_level_masks(batch, i, scores, levels)):
+                n[:, level, 0] += mask.sum(axis=1)
+                n[:, level, 1] += (mask & (scores > real_above)).sum(axis=1)
+        yield from rows()
+
+    use = ["q_no", "q_group", "q_ids", "q_also", "q_dim", "q_matrix", "c_group", "c_ids", "c_matrix"]
+    sums = met(packs(questions, "qid", "q", also=wanted), c).select(*use).mapInArrow(counts, f"qid {kinds['qid']}, level int, n long, real long").groupBy("qid", "level").agg(F.sum("n").alias("n"), F.sum("real").alias("real"))
+    good = F.min(F.when((F.col("n") >= enough) & (F.col("real") >= real), F.col("level")))
+    chosen = questions.join(sums.groupBy("qid").agg(F.coalesce(good, F.lit(0)).alias("level")), "qid")
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, i, scores in products(batches):
+            level = batch["q_group"][i].as_py()
+            a, b = np.nonzero(list(_level_masks(batch, i, scores, levels))[level])
+            yield pa.RecordBatch.from_arrays([batch["q_ids"][i].values.take(pa.array(a)), pa.array(np.full(len(a), level, np.int32)), batch["c_ids"][i].values.take(pa.array(b))], ["qid", "level", "chunk_id"])
+
+    return met(packs(chosen, "qid", "q", "level", wanted), c).select(*use).mapInArrow(taken, f"qid {kinds['qid']}, level int, chunk_id {kinds['chunk_id']}")

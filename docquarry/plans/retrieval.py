@@ -233,10 +233,7 @@ def rebalance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fallback_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, c = vector_questions(spark, sf_dir)
-    s = written(ops.scored(q, c).where("score > 0.1"), "scored")  # read for three levels; none takes lower scores
-    level = F.explode(F.array(F.when((F.col("label") == F.col("wanted")) & (F.col("score") > 0.3), 0), F.when((F.col("label") == F.col("wanted")) & (F.col("score") > 0.1), 1), F.when(F.col("score") > 0.2, 2))).alias("level")
-    levels = s.select("qid", "chunk_id", "score", level).where("level IS NOT NULL").select("qid", "level", "chunk_id", (F.col("score") > 0.25).alias("is_real"), F.lit(False).alias("is_relay"))
-    return ops.first_healthy(levels).select("qid", "level", "chunk_id")
+    return vector_blocks.first_level(q, c, [(0.3, True), (0.1, True), (0.2, False)], "label", "wanted")
 
 
 @register(
