@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
 from docquarry.functions import vectors
-from docquarry.operators import vector_blocks
+from docquarry.operators import term_blocks, vector_blocks
 
 RRF_K = 60
 
@@ -65,8 +65,8 @@ def dense_route(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
 
 def document_frequency(terms: DataFrame) -> DataFrame:
-    """(term, df) of (doc_id, term, tf)."""
-    return terms.groupBy("term").agg(F.count("*").alias("df"))
+    """(term, df) of (doc_id, term, tf), or of documents that are packed (``term_blocks.packs``)."""
+    return term_blocks.frequency(terms) if "vocab" in terms.columns else terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def idf(df: Column, n: Column) -> Column:
@@ -74,34 +74,31 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def idf_table(terms: DataFrame) -> DataFrame:
-    n = terms.agg(F.count_distinct("doc_id").alias("_n"))  # one row
+    n = term_blocks.stats(terms).select(F.col("known").alias("_n")) if "vocab" in terms.columns else terms.agg(F.count_distinct("doc_id").alias("_n"))  # one row
     return document_frequency(terms).crossJoin(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("_n")).alias("idf"))
 
 
 def sparse_route(query_terms: DataFrame, doc_terms: DataFrame, k: int, weights: DataFrame | None = None) -> DataFrame:
     """Dot product of (qid, term, tf) and (doc_id, term, tf), each query weight times the term's idf if
-    given.  Terms without a positive weight say nothing.  Only postings of terms that are asked for are joined."""
+    given.  Terms without a positive weight say nothing.  doc_terms may be packed."""
     q = query_terms.select("qid", "term", F.col("tf").cast("double").alias("w"))
     if weights is not None:
         asked = q.select("term").distinct()
         q = q.join(weights.join(asked, "term", "left_semi").select("term", "idf"), "term").select("qid", "term", (F.col("w") * F.col("idf")).alias("w")).where("w > 0")
-    postings = doc_terms.join(q.select("term").distinct(), "term", "left_semi")
-    scored = q.join(postings.select("term", F.col("doc_id").alias("chunk_id"), "tf"), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("tf")), 9).alias("score"))
-    return top(scored, k)
+    return top(term_blocks.best(q, term_blocks.packs(doc_terms), k, lambda w, tf, length, avg: w * tf), k)
 
 
 def bm25_route(query_terms: DataFrame, doc_terms: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of the distinct terms of each question.  Document lengths and frequencies are those of the
-    whole corpus; only postings of terms that are asked for are joined."""
-    lengths = doc_terms.groupBy("doc_id").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))
+    whole corpus.  doc_terms may be packed."""
+    packed = term_blocks.packs(doc_terms)
+    stats = term_blocks.stats(packed)  # one row
     asked = query_terms.select("qid", "term").distinct()
-    postings = doc_terms.join(asked.select("term").distinct(), "term", "left_semi")
-    weight = document_frequency(postings).crossJoin(stats).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = postings.join(weight, "term").join(lengths, "doc_id").select("term", F.col("doc_id").alias("chunk_id"), part.alias("part"))
-    total = asked.join(scored, "term").groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")).where("score > 0")
-    return top(total, k)
+    known = document_frequency(packed).join(asked.select("term").distinct(), "term", "left_semi")
+    weight = known.crossJoin(F.broadcast(stats)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w"))
+    part = lambda w, tf, length, avg: w * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / avg))
+    found = term_blocks.best(asked.join(weight, "term").select("qid", "term", "w"), packed, k, part, stats.select("avg"))
+    return top(found.where("score > 0 AND chunk_id IS NOT NULL"), k)
 
 
 # --- fusion and order ---------------------------------------------------------------------------

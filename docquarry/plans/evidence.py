@@ -10,7 +10,7 @@ from docquarry.operators import chunking, context, evaluation, graph, registry,
 from docquarry.operators import retrieval as R
 from docquarry.plans.corpus import LEAVES_SQL
 from docquarry.plans.registry import register
-from docquarry.plans.retrieval import _SPARSE, text_terms
+from docquarry.plans.retrieval import _SPARSE, text_packs
 from docquarry.plans.tables import FACTS_SQL, facts, table
 
 
@@ -98,7 +98,7 @@ def question_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def page_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of the sparse route first, then what BM25 adds."""
-    q, d = text_terms(spark, sf_dir)
+    q, d = text_packs(spark, sf_dir)
     as_page = lambda df: df.select("qid", F.lit(0).alias("doc_id"), F.col("chunk_id").alias("page"), "rank")
     prior, more = as_page(R.sparse_route(q, d, 20, R.idf_table(d)).where("rank <= 5")), as_page(R.bm25_route(q, d, 20))
     return sections.page_pool(prior, more).select("qid", "page", "position")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.operators import positions, pq_index, pruned, vector_blocks
+from docquarry.operators import positions, pq_index, pruned, term_blocks, vector_blocks
 from docquarry.operators import retrieval as ops
 from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
@@ -31,6 +31,12 @@ def text_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return terms(table(spark, sf_dir, "benchmark"), "item_id", name="qid"), written(terms(table(spark, sf_dir, "documents"), "doc_id"), "terms")
 
 
+def text_packs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Terms of all benchmark items and, packed and written once as several routes read them, of all documents."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts are shuffled once, not each of their terms twice
+    return terms(table(spark, sf_dir, "benchmark"), "item_id", name="qid"), written(term_blocks.packs(terms(documents, "doc_id")), "term-packs")
+
+
 _V = """
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
 scored AS (SELECT q.vec_id AS qid, c.vec_id AS chunk_id, q.label AS wanted, c.label AS label,
@@ -131,13 +137,13 @@ s10 AS ({_top_sql('sparse', 20)}), b10 AS ({_top_sql('bm', 20)})"""
 
 @register("sparse_topk", f"WITH {_SPARSE} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM s10")
 def sparse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, d = text_terms(spark, sf_dir)
+    q, d = text_packs(spark, sf_dir)
     return ops.sparse_route(q, d, 20, ops.idf_table(d)).withColumn("score", F.round("score", 6))
 
 
 @register("bm25_topk", f"WITH {_SPARSE} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM b10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.bm25_route(*text_terms(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
+    return ops.bm25_route(*text_packs(spark, sf_dir), 20).withColumn("score", F.round("score", 6))
 
 
 @register("bm25_pruned_topk", f"WITH {_SPARSE} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM b10")
@@ -148,7 +154,7 @@ def bm25_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def two_routes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    q, d = text_terms(spark, sf_dir)
+    q, d = text_packs(spark, sf_dir)
     return [ops.sparse_route(q, d, 20, ops.idf_table(d)), ops.bm25_route(q, d, 20)]
 
 

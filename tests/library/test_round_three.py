@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, vector_blocks, vector_index
+from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, term_blocks, vector_blocks, vector_index
 
 
 def _plan(df):
@@ -126,3 +126,74 @@ def test_first_level_keeps_only_what_it_returns(spark):
     want = _rows(retrieval.first_healthy(each, 30, 5).select("qid", "level", "chunk_id"))
     got = vector_blocks.first_level(q, c, levels, "label", "wanted", 30, 5, 0.55)
     assert _rows(got) == want and len({x[1] for x in want}) > 1
+
+
+def _corpus(spark, seed=5, docs=1300, asked=300):
+    rng = np.random.default_rng(seed)
+    d = [(i, f"t{t}", int(rng.integers(1, 5))) for i in range(docs) for t in np.unique(rng.geometric(0.05, 12))]
+    q = [(i, f"t{t}", int(rng.integers(1, 3))) for i in range(asked) for t in np.unique(rng.geometric(0.1, 5))]
+    return d, q, spark.createDataFrame(d, "doc_id long, term string, tf long").repartition(5), spark.createDataFrame(q, "qid long, term string, tf long")
+
+
+def _plain(d, q, k, part, asked_once=False):
+    of = {}
+    for i, t, n in d:
+        of.setdefault(t, []).append((i, n))
+    scores = {}
+    for i, t, n in q:
+        for doc, tf in of.get(t, ()):
+            scores[i, doc] = scores.get((i, doc), 0.0) + part(t, 1 if asked_once else n, doc, tf)
+    out = {}
+    for (i, doc), s in scores.items():
+        out.setdefault(i, []).append((-round(s, 9), doc))
+    return sorted((i, doc, -s, n + 1) for i, hits in out.items() for n, (s, doc) in enumerate(sorted(hits)[:k]))
+
+
+def test_routes_over_several_packs(spark):
+    """Some packs of documents and of questions: the k best are those of all pairs, ties by id."""
+    d, q, docs, asked = _corpus(spark)
+    got = _rows(retrieval.sparse_route(asked, docs, 7).select("qid", "chunk_id", "score", "rank"))
+    assert got == _plain(d, q, 7, lambda t, n, doc, tf: float(n * tf))
+    lengths, df = {}, {}
+    for i, t, n in d:
+        lengths[i] = lengths.get(i, 0) + n
+        df[t] = df.get(t, 0) + 1
+    avg, many = sum(lengths.values()) / len(lengths), len(lengths)
+    want = _plain(d, q, 7, lambda t, n, doc, tf: np.log(1 + (many - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[doc] / avg)), True)
+    got = _rows(retrieval.bm25_route(asked, docs, 7).select("qid", "chunk_id", "score", "rank"))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in want] and np.allclose([r[2] for r in got], [r[2] for r in want], atol=2e-9)
+
+
+def test_routes_keep_no_pair_as_a_row(spark):
+    """Pairs of a question and a document were shuffled, most of what these queries moved."""
+    _, _, docs, asked = _corpus(spark, docs=40, asked=10)
+    for route in (retrieval.sparse_route(asked, docs, 3), retrieval.bm25_route(asked, docs, 3)):
+        assert "Aggregate [qid" not in _plan(route)
+
+
+def test_equal_documents_have_equal_scores(spark):
+    """Terms are added in one order, whatever the order of rows: 1e16 + 1 - 1e16 is 0, 1e16 - 1e16 + 1 is 1."""
+    rows = {"a": 1e16, "b": 1.0, "c": -1e16}
+    docs = spark.createDataFrame([(i, t, rows[t]) for i, order in enumerate(("abc", "acb", "cab", "bac")) for t in order], "doc_id long, term string, tf double").coalesce(1)
+    asked = spark.createDataFrame([(1, t, 1) for t in "cab"], "qid long, term string, tf long")
+    assert len({r["score"] for r in retrieval.sparse_route(asked, docs, 4).collect()}) == 1
+
+
+def test_wide_packs_are_added_up_in_parts(spark, monkeypatch):
+    _, _, docs, asked = _corpus(spark, docs=60, asked=20)
+    weights = asked.select("qid", "term", F.col("tf").cast("double").alias("w"))
+    pairs = term_blocks.packs(docs).crossJoin(term_blocks._questions(weights)).toArrow().to_batches()
+
+    def sums():
+        out = {}
+        for batch in pairs:
+            for i in range(batch.num_rows):
+                arrays = (np.frombuffer(batch[c][i].as_buffer(), kind) for c, kind in (("q_starts", np.int64), ("q_of", np.int64), ("q_w", np.float64)))
+                q = (batch["q_ids"][i].values, batch["q_vocab"][i].values, *arrays)
+                for scores, ids in term_blocks._sums(q, batch, i, lambda w, tf, length, avg: w * tf, 0.0):
+                    out |= {(a, b): s for a, row in zip(q[0].to_pylist(), scores.tolist(), strict=True) for b, s in zip(ids.to_pylist(), row, strict=True)}
+        return out
+
+    whole = sums()
+    monkeypatch.setattr(term_blocks, "PAIRS", 7)
+    assert len(whole) == 1200 and sums() == whole
