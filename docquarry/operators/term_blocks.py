@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docquarry.operators.vector_blocks import HELD, _Best
@@ -24,6 +24,20 @@ from docquarry.sources.shared import bounded_batches, written
 DOCUMENTS, QUESTIONS, PAIRS = 512, 256, 2_000_000
 
 
+_NAMES = ["ids", "lens", "sizes", "vocab", "held", "codes", "tfs"]
+
+
+def _kinds(kind: str) -> str:
+    return f"ids array<{kind}>, lens array<double>, sizes array<int>, vocab array<string>, held array<long>, codes binary, tfs binary"
+
+
+def _pack(ids: pa.Array, lens: np.ndarray, sizes: np.ndarray, vocab: pa.Array, codes: np.ndarray, tfs: np.ndarray) -> pa.RecordBatch:
+    held = np.bincount(codes, minlength=len(vocab)).astype(np.int64)
+    lists = (ids, pa.array(lens.astype(np.float64)), pa.array(sizes.astype(np.int32)), vocab, pa.array(held))
+    own = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array([x.tobytes()], pa.binary()) for x in (codes.astype(np.int32), tfs.astype(np.float64)))], _NAMES)
+
+
 def packs(doc_terms: DataFrame) -> DataFrame:
     """(ids, lens, sizes, vocab, held, codes, tfs): rows of at most ``DOCUMENTS`` documents of (doc_id, term, tf), by id: of each
     its length and how many terms it has, then all terms' places in ``vocab``, in order of the terms, and counts.  ``held``:
@@ -31,8 +45,6 @@ def packs(doc_terms: DataFrame) -> DataFrame:
     if "vocab" in doc_terms.columns:
         return doc_terms
     bounded_batches()
-    kind = dict(doc_terms.dtypes)["doc_id"]
-    names = ["ids", "lens", "sizes", "vocab", "held", "codes", "tfs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,15 +53,56 @@ def packs(doc_terms: DataFrame) -> DataFrame:
                 part = whole.slice(at, DOCUMENTS)
                 each = part["bag"].flatten()
                 words = pc.dictionary_encode(each.field("term"))
-                sizes = part["bag"].value_lengths().cast(pa.int32())
-                codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
-                tfs = each.field("tf").to_numpy(zero_copy_only=False).astype(np.float64)
-                lists = (part["doc_id"], part["len"].cast(pa.float64()), sizes, words.dictionary, pa.array(np.bincount(codes, minlength=len(words.dictionary)).astype(np.int64)))
-                own = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([codes.tobytes()], pa.binary()), pa.array([tfs.tobytes()], pa.binary())], names)
+                numbers = (x.to_numpy(zero_copy_only=False) for x in (part["len"], part["bag"].value_lengths()))
+                yield _pack(part["doc_id"], *numbers, words.dictionary, words.indices.to_numpy(zero_copy_only=False), each.field("tf").to_numpy(zero_copy_only=False))
 
     bags = doc_terms.where("term IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term", F.col("tf").cast("double").alias("tf")))).alias("bag"), F.sum("tf").cast("double").alias("len"))
-    return bags.mapInArrow(run, f"ids array<{kind}>, lens array<double>, sizes array<int>, vocab array<string>, held array<long>, codes binary, tfs binary")
+    return bags.mapInArrow(run, _kinds(dict(doc_terms.dtypes)["doc_id"]))
+
+
+def _counted(ids: pa.Array, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    """Packs of rows in order of their ids; rows of one id are one document, and those without words are none."""
+    code = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    doc = np.concatenate(([0], np.cumsum(np.diff(code) != 0)))
+    starts = np.searchsorted(doc, np.arange(0, doc[-1] + 1, DOCUMENTS))
+    for a, b in zip(starts, [*starts[1:], len(doc)], strict=True):
+        part, own = words.slice(a, b - a), doc[a:b] - doc[a]
+        found = pc.dictionary_encode(part.flatten())
+        order = pc.sort_indices(found.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        of = np.repeat(own, np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+        key, tfs = np.unique(of * max(1, len(order)) + place[found.indices.to_numpy(zero_copy_only=False)], return_counts=True)
+        if len(key):
+            lens, sizes = np.bincount(of), np.bincount(key // len(order))
+            some = np.flatnonzero(sizes)
+            first = a + np.searchsorted(own, some)
+            yield _pack(ids.take(pa.array(first)), lens[some], sizes[some], found.dictionary.take(order), key % len(order), tfs)
+
+
+def word_packs(docs: DataFrame, words: Column) -> DataFrame:
+    """As ``packs`` of the words (an array of strings) of docs (doc_id and what ``words`` reads), counted as they are packed: docs
+    are dealt out and sorted by id as they stand, so no task holds the words of more than a batch."""
+    bounded_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last id, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if batch["doc_id"][0].as_py() == batch["doc_id"][-1].as_py() == held[0]["doc_id"][0].as_py():
+                continue
+            ids, rows = (pa.concat_arrays([h[c] for h in held]) for c in ("doc_id", "words"))
+            code = pc.dictionary_encode(ids, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(code == code[-1])[0])
+            yield from _counted(ids.slice(0, last), rows.slice(0, last))
+            held = [pa.RecordBatch.from_arrays([ids.slice(last), rows.slice(last)], ["doc_id", "words"])]
+        if held:
+            yield from _counted(*(pa.concat_arrays([h[c] for h in held]) for c in ("doc_id", "words")))
+
+    rows = docs.repartition("doc_id").sortWithinPartitions("doc_id").select("doc_id", words.alias("words"))
+    return rows.mapInArrow(run, _kinds(dict(docs.dtypes)["doc_id"]))
 
 
 def frequency(packed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from docquarry.operators import positions, pq_index, pruned, term_blocks, vector
 from docquarry.operators import retrieval as ops
 from docquarry.operators import vector_index as ivf
 from docquarry.plans.registry import register
-from docquarry.plans.tables import TERMS_SQL, table, terms
+from docquarry.plans.tables import TERMS_SQL, table, terms, words
 from docquarry.sources.shared import written
 
 
@@ -33,8 +33,8 @@ def text_terms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def text_packs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Terms of all benchmark items and, packed and written once as several routes read them, of all documents."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")  # texts are shuffled once, not each of their terms twice
-    return terms(table(spark, sf_dir, "benchmark"), "item_id", name="qid"), written(term_blocks.packs(terms(documents, "doc_id")), "term-packs")
+    packed = term_blocks.word_packs(table(spark, sf_dir, "documents").select("doc_id", "text"), words(F.col("text")))
+    return terms(table(spark, sf_dir, "benchmark"), "item_id", name="qid"), written(packed, "term-packs")
 
 
 _V = """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -85,10 +85,14 @@ cells AS (
 """
 
 
+def words(text: Column) -> Column:
+    """Runs of ASCII letters and digits of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
 def terms(df: DataFrame, key: str, text: str = "text", name: str = "doc_id") -> DataFrame:
-    """(name, term, tf): runs of ASCII letters and digits of the lower-cased text."""
-    found = F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))
-    return df.select(F.col(key).alias(name), F.explode(found).alias("term")).groupBy(name, "term").agg(F.count("*").alias("tf"))
+    """(name, term, tf): the words of the text, counted."""
+    return df.select(F.col(key).alias(name), F.explode(words(F.col(text))).alias("term")).groupBy(name, "term").agg(F.count("*").alias("tf"))
 
 
 TERMS_SQL = """

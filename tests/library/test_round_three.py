@@ -197,3 +197,24 @@ def test_wide_packs_are_added_up_in_parts(spark, monkeypatch):
     whole = sums()
     monkeypatch.setattr(term_blocks, "PAIRS", 7)
     assert len(whole) == 1200 and sums() == whole
+
+
+def test_words_are_packed_as_counted_terms(spark, tmp_path):
+    """Rows of one id are one document, also across batches; null ids too; documents without words are none."""
+    texts = {None: ["x y", "y"], 1: ["b a b", None, "a"], 2: [""], 3: ["c"] * 5000, 4: None, **{i: [f"w{i % 7} a b{i % 3}"] for i in range(5, 900)}}
+    rows = spark.createDataFrame([(i, t) for i, own in texts.items() for t in (own or [None])], "doc_id long, text string").repartition(3)
+    got = term_blocks.word_packs(rows, F.filter(F.split("text", " "), lambda w: w != ""))
+    terms = rows.select("doc_id", F.explode(F.split("text", " ")).alias("term")).where("term <> ''").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+    def plain(df):
+        out = {}
+        for r in df.collect():
+            codes, tfs, at = np.frombuffer(r["codes"], np.int32), np.frombuffer(r["tfs"], np.float64), 0
+            for i, length, size in zip(r["ids"], r["lens"], r["sizes"], strict=True):
+                assert i not in out
+                out[i] = length, [(r["vocab"][c], n) for c, n in zip(codes[at : at + size], tfs[at : at + size], strict=True)]
+                at += size
+        return out
+
+    assert plain(got) == plain(term_blocks.packs(terms)) and plain(got)[1] == (4.0, [("a", 2.0), ("b", 2.0)]) and 2 not in plain(got)
+    assert _rows(term_blocks.frequency(got)) == _rows(retrieval.document_frequency(terms))
