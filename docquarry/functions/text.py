@@ -71,10 +71,14 @@ def token_count(text: Column) -> Column:
     return (cjk + F.greatest(F.lit(1), F.floor((F.length(text) - cjk) / 4).cast("int"))).cast("int")
 
 
+def bare(text: Column) -> Column:
+    """Letters and digits of the lower-cased text."""
+    return F.regexp_replace(F.lower(text), "[^a-z0-9\\x{4E00}-\\x{9FFF}]", "")
+
+
 def char_ngrams(text: Column, low: int = 2, high: int = 5) -> Column:
     """Distinct runs of low to high letters and digits of the lower-cased text, anything else left out."""
-    bare = F.regexp_replace(F.lower(text), "[^a-z0-9\\x{4E00}-\\x{9FFF}]", "")
-    return F.array_distinct(_grams(bare, *range(low, high + 1)))
+    return F.array_distinct(_grams(bare(text), *range(low, high + 1)))
 
 
 def bound(value: Column, f) -> Column:

@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
+from docquarry.operators import gram_blocks
 from docquarry.sources.shared import written
 
 
 def scored(questions: DataFrame, sections: DataFrame, content_chars: int = 600) -> DataFrame:
     """(qid, doc_id, section_id, page, score) of the sections of the documents a question (qid, doc_id,
-    question) is held to: squares of the lengths of shared 2- to 5-grams, those of the path three times."""
-    q = questions.select("qid", "doc_id", T.char_ngrams(F.col("question")).alias("_g"))
-    s = sections.select("doc_id", "section_id", "page", T.char_ngrams(F.col("path")).alias("_p"), T.char_ngrams(F.substring("content", 1, content_chars)).alias("_c"))
-    weight = lambda a: F.aggregate(F.array_intersect(F.col("_g"), a), F.lit(0), lambda t, x: t + F.length(x) * F.length(x))
-    return q.join(s, "doc_id").select("qid", "doc_id", "section_id", "page", (3 * weight(F.col("_p")) + weight(F.col("_c"))).alias("score"))
+    question) is held to: squares of the lengths of shared 2- to 5-grams, those of the path three times.  A text that is
+    null shares none."""
+    q = questions.select("doc_id", "qid", T.bare(F.col("question")).alias("text"))
+    s = sections.select("doc_id", "section_id", "page", T.bare(F.col("path")).alias("path"), T.bare(F.substring("content", 1, content_chars)).alias("content"))
+    return gram_blocks.scored(q, s, "doc_id", {"path": 3, "content": 1}, 2, 5)
 
 
 def covered(ranked: DataFrame, limit: int | Column = 90, matched: int = 10, head: float = 0.8) -> DataFrame:

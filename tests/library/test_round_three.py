@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, term_blocks, vector_blocks, vector_index
+from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, sections, term_blocks, vector_blocks, vector_index
 
 
 def _plan(df):
@@ -218,3 +218,22 @@ def test_words_are_packed_as_counted_terms(spark, tmp_path):
 
     assert plain(got) == plain(term_blocks.packs(terms)) and plain(got)[1] == (4.0, [("a", 2.0), ("b", 2.0)]) and 2 not in plain(got)
     assert _rows(term_blocks.frequency(got)) == _rows(retrieval.document_frequency(terms))
+
+
+def test_section_scores_move_texts_not_grams(spark):
+    """Several packs of sections, Han characters, nulls (that share nothing, as in SQL), an empty question; no join carries arrays of grams."""
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcd12营收 ,"), n))
+    asked = [(i, f"d{i % 2}", word(int(rng.integers(0, 9)))) for i in range(140)] + [(200, "d0", None), (201, "d1", ""), (202, None, "ab")]
+    parts = [(f"d{i % 2}", i, 1, word(4), word(30)) for i in range(300)] + [("d0", 400, 1, None, "abc"), ("d1", 401, 1, "ab", None)]
+    q = spark.createDataFrame(asked, "qid long, doc_id string, question string")
+    s = spark.createDataFrame(parts, "doc_id string, section_id long, page int, path string, content string").coalesce(1)
+
+    def grams(t):
+        t = "".join(c for c in t or "" if c not in " ,")
+        return {t[i : i + n] for n in range(2, 6) for i in range(len(t) - n + 1)}
+
+    want = [(i, k, 3 * sum(len(g) ** 2 for g in grams(x) & grams(p)) + sum(len(g) ** 2 for g in grams(x) & grams(c[:20] if c else c))) for i, d, x in asked for e, k, _, p, c in parts if d == e]
+    got = sections.scored(q, s, 20)
+    assert _rows(got.select("qid", "section_id", "score")) == sorted(want)
+    assert "array_intersect" not in _plan(got)
