@@ -9,7 +9,8 @@ which are far fewer than texts have, by a run of characters.  What is left are f
 and these are verified character for character.
 
 Postings carry 64-bit keys, no text, and only those of rare words are joined, so frequent words make no hot keys
-unless a phrase has no others.  A text travels once, to be joined to the pairs that it is in.  Equal keys of
+unless a phrase has no others.  The rarest words and the pairs are written before texts are joined to them: where they are
+few, no posting and no text is shuffled; else a text travels once, to be joined to the pairs that it is in.  Equal keys of
 different texts or words only add pairs to verify.
 """
 
@@ -67,6 +68,7 @@ def _met(asked: DataFrame, texts: DataFrame) -> DataFrame:
     # a phrase with a feature that no text has is in no text
     rare = known.where("_all = _known").withColumn("_rank", F.row_number().over(whole.orderBy("_n", "at"))).where(F.col("_rank") <= RAREST)
     rare = rare.select("_p", "f", F.col("at").alias("_at"), F.least("_all", F.lit(RAREST)).alias("_need"))
+    rare = written(rare, "rarest")  # of a known size, as in ``containing``
     places = texts.join(rare.select("f").distinct(), "f", "left_semi")
     met = rare.join(places, "f").groupBy("_p", "_t", (F.col("at") - F.col("_at")).alias("_start")).agg(F.count_distinct("_at", "f").alias("_have"), F.first("_need").alias("_need"))
     return met.where("_have = _need").select("_p", "_t").distinct()
@@ -92,11 +94,11 @@ def containing(phrases: DataFrame, texts: DataFrame, phrase: str, text: str) ->
     if short.limit(1).count():
         found = found.unionByName(_in_words(short, texts, key, t))
     left = phrases.select(F.struct(*(F.col(f"`{c}`") for c in phrases.columns)).alias("_phrase"), F.xxhash64(p).alias("_p"), p.alias("_asked"))
-    right = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("_text"), key, t.alias("_own"))
-    pairs = right.join(found.join(left, "_p"), "_t").where(  # texts last, so that they are shuffled once
-        F.contains("_own", "_asked")
-    ).select("_phrase", "_text")
+    right = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("_text"), key)
+    held = F.contains(F.col("_text").getField(text), F.col("_asked"))
+    found = written(found.join(left, "_p"), "phrases-found")  # of a known size: where pairs are few, texts stay where they are
+    pairs = right.join(found, "_t").where(held).select("_phrase", "_text")  # texts last, so that they are shuffled once at most
     blank = left.where(F.size(T.tokens(F.col("_asked"))) == 0)
     if blank.limit(1).count():
-        pairs = pairs.unionByName(right.join(blank.where("_asked IS NOT NULL"), F.contains("_own", "_asked")).select("_phrase", "_text"))
+        pairs = pairs.unionByName(right.join(blank.where("_asked IS NOT NULL"), held).select("_phrase", "_text"))
     return pairs.select("_phrase.*", "_text.*")

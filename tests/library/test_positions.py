@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from docquarry.operators import positions
 
 
@@ -51,3 +53,19 @@ def test_no_pairs_of_all_phrases_and_texts(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "content" not in "".join(x for x in plan.split("\n") if "Cartesian" in x or "NestedLoop" in x)
+
+
+def test_texts_stay_where_phrases_are_few(spark):
+    """Rare words and pairs are of a known size, so neither postings nor texts are shuffled to be looked up."""
+    small, name = "/root/testdata/sf0.01", "spark.sql.autoBroadcastJoinThreshold"
+    asked = spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", F.col("text").alias("asked"))
+    texts = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    before = spark.conf.get(name)
+    spark.conf.set(name, "256k")
+    try:
+        got = positions.containing(asked, texts, "asked", "text")
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    want = texts.join(asked, F.contains("text", "asked")).select("item_id", "doc_id")
+    assert sorted(map(tuple, got.select("item_id", "doc_id").collect())) == sorted(map(tuple, want.collect()))
