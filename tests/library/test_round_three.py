@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, sections, term_blocks, vector_blocks, vector_index
+from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, sections, sessions, term_blocks, vector_blocks, vector_index
 
 
 def _plan(df):
@@ -237,3 +237,20 @@ def test_section_scores_move_texts_not_grams(spark):
     got = sections.scored(q, s, 20)
     assert _rows(got.select("qid", "section_id", "score")) == sorted(want)
     assert "array_intersect" not in _plan(got)
+
+
+def test_cached_answers_are_exact_for_any_bound(spark):
+    """Questions meet entries by products: nothing depends on which sides of planes vectors lie, so far pairs are found too."""
+    rng = np.random.default_rng(23)
+    base = rng.standard_normal((40, 16))
+    asked = 0.7 * base[:20] + 0.8 * rng.standard_normal((20, 16))
+    norms = [f"what was the revenue in {i % 3}" if i % 4 else "quite other words" for i in range(40)]
+    c = spark.createDataFrame([(i, norms[i], base[i].tolist()) for i in range(40)], "entry_id long, q_norm string, q_vec array<double>").repartition(5)
+    q = spark.createDataFrame([(i, "what was the revenue of 1", asked[i].tolist()) for i in range(20)], "qid long, q_norm string, q_vec array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    able = np.array([i % 4 > 0 for i in range(40)])
+    scores = np.where(able, unit(asked) @ unit(base).T, -1)
+    want = {i: int(np.argmax(scores[i])) for i in range(20) if scores[i].max() >= 0.4}
+    got = sessions.cached_answers(q, c, similar=0.4).collect()
+    assert {r["qid"]: r["entry_id"] for r in got} == want and len(want) > 8
+    assert all(abs(r["similarity"] - scores[r["qid"], r["entry_id"]]) < 1e-9 for r in got)
