@@ -34,8 +34,9 @@ from docquarry.sources.shared import written
 SAMPLE, MOST_LISTS, ROUNDS, PARTS, CODES = 1 << 16, 1 << 14, 6, 16, 256
 COVER, CALIBRATION, RESCORE, FLOOR = 0.97, 256, 20, 8192
 PIECE, ASKED = 1 << 16, 4096
-#: Scores that a task has at hand at once.
-GO = 1 << 20
+#: Scores that a task has at hand at once; lists and sampled vectors that questions are compared with at once, each list looked
+#: into being a row with the question's vector.
+GO, PROBED = 1 << 20, 1 << 17
 #: Coarse centres whose fine centres are compared when a vector is put into its list.
 NEAR_CELLS = 4
 
@@ -60,8 +61,10 @@ class Model:
 def lloyd(x: np.ndarray, k: int, rounds: int = ROUNDS, spherical: bool = False) -> np.ndarray:
     """At most k centres of the rows of x, beginning with rows spread evenly over x."""
     centres = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
+    step = max(1, GO // max(1, len(centres)))
     for _ in range(rounds):
-        own = np.argmax(x @ centres.T - (0 if spherical else (centres * centres).sum(axis=1) / 2), axis=1)
+        less = 0 if spherical else (centres * centres).sum(axis=1) / 2
+        own = np.concatenate([np.argmax(x[at : at + step] @ centres.T - less, axis=1) for at in range(0, len(x), step)])
         sums, n = np.zeros_like(centres), np.bincount(own, minlength=len(centres))
         np.add.at(sums, own, x)
         centres = np.where(n[:, None] > 0, blocks.unit(sums) if spherical else sums / np.maximum(n, 1)[:, None], centres)
@@ -216,17 +219,25 @@ def floors(x: np.ndarray, model: Model, most: int) -> np.ndarray:
     return np.partition(scores, len(model.near) - place, axis=1)[:, -place].astype(np.float64) if len(x) else np.zeros(0)
 
 
+def _looks(batch: pa.RecordBatch, model: Model, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``probes`` of a batch (qid, vector), of so few questions at once that at most ``PROBED`` rows leave together."""
+    every, vectors = _vectors(batch, model.dim)
+    step = max(1, PROBED // max(len(model.fine), len(model.near)))
+    for at in range(0, len(every), step):
+        rows, x = every[at : at + step], vectors[at : at + step]
+        scores = x @ model.fine.T
+        q, lists = np.nonzero(scores >= scores.max(axis=1, keepdims=True) - model.margin)
+        took = pa.array(rows[q])
+        yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch["qid"].take(took), batch["vector"].take(took), pa.array(floors(x, model, most)[q])], ["list", "qid", "vector", "floor"])
+
+
 def probes(questions: DataFrame, model: Model, most: int = RESCORE * 10) -> DataFrame:
     """(list, qid, vector, floor): each question (qid, vector) once for every list it looks into."""
     kinds, shared = dict(questions.dtypes), questions.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, x = _vectors(batch, shared.value.dim)
-            scores = x @ shared.value.fine.T
-            q, lists = np.nonzero(scores >= scores.max(axis=1, keepdims=True) - shared.value.margin)
-            took = pa.array(rows[q])
-            yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), batch["qid"].take(took), batch["vector"].take(took), pa.array(floors(x, shared.value, most)[q])], ["list", "qid", "vector", "floor"])
+            yield from _looks(batch, shared.value, most)
 
     return questions.select("qid", "vector").mapInArrow(run, f"list int, qid {kinds['qid']}, vector {kinds['vector']}, floor double")
 
@@ -249,11 +260,13 @@ def candidates(questions: DataFrame, indexed: DataFrame, model: Model, most: int
             codes = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(c.num_rows, -1)
             rows, x = _vectors(q, m.dim)
             width = m.words.shape[2]
-            tables = np.einsum("qpw,pcw->qpc", x.reshape(len(x), -1, width), m.words)
             floor, start, found = q["floor"].to_numpy()[rows], x @ m.fine[q["list"][0].as_py()], []
-            step = max(1, GO // c.num_rows)
+            step = max(1, GO // max(c.num_rows, m.words.shape[0] * m.words.shape[1]))
             for s in range(0, len(x), step):
-                part = start[s : s + step, None] + sum(tables[s : s + step, p][:, codes[:, p]] for p in range(tables.shape[1]))
+                tables = np.einsum("qpw,pcw->qpc", x[s : s + step].reshape(-1, len(m.words), width), m.words)
+                part = start[s : s + step, None]
+                for p in range(tables.shape[1]):
+                    part = part + tables[:, p][:, codes[:, p]]
                 least = floor[s : s + step]
                 if c.num_rows > most:
                     least = np.maximum(least, np.partition(part, c.num_rows - most, axis=1)[:, -most])

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from docquarry.operators import pq_index, retrieval, vector_blocks, vector_index
 
@@ -80,3 +81,22 @@ def test_odd_vectors(spark):
     assert pq_index.train(c.limit(0)) is None and pq_index.train(c.where("vector IS NULL")) is None
     one = c.where("chunk_id = 1")
     assert hits(pq_index.search(q, pq_index.index(one, pq_index.train(one)), one, pq_index.train(one), 3)) == [(9, 1, 1.0, 1)]
+
+
+def test_questions_look_into_lists_a_few_at_once(monkeypatch):
+    """What leaves a task together doesn't grow with the batch and the number of lists."""
+    monkeypatch.setattr(pq_index, "PROBED", 1000)
+    rng = np.random.default_rng(24)
+    x = vector_blocks.unit(rng.standard_normal((300, 8)))
+    model = pq_index.Model(x[:2], x[:100], np.zeros(100, int), np.zeros((2, 4, 4)), 9.0, x[:50].astype(np.float32), 300)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["qid", "vector"])
+    got = list(pq_index._looks(batch, model, 5))
+    assert max(b.num_rows for b in got) <= 1000
+    assert sorted((q, n) for b in got for q, n in zip(b["qid"].to_pylist(), b["list"].to_pylist(), strict=True)) == [(q, n) for q in range(300) for n in range(100)]
+
+
+def test_centres_are_the_same_in_parts(monkeypatch):
+    x = np.random.default_rng(25).integers(-9, 9, (500, 4)).astype(float)
+    want = pq_index.lloyd(x, 12)
+    monkeypatch.setattr(pq_index, "GO", 100)
+    assert np.allclose(pq_index.lloyd(x, 12), want)
