@@ -65,6 +65,7 @@ def row_values(cells: Column, numbers: Column, growth: Column, years: Column, me
 def from_tables(tables: DataFrame) -> DataFrame:
     """(doc_id, page, metric, year, value, unit, raw, source, seq): metrics in rows with years in the head,
     or years in rows with metrics in the head."""
+    tables = tables.repartition("doc_id")  # reading tables costs far more than moving them, and files of tables are few
     growth = F.transform("headers", lambda h: F.coalesce(F.lower(h).rlike(GROWTH), F.lit(False)))
     t = tables.withColumns({"_years": year_columns(F.col("headers")), "_unit": finance.table_unit(F.col("headers")), "_growth": growth})
     by_row = t.select("doc_id", "page", "table_no", "headers", "_growth", "_years", "_unit", F.posexplode("rows").alias("row_no", "cells")).withColumn("metric", finance.matched_metric(F.get("cells", F.lit(0))))

@@ -4,7 +4,8 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docquarry.operators import companies, context, evaluation, phrases, positions, retrieval, sections, sessions, term_blocks, vector_blocks, vector_index
+from docquarry.functions import finance
+from docquarry.operators import companies, context, evaluation, facts, phrases, positions, retrieval, sections, sessions, term_blocks, vector_blocks, vector_index
 
 
 def _plan(df):
@@ -254,3 +255,15 @@ def test_cached_answers_are_exact_for_any_bound(spark):
     got = sessions.cached_answers(q, c, similar=0.4).collect()
     assert {r["qid"]: r["entry_id"] for r in got} == want and len(want) > 8
     assert all(abs(r["similarity"] - scores[r["qid"], r["entry_id"]]) < 1e-9 for r in got)
+
+
+def test_tables_are_dealt_out_and_cells_read_once(spark):
+    """Files of tables are few, so reading them in the scan's tasks used few cores; patterns of a cell were matched several times."""
+    cells = spark.createDataFrame([("(1,234.5)",), ("7万元",), ("12％",), ("不适用",), (None,), ("—",), ("about",)], "cell string")
+    read = cells.select(finance.number(F.col("cell")).alias("n"), finance.year_of_cell(F.col("cell")), finance.matched_metric(F.col("cell")))
+    assert read._jdf.queryExecution().analyzed().toString().count("百万元") == 1
+    assert [(r["n"]["value"], r["n"]["unit"]) for r in read.collect()] == [(-1234.5, None), (7.0, "万元"), (12.0, "%"), (None, None), (None, None), (None, None), (None, None)]
+    t = spark.createDataFrame([(1, 1, 1, ["项目", "2020年"], [["营业收入", "1,200"], ["其他", "1"]])], "doc_id int, page int, table_no int, headers array<string>, rows array<array<string>>")
+    got = facts.from_tables(t)
+    assert "RepartitionByExpression" in _plan(got)
+    assert _rows(got.select("doc_id", "metric", "year", "value")) == [(1, "revenue", 2020, 1200.0)]
