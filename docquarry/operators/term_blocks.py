@@ -2,8 +2,8 @@
 
 Documents are packed: a row holds the ids, lengths and counted terms of many.  Questions are packed too, and each pack of
 documents meets each pack of questions, so the pairs of a question and a document are never rows: a task adds up the terms
-of a pair of packs and keeps the k best of each question so far (``vector_blocks._Best``).  A document's terms are added
-in their own order, so equal documents have equal scores, whatever the partitioning.
+of a pair of packs and keeps the k best of each question so far (``vector_blocks._Best``).  Sums don't depend on the order
+of adding (``added``), so documents with equal parts have equal scores, whatever the partitioning and their terms' order.
 """
 
 from __future__ import annotations
@@ -145,6 +145,17 @@ def _questions(weights: DataFrame) -> DataFrame:
     return bags.mapInArrow(run, f"q_no long, q_ids array<{kind}>, q_vocab array<string>, q_starts binary, q_of binary, q_w binary")
 
 
+def added(cell: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values of each of n cells, rounded to nine decimals as SQL does, halves away from zero.  Multiples of 2^-20 add up
+    without error (under 2^33), and what is left of each value is too small for its order to tell."""
+    scaled = np.ldexp(value, 20)
+    high = np.rint(scaled)
+    sums = np.ldexp(np.bincount(cell, weights=high, minlength=n) + np.bincount(cell, weights=scaled - high, minlength=n), -20)
+    units = sums * 1e9
+    whole = np.trunc(units)
+    return (whole + np.where(np.abs(units - whole) >= 0.5, np.sign(units), 0.0)) / 1e9
+
+
 def _sums(q: tuple, batch: pa.RecordBatch, i: int, part: Callable, avg: float) -> Iterator[tuple[np.ndarray, pa.Array]]:
     """(scores, ids): sums of ``part`` (weights, counts, lengths, mean length) of shared terms by question and document of a pair of packs,
     -inf where they share none."""
@@ -167,7 +178,7 @@ def _sums(q: tuple, batch: pa.RecordBatch, i: int, part: Callable, avg: float) -
         width = last - first
         cell = of[place] * width + doc[rep] - first
         value = part(w[place], tf[rep], lens[doc[rep]], avg)
-        scores = np.round(np.bincount(cell, weights=value, minlength=len(ids) * width), 9)
+        scores = added(cell, value, len(ids) * width)
         scores[np.bincount(cell, minlength=len(scores)) == 0] = -np.inf
         yield scores.reshape(len(ids), width), d_ids.slice(first, width)
         first = last

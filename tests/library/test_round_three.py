@@ -180,6 +180,21 @@ def test_equal_documents_have_equal_scores(spark):
     assert len({r["score"] for r in retrieval.sparse_route(asked, docs, 4).collect()}) == 1
 
 
+def test_scores_are_rounded_and_added_as_sql_has_them(spark):
+    """Halves went to even digits (1548.3660537285 became ...728), and equal parts in another order gave another ninth decimal."""
+    half = 1548.3660537285
+    docs, asked = spark.createDataFrame([(1, "a", 1.0)], "doc_id long, term string, tf double"), spark.createDataFrame([(1, "a", half)], "qid long, term string, tf double")
+    want = spark.sql(f"SELECT round({half}D, 9) AS r").first()["r"]
+    assert want == 1548.366053729 and retrieval.sparse_route(asked, docs, 1).first()["score"] == want
+
+    rng = np.random.default_rng(1)
+    parts = rng.uniform(0, 9000, (400, 12))
+    orders = [parts, parts[:, ::-1], *(rng.permuted(parts, axis=1) for _ in range(6))]
+    rounded = lambda sums: len({tuple(np.round(s, 9)) for s in sums}) > 1
+    assert rounded([np.bincount(np.repeat(np.arange(400), 12), weights=p.ravel()) for p in orders])
+    assert len({tuple(term_blocks.added(np.repeat(np.arange(400), 12), p.ravel(), 400)) for p in orders}) == 1
+
+
 def test_wide_packs_are_added_up_in_parts(spark, monkeypatch):
     _, _, docs, asked = _corpus(spark, docs=60, asked=20)
     weights = asked.select("qid", "term", F.col("tf").cast("double").alias("w"))
