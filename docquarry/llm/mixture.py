@@ -85,7 +85,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source: str = "source", size:
     return d.select("_row", mix.alias("_mix")).select("_row.*", F.col("_mix").alias(out))
 
 
-def in_training_order(mixed: DataFrame, mix: str = "mix") -> DataFrame:
-    """A row for each copy, range-sorted by position, which is the last column."""
+def in_training_order(mixed: DataFrame, mix: str = "mix", whole: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each copy, range-sorted by position, which is the last column, then by ties.  With ``whole`` the documents that
+    aren't taken follow, without a position."""
     position = free_name(mixed, "position")
-    return mixed.withColumn(position, F.explode(f"{mix}.positions")).orderBy(position)
+    each = F.explode_outer if whole else F.explode
+    return mixed.withColumn(position, each(f"{mix}.positions")).orderBy(F.col(position).asc_nulls_last(), *ties)

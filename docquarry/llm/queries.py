@@ -36,11 +36,12 @@ def op1_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in training order, by the first copy of each; those that the mix doesn't take come last."""
     docs = table(spark, sf_dir, "documents")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), mixture.order_key("doc_id", F.coalesce("text", F.lit(""))).alias("order_key"))
-    got = mixture.mixed(written(sized, "mixture-sizes"))
+    got = mixture.in_training_order(mixture.mixed(written(sized, "mixture-sizes")), whole=True, ties=("order_key", "doc_id"))
     first = F.get("mix.positions", F.lit(0))
-    return got.select("doc_id", "size", "mix.source_size", F.round("mix.target", 6).alias("target"), "mix.taken", "mix.copies", F.round(first, 6).alias("first_position"))
+    return got.where(F.col("position").eqNullSafe(first)).select("doc_id", "size", "mix.source_size", F.round("mix.target", 6).alias("target"), "mix.taken", "mix.copies", F.round(first, 6).alias("first_position"))
 
 
 OP2_SQL = """

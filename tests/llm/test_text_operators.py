@@ -291,6 +291,17 @@ def test_mixture_query(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, op2_source_mixture(spark, SMALL).collect()))
 
 
+def test_mixture_query_is_in_training_order(spark):
+    """The query took its rows before the range sort, so they came in order of hash ranges."""
+    from docquarry.llm.queries import op2_source_mixture
+
+    df = op2_source_mixture(spark, SMALL)
+    first = [r["first_position"] for r in df.collect()]
+    taken = [p for p in first if p is not None]
+    assert taken == sorted(taken) and first == taken + [None] * (len(first) - len(taken)) and len(set(taken)) > 50
+    assert len(first) == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
 def test_positions_follow_the_schedule(spark):
     """At each time, each source has given what the integral of its weight asks for, within a document."""
     rng = random.Random(8)
