@@ -149,8 +149,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bm25_pruned_topk", f"WITH {_SPARSE} SELECT qid, chunk_id, round(score, 6) AS score, rank FROM b10")
 def bm25_pruned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As bm25_topk, by postings with bounds: those that can't bring a document into the best 20 aren't read."""
-    q, d = text_terms(spark, sf_dir)
-    return pruned.bm25(q, written(pruned.postings(d), "postings"), 20)[0].withColumn("score", F.round("score", 6))
+    q, d = text_packs(spark, sf_dir)
+    return pruned.bm25(q, pruned.postings(d), 20)[0].withColumn("score", F.round("score", 6))
 
 
 def two_routes(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

@@ -5,7 +5,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import finance
-from docquarry.operators import companies, context, evaluation, facts, phrases, positions, retrieval, sections, sessions, term_blocks, vector_blocks, vector_index
+from docquarry.operators import companies, context, evaluation, facts, phrases, positions, pruned, retrieval, sections, sessions, term_blocks, vector_blocks, vector_index
+from docquarry.sources import shared
 
 
 def _plan(df):
@@ -215,6 +216,35 @@ def test_wide_packs_are_added_up_in_parts(spark, monkeypatch):
     assert len(whole) == 1200 and sums() == whole
 
 
+def test_pruned_postings_leave_no_task(spark, monkeypatch):
+    """Postings were shuffled by document, by term and by question, and those read were written: a row for each question and document."""
+    rows = {}
+
+    def counted(df, tag):
+        out = shared.written(df, tag)
+        rows[tag] = max(rows.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(pruned, "written", counted)
+    _, _, docs, asked = _corpus(spark)
+    indexed = pruned.postings(docs).cache()
+    tasks, questions, k = indexed.rdd.getNumPartitions(), asked.select("qid").distinct().count(), 2
+    got, counts = pruned.bm25(asked, indexed, k)
+    assert _rows(got.select("qid", "chunk_id", "score", "rank")) == _rows(retrieval.bm25_route(asked, docs, k).select("qid", "chunk_id", "score", "rank"))
+    bound = max(tasks * (questions * k + 1), asked.count())
+    assert counts.first()["all"] > 10 * bound and max(rows.values()) <= bound
+
+
+def test_pruned_is_exact_for_any_block(spark):
+    """Null ids, equal documents, blocks of one document, fewer documents than k."""
+    _, _, docs, asked = _corpus(spark, docs=90, asked=30)
+    docs = docs.unionByName(docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")))
+    for block, k in ((1, 4), (7, 1), (64, 200)):
+        want = _rows(retrieval.top(retrieval.bm25_route(asked, docs, k + 1).drop("rank"), k).select("qid", "chunk_id", "score", "rank"))
+        assert _rows(pruned.bm25(asked, pruned.postings(docs, block=block), k)[0].select("qid", "chunk_id", "score", "rank")) == want
+    assert _rows(pruned.bm25(asked, pruned.postings(docs.limit(0)), 3)[0]) == []
+
+
 def test_words_are_packed_as_counted_terms(spark, tmp_path):
     """Rows of one id are one document, also across batches; null ids too; documents without words are none."""
     texts = {None: ["x y", "y"], 1: ["b a b", None, "a"], 2: [""], 3: ["c"] * 5000, 4: None, **{i: [f"w{i % 7} a b{i % 3}"] for i in range(5, 900)}}
