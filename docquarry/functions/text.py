@@ -178,7 +178,7 @@ def quoted_phrases(text: Column, low: int = 3, high: int = 60, most: int = 24) -
     """What stands in quotation marks or title marks."""
     found = F.regexp_extract_all(text, F.lit(f'"([^"]{{{low},{high}}})"|“([^”]{{{low},{high}}})”|《([^》]{{{low},{high}}})》'), F.lit(0))
     inner = F.transform(found, lambda p: F.substr(p, F.lit(2), F.length(p) - 2))
-    return F.slice(F.array_distinct(F.filter(F.transform(inner, F.trim), lambda p: F.length(p) >= low)), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(inner, lambda p: F.trim(p)), lambda p: F.length(p) >= low)), 1, most)
 
 
 def sentences(text: Column) -> Column:

@@ -19,29 +19,32 @@ def number_index(chunks: DataFrame) -> DataFrame:
 
 def _best_of_classes(asked: DataFrame, held: DataFrame, weight: Column, most: int) -> DataFrame:
     """(qid, chunk_id, rank): the best chunks of each question (qid, phrase) among those that hold its phrases (phrase, chunk_id,
-    once each), by the sum of ``weight``, then by id.
+    once each, of these phrases only), by the sum of ``weight``, then by id.
 
     Questions with the same phrases have the same answer, and of chunks with the same ones only the ``most`` of least id can
-    be in it.  So what meets are sets of phrases, and copies on either side cost no pairs."""
+    be in it.  So what meets are sets of phrases, known by their first question or chunk, and copies on either side cost no
+    pairs.  Sets repeat so much that files of them are a small part of their size, so no join may be planned by these."""
     sets = lambda df, by: df.groupBy(by).agg(F.array_sort(F.collect_set("phrase")).alias("_set"))
-    questions, chunks = sets(asked, "qid"), sets(held.join(asked.select("phrase").distinct(), "phrase", "left_semi"), "chunk_id")
-    few = chunks.withColumn("_n", F.row_number().over(Window.partitionBy("_set").orderBy("chunk_id"))).where(F.col("_n") <= most).drop("_n")
+    questions = written(sets(asked, "qid"), "question-sets")
+    asks = questions.groupBy("_set").agg(F.min(F.struct("qid")).alias("_q"))
+    w = Window.partitionBy("_set").orderBy("chunk_id")
+    first = F.first(F.struct("chunk_id")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    few = sets(held, "chunk_id").withColumns({"_n": F.row_number().over(w), "_c": first}).where(F.col("_n") <= most)
     few = written(few, "chunk-sets")
-    single = lambda df, name: df.select(F.col("_set").alias(name)).distinct().select(name, F.explode(name).alias("phrase"))
-    met = single(questions, "_q").join(single(few, "_c"), "phrase").groupBy("_q", "_c").agg(F.sum(weight).alias("matched"))
+    single = lambda df, name: df.select(name, F.explode("_set").alias("phrase"))
+    met = single(asks, "_q").hint("merge").join(single(few.where("_n = 1"), "_c"), "phrase").groupBy("_q", "_c").agg(F.sum(weight).alias("matched"))
     # of all chunks of a class the first ``most`` are kept, so the best sets are enough: each has a chunk at least
-    first = F.struct("chunk_id")
-    lead = few.groupBy("_set").agg(F.min(first)["chunk_id"].alias("_first")).withColumnRenamed("_set", "_c")
-    best = met.join(lead, "_c").withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("matched"), "_first"))).where(F.col("_n") <= most)
+    best = met.withColumn("_n", F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("matched"), "_c"))).where(F.col("_n") <= most).drop("_n")
     w = Window.partitionBy("_q").orderBy(F.desc("matched"), "chunk_id")
-    hits = best.join(few.withColumnRenamed("_set", "_c"), "_c").select("_q", "chunk_id", "matched", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
-    return questions.withColumnRenamed("_set", "_q").join(hits, "_q").select("qid", "chunk_id", "matched", "rank")
+    hits = best.hint("merge").join(few.select("_c", "chunk_id"), "_c").select("_q", "chunk_id", "matched", F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
+    return questions.hint("merge").join(asks, "_set").select("qid", "_q").hint("merge").join(hits, "_q").select("qid", "chunk_id", "matched", "rank")
 
 
 def number_hits(questions: DataFrame, index: DataFrame, most: int = 5) -> DataFrame:
     """(qid, chunk_id, rank): chunks that hold a number of the question, those with more of them first."""
     asked = questions.select("qid", F.explode(T.number_phrases(F.col("question"))).alias("p")).select("qid", T.without_separators(F.col("p")).alias("phrase")).distinct()
-    return _best_of_classes(asked, index.select("phrase", "chunk_id"), F.lit(1), most)
+    held = index.select("phrase", "chunk_id").join(asked.select("phrase").distinct(), "phrase", "left_semi")
+    return _best_of_classes(asked, held, F.lit(1), most)
 
 
 def quoted_hits(questions: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:

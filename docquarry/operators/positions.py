@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.functions import text as T
-from docquarry.sources.shared import written
+from docquarry.sources.shared import sized, written
 
 RAREST, GRAM, EDGE = 3, 3, 3
 
@@ -35,14 +35,16 @@ def _in_words(short: DataFrame, texts: DataFrame, key: Column, text: Column) ->
     piece = F.element_at(F.array_sort(F.transform("_w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     pieces = short.select("_p", piece.alias("_piece"))
     words = texts.select(F.explode(T.tokens(text)).alias("_word")).distinct()
+    # exploded rows take many times what Spark expects of them, so such joins are not left to its estimates
     runs = words.select("_word", F.explode(T.char_grams(F.col("_word"), GRAM)).alias("_run"))
     asked = pieces.select("_p", "_piece", F.explode(T.char_grams(F.col("_piece"), GRAM)).alias("_run"))
     n = runs.join(asked.select("_run").distinct(), "_run", "left_semi").groupBy("_run").agg(F.count("*").alias("_n"))
-    rarest = asked.join(n, "_run").groupBy("_p", "_piece").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
-    held = rarest.join(runs, "_run").where(F.contains("_word", "_piece")).select("_p", "_word")
+    rarest = asked.hint("merge").join(n, "_run").groupBy("_p", "_piece").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
+    held = rarest.hint("merge").join(runs, "_run").where(F.contains("_word", "_piece")).select("_p", "_word")
     few = pieces.where(F.length("_piece") < GRAM).join(words, F.contains("_word", "_piece")).select("_p", "_word")
+    met = sized(written(held.unionByName(few), "words-held"), F.octet_length("_word") + 16)
     own = texts.select(key, F.explode(F.array_distinct(T.tokens(text))).alias("_word"))
-    return held.unionByName(few).join(own, "_word").select("_p", "_t").distinct()
+    return met.join(own, "_word").select("_p", "_t").distinct()
 
 
 def _edged(three: DataFrame, texts: DataFrame, key: Column, text: Column) -> DataFrame:
@@ -52,7 +54,7 @@ def _edged(three: DataFrame, texts: DataFrame, key: Column, text: Column) -> Dat
     feature = lambda a, before, own, b, after: F.xxhash64(a, F.right(before, a), own, b, F.left(after, b))
     w = lambda i: F.get("_w", F.lit(i))
     asked = three.select("_p", feature(known(w(0)), w(0), w(1), known(w(2)), w(2)).alias("f"))
-    asked = written(asked, "edges")
+    asked = sized(written(asked, "edges"), F.lit(16))
     around = lambda own: F.transform(own, lambda x, i: F.struct(F.get(own, i - 1).alias("_b"), x.alias("_o"), F.get(own, i + 1).alias("_a")))
     places = texts.select(key, F.inline(T.bound(T.tokens(text), around))).where("_b IS NOT NULL AND _a IS NOT NULL")
     each = F.explode(F.array(*(feature(F.lit(a), F.col("_b"), F.col("_o"), F.lit(b), F.col("_a")) for a in (1, EDGE) for b in (1, EDGE))))
@@ -68,7 +70,7 @@ def _met(asked: DataFrame, texts: DataFrame) -> DataFrame:
     # a phrase with a feature that no text has is in no text
     rare = known.where("_all = _known").withColumn("_rank", F.row_number().over(whole.orderBy("_n", "at"))).where(F.col("_rank") <= RAREST)
     rare = rare.select("_p", "f", F.col("at").alias("_at"), F.least("_all", F.lit(RAREST)).alias("_need"))
-    rare = written(rare, "rarest")  # of a known size, as in ``containing``
+    rare = sized(written(rare, "rarest"), F.lit(28))
     places = texts.join(rare.select("f").distinct(), "f", "left_semi")
     met = rare.join(places, "f").groupBy("_p", "_t", (F.col("at") - F.col("_at")).alias("_start")).agg(F.count_distinct("_at", "f").alias("_have"), F.first("_need").alias("_need"))
     return met.where("_have = _need").select("_p", "_t").distinct()
@@ -96,7 +98,8 @@ def containing(phrases: DataFrame, texts: DataFrame, phrase: str, text: str) ->
     left = phrases.select(F.struct(*(F.col(f"`{c}`") for c in phrases.columns)).alias("_phrase"), F.xxhash64(p).alias("_p"), p.alias("_asked"))
     right = texts.select(F.struct(*(F.col(f"`{c}`") for c in texts.columns)).alias("_text"), key)
     held = F.contains(F.col("_text").getField(text), F.col("_asked"))
-    found = written(found.join(left, "_p"), "phrases-found")  # of a known size: where pairs are few, texts stay where they are
+    found = written(found.join(left, "_p"), "phrases-found")
+    found = sized(found, 2 * F.octet_length("_asked") + 64)  # where pairs are few, texts stay where they are
     pairs = right.join(found, "_t").where(held).select("_phrase", "_text")  # texts last, so that they are shuffled once at most
     blank = left.where(F.size(T.tokens(F.col("_asked"))) == 0)
     if blank.limit(1).count():

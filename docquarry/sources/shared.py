@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,6 +27,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows up to which Spark may broadcast what was written.
+FEW_BYTES = 8 << 20
+
+
+def sized(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """df, of a few columns that were written, kept from being broadcast if its rows take more than FEW_BYTES.  Spark plans by
+    the size of files, and where values repeat those are a small part of what the rows take in the driver's memory."""
+    return df.hint("merge") if (df.agg(F.sum(row_bytes)).first()[0] or 0) > FEW_BYTES else df
+
+
 #: Most rows and bytes of an Arrow batch where rows are whole texts or packed blocks of vectors.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 

@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from docquarry.operators import phrases
+from docquarry.sources import shared
 
 
 def test_numbers_and_quotes(spark):
@@ -13,6 +16,36 @@ def test_numbers_and_quotes(spark):
     assert [(r["qid"], r["chunk_id"]) for r in phrases.quoted_hits(q, c).collect()] == [(2, "c3")]
 
 
+def _joins(df):
+    return re.findall(r"\w+Join(?= )", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_sets_of_phrases_are_not_broadcast(spark):
+    """Sets that repeat take little in files and much in memory: no join of hits may be planned by files.  Equal sets, ties, nulls."""
+    words = [f"the phrase of number {i}" for i in range(6)]
+    c = spark.createDataFrame([(i if i != 7 else None, " and ".join(words[: i % 4 + 1])) for i in range(40)], "chunk_id int, content string")
+    asked = [(q if q != 9 else None, " or ".join(f'"{w}"' for w in words[: q % 3 + 1])) for q in range(12)] + [(20, '"the phrase"'), (21, "nothing")]
+    q = spark.createDataFrame(asked, "qid int, question string")
+    got = phrases.quoted_hits(q, c)
+    assert "BroadcastHashJoin" not in _joins(got) and "SortMergeJoin" in _joins(got)
+    held = {i: set(words[: i % 4 + 1]) | {"the phrase"} for i in range(40)}
+    want = set()
+    for qid, text in asked:
+        own = {w for w in [*words, "the phrase"] if f'"{w}"' in text}
+        order = sorted(((-sum(map(len, own & h)), i if i != 7 else -1) for i, h in held.items() if own & h))[:3]
+        want |= {(qid, None if i < 0 else i, n + 1) for n, (_, i) in enumerate(order)}
+    assert {(r["qid"], r["chunk_id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_written_rows_are_measured_not_their_files(spark, monkeypatch):
+    df = shared.written(spark.range(1000).select(F.lit("much the same text").alias("t"), "id"), "sized")
+    other = spark.range(1000)
+    assert _joins(shared.sized(df, F.octet_length("t")).join(other, "id")) == ["BroadcastHashJoin"]
+    monkeypatch.setattr(shared, "FEW_BYTES", 17_000)
+    assert _joins(shared.sized(df, F.octet_length("t")).join(other, "id")) == ["SortMergeJoin"]
+    assert shared.sized(df.limit(0), F.octet_length("t")).count() == 0
+
+
 def test_union_of_routes(spark):
     a = spark.createDataFrame([(1, "a", 0.5), (1, "b", 0.1)], "qid int, chunk_id string, score double")
     assert {r["chunk_id"]: r["score"] for r in phrases.union_best([a, a.withColumn("score", F.col("score") * 2)]).collect()} == {"a": 1.0, "b": 0.2}
