@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from docquarry.sources.shared import bounded_batches
 
-#: Questions and sections of a packed row.
-QUESTIONS, SECTIONS = 64, 128
+#: Questions and sections of a packed row; characters of sections that a task looks up at once.
+QUESTIONS, SECTIONS, CHARS = 64, 128, 1 << 20
 
 
 def packed(df: DataFrame, by: str, columns: Sequence[str], prefix: str, size: int) -> DataFrame:
@@ -43,50 +43,58 @@ def packed(df: DataFrame, by: str, columns: Sequence[str], prefix: str, size: in
     return df.select(by, *columns).where(F.col(by).isNotNull()).mapInArrow(run, ", ".join([f"{by} {kinds[by]}", f"{prefix}_no long", *(f"{prefix}_{c} array<{kinds[c]}>" for c in columns)]))
 
 
-def _levels(texts: pa.Array, tables: list[np.ndarray], low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(n, text, gram): the distinct grams of n characters of each text, by their number among the questions' own.  An empty list of
-    tables is filled from these texts; otherwise grams that aren't in the tables are left out."""
+def _levels(texts: pa.Array, tables: list[np.ndarray], low: int, high: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, text * grams + gram): the distinct grams of n characters of each text, by their number among the questions' own.  An empty
+    list of tables is filled from these texts; otherwise grams that aren't in the tables are left out, and CHARS places are
+    looked up at once, so a text that lies in several such parts may have a gram of each."""
     texts, build = pc.fill_null(texts, ""), not tables
-    of = np.repeat(np.arange(len(texts)), pc.utf8_length(texts).to_numpy(zero_copy_only=False))
-    code = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
-    at, own, letter = np.arange(len(code)), np.zeros(len(code), np.int64), None
-    for n in range(1, high + 1):
-        if n > 1:
-            whole = at + n - 1 < len(code)
-            at, own = at[whole], own[whole]
-            whole = (of[at + n - 1] == of[at]) & (letter[at + n - 1] >= 0)
-            at, own = at[whole], own[whole]
-            key = own * (len(tables[0]) + 1) + letter[at + n - 1]
-        else:
-            key = code
-        if build:
-            tables.append(np.unique(key))
-        table = tables[n - 1]
-        if not len(table) or not len(key):
+    ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+    code = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    step = max(1, len(code) if build else CHARS)
+    for lo in range(0, max(1, len(code)), step):
+        part = code[lo : lo + step + high - 1].astype(np.int64)
+        of = np.searchsorted(ends, np.arange(lo, lo + len(part)), side="right")
+        at, own, letter = np.arange(len(part)), np.zeros(len(part), np.int64), np.full(len(part), -1)
+        for n in range(1, high + 1):
+            if n > 1:
+                whole = at + n - 1 < len(part)
+                at, own = at[whole], own[whole]
+                whole = (of[at + n - 1] == of[at]) & (letter[at + n - 1] >= 0)
+                at, own = at[whole], own[whole]
+                key = own * (len(tables[0]) + 1) + letter[at + n - 1]
+            else:
+                key = part
             if build:
-                continue
-            return
-        place = np.minimum(np.searchsorted(table, key), len(table) - 1)
-        found = table[place] == key
-        if n == 1:
-            letter = np.where(found, place, -1)
-        at, own = at[found], place[found]
-        if n >= low:
-            pair = np.unique(of[at] * len(table) + own)
-            yield n, pair // len(table), pair % len(table)
+                tables.append(np.unique(key))
+            table = tables[n - 1]
+            if not len(table) or not len(key):
+                if build:
+                    continue
+                break
+            place = np.minimum(np.searchsorted(table, key), len(table) - 1)
+            found = table[place] == key
+            if n == 1:
+                letter = np.where(found, place, -1)
+            at, own = at[found], place[found]
+            if n >= low:
+                yield n, np.unique(of[at] * len(table) + own)
 
 
 class _Questions:
     def __init__(self, texts: pa.Array, low: int, high: int):
         self.n, self.tables, self.low, self.high, self.grams = len(texts), [], low, high, {}
-        for n, text, gram in _levels(texts, self.tables, low, high):
+        for n, pair in _levels(texts, self.tables, low, high):
+            text, gram = np.divmod(pair, len(self.tables[n - 1]))
             order = np.argsort(gram, kind="stable")
             self.grams[n] = np.searchsorted(gram[order], np.arange(len(self.tables[n - 1]) + 1)), text[order]
 
     def weights(self, texts: pa.Array) -> np.ndarray:
         """Of each text (row) and question the sum of the squares of the lengths of the grams that both have."""
-        out = np.zeros(len(texts) * self.n, np.int64)
-        for n, text, gram in _levels(texts, self.tables, self.low, self.high):
+        out, found = np.zeros(len(texts) * self.n, np.int64), {}
+        for n, pair in _levels(texts, self.tables, self.low, self.high):
+            found[n] = np.union1d(found[n], pair) if n in found else pair
+        for n, pair in found.items():
+            text, gram = np.divmod(pair, len(self.tables[n - 1]))
             starts, of = self.grams[n]
             many = starts[gram + 1] - starts[gram]
             place = np.repeat(starts[gram] - np.cumsum(many) + many, many) + np.arange(many.sum())

@@ -10,12 +10,13 @@ from docquarry.operators import gram_blocks
 from docquarry.sources.shared import written
 
 
-def scored(questions: DataFrame, sections: DataFrame, content_chars: int = 600) -> DataFrame:
+def scored(questions: DataFrame, sections: DataFrame, content_chars: int | None = 600) -> DataFrame:
     """(qid, doc_id, section_id, page, score) of the sections of the documents a question (qid, doc_id,
     question) is held to: squares of the lengths of shared 2- to 5-grams, those of the path three times.  A text that is
-    null shares none."""
+    null shares none.  Of the content the first ``content_chars`` characters count, or, if that is None, all."""
     q = questions.select("doc_id", "qid", T.bare(F.col("question")).alias("text"))
-    s = sections.select("doc_id", "section_id", "page", T.bare(F.col("path")).alias("path"), T.bare(F.substring("content", 1, content_chars)).alias("content"))
+    content = F.col("content") if content_chars is None else F.substring("content", 1, content_chars)
+    s = sections.select("doc_id", "section_id", "page", T.bare(F.col("path")).alias("path"), T.bare(content).alias("content"))
     return gram_blocks.scored(q, s, "doc_id", {"path": 3, "content": 1}, 2, 5)
 
 

@@ -58,15 +58,19 @@ def section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top(_section_scores(spark, sf_dir), 30, tie="section_id").select("qid", "section_id", F.col("score").cast("int").alias("score"))
 
 
-def _section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _section_scores(spark: SparkSession, sf_dir: str, content_chars: int | None = 600) -> DataFrame:
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("doc_id"), F.col("text").alias("question"))
     s = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("section_id"), F.lit(1).alias("page"), F.get(F.split("text", "\n"), F.lit(0)).alias("path"), F.col("text").alias("content"))
-    return sections.scored(q, s)
+    return sections.scored(q, s, content_chars)
+
+
+#: The same with the whole content.
+_WHOLE_SECTIONS = _SECTIONS.replace("text[:600]", "text")
 
 
 @register(
     "section_coverage",
-    f"""WITH {_SECTIONS},
+    f"""WITH {_WHOLE_SECTIONS},
     b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, section_id) AS best FROM scored),
     f AS (SELECT *, best <= 10 AND score > 0 AS first FROM b),
     c AS (SELECT *, 30 - count(*) FILTER (first) OVER (PARTITION BY qid) AS quota, row_number() OVER (PARTITION BY qid, doc_id, first ORDER BY section_id) - 1 AS i, count(*) OVER (PARTITION BY qid, doc_id, first) AS n FROM f),
@@ -77,7 +81,8 @@ def _section_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, doc_id, section_id, position FROM o WHERE position <= 30""",
 )
 def section_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections.covered(_section_scores(spark, sf_dir).withColumn("page", F.col("section_id")), limit=30)
+    """The best sections of each question by their whole texts, then an even share of the others."""
+    return sections.covered(_section_scores(spark, sf_dir, None).withColumn("page", F.col("section_id")), limit=30)
 
 
 @register(
