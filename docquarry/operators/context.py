@@ -115,30 +115,36 @@ def around_anchor(text: Column, start: Column, end: Column, most: int) -> Column
 
 def _folded(blocks: DataFrame, budget: int, overhead: int, citation: int) -> DataFrame:
     """(qid, _b, _all): each question's blocks in rank order, ``in`` where ``packed`` takes them, and what is there after
-    citations, as arrays.  The blocks travel once: joins of texts would be broadcast by what they take when compressed."""
+    citations, as arrays.  The blocks travel once: joins of texts would be broadcast by what they take when compressed.  Each
+    step is bound to its value, as Spark puts the expression of a column into the lambdas that mention it."""
     own = F.struct("rank", "chunk_id", "doc_id", "parent_id", "kind", "content")
     lists = blocks.groupBy("qid").agg(F.array_sort(F.collect_list(own)).alias("_b"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.transform(F.slice("_b", 1, 0), lambda x: x["chunk_id"]).alias("ids"))
+    need = lambda a, x: a["used"] + F.length(x["content"]) + overhead
 
-    def step(a: Column, x: Column) -> Column:
-        need = a["used"] + F.length(x["content"]) + overhead
-        return F.when(need <= budget, F.struct(need.cast("bigint").alias("used"), F.concat(a["ids"], F.array(x["chunk_id"])).alias("ids"))).otherwise(a)
+    def packed_ids(b: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("used"), F.transform(F.slice(b, 1, 0), lambda x: x["chunk_id"]).alias("ids"))
+        take = lambda a, x: F.when(need(a, x) <= budget, F.struct(need(a, x).alias("used"), F.concat(a["ids"], F.array(x["chunk_id"])).alias("ids"))).otherwise(a)
+        return F.aggregate(b, start, take, lambda a: a["ids"])
 
     there = lambda x, ids: F.coalesce(F.array_contains(ids, x["chunk_id"]) & F.col("qid").isNotNull(), F.lit(False))
-    marked = lambda ids: F.transform("_b", lambda x: x.withField("in", there(x, ids)))
-    lists = lists.withColumn("_b", T.bound(F.aggregate("_b", start, step, lambda a: a["ids"]), marked))
-    lists = lists.withColumn("_in", F.filter("_b", lambda x: x["in"]))
+    marked = lambda b: T.bound(packed_ids(b), lambda ids: F.transform(b, lambda x: x.withField("in", there(x, ids))))
     times = lambda whole, part: (F.length(whole) - F.length(F.replace(whole, part, F.lit("")))) / F.length(part)
-    holds = lambda p, c: (p["kind"] == "section") & (c["kind"] != "section") & (p["chunk_id"] == c["parent_id"]) & (p["doc_id"] == c["doc_id"]) & (F.length(c["content"]) > 0) & (times(p["content"], c["content"]) == 1)
-    cites = lambda p: F.transform(F.filter("_in", lambda c: F.coalesce(holds(p, c), F.lit(False))), lambda c: F.struct(c["chunk_id"].alias("chunk_id"), (F.instr(p["content"], c["content"]) - 1).alias("start"), F.length(c["content"]).alias("length")))
-    lists = lists.withColumn("_c", F.transform("_in", lambda p: F.struct(p["chunk_id"].alias("chunk_id"), F.length(p["content"]).alias("chars"), F.exists("_in", lambda q: F.coalesce(holds(q, p), F.lit(False))).alias("gone"), cites(p).alias("contained"))))
-    lists = lists.withColumn("_kept", F.filter("_c", lambda x: ~x["gone"]))
+    holds = lambda p, c: F.coalesce((p["kind"] == "section") & (c["kind"] != "section") & (p["chunk_id"] == c["parent_id"]) & (p["doc_id"] == c["doc_id"]) & (F.length(c["content"]) > 0) & (times(p["content"], c["content"]) == 1), F.lit(False))
+    citation_of = lambda p, c: F.struct(c["chunk_id"].alias("chunk_id"), (F.instr(p["content"], c["content"]) - 1).alias("start"), F.length(c["content"]).alias("length"))
+    entry = lambda x, gone, contained: F.struct(x["chunk_id"].alias("chunk_id"), F.length(x["content"]).alias("chars"), gone.alias("gone"), contained.alias("contained"))
+    cited = lambda b: F.transform(b, lambda p: entry(p, F.exists(b, lambda q: holds(q, p)), F.transform(F.filter(b, lambda c: holds(p, c)), lambda c: citation_of(p, c))))
     used = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x["chars"] + overhead + F.size(x["contained"]) * citation)
-    plain = F.transform("_c", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["chars"].alias("chars"), F.lit(False).alias("gone"), F.slice(x["contained"], 1, 0).alias("contained")))
-    lists = lists.withColumn("_kept", F.when(used("_kept") <= budget, F.col("_kept")).otherwise(plain))
-    refill = lambda a, x: F.when(~x["in"] & (F.length(x["content"]) > 0) & (a["used"] + F.length(x["content"]) + overhead <= budget), F.struct((a["used"] + F.length(x["content"]) + overhead).alias("used"), F.concat(a["of"], F.array(F.struct(x["chunk_id"].alias("chunk_id"), F.length(x["content"]).alias("chars"), F.lit(False).alias("gone"), F.slice(F.get("_c", F.lit(0))["contained"], 1, 0).alias("contained")))).alias("of"))).otherwise(a)
-    lists = lists.withColumn("_all", F.when(F.size("_kept") > 0, F.aggregate("_b", F.struct(used("_kept").alias("used"), F.col("_kept").alias("of")), refill, lambda a: a["of"])).otherwise(F.col("_kept")))
-    return lists.select("qid", "_b", "_all")
+    uncited = lambda c: F.transform(c, lambda x: x.withField("gone", F.lit(False)).withField("contained", F.slice(x["contained"], 1, 0)))
+
+    def all_of(b: Column, c: Column) -> Column:
+        none = F.slice(F.get(c, F.lit(0))["contained"], 1, 0)
+        refill = lambda a, x: F.when(~x["in"] & (F.length(x["content"]) > 0) & (need(a, x) <= budget), F.struct(need(a, x).alias("used"), F.concat(a["of"], F.array(entry(x, F.lit(False), none))).alias("of"))).otherwise(a)
+        filled = lambda k: F.when(F.size(k) > 0, F.aggregate(b, F.struct(used(k).alias("used"), k.alias("of")), refill, lambda a: a["of"])).otherwise(k)
+        return T.bound(F.filter(c, lambda x: ~x["gone"]), lambda k: T.bound(F.when(used(k) <= budget, k).otherwise(uncited(c)), filled))
+
+    lists = lists.withColumn("_b", T.bound(F.col("_b"), marked))
+    folded = T.bound(F.col("_b"), lambda b: T.bound(F.filter(b, lambda x: x["in"]), lambda own: T.bound(cited(own), lambda c: all_of(b, c))))
+    return lists.select("qid", "_b", folded.alias("_all"))
 
 
 def deduplicated(blocks: DataFrame, budget: int = TOTAL, overhead: int = 40, citation: int = 24) -> DataFrame:

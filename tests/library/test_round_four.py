@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from docquarry.operators import gram_blocks
+from docquarry.operators import context, gram_blocks
 from docquarry.plans import evidence
 
 
@@ -33,3 +33,47 @@ def test_long_texts_are_looked_up_in_parts(monkeypatch):
         monkeypatch.setattr(gram_blocks, "CHARS", chars)
         assert questions.weights(pa.array(texts)).tolist() == want
     assert not gram_blocks._Questions(pa.array(["", None]), 2, 5).weights(pa.array(texts)).any()
+
+
+def _deduplicated(blocks, budget, overhead, citation):
+    """One question's blocks (rank, chunk_id, doc_id, parent_id, kind, content), written out."""
+    b, used, ids = sorted(blocks), 0, []
+    for x in b:
+        if used + len(x[5]) + overhead <= budget:
+            used, ids = used + len(x[5]) + overhead, [*ids, x[1]]
+    own = [x for x in b if x[1] in ids]
+    holds = lambda p, c: p[4] == "section" != c[4] and p[1] == c[3] and p[2] == c[2] and c[5] and p[5].count(c[5]) == 1
+    entries = [(p[1], len(p[5]), [(c[1], p[5].index(c[5]), len(c[5])) for c in own if holds(p, c)], any(holds(q, p) for q in own)) for p in own]
+    kept = [e[:3] for e in entries if not e[3]]
+    size = lambda es: sum(n + overhead + citation * len(held) for _, n, held in es)
+    if size(kept) > budget:
+        kept = [(i, n, []) for i, n, _, _ in entries]
+    used = size(kept)
+    for x in b if kept else []:
+        if x[1] not in ids and x[5] and used + len(x[5]) + overhead <= budget:
+            kept, used = [*kept, (x[1], len(x[5]), [])], used + len(x[5]) + overhead
+    return [(i, n + 1, held) for n, (i, _, held) in enumerate(kept)]
+
+
+def test_deduplication_computes_each_step_once(spark):
+    """Steps of the fold that were put into the lambdas of the next ones made a plan of 139,000 characters."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for q in range(200):
+        parts = ["".join(rng.choice(list("abc"), int(n))) for n in rng.integers(0, 6, 5)]
+        for i in range(int(rng.integers(1, 8))):
+            section = bool(rng.integers(0, 2))
+            text = "".join(rng.choice(parts, 4)) if section else str(rng.choice(parts))
+            rows.append((q, f"c{i}", int(rng.integers(0, 2)), None if section else f"c{rng.integers(0, 8)}", "section" if section else "leaf", i, text))
+    b = spark.createDataFrame(rows, "qid int, chunk_id string, doc_id int, parent_id string, kind string, rank int, content string")
+    cited = 0
+    for budget, overhead, citation in ((40, 3, 1), (25, 2, 9), (400, 1, 0)):
+        df = context.deduplicated(b, budget, overhead, citation)
+        assert len(df._jdf.queryExecution().executedPlan().toString()) < 10_000
+        got = {}
+        for r in df.orderBy("qid", "position").collect():
+            got.setdefault(r["qid"], []).append((r["chunk_id"], r["position"], [tuple(x) for x in r["contained"]]))
+        want = {q: _deduplicated([(r[5], r[1], r[2], r[3], r[4], r[6]) for r in rows if r[0] == q], budget, overhead, citation) for q in range(200)}
+        assert got == {q: w for q, w in want.items() if w}
+        cited += sum(len(held) for w in want.values() for _, _, held in w)
+    assert cited > 10
