@@ -64,6 +64,23 @@ def dense_route(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top(vector_blocks.nearest(questions.select("qid", "vector"), chunks.select("chunk_id", "vector"), k), k)
 
 
+def nearest_others(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, score), which holds the k best of each question (qid, vector, list) among the chunks (chunk_id, vector, list) of
+    its list that have another id, by matrix products of blocks.
+
+    Vectors that are null or hold a null have null scores, others that aren't finite have NaN, whatever they meet: null comes
+    last and NaN first, both by id, so of each list and kind the k + 1 least ids are all that can be among the best."""
+    q, c = (df.where("list IS NOT NULL") for df in (questions, chunks.where("chunk_id IS NOT NULL")))
+    found = vector_blocks.nearest(q.select("qid", "vector", "list"), c, k, lists=True, others=True)
+    v = F.col("vector")
+    kind = F.when(v.isNull() | F.exists(v, lambda x: x.isNull()), 2).when(F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf"))), 1).otherwise(0)
+    least = F.dense_rank().over(Window.partitionBy("list", "_c").orderBy("chunk_id"))
+    first = c.select("chunk_id", "list", kind.alias("_c")).withColumn("_n", least).where(F.col("_n") <= k + 1).drop("_n")
+    odd = q.select("qid", "list", kind.alias("_q")).join(first, "list").where("chunk_id <> qid AND _q + _c > 0")
+    none = F.when(F.greatest("_q", "_c") == 1, F.lit(float("nan")))
+    return found.unionByName(odd.select("qid", "chunk_id", none.alias("score")))
+
+
 def document_frequency(terms: DataFrame) -> DataFrame:
     """(term, df) of (doc_id, term, tf), or of documents that are packed (``term_blocks.packs``)."""
     return term_blocks.frequency(terms) if "vocab" in terms.columns else terms.groupBy("term").agg(F.count("*").alias("df"))

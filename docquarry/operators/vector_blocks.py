@@ -170,7 +170,16 @@ class _Best:
         return self.q_ids.take(pa.array(a)), ids, pa.array(s)
 
 
-def nearest(questions: DataFrame, chunks: DataFrame, k: int, by: str | None = None, lists: bool = False) -> DataFrame:
+def _but_self(scores: np.ndarray, q_ids: pa.Array, c_ids: pa.Array) -> np.ndarray:
+    """scores, those of rows and columns of one id being no scores."""
+    own = np.flatnonzero(pc.is_in(c_ids, value_set=q_ids).to_numpy(zero_copy_only=False))
+    if len(own):
+        rows, columns = (np.array(ids.to_pylist(), object) for ids in (q_ids, c_ids.take(pa.array(own))))
+        scores[:, own] = np.where(np.equal.outer(rows, columns), -np.inf, scores[:, own])
+    return scores
+
+
+def nearest(questions: DataFrame, chunks: DataFrame, k: int, by: str | None = None, lists: bool = False, others: bool = False) -> DataFrame:
     """(qid, chunk_id, score) of questions (qid, vector) and chunks (chunk_id, vector): a superset of the k chunks of
     greatest cosine of each question, those of every bucket; ties go by id.  With ``by``, a column of chunks, those of
     each of its values, which is a column of the result too; with ``lists`` only rows of equal ``list`` meet."""
@@ -198,7 +207,8 @@ def nearest(questions: DataFrame, chunks: DataFrame, k: int, by: str | None = No
                 if sum(max(b.n, len(b.q_ids)) for b in found.values()) > HELD:
                     yield from rows()
                 found[key] = _Best(batch["q_ids"][i].values, k)
-            found[key].add(scores, batch["c_ids"][i].values)
+            ids = batch["c_ids"][i].values
+            found[key].add(_but_self(scores, found[key].q_ids, ids) if others else scores, ids)
         yield from rows()
 
     more = f", {by} {kinds[by]}" if by else ""

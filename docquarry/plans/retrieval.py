@@ -102,8 +102,10 @@ def ann_pq_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dense_topk_filtered", f"WITH {_V}, f AS (SELECT * FROM scored WHERE label = wanted AND chunk_id <> qid) SELECT qid, chunk_id, round(score, 6) AS score, rank FROM ({_top_sql('f', 5)})")
 def dense_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of each question among those of its label."""
     q, c = vector_questions(spark, sf_dir)
-    return ops.top(ops.scored(q, c, (F.col("label") == F.col("wanted")) & (F.col("chunk_id") != F.col("qid"))), 5).select("qid", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    hits = ops.top(ops.nearest_others(q.withColumnRenamed("wanted", "list"), c.withColumnRenamed("label", "list"), 5), 5)
+    return hits.select("qid", "chunk_id", (F.round(F.col("score") * 1e6) / 1e6).alias("score"), "rank")  # halves as SQL rounds them
 
 
 @register("topk_per_label", f"WITH {_V} SELECT qid, label, chunk_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, chunk_id) AS INT) AS rank FROM scored) WHERE rank <= 2")
